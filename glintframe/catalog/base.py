@@ -108,13 +108,21 @@ def poses(spark, sf) -> DataFrame:
         (1.7 * e[2] + 1.0 + 0.01 * e[8]).alias("oz"), e[3].alias("fx"), e[4].alias("fy"), e[5].alias("fz"))
 
 
+def _view_extras(u, i):
+    any_ = (i % 40 + 10).cast("double")
+    source = (u % 50 + 100) * 0.2
+    return [any_.alias("raw_any"), (any_ * (0.7 + 0.005 * (i % 50))).alias("out_any"), (any_ * 0.3).alias("raw_strong"),
+            (any_ * 0.3 * (0.6 + 0.01 * (i % 60))).alias("out_strong"), (u % 50 + 20).alias("strict_px"), (u % 50 + 30).alias("strong_px"),
+            (u % 50 + 10).alias("strong_suppressed_px"), source.alias("source_score"), (source * (0.5 + 0.01 * (i % 70))).alias("residual_score")]
+
+
 def views(spark, sf) -> DataFrame:
     u, i, v = F.col("user_id"), F.col("event_id"), F.col("value")
     return table(spark, sf, "events").select(
         F.col("event_type").alias("scene"), i.alias("view_id"), (u % 30 + 1).alias("direction"), (i % 3 + 1).alias("height"),
         (i % 10 != 0).alias("within_support"), (u + 1000).alias("pixels"), (v / 500).alias("raw_mean"),
         (v / 500 * (0.6 + 0.008 * (i % 60))).alias("out_mean"), (u % 50 + 100).alias("source_px"),
-        (u % 50 + 40).alias("improved_px"))
+        (u % 50 + 40).alias("improved_px"), *_view_extras(u, i))
 
 
 def files(spark, sf) -> DataFrame:
@@ -155,7 +163,10 @@ _VIEWS = {
               "e[4]::double fx, e[5]::double fy, e[6]::double fz from (select label, vec_id, embedding e from embeddings)"),
     "views": ("select event_type scene, event_id view_id, user_id%30+1 direction, event_id%3+1 height, event_id%10<>0 within_support, "
               "1000+user_id pixels, value/500 raw_mean, value/500*(0.6::double+0.008::double*(event_id%60)) out_mean, "
-              "100+user_id%50 source_px, 40+user_id%50 improved_px from events"),
+              "100+user_id%50 source_px, 40+user_id%50 improved_px, (10+event_id%40)::double raw_any, (10+event_id%40)*(0.7::double+0.005::double*(event_id%50)) out_any, "
+              "(10+event_id%40)*0.3::double raw_strong, (10+event_id%40)*0.3::double*(0.6::double+0.01::double*(event_id%60)) out_strong, 20+user_id%50 strict_px, "
+              "30+user_id%50 strong_px, 10+user_id%50 strong_suppressed_px, (100+user_id%50)*0.2::double source_score, "
+              "(100+user_id%50)*0.2::double*(0.5::double+0.01::double*(event_id%70)) residual_score from events"),
     "files": ("select doc_id frame, 'frame_'||lpad(doc_id::varchar,7,'0')||'.png' as name, sha256(text) actual from documents"),
     "expected": ("select d.doc_id frame, case when l.quality=0 then 'stale' else sha256(text) end expected from labels l "
                  "join documents d on l.doc_id=d.doc_id"),

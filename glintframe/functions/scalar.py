@@ -194,8 +194,13 @@ def encode_map(value, bits: int = 16) -> Column:
     return F.floor(clip(value) * float((1 << bits) - 1)).cast("int")
 
 
+def _number(value, pattern: str) -> Column:
+    # the pattern form rounds the exact binary value half to even, as C's printf does
+    return F.call_function("format_number", col(value).cast("double"), F.lit(pattern))
+
+
 def format_display(value, digits: int = 2) -> Column:
-    return F.format_number(col(value), "0" + ("." + "0" * digits if digits else ""))
+    return _number(value, "0" + ("." + "0" * digits if digits else ""))
 
 
 def format_spread(median, q25, q75, digits: int = 2) -> Column:
@@ -205,5 +210,5 @@ def format_spread(median, q25, q75, digits: int = 2) -> Column:
 
 def experiment_tag(mode, threshold) -> Column:
     """``mode_t0.3`` for thresholded modes, the bare mode otherwise."""
-    text = F.regexp_replace(F.regexp_replace(F.format_number(col(threshold), "0.000000"), "0+$", ""), r"\.$", "")
+    text = F.regexp_replace(F.regexp_replace(_number(threshold, "0.000000"), "0+$", ""), r"\.$", "")
     return F.when(col(mode) == "removed_only", col(mode)).otherwise(F.concat(col(mode), F.lit("_t"), text))
