@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "trajectories")
+MODULES = ("scores", "trajectories", "cameras")
 
 
 def load():

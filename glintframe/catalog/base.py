@@ -100,12 +100,20 @@ def points(spark, sf) -> DataFrame:
 
 
 def poses(spark, sf) -> DataFrame:
-    e = [F.col("embedding")[i].cast("double") for i in range(9)]
-    return table(spark, sf, "embeddings").select(
+    """Two camera branches: the second is turned a quarter about z, scaled, shifted and slightly noisy."""
+    e = [F.col("embedding")[i].cast("double") for i in range(17)]
+    unit = lambda q: [c / F.sqrt(sum((v * v for v in q), F.lit(0.0))) for c in q]
+    d = table(spark, sf, "embeddings").select(
         F.col("label").cast("long").alias("scene"), F.col("vec_id").alias("frame"),
         e[0].alias("cx"), e[1].alias("cy"), e[2].alias("cz"),
         (1.7 * (-e[1]) + 0.5 + 0.01 * e[6]).alias("ox"), (1.7 * e[0] - 0.25 + 0.01 * e[7]).alias("oy"),
-        (1.7 * e[2] + 1.0 + 0.01 * e[8]).alias("oz"), e[3].alias("fx"), e[4].alias("fy"), e[5].alias("fz"))
+        (1.7 * e[2] + 1.0 + 0.01 * e[8]).alias("oz"),
+        *[c.alias(n) for c, n in zip(unit(e[9:13]), ("qw", "qx", "qy", "qz"))], *[e[i].alias(f"n{i}") for i in range(13, 17)])
+    w, x, y, z = (F.col(c) for c in ("qw", "qx", "qy", "qz"))
+    turned = [w - z, x - y, y + x, z + w]
+    noisy = [t * 0.7071067811865476 + 0.02 * F.col(f"n{i + 13}") for i, t in enumerate(turned)]
+    return d.select("scene", "frame", "cx", "cy", "cz", "ox", "oy", "oz", "qw", "qx", "qy", "qz",
+                    *[c.alias(n) for c, n in zip(unit(noisy), ("pw", "px", "py", "pz"))])
 
 
 def _view_extras(u, i):
@@ -156,11 +164,13 @@ _VIEWS = {
     "tracks": ("select distinct l_suppkey frame, l_partkey point_id, (l_partkey%80)/10::double x, "
                "((l_suppkey*7+l_partkey)%80)/10::double y from lineitem"),
     "points": "select p_partkey point_id, (p_partkey%40)/10::double error from part",
-    "poses": ("select label::bigint scene, vec_id frame, e[1]::double cx, e[2]::double cy, e[3]::double cz, "
-              "1.7::double*(-e[2]::double)+0.5::double+0.01::double*e[7]::double ox, "
-              "1.7::double*e[1]::double-0.25::double+0.01::double*e[8]::double oy, "
-              "1.7::double*e[3]::double+1::double+0.01::double*e[9]::double oz, "
-              "e[4]::double fx, e[5]::double fy, e[6]::double fz from (select label, vec_id, embedding e from embeddings)"),
+    "poses": ("select scene, frame, cx, cy, cz, ox, oy, oz, qw, qx, qy, qz, a/sqrt(a*a+b*b+c*c+d*d) pw, b/sqrt(a*a+b*b+c*c+d*d) px, c/sqrt(a*a+b*b+c*c+d*d) py, "
+              "d/sqrt(a*a+b*b+c*c+d*d) pz from (select *, (qw-qz)*0.7071067811865476::double+0.02::double*e[14]::double a, (qx-qy)*0.7071067811865476::double+0.02::double*e[15]::double b, "
+              "(qy+qx)*0.7071067811865476::double+0.02::double*e[16]::double c, (qz+qw)*0.7071067811865476::double+0.02::double*e[17]::double d from "
+              "(select label::bigint scene, vec_id frame, embedding e, e[1]::double cx, e[2]::double cy, e[3]::double cz, "
+              "1.7::double*(-e[2]::double)+0.5::double+0.01::double*e[7]::double ox, 1.7::double*e[1]::double-0.25::double+0.01::double*e[8]::double oy, "
+              "1.7::double*e[3]::double+1::double+0.01::double*e[9]::double oz, sqrt(e[10]::double*e[10]::double+e[11]::double*e[11]::double+e[12]::double*e[12]::double+e[13]::double*e[13]::double) qn, "
+              "e[10]::double/qn qw, e[11]::double/qn qx, e[12]::double/qn qy, e[13]::double/qn qz from embeddings))"),
     "views": ("select event_type scene, event_id view_id, user_id%30+1 direction, event_id%3+1 height, event_id%10<>0 within_support, "
               "1000+user_id pixels, value/500 raw_mean, value/500*(0.6::double+0.008::double*(event_id%60)) out_mean, "
               "100+user_id%50 source_px, 40+user_id%50 improved_px, (10+event_id%40)::double raw_any, (10+event_id%40)*(0.7::double+0.005::double*(event_id%50)) out_any, "

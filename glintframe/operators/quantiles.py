@@ -1,10 +1,12 @@
-"""Exact linear-interpolation quantiles that never gather a group in one task.
+"""Exact linear-interpolation quantiles, safe for groups of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here a
-group is first collapsed to (value, count) pairs, then to a histogram whose cells are an
-order-preserving code of the value (power of two, then equal steps). The histogram of a
-group is small whatever its size, so the cell of each wanted rank is found there, and only
-the values of those few cells are ordered, each cell on its own.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer, which is
+right for small groups and wrong for a group that holds a third of a table. Group sizes
+are therefore checked first. Groups up to ``GROUP_LIMIT`` rows use the built-in. A larger
+group is collapsed to (value, count) pairs and to a histogram whose cells are an
+order-preserving code of the value (power of two, then equal steps): the cell of each
+wanted rank is found in that small histogram, and only the values of those cells are
+ordered, each cell on its own.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import col, finite
+from glintframe.session import materialize
 
 _STEPS = 1 << 14
 
@@ -23,17 +26,53 @@ def order_code(value) -> Column:
     exponent = F.floor(F.log2(size))
     step = F.floor(size / F.pow(F.lit(2.0), exponent) * _STEPS)
     magnitude = (exponent + 1100) * _STEPS + step - _STEPS
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * magnitude).cast("long")
+    code = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * magnitude).cast("long")
+    return F.coalesce(code, F.lit(0).cast("long"))
+
+
+GROUP_LIMIT = 500_000
+
+
+def hot_groups(df: DataFrame, keys, limit: int | None = None) -> DataFrame | None:
+    """Keys of the groups above ``limit`` rows, or None. Runs one count over ``df``."""
+    limit = GROUP_LIMIT if limit is None else limit
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
+        return None
+    return materialize(sizes.where(F.col("_n") > limit).drop("_n"))
 
 
 def exact_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *,
-                    count_as: str | None = None) -> DataFrame:
-    """One row per key with a column per named probability (NULL/NaN values ignored)."""
+                    count_as: str | None = None, hot="check") -> DataFrame:
+    """One row per key with a column per named probability (NULL/NaN values and keys ignored).
+
+    ``hot`` takes the result of ``hot_groups`` when several calls share one check.
+    """
     keys = list(keys)
-    names = list(probs)
-    pairs = (df.select(*keys, finite(col(value).cast("double")).alias("_v")).where("_v is not null")
-             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-             .withColumn("_b", order_code("_v")))
+    v = col(value).cast("double")
+    rows = df.select(*keys, v.alias("_v")).where(
+        F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    if isinstance(hot, str):
+        hot = hot_groups(rows, keys) if keys else rows
+    if hot is None:
+        return _by_buffer(rows, keys, probs, count_as)
+    if not keys:
+        return _by_histogram(rows, keys, probs, count_as)
+    small = _by_buffer(rows.join(hot, keys, "left_anti"), keys, probs, count_as)
+    return small.unionByName(_by_histogram(rows.join(hot, keys, "left_semi"), keys, probs, count_as))
+
+
+def _by_buffer(rows, keys, probs, count_as):
+    out = rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"),
+                                  F.count(F.lit(1)).alias("_n"))
+    named = [F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
+    return out.select(*keys, *named, *([F.col("_n").alias(count_as)] if count_as else []))
+
+
+def _by_histogram(rows, keys, probs, count_as):
+    pairs = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", order_code("_v"))
     cells = pairs.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glintframe.functions.scalar import clip, col
-from glintframe.operators.quantiles import exact_quantiles, with_frame_quantile
+from glintframe.operators.quantiles import exact_quantiles, hot_groups, with_frame_quantile
 from glintframe.session import materialize
 
 MAD_TO_SIGMA = 1.4826
@@ -38,9 +38,10 @@ def sample_at(tracks: DataFrame, pixels: DataFrame, values, camera_w=None, camer
 
 def point_stats(observations: DataFrame, keys=("point_id",), min_views: int = 4) -> DataFrame:
     """Views, median, MAD and 90th percentile of every point, and whether it is usable."""
-    base = exact_quantiles(observations, keys, "lum", {"median": 0.5, "p90": 0.9}, count_as="n_views")
+    hot = hot_groups(observations, keys)
+    base = exact_quantiles(observations, keys, "lum", {"median": 0.5, "p90": 0.9}, count_as="n_views", hot=hot)
     spread = exact_quantiles(observations.join(base.select(*keys, "median"), list(keys)), keys,
-                             F.abs(F.col("lum") - F.col("median")), {"mad": 0.5})
+                             F.abs(F.col("lum") - F.col("median")), {"mad": 0.5}, hot=hot)
     return base.join(spread, list(keys)).withColumn("usable", F.col("n_views") >= min_views)
 
 
@@ -113,38 +114,30 @@ def robust_affine(df: DataFrame, keys, x: str, y: str, rounds: int = 5, min_samp
     keys = list(keys)
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         "_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
-    fits = None
+    rows = materialize(rows)
+    hot = hot_groups(rows, keys)
+    fits = rows.select(*keys).distinct().select(
+        *keys, F.lit(1.0).alias("gain"), F.lit(0.0).alias("offset"), F.lit(None).cast("double").alias("centre"),
+        F.lit(None).cast("double").alias("mad"), F.lit(True).alias("active"))
     for _ in range(rounds):
-        if fits is None:
-            kept = rows
-        else:
-            off = F.abs(F.col("_y") - (F.col("gain") * F.col("_x") + F.col("offset")) - F.col("centre"))
-            kept = rows.join(fits.where("active"), keys).where(off <= 3.0 * MAD_TO_SIGMA * F.col("mad")).select(*keys, "_x", "_y")
-        line = (kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.regr_slope("_y", "_x").alias("_g"),
-                                        F.regr_intercept("_y", "_x").alias("_o"))
-                .where(F.col("_n") >= min_samples)
-                # a constant x has no slope: the smallest-norm line splits the mean between both terms
-                .join(kept.groupBy(*keys).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my")), keys)
-                .select(*keys, F.coalesce("_g", F.col("_mx") * F.col("_my") / (F.col("_mx") ** 2 + 1)).alias("_g"),
-                        F.coalesce("_o", F.col("_my") / (F.col("_mx") ** 2 + 1)).alias("_o")))
-        residual = kept.join(line, keys).withColumn("_r", F.col("_y") - (F.col("_g") * F.col("_x") + F.col("_o")))
-        centre = exact_quantiles(residual, keys, "_r", {"_c": 0.5})
-        mad = exact_quantiles(residual.join(centre, keys), keys, F.abs(F.col("_r") - F.col("_c")), {"_m": 0.5})
-        step = materialize(line.join(centre, keys).join(mad, keys).select(
-            *keys, F.col("_g").alias("gain"), F.col("_o").alias("offset"), F.col("_c").alias("centre"), F.col("_m").alias("mad"),
-            (F.col("_m") > 1e-6).alias("active")))
-        if fits is None:
-            every = df.select(*keys).distinct()
-            fits = every.join(step, keys, "left").select(
-                *keys, F.coalesce("gain", F.lit(1.0)).alias("gain"), F.coalesce("offset", F.lit(0.0)).alias("offset"),
-                "centre", "mad", F.coalesce("active", F.lit(False)).alias("active"))
-        else:
-            # groups that stopped keep their last fit
-            new = step.select(*keys, *[F.col(c).alias(f"n_{c}") for c in ("gain", "offset", "centre", "mad", "active")])
-            fits = fits.join(new, keys, "left").select(
-                *keys, *[F.coalesce(f"n_{c}", c).alias(c) for c in ("gain", "offset", "centre", "mad")],
-                F.coalesce("n_active", F.lit(False)).alias("active"))
-        fits = materialize(fits)
+        off = F.abs(F.col("_y") - (F.col("gain") * F.col("_x") + F.col("offset")) - F.col("centre"))
+        # the first round has no centre yet and keeps every row
+        inlier = F.col("centre").isNull() | (off <= 3.0 * MAD_TO_SIGMA * F.col("mad"))
+        kept = rows.join(fits.where("active"), keys).where(inlier).select(*keys, "_x", "_y")
+        mx, my = F.avg("_x"), F.avg("_y")
+        line = (kept.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"),
+            # a constant x has no slope: the smallest-norm line through the mean
+            F.coalesce(F.regr_slope("_y", "_x"), mx * my / (mx * mx + 1)).alias("_g"),
+            F.coalesce(F.regr_intercept("_y", "_x"), my / (mx * mx + 1)).alias("_o")).where(F.col("_n") >= min_samples))
+        residual = kept.join(line, keys).select(*keys, "_g", "_o", (F.col("_y") - (F.col("_g") * F.col("_x") + F.col("_o"))).alias("_r"))
+        centre = exact_quantiles(residual, keys, "_r", {"_c": 0.5}, hot=hot)
+        mad = exact_quantiles(residual.join(centre, keys), keys, F.abs(F.col("_r") - F.col("_c")), {"_m": 0.5}, hot=hot)
+        step = line.join(centre, keys).join(mad, keys)
+        fits = materialize(fits.join(step, keys, "left").select(
+            *keys, F.coalesce("_g", "gain").alias("gain"), F.coalesce("_o", "offset").alias("offset"),
+            F.coalesce("_c", "centre").alias("centre"), F.coalesce("_m", "mad").alias("mad"),
+            (F.coalesce("_m", F.lit(0.0)) > 1e-6).alias("active")))
         if not fits.where("active").take(1):
             break
     return fits.select(*keys, clip("gain", 0.5, 2.0).alias("gain"), clip("offset", -0.25, 0.25).alias("offset"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import STRONG, WEAK, finite, lum709, percentage, relative_reduction
 from glintframe.operators.pairing import scene_position
-from glintframe.operators.quantiles import exact_quantiles
+from glintframe.operators.quantiles import GROUP_LIMIT, exact_quantiles
 
 # Additive columns of a view row: name -> expression over the view columns.
 _WEIGHTED = ("raw_mean", "out_mean", "raw_any", "out_any", "raw_strong", "out_strong")
@@ -153,7 +153,8 @@ def cluster_bootstrap(views: DataFrame, cluster: str = "direction", replicates:
     ratio = lambda num, den, red: 100.0 * ((F.col(den) - F.col(num)) if red else F.col(num)) / floor(den)
     long = totals.select("scene", F.inline(F.array(*[
         F.struct(F.lit(name).alias("metric"), ratio(*spec).alias("value")) for name, spec in _RATIOS.items()])))
-    bounds = exact_quantiles(long, ["scene", "metric"], "value", {"low": 0.025, "high": 0.975})
+    bounds = exact_quantiles(long, ["scene", "metric"], "value", {"low": 0.025, "high": 0.975},
+                             hot=None if replicates <= GROUP_LIMIT else "check")
     point = (fine.groupBy("scene").agg(*[F.sum(c).alias(c) for c in names])
              .select("scene", F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), ratio(*spec).alias("point"))
                                                  for name, spec in _RATIOS.items()]))))
