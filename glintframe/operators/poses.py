@@ -17,6 +17,7 @@ from glintframe.functions.geometry import (inverse_pose, quat, quat_angle_deg, q
 from glintframe.functions.scalar import AUDIT_SUPPORT, PLANNING_SUPPORT, angle_deg, col, percentage, within_support
 from glintframe.operators.pairing import scene_position
 from glintframe.operators.quantiles import exact_quantiles
+from glintframe.session import materialize
 
 RAW, OTHER = ("cx", "cy", "cz"), ("ox", "oy", "oz")
 FIT = ["scale", "tx", "ty", "tz", "gw", "gx", "gy", "gz"]
@@ -24,6 +25,22 @@ FIT = ["scale", "tx", "ty", "tz", "gw", "gx", "gy", "gz"]
 
 # --- similarity ----------------------------------------------------------
 
+def _quaternion(m):
+    """Quaternions of stacked rotations, from the largest of the four squared components."""
+    d = np.einsum("nii->ni", m)
+    four = 1 + np.stack([d.sum(1), d[:, 0] - d[:, 1] - d[:, 2], d[:, 1] - d[:, 0] - d[:, 2], d[:, 2] - d[:, 0] - d[:, 1]], 1)
+    skew = np.stack([m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]], 1)
+    even = m + m.transpose(0, 2, 1)
+    rows = np.zeros((len(m), 4, 4))
+    rows[:, [0, 1, 2, 3], [0, 1, 2, 3]] = four
+    rows[:, 0, 1:] = rows[:, 1:, 0] = skew
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        rows[:, i + 1, j + 1] = rows[:, j + 1, i + 1] = even[:, i, j]
+    best = rows[np.arange(len(m)), four.argmax(1)]
+    best = best / np.linalg.norm(best, axis=1, keepdims=True)
+    return best * np.where(best[:, :1] < 0, -1.0, 1.0)
+
+
 def _solve(batches):
     """Rotation, scale and shift of many scenes at once from their 3x3 cross-covariances."""
     for b in batches:
@@ -36,7 +53,7 @@ def _solve(batches):
         shift = b[["mox", "moy", "moz"]].to_numpy() - scale[:, None] * np.einsum("nij,nj->ni", turn, b[["mcx", "mcy", "mcz"]].to_numpy())
         out = pd.DataFrame({"scene": b["scene"], "cameras": b["cameras"], "scale": scale})
         out[["tx", "ty", "tz"]] = shift
-        out[[f"m{i}{j}" for i in range(3) for j in range(3)]] = turn.reshape(-1, 9)
+        out[["gw", "gx", "gy", "gz"]] = _quaternion(turn)
         yield out
 
 
@@ -44,7 +61,8 @@ def similarity_fit(poses: DataFrame) -> DataFrame:
     """Least-squares similarity raw -> other per scene.
 
     Means and the cross-covariance are ordinary aggregates; only one small row per scene
-    reaches Python, for the 3x3 decomposition.
+    reaches Python, for the 3x3 decomposition. The fits are written once, since plans read
+    them several times.
     """
     aggs = [F.count(F.lit(1)).alias("cameras")]
     aggs += [F.avg(c).alias(f"m{c}") for c in RAW + OTHER]
@@ -52,12 +70,8 @@ def similarity_fit(poses: DataFrame) -> DataFrame:
     aggs += [(F.var_pop("cx") + F.var_pop("cy") + F.var_pop("cz")).alias("variance")]
     sums = poses.groupBy("scene").agg(*aggs).where(F.col("cameras") >= 3)
     kind = poses.schema["scene"].dataType.simpleString()
-    schema = (f"scene {kind}, cameras bigint, scale double, tx double, ty double, tz double, "
-              + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
-    from glintframe.functions.geometry import matrix_quat
-    fit = sums.mapInPandas(_solve, schema)
-    g = matrix_quat([[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)])
-    return fit.select("scene", "cameras", "scale", "tx", "ty", "tz", *[c.alias(f"g{n}") for c, n in zip(g, "wxyz")])
+    schema = f"scene {kind}, cameras bigint, scale double, tx double, ty double, tz double, gw double, gx double, gy double, gz double"
+    return materialize(sums.mapInPandas(_solve, schema))
 
 
 def alignment_residuals(poses: DataFrame, fit: DataFrame) -> DataFrame:
@@ -104,7 +118,7 @@ def nearest(queries: DataFrame, train: DataFrame, *, scene="scene", query="frame
     top = (1 << depth) - 1
     index = lambda c: F.least(F.floor((F.col(c) - F.col(f"_lo{c}")) / F.when(F.col("_size") > 0, F.col("_size")).otherwise(1.0)
                                       * (top + 1)), F.lit(top)).cast("long")
-    pts = pts.join(box, scene).select(scene, *xyz, "_f1", "_f2", *[index(c).alias(f"_i{c}") for c in xyz])
+    pts = materialize(pts.join(box, scene).select(scene, *xyz, "_f1", "_f2", *[index(c).alias(f"_i{c}") for c in xyz]))
     q = queries.select(scene, F.col(query).alias("_q"), *[col(c).cast("double").alias(f"_q{n}") for c, n in zip(at, xyz)])
     dist2 = lambda a: sum(((F.col(f"_q{c}") - a(c)) ** 2 for c in xyz), F.lit(0.0))
     cell = [f"_c{c}" for c in xyz]
@@ -182,7 +196,7 @@ def midpoint_poses(poses: DataFrame, fit: DataFrame) -> DataFrame:
     mid = quat_midpoint(quat("q"), quat("_h"))
     anchors = d.select("scene", "frame", *[(0.5 * (F.col(c) + F.col(f"_b{i}"))).alias(c) for i, c in enumerate(RAW)],
                        *[c.alias(f"q{n}") for c, n in zip(mid, "wxyz")])
-    first = scene_position(anchors, ["frame"])
+    first = materialize(scene_position(anchors, ["frame"]))
     after = first.select("scene", (F.col("position") - 1).alias("position"), F.col("frame").alias("source_frame_end"),
                          *[F.col(c).alias(f"n{c}") for c in RAW], *[F.col(f"q{n}").alias(f"r{n}") for n in "wxyz"])
     pair = first.join(after, ["scene", "position"]).join(fit.drop("cameras"), "scene")

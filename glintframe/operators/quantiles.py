@@ -49,9 +49,8 @@ def exact_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *,
     ``hot`` takes the result of ``hot_groups`` when several calls share one check.
     """
     keys = list(keys)
-    v = col(value).cast("double")
-    rows = df.select(*keys, v.alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    # one reference to the value: a filter on it would be pushed down and repeat its expression
+    rows = df.select(*keys, F.nanvl(col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     if isinstance(hot, str):
@@ -66,13 +65,13 @@ def exact_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *,
 
 def _by_buffer(rows, keys, probs, count_as):
     out = rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"),
-                                  F.count(F.lit(1)).alias("_n"))
+                                  F.count("_v").alias("_n"))
     named = [F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
     return out.select(*keys, *named, *([F.col("_n").alias(count_as)] if count_as else []))
 
 
 def _by_histogram(rows, keys, probs, count_as):
-    pairs = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", order_code("_v"))
+    pairs = rows.where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", order_code("_v"))
     cells = pairs.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
