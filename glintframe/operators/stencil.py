@@ -34,7 +34,11 @@ def _images(pos: Column, n: Column, pad: int, border: str) -> Column:
         inside = (pos > 0) & (pos < n - 1)
     else:
         # period of the mirrored line: 2n (edge repeated) or 2n-2 (edge not repeated)
-        period, mirror = (2 * n, -1 - pos) if border == "reflect" else (F.greatest(2 * n - 2, F.lit(1)), -pos)
+        if border == "reflect":
+            period, mirror = 2 * n, -1 - pos
+        else:
+            period, mirror = F.greatest(2 * n - 2, F.lit(1)), -pos
+            inside = (pos > pad) & (pos < n - 1 - pad)
         turns = F.sequence(F.lit(-1) - F.floor(F.lit(pad) / period).cast("int"), F.lit(1) + F.floor(F.lit(pad) / period).cast("int"))
         both = F.flatten(F.transform(turns, lambda k: F.array((pos + k * period).cast("int"), (mirror + k * period).cast("int"))))
         many = F.array_distinct(F.filter(both, lambda p: (p >= -pad) & (p <= n - 1 + pad)))
