@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import STRONG, WEAK, classify, col, percentage, smoothstep
-from glintframe.operators.quantiles import exact_quantiles
+from glintframe.operators.quantiles import exact_quantiles, hot_groups
 from glintframe.operators.stencil import FRAME
 from glintframe.operators.suppression import CONSENSUS
 from glintframe.session import materialize
@@ -26,16 +28,48 @@ def _with_run_start(pixels: DataFrame, mask: Column) -> DataFrame:
 
 
 def _touching(runs: DataFrame, reach: int) -> DataFrame:
-    """Pairs of runs in neighbouring rows that touch; both directions."""
+    """Pairs of runs in neighbouring rows that touch."""
     span = F.sequence(F.floor((F.col("x0") - reach) / _BLOCK), F.floor((F.col("x1") + reach) / _BLOCK))
     spread = runs.withColumn("_blk", F.explode(span))
     below = spread.select(*FRAME, (F.col("y") - 1).alias("y"), "_blk", F.col("rid").alias("b"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
     near = (F.col("u0") <= F.col("x1") + reach) & (F.col("u1") >= F.col("x0") - reach)
-    one = spread.join(below, [*FRAME, "y", "_blk"]).where(near).select(*FRAME, F.col("rid").alias("a"), "b").distinct()
-    return one.union(one.select(*FRAME, "b", "a"))
-
-
-def _roots(edges: DataFrame) -> DataFrame | None:
+    return spread.join(below, [*FRAME, "y", "_blk"]).where(near).select(*FRAME, F.col("rid").alias("a"), "b").distinct()
+
+
+def _smallest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest reachable id inside one frame, by repeated minima and pointer jumps."""
+    ids, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    root = np.arange(len(ids))
+    while True:
+        low = root[ends].min(axis=1)
+        nxt = root.copy()
+        np.minimum.at(nxt, root[ends].ravel(), np.repeat(low, 2))
+        nxt = nxt[nxt]
+        if np.array_equal(nxt, root):
+            break
+        root = nxt
+    return pd.DataFrame({"scene": pdf["scene"].iloc[0], "frame": pdf["frame"].iloc[0], "a": ids, "p": ids[root]})
+
+
+def _roots(runs: DataFrame, edges: DataFrame, limit: int) -> DataFrame | None:
+    """Smallest reachable id of every run that touches another.
+
+    Frames up to ``limit`` runs are solved where their contacts meet, all frames in parallel; the
+    contacts of a larger frame stay spread over the cluster and are contracted together.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    solve = lambda e: e.groupBy(*FRAME).applyInPandas(_smallest, f"scene {kinds['scene']}, frame {kinds['frame']}, a bigint, p bigint")
+    hot = hot_groups(runs, FRAME, limit)
+    if hot is None:
+        return solve(edges)
+    wide = _contract(edges.join(hot, FRAME, "left_semi").union(
+        edges.join(hot, FRAME, "left_semi").select(*FRAME, F.col("b").alias("a"), F.col("a").alias("b"))))
+    small = solve(edges.join(hot, FRAME, "left_anti"))
+    return small if wide is None else small.union(wide.select(*FRAME, "a", "p"))
+
+
+def _contract(edges: DataFrame) -> DataFrame | None:
     """Smallest reachable id of every id in ``edges``, by contraction.
 
     In a round every cluster points at its smallest neighbour, pointers are followed four steps,
@@ -66,16 +100,17 @@ def _roots(edges: DataFrame) -> DataFrame | None:
     return whole
 
 
-def label_regions(pixels: DataFrame, mask, connectivity: int = 8, name: str = "region_id") -> DataFrame:
+def label_regions(pixels: DataFrame, mask, connectivity: int = 8, name: str = "region_id",
+                  frame_runs: int = 2_000_000) -> DataFrame:
     """Adds the region of each pixel: 1 + raster index of the region's first pixel, 0 outside.
 
-    Pixels become row runs first; only runs and their contacts take part in the iteration.
+    Pixels become row runs first; only runs and their contacts take part in the search.
     """
     d = _with_run_start(pixels, col(mask).cast("boolean"))
     rid = F.col("y").cast("long") * _ROW + F.col("_x0")
     runs = materialize(d.where("_on").groupBy(*FRAME, "y", "_x0").agg(F.max("x").alias("x1"))
                        .select(*FRAME, "y", F.col("_x0").alias("x0"), "x1", rid.alias("rid")))
-    roots = _roots(_touching(runs, 1 if connectivity == 8 else 0))
+    roots = _roots(runs, _touching(runs, 1 if connectivity == 8 else 0), frame_runs)
     keyed = runs.select(*FRAME, "y", F.col("x0").alias("_x0"), "rid")
     if roots is None:
         labels = keyed.withColumn("_root", F.col("rid"))
