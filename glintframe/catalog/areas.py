@@ -14,9 +14,9 @@ def flood(out, src, mask, n=8, steps=44, plus=False):
     row = "min(lab) over (partition by scene,frame,y order by x rows between 1 preceding and 1 following)"
     column = lambda v: f"min({v}) over (partition by scene,frame,x order by y rows between 1 preceding and 1 following)"
     nb = f"least({row},{column('lab')})" if plus else "cm"
-    inner = f"select *, {nb} nb from l where i<{steps}" if plus else f"select *, {column('rm')} nb from (select *, {row} rm from l where i<{steps})"
-    return [("l", f"select 0 i, scene, frame, y, x, case when {mask} then y*{n}+x+1 end lab, {mask} msk from {src} union all select i+1, scene, frame, y, x, case when msk then nb end, msk from ({inner})"),
-            (out, f"select scene, frame, y, x, coalesce(lab,0) region from l where i={steps}")]
+    inner = f"select *, {nb} nb from {out}_l where i<{steps}" if plus else f"select *, {column('rm')} nb from (select *, {row} rm from {out}_l where i<{steps})"
+    return [(f"{out}_l", f"select 0 i, scene, frame, y, x, case when {mask} then y*{n}+x+1 end lab, {mask} msk from {src} union all select i+1, scene, frame, y, x, case when msk then nb end, msk from ({inner})"),
+            (out, f"select scene, frame, y, x, coalesce(lab,0) region from {out}_l where i={steps}")]
 
 
 @query("region_labels", "W12 J15", duck("grid", f"select {PIX}, region::bigint region_id from lab", *flood("lab", "grid", "raw>=0.075::double"), recursive=True))

@@ -74,6 +74,18 @@ def paired_rgb(spark, sf) -> DataFrame:
                      *[F.least(F.lit(1.0), F.col(c) * g).alias(f"f{c}") for c in "rgb"])
 
 
+def blend_inputs(spark, sf) -> DataFrame:
+    """Paired colour frames with stand-ins for the score, the evidence and the structure cue.
+
+    The evidence strength differs by frame, from none to strong.
+    """
+    k = (F.col("frame") % 7) / 4.0
+    return paired_rgb(spark, sf).withColumns({
+        "score": F.least(F.lit(1.0), F.col("r") * k * 1.2), "cross": F.least(F.lit(1.0), F.col("g") * k), "confidence": F.col("b"),
+        "cross_support": F.least(F.lit(1.0), F.col("g") * F.col("b") * k), "removed_support": F.least(F.lit(1.0), F.col("b") * k * 1.2),
+        "structure": 0.19 * (F.col("pos") % 6)})
+
+
 def pair_rows(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("scene"), F.col("l_suppkey").alias("frame"),
@@ -158,6 +170,8 @@ _VIEWS = {
             "join cells b on a.frame=b.frame and b.pos=(a.pos+21)%64 join cells e on a.frame=e.frame and e.pos=(a.pos+42)%64"),
     "paired_rgb": ("select *, r*k sr, g*k sg, b*k sb, least(1::double,r*m) fr, least(1::double,g*m) fg, least(1::double,b*m) fb from "
                    "(select *, 0.55::double+0.05::double*(pos%11) k, 0.90::double+0.02::double*(pos%7) m from rgb)"),
+    "blend_inputs": ("select * exclude (k,m,q), least(1::double,r*q*1.2::double) score, least(1::double,g*q) cross_, b confidence, least(1::double,g*b*q) cross_support, "
+                     "least(1::double,b*q*1.2::double) removed_support, 0.19::double*(pos%6) structure from (select *, (frame%7)/4::double q from paired_rgb)"),
     "pair_rows": "select l_returnflag||l_linestatus scene, l_suppkey frame, l_discount*3 raw, l_tax*3 outp from lineitem",
     "observations": ("select l_suppkey frame, l_partkey point_id, avg(l_extendedprice)/105000 lum from lineitem "
                      "group by l_suppkey, l_partkey"),
@@ -181,7 +195,7 @@ _VIEWS = {
     "expected": ("select d.doc_id frame, case when l.quality=0 then 'stale' else sha256(text) end expected from labels l "
                  "join documents d on l.doc_id=d.doc_id"),
 }
-_NEEDS = {"grid": ["cells"], "rgb": ["cells"], "paired_rgb": ["cells", "rgb"]}
+_NEEDS = {"grid": ["cells"], "rgb": ["cells"], "paired_rgb": ["cells", "rgb"], "blend_inputs": ["cells", "rgb", "paired_rgb"]}
 
 
 def duck(inputs: str, select: str, *steps: tuple[str, str], recursive: bool = False) -> str:

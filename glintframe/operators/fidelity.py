@@ -64,6 +64,8 @@ def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"},
         rmse = F.sqrt(F.avg(on(prot, (hp - F.col("hp")) ** 2)))
         turn = (F.col("gx") * F.col(f"{v}_gx") + F.col("gy") * F.col(f"{v}_gy")) / (F.col("gmag") * gm + 1e-6)
         aggs += [F.avg(on(prot, de)).alias(f"{name}_cie76_delta_e_mean"),
+                 # one frame, whose size the sensor bounds
+                 F.percentile(on(prot, de), 0.5).alias(f"{name}_cie76_delta_e_median"),
                  percentage(F.count_if(prot & (de > 2.0)), F.count_if(prot)).alias(f"{name}_cie76_delta_e_gt_2_percent"),
                  percentage(F.count_if(prot & (de > 5.0)), F.count_if(prot)).alias(f"{name}_cie76_delta_e_gt_5_percent"),
                  rmse.alias(f"{name}_highpass_rmse"), psnr_from_rmse(rmse).alias(f"{name}_highpass_psnr_db"),
@@ -77,9 +79,6 @@ def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"},
         rows = rows.where(F.when(enough, True).otherwise(F.raise_error(F.lit("too few protected pixels in a frame")).cast("boolean")))
     else:
         rows = rows.where(enough)
-    for v, name in variants.items():
-        medians = exact_quantiles(features.where(prot), FRAME, f"{v}_de", {f"{name}_cie76_delta_e_median": 0.5}, hot=None)
-        rows = rows.join(medians, FRAME)
     return rows
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import STRONG, WEAK, classify, col, percentage, smoothstep
-from glintframe.operators.quantiles import exact_quantiles, hot_groups
+from glintframe.operators.quantiles import hot_groups
 from glintframe.operators.stencil import FRAME
 from glintframe.operators.suppression import CONSENSUS
 from glintframe.session import materialize
@@ -160,14 +160,14 @@ def filled_members(labelled: DataFrame, region: str = "region_id") -> DataFrame:
     Regions and 4-connected background areas form a tree: the pixel left of a component's first
     pixel belongs to the component around it. Everything below a region fills its holes.
     """
-    base = materialize(labelled.select(*FRAME, "y", "x", "h", "w", region))
+    base = labelled.select(*FRAME, "y", "x", "h", "w", region)
     ground = label_regions(base, F.col(region) == 0, 4, "_bg")
     # one signed component per pixel: regions positive, background negative
     comp = materialize(ground.select(*FRAME, "y", "x", "w", F.when(F.col(region) > 0, F.col(region)).otherwise(-F.col("_bg")).alias("comp")))
     first = comp.select(*FRAME, "comp", "w").distinct().withColumn("_i", F.abs("comp") - 1)
     first = first.select(*FRAME, "comp", F.floor(F.col("_i") / F.col("w")).cast("int").alias("y"), (F.col("_i") % F.col("w") - 1).cast("int").alias("x"))
-    parent = materialize(first.join(comp.select(*FRAME, "y", "x", F.col("comp").alias("outer")), [*FRAME, "y", "x"])
-                         .select(*FRAME, "comp", "outer"))
+    parent = (first.join(comp.select(*FRAME, "y", "x", F.col("comp").alias("outer")), [*FRAME, "y", "x"])
+              .select(*FRAME, "comp", "outer"))
     # only background not touching the frame border can be a hole; a border area has no parent region
     size = labelled.select(*FRAME, "h", "w").distinct()
     edge = (comp.select(*FRAME, "comp", "y", "x").where("comp < 0").join(size, FRAME)
@@ -219,15 +219,14 @@ def region_geometry(labelled: DataFrame, region: str = "region_id", quantiles=No
     """Area, box, aspect, contour measures and named quantiles (``name -> (column, p)``) of each region."""
     own = labelled.where(F.col(region) > 0)
     rows = own.groupBy(*FRAME, region).agg(
-        F.count(F.lit(1)).alias("area_px"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+        F.count(F.lit(1)).alias("area_px"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+        # a region lies inside one frame, whose size the sensor bounds
+        *[F.percentile(value, p).alias(name) for name, (value, p) in (quantiles or {}).items()])
     tall, wide = F.col("y1") - F.col("y0") + 1, F.col("x1") - F.col("x0") + 1
     rows = rows.withColumn("aspect", F.greatest(tall, wide) / F.least(tall, wide))
     shape = contour_measures(filled_members(labelled, region) if members is None else members, region)
     rows = rows.join(shape, [*FRAME, region]).withColumns({
         "width": effective_width("contour_area", "perimeter", False), "width_occupied": effective_width("contour_area", "perimeter", True)})
-    for name, (value, p) in (quantiles or {}).items():
-        # a region lies inside one frame, whose size the sensor bounds
-        rows = rows.join(exact_quantiles(own, [*FRAME, region], value, {name: p}, hot=None), [*FRAME, region], "left")
     return rows
 
 
