@@ -12,7 +12,7 @@ from glintframe.functions.scalar import STRONG, WEAK, classify, col, percentage,
 from glintframe.operators.quantiles import hot_groups
 from glintframe.operators.stencil import FRAME
 from glintframe.operators.suppression import CONSENSUS
-from glintframe.session import materialize
+from glintframe.session import materialize, place
 
 _ROW = 1 << 32   # a run's id orders runs as a raster scan meets them
 _BLOCK = 128     # runs meet inside blocks of this many columns
@@ -59,7 +59,7 @@ def _roots(runs: DataFrame, edges: DataFrame, limit: int) -> DataFrame | None:
     contacts of a larger frame stay spread over the cluster and are contracted together.
     """
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    solve = lambda e: e.groupBy(*FRAME).applyInPandas(_smallest, f"scene {kinds['scene']}, frame {kinds['frame']}, a bigint, p bigint")
+    solve = lambda e: place(e, *FRAME).groupBy(*FRAME).applyInPandas(_smallest, f"scene {kinds['scene']}, frame {kinds['frame']}, a bigint, p bigint")
     hot = hot_groups(runs, FRAME, limit)
     if hot is None:
         return solve(edges)

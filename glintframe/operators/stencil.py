@@ -16,12 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import col
+from glintframe.session import place
 
 FRAME = ["scene", "frame"]
 
 
 def colocate(df: DataFrame, frame=None) -> DataFrame:
-    return df.repartition(*(frame or FRAME))
+    return place(df, *(frame or FRAME))
 
 
 def _images(pos: Column, n: Column, pad: int, border: str) -> Column:

@@ -38,6 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def place(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-place rows by key on the configured number of shuffle partitions.
+
+    For stages whose cost per byte is high (line windows, Python groups): adaptive
+    coalescing, which looks at bytes only, would leave them to a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
