@@ -108,21 +108,18 @@ def with_frame_quantile(df: DataFrame, wanted: dict[str, tuple[Column, float]],
     spilling sort, and the wanted ranks are picked in the same order, so no value map is
     held and the plan is not read twice. NULL values do not count.
     """
-    frame = list(frame)
     whole = Window.partitionBy(*frame)
-    for name, (value, p) in wanted.items():
-        order = whole.orderBy(F.col("_qv").asc_nulls_last())
-        n = F.count("_qv").over(whole)
-        df = (df.withColumn("_qv", finite(col(value).cast("double")))
-              .withColumn("_qr", F.row_number().over(order) - 1)
-              .withColumn("_qn", n))
-        low = F.floor((F.col("_qn") - 1) * p)
-        high = F.least(low + 1, F.col("_qn") - 1)
-        df = (df.withColumn("_ql", F.max(F.when(F.col("_qr") == low, F.col("_qv"))).over(whole))
-              .withColumn("_qh", F.max(F.when(F.col("_qr") == high, F.col("_qv"))).over(whole)))
-        share = (F.col("_qn") - 1) * p - low
-        df = df.withColumn(name, F.col("_ql") + share * (F.col("_qh") - F.col("_ql")))
-    return df.drop("_qv", "_qr", "_qn", "_ql", "_qh")
+    ids = list(enumerate(wanted.items()))
+    df = df.withColumns({f"_qv{i}": F.nanvl(col(v).cast("double"), F.lit(None).cast("double")) for i, (_, (v, _)) in ids})
+    df = df.withColumns({**{f"_qr{i}": F.row_number().over(whole.orderBy(F.col(f"_qv{i}").asc_nulls_last())) - 1 for i, _ in ids},
+                         **{f"_qn{i}": F.count(f"_qv{i}").over(whole) for i, _ in ids}})
+    low = lambda i, p: F.floor((F.col(f"_qn{i}") - 1) * p)
+    at = lambda i, rank: F.max(F.when(F.col(f"_qr{i}") == rank, F.col(f"_qv{i}"))).over(whole)
+    df = df.withColumns({**{f"_ql{i}": at(i, low(i, p)) for i, (_, (_, p)) in ids},
+                         **{f"_qh{i}": at(i, F.least(low(i, p) + 1, F.col(f"_qn{i}") - 1)) for i, (_, (_, p)) in ids}})
+    share = lambda i, p: (F.col(f"_qn{i}") - 1) * p - low(i, p)
+    return df.withColumns({name: F.col(f"_ql{i}") + share(i, p) * (F.col(f"_qh{i}") - F.col(f"_ql{i}")) for i, (name, (_, p)) in ids}).drop(
+        *[f"_q{k}{i}" for k in "vrnlh" for i, _ in ids])
 
 
 def robust_normalize(df: DataFrame, wanted: dict[str, tuple[Column, float]],
@@ -132,7 +129,5 @@ def robust_normalize(df: DataFrame, wanted: dict[str, tuple[Column, float]],
     Our own definition of the normalisation: the original formula is not published.
     """
     scaled = with_frame_quantile(df, {f"_s_{k}": v for k, v in wanted.items()}, frame)
-    for name, (value, _) in wanted.items():
-        scale = F.col(f"_s_{name}")
-        scaled = scaled.withColumn(name, F.when(scale > 1e-8, F.least(col(value) / scale, F.lit(1.0))).otherwise(0.0))
-    return scaled.drop(*[f"_s_{k}" for k in wanted])
+    unit = lambda name, value: F.when(F.col(f"_s_{name}") > 1e-8, F.least(col(value) / F.col(f"_s_{name}"), F.lit(1.0))).otherwise(0.0)
+    return scaled.withColumns({name: unit(name, value) for name, (value, _) in wanted.items()}).drop(*[f"_s_{k}" for k in wanted])

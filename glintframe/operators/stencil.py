@@ -46,27 +46,22 @@ def _images(pos: Column, n: Column, pad: int, border: str) -> Column:
     return F.when(inside, F.array(pos)).otherwise(many)
 
 
-def pad_axis(df: DataFrame, axis: str, pad: int, border: str) -> DataFrame:
-    """Adds ``_t``, the (possibly mirrored) position along the axis."""
-    size = "w" if axis == "x" else "h"
-    return df.withColumn("_t", F.explode(_images(F.col(axis).cast("int"), F.col(size).cast("int"), pad, border)))
-
-
 def line_window(axis: str, frame=None):
     return Window.partitionBy(*(frame or FRAME), "y" if axis == "x" else "x").orderBy("_t")
 
 
-def along(df: DataFrame, axis: str, pad: int, border: str, make, frame=None) -> DataFrame:
-    """One pass: ``make(window)`` returns the new columns of the pass, computed on the padded line."""
-    padded = pad_axis(df, axis, pad, border)
+def along(df: DataFrame, axis: str, pad: int, border: str, make, frame=None, drop=()) -> DataFrame:
+    """One pass: ``make(window)`` gives the columns computed on the padded line (new or replaced)."""
     size = "w" if axis == "x" else "h"
-    return (padded.select("*", *[c.alias(n) for n, c in make(line_window(axis, frame)).items()])
-            .where((F.col("_t") >= 0) & (F.col("_t") < F.col(size))).drop("_t"))
+    shown = F.explode(_images(F.col(axis).cast("int"), F.col(size).cast("int"), pad, border)).alias("_t")
+    new = make(line_window(axis, frame))
+    kept = [c for c in df.columns if c not in new and c not in drop]
+    inside = (F.col("_t") >= 0) & (F.col("_t") < F.col(size))
+    return (df.select("*", shown).select(*kept, "_t", *[c.alias(n) for n, c in new.items()]).where(inside).drop("_t"))
 
 
-def replace(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Rename computed columns over their sources."""
-    return df.drop(*[n for n in names.values() if n in df.columns]).withColumnsRenamed(names)
+def with_outputs(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    return df.withColumns({n: col(v).cast("double") for n, v in outputs.items()})
 
 
 def odd(k: int) -> int:
@@ -77,11 +72,10 @@ def odd(k: int) -> int:
 def box_mean(df: DataFrame, outputs: dict[str, Column | str], k: int, border: str = "reflect", frame=None) -> DataFrame:
     """Separable k x k mean of every named expression; all of them share the two passes."""
     p = odd(k) // 2
-    df = df.withColumns({f"_s_{n}": col(v).cast("double") for n, v in outputs.items()})
+    df = with_outputs(df, outputs)
     for axis in ("x", "y"):
-        df = along(df, axis, p, border, lambda w: {f"_n_{n}": F.avg(f"_s_{n}").over(w.rowsBetween(-p, p)) for n in outputs}, frame)
-        df = replace(df, {f"_n_{n}": f"_s_{n}" for n in outputs})
-    return replace(df, {f"_s_{n}": n for n in outputs})
+        df = along(df, axis, p, border, lambda w: {n: F.avg(n).over(w.rowsBetween(-p, p)) for n in outputs}, frame)
+    return df
 
 
 def taps(sigma: float, radius: int | None = None) -> list[float]:
@@ -94,7 +88,7 @@ def taps(sigma: float, radius: int | None = None) -> list[float]:
 def gaussian_blur(df: DataFrame, outputs: dict[str, Column | str], sigma: float, border: str = "replicate", frame=None) -> DataFrame:
     bell = taps(sigma)
     r = len(bell) // 2
-    df = df.withColumns({f"_s_{n}": col(v).cast("double") for n, v in outputs.items()})
+    df = with_outputs(df, outputs)
 
     def weigh(name, w):
         at = lambda d: F.lead(name, d).over(w) if d >= 0 else F.lag(name, -d).over(w)
@@ -102,9 +96,8 @@ def gaussian_blur(df: DataFrame, outputs: dict[str, Column | str], sigma: float,
         return sum((at(d) * t for d, t in zip(range(-r, r + 1), bell)), F.lit(0.0))
 
     for axis in ("x", "y"):
-        df = along(df, axis, r, border, lambda w: {f"_n_{n}": weigh(f"_s_{n}", w) for n in outputs}, frame)
-        df = replace(df, {f"_n_{n}": f"_s_{n}" for n in outputs})
-    return replace(df, {f"_s_{n}": n for n in outputs})
+        df = along(df, axis, r, border, lambda w: {n: weigh(n, w) for n in outputs}, frame)
+    return df
 
 
 def highpass(df: DataFrame, outputs: dict[str, str], sigma: float = 2.0, border: str = "reflect101") -> DataFrame:
@@ -115,11 +108,12 @@ def highpass(df: DataFrame, outputs: dict[str, str], sigma: float = 2.0, border:
 
 def gradient(df: DataFrame, value: str, gx: str = "gx", gy: str = "gy", frame=None) -> DataFrame:
     """Central differences, one-sided at the border (zero on lines of one pixel)."""
+    new = {}
     for axis, name in (("x", gx), ("y", gy)):
         w = Window.partitionBy(*(frame or FRAME), "y" if axis == "x" else "x").orderBy(axis)
         before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        df = df.withColumn(name, F.coalesce((after - before) / 2.0, after - here, here - before, F.lit(0.0)))
-    return df
+        new[name] = F.coalesce((after - before) / 2.0, after - here, here - before, F.lit(0.0))
+    return df.withColumns(new)
 
 
 def sobel(df: DataFrame, value: str, gx: str = "gx", gy: str = "gy", magnitude: str | None = "gmag",
@@ -127,8 +121,8 @@ def sobel(df: DataFrame, value: str, gx: str = "gx", gy: str = "gy", magnitude:
     """3 x 3 Sobel derivatives and their magnitude."""
     lag, lead = (lambda c, w: F.lag(c, 1).over(w)), (lambda c, w: F.lead(c, 1).over(w))
     df = along(df, "x", 1, border, lambda w: {"_d": lead(value, w) - lag(value, w), "_m": lag(value, w) + 2 * F.col(value) + lead(value, w)}, frame)
-    df = along(df, "y", 1, border, lambda w: {"_gx": lag("_d", w) + 2 * F.col("_d") + lead("_d", w), "_gy": lead("_m", w) - lag("_m", w)}, frame)
-    df = replace(df.drop("_d", "_m"), {"_gx": gx, "_gy": gy})
+    df = along(df, "y", 1, border, lambda w: {gx: lag("_d", w) + 2 * F.col("_d") + lead("_d", w), gy: lead("_m", w) - lag("_m", w)},
+               frame, drop=("_d", "_m"))
     return df if magnitude is None else df.withColumn(magnitude, F.sqrt(F.col(gx) ** 2 + F.col(gy) ** 2))
 
 
@@ -152,9 +146,9 @@ def guided_filter(df: DataFrame, guide: str, value: str, radius: int, eps: float
     a = (F.col("_cx") - F.col("_mg") * F.col("_mv"))
     if guide == value:
         a = F.greatest(a, F.lit(0.0))
-    df = df.withColumn("_a", a / (var + max(float(eps), 1e-6))).withColumn("_b", F.col("_mv") - F.col("_a") * F.col("_mg"))
-    df = box_mean(df, {"_ma": "_a", "_mb": "_b"}, k, border)
-    return df.withColumn(name, F.col("_ma") * g + F.col("_mb")).drop("_mg", "_mv", "_cg", "_cx", "_a", "_b", "_ma", "_mb")
+    a = a / (var + max(float(eps), 1e-6))
+    df = box_mean(df, {"_ma": a, "_mb": F.col("_mv") - a * F.col("_mg")}, k, border)
+    return df.withColumn(name, F.col("_ma") * g + F.col("_mb")).drop("_mg", "_mv", "_cg", "_cx", "_ma", "_mb")
 
 
 def coherence(df: DataFrame, gx: str, gy: str, k: int = 15, name: str = "coherence") -> DataFrame:
@@ -168,12 +162,10 @@ def coherence(df: DataFrame, gx: str, gy: str, k: int = 15, name: str = "coheren
 # --- morphology: 3 x 3 plus-shaped element ------------------------------
 
 def _plus(df: DataFrame, value: str, out: str, pick, frame) -> DataFrame:
-    agg = F.max if pick == "max" else F.min
-    least = F.greatest if pick == "max" else F.least
-    for axis, name in (("x", "_h"), ("y", "_v")):
-        w = Window.partitionBy(*(frame or FRAME), "y" if axis == "x" else "x").orderBy(axis).rangeBetween(-1, 1)
-        df = df.withColumn(name, agg(value).over(w))
-    return df.withColumn(out, least("_h", "_v")).drop("_h", "_v")
+    agg, both = (F.max, F.greatest) if pick == "max" else (F.min, F.least)
+    near = [agg(value).over(Window.partitionBy(*(frame or FRAME), line).orderBy(axis).rangeBetween(-1, 1))
+            for axis, line in (("x", "y"), ("y", "x"))]
+    return df.withColumn(out, both(*near))
 
 
 def dilate(df: DataFrame, value: str, out: str | None = None, frame=None) -> DataFrame:
