@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scores", "trajectories", "cameras", "neighbourhoods", "areas", "quality", "blends")
+MODULES = ("scores", "trajectories", "cameras", "neighbourhoods", "areas", "quality", "blends", "audits")
 
 
 def load():
