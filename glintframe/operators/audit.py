@@ -91,30 +91,23 @@ def compare_documents(pairs: DataFrame, key: str, actual: str = "actual", refere
         level = materialize(level.select(key, "location", "a", "r", kind("a").alias("ka"), kind("r").alias("kr")))
         if not level.take(1):
             break
-        mapping, sequence = F.col("kr").startswith("OBJECT"), F.col("kr").startswith("ARRAY")
-        same_kind = F.substring("ka", 1, 5) == F.substring("kr", 1, 5)
         as_map = lambda v: F.expr(f"try_variant_get({v}, '$', 'map<string, variant>')")
         as_list = lambda v: F.expr(f"try_variant_get({v}, '$', 'array<variant>')")
-        maps = level.where(mapping & same_kind).withColumns({"ma": as_map("a"), "mr": as_map("r")})
-        lists = level.where(sequence & same_kind).withColumns({"la": as_list("a"), "lr": as_list("r")})
-        names = lambda m: F.array_sort(F.map_keys(m))
-        fits_map, fits_list = names("ma") == names("mr"), F.size("la") == F.size("lr")
-        num_a, num_r = F.expr("try_variant_get(a, '$', 'double')"), F.expr("try_variant_get(r, '$', 'double')")
-        near = F.abs(num_a - num_r) <= F.greatest(relative * F.greatest(F.abs(num_a), F.abs(num_r)), F.lit(absolute))
-        numeric = F.col("kr").rlike(_NUMBER)
-        text = F.when(numeric & num_a.isNull(), "non-numeric value").when(numeric & ~(near & ~F.isnan(num_a) & ~F.isnan(num_r)), "values differ").when(
-            ~numeric & ((F.col("ka") != F.col("kr")) | (F.to_json("a") != F.to_json("r"))), "values differ")
-        leaf = level.where(~mapping & ~sequence).select(key, "location", text.alias("difference"))
-        found = [leaf, level.where(mapping & ~same_kind).select(key, "location", F.lit("expected a mapping").alias("difference")),
-                 level.where(sequence & ~same_kind).select(key, "location", F.lit("sequence shape mismatch").alias("difference")),
-                 maps.where(~fits_map).select(key, "location", F.lit("key mismatch").alias("difference")),
-                 lists.where(~fits_list).select(key, "location", F.lit("sequence shape mismatch").alias("difference"))]
-        for d in found:
-            d = d.where("difference is not null")
-            out = d if out is None else out.union(d)
-        below_map = maps.where(fits_map).select(key, "location", "ma", F.explode("mr").alias("k", "r")).select(
-            key, F.concat("location", F.lit("."), "k").alias("location"), F.col("ma")[F.col("k")].alias("a"), "r")
-        below_list = lists.where(fits_list).select(key, "location", "la", F.posexplode("lr").alias("i", "r")).select(
-            key, F.concat("location", F.lit("["), "i", F.lit("]")).alias("location"), F.col("la")[F.col("i")].alias("a"), "r")
-        level = below_map.union(below_list)
+        d = level.select("*", as_map("a").alias("ma"), as_map("r").alias("mr"), as_list("a").alias("la"), as_list("r").alias("lr"),
+                         F.expr("try_variant_get(a, '$', 'double')").alias("na"), F.expr("try_variant_get(r, '$', 'double')").alias("nr"))
+        mapping, sequence, numeric = F.col("kr").startswith("OBJECT"), F.col("kr").startswith("ARRAY"), F.col("kr").rlike(_NUMBER)
+        keys = lambda m: F.array_sort(F.map_keys(m))
+        fits = F.when(mapping, keys("ma") == keys("mr")).when(sequence, F.size("la") == F.size("lr"))
+        near = F.abs(F.col("na") - F.col("nr")) <= F.greatest(relative * F.greatest(F.abs("na"), F.abs("nr")), F.lit(absolute))
+        text = (F.when(mapping & F.col("ma").isNull(), "expected a mapping").when(mapping & ~fits, "key mismatch")
+                .when(sequence & (F.col("la").isNull() | ~fits), "sequence shape mismatch")
+                .when(numeric & F.col("na").isNull(), "non-numeric value")
+                .when(numeric & (F.isnan("na") | F.isnan("nr") | ~near), "values differ")
+                .when(~mapping & ~sequence & ~numeric & ((F.col("ka") != F.col("kr")) | (F.to_json("a") != F.to_json("r"))), "values differ"))
+        here = d.select(key, "location", text.alias("difference")).where("difference is not null")
+        out = here if out is None else out.union(here)
+        step = F.coalesce(
+            F.when(mapping & fits, F.transform(F.map_entries("mr"), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("s"), F.col("ma")[e["key"]].alias("a"), e["value"].alias("r")))),
+            F.when(sequence & fits, F.transform(F.arrays_zip("la", "lr"), lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("s"), e["la"].alias("a"), e["lr"].alias("r")))))
+        level = d.select(key, "location", F.explode(step).alias("e")).select(key, F.concat("location", "e.s").alias("location"), F.col("e.a").alias("a"), F.col("e.r").alias("r"))
     return out if out is not None else pairs.select(key, F.lit("$").alias("location"), F.lit("").alias("difference")).limit(0)
