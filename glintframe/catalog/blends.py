@@ -153,3 +153,60 @@ def evidence_matte_weights(spark, sf):
 @query("evidence_matte_blend", "W18 P14 F1 F2", duck("blend_inputs", f"select {PIX}, {r6(chr(34) + 'or' + chr(34))} \"or\", {r6('og')} og, {r6('ob')} ob from res", *_SEEDS, *_DIFF, *_GAIN, *_FINAL, *compose_sql("w6"), recursive=True))
 def evidence_matte_blend(spark, sf):
     return rounded(B.blend(blend_inputs(spark, sf), "evidence_matte", short_side=SIDE, factor=FACTOR).select(*KEY, *_OUT))
+
+
+# --- size-aware feathering -----------------------------------------------
+
+_SIZE = [
+    ("v0", "select scene,frame,y,x,pos,h,w,r,g,b,sr,sg,sb,score,cross_,confidence,0.299::double*r+0.587::double*g+0.114::double*b lum from blend_inputs"),
+    *D.down("v1", "v0", 2, ["score", "cross_", "confidence"]),
+    ("v2", f"select *, cross_*(0.25::double+0.75::double*confidence) view_, {zfs('score', 0.3)} alpha, (score>=0.3::double)::int core from v1"),
+    *D.plus("v3", "v2", "core", "c1", "max"), *D.plus("v4", "v3", "c1", "c2", "min"), *D.plus("v5", "v4", "c2", "joined", "max"),
+    *flood("vl", "v5", "joined=1", 4, 20), *geometry_steps("vl", "vg"),
+    ("v6", "select scene, frame, region, count(*) n, greatest(max(y)-min(y)+1,max(x)-min(x)+1)/least(max(y)-min(y)+1,max(x)-min(x)+1) asp, quantile_cont(alpha,0.7) a70, quantile_cont(view_,0.85) v85 from vl join v5 using (scene, frame, y, x) where region>0 group by 1,2,3 having count(*)>=2"),
+    ("v7", f"select *, {smooth(6, 12, 'wi')} sc, {smooth(0.08, 0.35, 'v85')} ov from (select v6.*, case when pe>1e-6::double then 4*ca/pe else 1 end wi from v6 join vg using (scene, frame, region))"),
+    ("v8", "select *, 0.35::double+0.8::double*sc+(1.15::double-(0.35::double+0.8::double*sc))*ov gain from v7"),
+    ("v9", "select f.scene, f.frame, f.y, f.x, max_by({'s':sc,'g':gain,'a':a70},(case when l.region=f.region then 1 else 0 end, f.region)) r, max(ov) o from fil f join vl l on l.scene=f.scene and l.frame=f.frame and l.y=f.y and l.x=f.x "
+           "join v8 on v8.scene=f.scene and v8.frame=f.frame and v8.region=f.region where f.f=1 and (l.region=f.region or (sc<0.5::double and asp<=3)) group by all"),
+    ("vr", f"select v5.*, case when r is not null then {clip('r.g*((1-r.s)*r.a+r.s*alpha)')} else alpha end reg, coalesce(r.s,0) size_scale, coalesce(r.g,0) size_gain, greatest({smooth(0.08, 0.35, 'view_')},coalesce(o,0)) view_override from v5 left join v9 using (scene, frame, y, x)"),
+]
+
+
+@query("size_regularized", "W14 W15", duck("blend_inputs", f"select {PIX}, {r6('reg')} regularized, {r6('size_scale')} size_scale, {r6('size_gain')} size_gain, {r6('view_override')} view_override from vr", *_SIZE, recursive=True))
+def size_regularized(spark, sf):
+    from glintframe.functions.scalar import view_evidence
+    from glintframe.operators import feather as W
+    from glintframe.operators.stencil import downsample_area
+    coarse = downsample_area(blend_inputs(spark, sf), FACTOR, ["score", "cross", "confidence"]).withColumn("view", view_evidence("cross", "confidence"))
+    return rounded(W.size_regularize(coarse, W.SIZE_DEFAULTS).select(*KEY, "regularized", "size_scale", "size_gain", "view_override"))
+
+
+_SIZE_END = [
+    *D.plus("vd", "vr", "reg", "grown", "max"), *D.blur("ve", "vd", {"rg_": "grown"}, 1.25, n=4), ("vf", "select *, view_override so_ from ve"),
+    *D.up("vh", "v0", "vf", 2, ["rg_", "so_"]), *D.blur("vi", "vh", {"gu": "lum", "so2": "so_"}, 0.75), *D.guided("vj", "vi", "gu", "rg_", 3, 0.006, "gw"),
+    ("vk", f"select *, {clip('gw')} base_weight, {clip('so2')} ov from vj"),
+    ("vm", f"select *, base_weight*{clip('0.12::double+0.88::double*ov')} detail_weight, base_weight*{clip('0.55::double+0.45::double*ov')} chroma_weight from vk"),
+]
+
+
+@query("size_feather_weights", "W15", duck("blend_inputs", f"select {PIX}, {r6('base_weight')} base_weight, {r6('detail_weight')} detail_weight, {r6('chroma_weight')} chroma_weight from vm", *_SIZE, *_SIZE_END, recursive=True))
+def size_feather_weights(spark, sf):
+    from glintframe.operators.feather import feather_weights
+    return rounded(feather_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE).select(*KEY, "base_weight", "detail_weight", "chroma_weight"))
+
+
+@query("size_feather_blend", "W15 P14 F1", duck("blend_inputs", f"select {PIX}, {r6(chr(34) + 'or' + chr(34))} \"or\", {r6('og')} og, {r6('ob')} ob from res", *_SIZE, *_SIZE_END, *compose_sql("vm"), recursive=True))
+def size_feather_blend(spark, sf):
+    return rounded(B.blend(blend_inputs(spark, sf), "adaptive_feather", short_side=SIDE, factor=FACTOR).select(*KEY, *_OUT))
+
+
+@query("weak_feather_weights", "W16 P12")
+def weak_feather_weights(spark, sf):
+    from glintframe.operators.feather import hysteresis_weights
+    return rounded(hysteresis_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE).select(*KEY, "base_weight", "detail_weight", "chroma_weight"))
+
+
+@query("outer_feather_weights", "W17 W16")
+def outer_feather_weights(spark, sf):
+    from glintframe.operators.feather import hysteresis_weights
+    return rounded(hysteresis_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE, outer=True).select(*KEY, "base_weight", "detail_weight", "chroma_weight", "outer_support"))
