@@ -200,12 +200,43 @@ def size_feather_blend(spark, sf):
     return rounded(B.blend(blend_inputs(spark, sf), "adaptive_feather", short_side=SIDE, factor=FACTOR).select(*KEY, *_OUT))
 
 
-@query("weak_feather_weights", "W16 P12")
+_WEAK = [
+    ("e0", "select f0.*, (abs(r-sr)+abs(g-sg)+abs(b-sb))/3 change, 0.299::double*sr+0.587::double*sg+0.114::double*sb lum2 from f0"),
+    *D.down("e1", "e0", 2, ["score", "view_", "evidence", "structure", "lum", "change"]),
+    ("e2", f"select *, {zfs('score', 0.3)} alpha, {BOOST('score', 0.1)} boosted, (score>=0.075::double and evidence>=0.18::double) or score>=0.3::double seed, ((score>=0.075::double and evidence>=0.18::double) or score>=0.1::double)::int cand from e1"),
+    *D.plus("e3", "e2", "cand", "c1", "max"), *D.plus("e4", "e3", "c1", "joined", "min"), *flood("el", "e4", "joined=1", 4, 20),
+    ("e5", "select e4.*, case when region>0 and bool_or(seed) over (partition by scene, frame, region) then region else 0 end region from e4 join el using (scene, frame, y, x)"),
+    ("el2", "select scene, frame, y, x, region from e5"), *geometry_steps("el2", "eg"),
+    ("e6", "select scene, frame, region, quantile_cont(evidence,0.85) e85, quantile_cont(view_,0.85) v85, quantile_cont(boosted,0.7) a70, quantile_cont(change,0.85) c85 from e5 where region>0 group by 1,2,3"),
+    ("e7", f"select *, {smooth(6, 12, 'wi')} sc, {smooth(0.08, 0.35, 'e85')} eo, {smooth(0.08, 0.35, 'v85')} per, {smooth(0.03, 0.15, 'c85')} risk from (select e6.*, case when pe>1e-6::double then 4*ca/pe else 1 end wi from e6 join eg using (scene, frame, region))"),
+    ("e8", "select *, 0.35::double+0.8::double*sc+(1.15::double-(0.35::double+0.8::double*sc))*eo gain, (0.5::double+2*sc)*(1+risk) sigma from e7"),
+    ("eb", "select e8.*, v, exp(-v*v/(2*sigma*sigma)) k from (select *, (((round_even(sigma*8+1,0)::int)|1)//2)::int rad from e8) e8 join (select range::int v from range(-22,23)) on abs(v)<=rad"),
+    ("ew", "select scene, frame, region, d, greatest(0,least(3,d+v)) s, sum(k)/any_value(nk) wt from (select *, sum(k) over (partition by scene, frame, region) nk from eb) join (select range::int d from range(4)) on true group by all"),
+    ("ep", f"select e5.scene, e5.frame, e5.region, wy.d y, wx.d x, sum(wy.wt*wx.wt) mem, sum(wy.wt*wx.wt*{clip('gain*((1-sc)*a70+sc*boosted)')}) num from e5 join e8 using (scene, frame, region) "
+           "join ew wy on wy.scene=e5.scene and wy.frame=e5.frame and wy.region=e5.region and wy.s=e5.y join ew wx on wx.scene=e5.scene and wx.frame=e5.frame and wx.region=e5.region and wx.s=e5.x group by all"),
+    ("eq", f"select ep.*, per, power({clip('mem')},1+risk*sc) fm, num*power({clip('mem')},risk*sc) inw from ep join e8 using (scene, frame, region)"),
+    ("er", f"select e5.*, coalesce(t.own,0) own, coalesce(t.al,0) al, greatest({smooth(0.08, 0.35, 'view_')},coalesce(t.pv,0)) source_override from e5 left join (select a.scene, a.frame, a.y, a.x, sum(inw) filter (where q.region>=a.region) own, sum(inw) al, max(fm*per) pv "
+           "from e5 a join eq q on q.scene=a.scene and q.frame=a.frame and q.y=a.y and q.x=a.x group by all) t using (scene, frame, y, x)"),
+    ("es", f"select *, {clip('case when region>0 then own else alpha+al end')} rg_, source_override so_, {clip('structure*(1-evidence)')} ep_ from er"),
+    *D.up("et", "e0", "es", 2, ["rg_", "so_", "ep_"]), *D.blur("eu", "(select *, lum2-lum delta from et)", {"gu": "lum", "so2": "so_", "ep2": "ep_", "dl": "delta"}, 0.75),
+    *D.guided("ev", "eu", "gu", "rg_", 3, 0.006, "gw"), *D.sobel("ex", "ev", "dl", "dgx", "dgy", "dgm"), *D.blur("ey", "ex", {"tg": smooth(0.005, 0.03, 'dgm/8')}, 1.5),
+    ("ez", f"select *, {clip('0.2::double+0.8::double*ep2')} mx, {clip('so2')} ov from ey"),
+    ("wk", f"select *, {clip(f'mx*{clip(chr(103) + chr(119))}+(1-mx)*rg_')}*(1-0.35::double*{clip('tg')}) base_weight from ez"),
+    ("wf", f"select *, base_weight*{clip('0.12::double+0.88::double*ov')} detail_weight, base_weight*{clip('0.55::double+0.45::double*ov')} chroma_weight from wk"),
+]
+
+
+@query("weak_feather_weights", "W16 P12", duck("blend_inputs", f"select {PIX}, {r6('base_weight')} base_weight, {r6('detail_weight')} detail_weight, {r6('chroma_weight')} chroma_weight from wf", _FULL, *_WEAK, recursive=True))
 def weak_feather_weights(spark, sf):
     from glintframe.operators.feather import hysteresis_weights
     return rounded(hysteresis_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE).select(*KEY, "base_weight", "detail_weight", "chroma_weight"))
 
 
+@query("weak_feather_blend", "W16 P14 F1", duck("blend_inputs", f"select {PIX}, {r6(chr(34) + 'or' + chr(34))} \"or\", {r6('og')} og, {r6('ob')} ob from res", _FULL, *_WEAK, *compose_sql("wf"), recursive=True))
+def weak_feather_blend(spark, sf):
+    return rounded(B.blend(blend_inputs(spark, sf), "weak_hysteresis_feather", short_side=SIDE, factor=FACTOR).select(*KEY, *_OUT))
+
+
 @query("outer_feather_weights", "W17 W16")
 def outer_feather_weights(spark, sf):
     from glintframe.operators.feather import hysteresis_weights
