@@ -237,7 +237,27 @@ def weak_feather_blend(spark, sf):
     return rounded(B.blend(blend_inputs(spark, sf), "weak_hysteresis_feather", short_side=SIDE, factor=FACTOR).select(*KEY, *_OUT))
 
 
+_cham = lambda dy, dx: f"(case when 2*least(abs({dy}),abs({dx}))<=greatest(abs({dy}),abs({dx})) then 2.1969::double*least(abs({dy}),abs({dx}))+greatest(abs({dy}),abs({dx}))-2*least(abs({dy}),abs({dx})) else 2.1969::double*(greatest(abs({dy}),abs({dx}))-least(abs({dy}),abs({dx})))+1.4::double*(2*least(abs({dy}),abs({dx}))-greatest(abs({dy}),abs({dx}))) end)"
+_SHELL = [*_WEAK[:_WEAK.index(next(s for s in _WEAK if s[0] == "eb"))],
+    ("s1", "select scene, frame, region, (1.5::double+1.5::double*sc)*(1+risk) rad from e8"),
+    ("s2", f"select s1.*, t.y, t.x, t.region=s1.region own, min({_cham('o.y-t.y', 'o.x-t.x')}) dist, any_value((t.score>=0.05::double or t.evidence>=0.1::double) and (t.structure<=0.65::double or t.evidence>=0.18::double)) ok "
+           "from s1 join e5 t using (scene, frame) join e5 o on o.scene=s1.scene and o.frame=s1.frame and o.region=s1.region group by all"),
+    ("s3", "select 0 i, scene, frame, region, y, x, rad, own, dist, ok, own grown from s2 union all select i+1, scene, frame, region, y, x, rad, own, dist, ok, grown or (i<greatest(ceil(rad),1) and ok and dist<=rad+1e-6::double and near) from "
+           "(select *, coalesce(lag(grown) over (partition by scene,frame,region,y order by x),false) or coalesce(lead(grown) over (partition by scene,frame,region,y order by x),false) or coalesce(lag(grown) over (partition by scene,frame,region,x order by y),false) or coalesce(lead(grown) over (partition by scene,frame,region,x order by y),false) near from s3 where i<8)"),
+]
+
+
+@query("outer_shells", "W17", duck("blend_inputs", f"select {PIX}, region::bigint region_id, {r6('dist')} distance from s3 where i=8 and grown and not own", _FULL, *_SHELL, recursive=True))
+def outer_shells(spark, sf):
+    from glintframe.operators import feather as W
+    p = W._resolve({**W.WEAK_DEFAULTS, **W.OUTER_DEFAULTS}, {"small_outer_radius": 1.5})
+    d = blend_inputs(spark, sf)
+    change = sum((F.abs(F.col(c) - F.col(f"s{c}")) for c in "gb"), F.abs(F.col("r") - F.col("sr"))) / 3.0
+    _, coarse = M.coarse_evidence(d.withColumn("change", change), FACTOR, ("change",))
+    return rounded(W.outer_shell(*W.weak_regions(coarse, p), p).select(*KEY, "region_id", "distance"))
+
+
 @query("outer_feather_weights", "W17 W16")
 def outer_feather_weights(spark, sf):
     from glintframe.operators.feather import hysteresis_weights
-    return rounded(hysteresis_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE, outer=True).select(*KEY, "base_weight", "detail_weight", "chroma_weight", "outer_support"))
+    return rounded(hysteresis_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE, outer=True, small_outer_radius=1.5).select(*KEY, "base_weight", "detail_weight", "chroma_weight", "outer_support"))

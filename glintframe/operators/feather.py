@@ -215,7 +215,8 @@ def hysteresis_weights(df: DataFrame, *, factor: int = 4, short_side: int, outer
     """Base, detail and chroma weights of the weak-region variant for frames of one size.
 
     With ``outer``, the transition moves into a supported shell around each region. Shells read
-    the finished inward profile of all regions at once.
+    the finished inward profile of all regions at once, so where the shells of two regions meet
+    the result does not depend on a processing order.
     """
     p = _resolve({**WEAK_DEFAULTS, **OUTER_DEFAULTS} if outer else WEAK_DEFAULTS, changed)
     change = (F.abs(F.col("r") - F.col("sr")) + F.abs(F.col("g") - F.col("sg")) + F.abs(F.col("b") - F.col("sb"))) / 3.0
@@ -271,6 +272,12 @@ def shift_outwards(merged: DataFrame, d: DataFrame, g: DataFrame, profiles: Data
         band = band.withColumn("shifted", F.when(F.col("_steps") > 0, F.col("_lift") * part * F.col("soft")).otherwise(0.0))
     else:
         band = band.withColumn("shifted", F.lit(0.0))
+    inner = inner_band(d, g, p).join(lifted.drop("h", "w", "regularized"), [*FRAME, "y", "x"], "left") if levels else None
+    if inner is not None:
+        depth = smoothstep_by(-F.col("outer_radius"), F.greatest(F.col("_steps").cast("double"), F.lit(p["inner_feather_radius"])), F.col("depth"))
+        zero = F.lit(0.0)
+        inner = inner.select(*FRAME, "y", "x", (F.coalesce(*levels, zero) * depth).alias("shifted"))
+        band = band.select(*FRAME, "y", "x", "shifted", "outer", "perceptual", "risk").unionByName(inner, allowMissingColumns=True)
     best = band.groupBy(*FRAME, "y", "x").agg(F.max("shifted").alias("_shift"), F.max(F.col("outer") * F.col("perceptual")).alias("_per"),
                                              F.max(F.col("outer") * F.col("risk")).alias("_risk"), F.max("outer").alias("_out"))
     at = lambda c: F.coalesce(c, F.lit(0.0))
@@ -280,6 +287,24 @@ def shift_outwards(merged: DataFrame, d: DataFrame, g: DataFrame, profiles: Data
         "feather_support": F.greatest("feather_support", at("_out"))}).drop("_shift", "_per", "_risk", "_out")
 
 
+def inner_band(d: DataFrame, g: DataFrame, p: dict) -> DataFrame:
+    """Region pixels close to their region's border, with the distance to the nearest outside pixel."""
+    keys = [*FRAME, "region_id"]
+    reach = int(p["max_profile_shift"]) + 2
+    near = [F.coalesce(f("region_id").over(Window.partitionBy(*FRAME, a).orderBy(b)), F.col("region_id")) != F.col("region_id")
+            for a, b in (("y", "x"), ("x", "y")) for f in (F.lag, F.lead)]
+    edge = d.select(*FRAME, "y", "x", F.col("region_id").alias("_home"), F.greatest(*near).alias("_edge")).where("_edge")
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    fed = (edge.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
+           .select(*FRAME, "_home", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"), _chamfer(F.col("_dy"), F.col("_dx")).alias("depth"))
+           .where(F.col("depth") <= reach).groupBy(*FRAME, "y", "x", "_home").agg(F.min("depth").alias("depth")))
+    own = d.where("region_id > 0").select(*keys, "y", "x")
+    met = fed.join(own, [*FRAME, "y", "x"]).where("_home <> region_id").groupBy(*keys, "y", "x").agg(F.min("depth").alias("depth"))
+    steps_of = F.rint(p["max_profile_shift"] * F.col("scale")).cast("int")
+    return (met.join(g.select(*keys, "scale", "outer_radius"), keys).withColumn("_steps", steps_of)
+            .where((F.col("_steps") > 0) & (F.col("depth") <= F.col("_steps") + 1.0)))
+
+
 def smoothstep_by(low: Column, high: Column, value: Column) -> Column:
     t = clip((value - low) / (high - low))
     return t * t * (3.0 - 2.0 * t)
