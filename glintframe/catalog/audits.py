@@ -1,16 +1,19 @@
 """Hash audits, document comparison, report tables and incremental runs."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from glintframe.catalog.areas import flood
-from glintframe.catalog.base import duck, expected, files, grid, pair_rows, query, r6, rounded, table, views
-from glintframe.catalog.quality import _FEAT, _FROWS, _features
+from glintframe.catalog.base import duck, expected, files, grid, pair_rows, paired_rgb, poses, query, r6, rounded, table, views
+from glintframe.catalog.cameras import _NEAR, _QV, _SPACING, _SUP, _known_fit, _shifted
+from glintframe.catalog.quality import _FEAT, _FROWS, _HELD, _HM, _features
 from glintframe.catalog.scores import STATE, _TIER, _TRANS
 from glintframe.catalog.trajectories import _SUMS
 from glintframe.functions import scalar as S
-from glintframe.operators import audit as A, fidelity as Q, regions as R, suppression as SU, views as V
+from glintframe.operators import audit as A, fidelity as Q, poses as C, regions as R, suppression as SU, views as V
 from glintframe.plans import reports as RP
-from glintframe.session import shared_dir
+from glintframe.session import materialize, shared_dir
 from glintframe.streaming import incremental as I
 
 _VER = ("ver", "select frame, expected, actual, case when actual is null then 'missing' when expected is null then 'unexpected' when lower(expected)=lower(actual) then 'match' else 'mismatch' end status from "
@@ -122,6 +125,42 @@ def cross_scene_summary(spark, sf):
     return rounded(RP.cross_scene_summary(stats, pixels))
 
 
+def _held_rows(name):
+    return " union all ".join(f"select scene, '{label}' metric, printf('%.{d}f', avg({m})) \"{name}\" from {{}} group by scene" for m, (label, d) in RP._HELDOUT.items() if m in _HM)
+
+
+_HV = ("hv", "select scene, frame, " + ", ".join(f"{e} {n}" for n, e in _HM.items()) + " from h5 group by 1,2")
+_HELD2 = [(f"p{n}" if n[0] == "h" else n, re.sub(r"\bh([1-5])(\w*)\b", r"ph\1\2", t).replace("fr/2 rscore, fr tr, fg tg, fb tb", "sr/2 rscore, sr tr, sg tg, sb tb")) for n, t in _HELD]
+
+
+@query("heldout_table", "R4", duck("paired_rgb", f"select scene, metric, raw, processed from ({_held_rows('raw').format(*['hv'] * 5)}) join ({_held_rows('processed').format(*['phv'] * 5)}) using (scene, metric)", *_HELD, _HV, *_HELD2, ("phv", _HV[1].replace("h5", "ph5"))))
+def heldout_table(spark, sf):
+    d = paired_rgb(spark, sf).where("frame % 8 = 0").withColumn("score", F.col("r") / 2)
+    run = lambda v: Q.heldout_means(Q.heldout_metrics(d.withColumns({"render_score": F.col(f"{v}r") / 2, **{f"t{c}": F.col(f"{v}{c}") for c in "rgb"}}), 0.16))
+    return RP.table_heldout(run("f"), run("s"), ["scene"])
+
+
+@query("diagnostics_table", "R5 A26 A39", duck("poses", """select scene, case when scene=6 then 'Development' else 'Additional' end as role, raw_n||'/'||oth_n registered, ok||'/'||n supported, printf('%.2f', 100*rmse/s) normalized_rmse from
+    (select scene, count(*) raw_n, count(*) filter (where frame%9<>0) oth_n, sqrt(avg(power(1.7::double*(-cy)+0.5::double-ox,2)+power(1.7::double*cx-0.25::double-oy,2)+power(1.7::double*cz+1-oz,2))) rmse from poses group by 1)
+    join (select scene, count(*) n, count(*) filter (where ratio<=2.5::double and ang<=30) ok from sup group by 1) using (scene) join spacing using (scene)""", _NEAR, _SPACING, _QV, _SUP))
+def diagnostics_table(spark, sf):
+    p = poses(spark, sf)
+    spacing = materialize(C.median_spacing(p))
+    counts = p.groupBy("scene").agg(F.count(F.lit(1)).alias("raw_registered_frames"), F.count_if(F.col("frame") % 9 != 0).alias("other_registered_frames"))
+    aligned = C.alignment_summary(C.alignment_residuals(p, _known_fit(p)), spacing)
+    # even scenes store the ratio, the others only its parts
+    aligned = aligned.withColumn("rmse_in_raw_spacings", F.when(F.col("scene") % 2 == 0, F.col("rmse_in_spacings")))
+    return RP.table_diagnostics(counts, C.support_summary(C.support_measurement(_shifted(p), p, spacing)), aligned, development="6")
+
+
+@query("attached_views", "J10 P15", duck("views", f"select scene, view_id, height, direction, {r6('case when raw_mean>0 then 100*(raw_mean-out_mean)/raw_mean end')} mean_score_reduction_percent, {r6('100*(raw_any-out_any)/raw_any')} any_area_reduction_percent, {r6('100*(raw_strong-out_strong)/raw_strong')} strong_area_reduction_percent from views where view_id%3<>1"))
+def attached_views(spark, sf):
+    v = views(spark, sf)
+    manifest = v.where("view_id % 3 <> 1").select("scene", "view_id", "height", "direction")
+    return rounded(V.attach_views(v.drop("height", "direction"), manifest).select(
+        "scene", "view_id", "height", "direction", *[f"{n}_reduction_percent" for n in ("mean_score", "any_area", "strong_area")]))
+
+
 # --- incremental ---------------------------------------------------------
 
 def _pair_stream(spark, sf):

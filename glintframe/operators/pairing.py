@@ -100,11 +100,19 @@ def scene_position(df: DataFrame, order: list, scene=("scene",), name: str = "po
                    bucket=None) -> DataFrame:
     """Zero-based position of each row in its scene, without ordering a scene in one task.
 
-    Rows fall into ranges of ``bucket`` (a monotone function of the first order column);
-    a row's position is the count of the earlier ranges plus its rank in its own range.
+    Rows fall into ranges of the first order column (or of ``bucket``, a monotone expression of it);
+    a row's position is the count of the earlier ranges plus its rank in its own range. By default a
+    scene has one range per 4096 rows, at most 100 000, spread evenly between its extremes.
     """
-    bucket = F.floor(col(order[0]) / 4096).cast("long") if bucket is None else bucket
-    tagged = df.withColumn("_bucket", bucket)
+    if bucket is None:
+        v = col(order[0]).cast("double")
+        spread = df.groupBy(*scene).agg(F.min(v).alias("_least"), (F.max(v) - F.min(v)).alias("_span"),
+                                        F.least(F.ceil(F.count(F.lit(1)) / 4096), F.lit(100_000)).alias("_ranges"))
+        share = F.coalesce(F.try_divide(v - F.col("_least"), F.col("_span")), F.lit(0.0))
+        tagged = (df.join(spread, list(scene)).withColumn("_bucket", F.least(F.floor(share * F.col("_ranges")), F.col("_ranges") - 1))
+                  .drop("_least", "_span", "_ranges"))
+    else:
+        tagged = df.withColumn("_bucket", bucket)
     before = Window.partitionBy(*scene).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*scene)
     offsets = (tagged.groupBy(*scene, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -49,6 +49,13 @@ def _sums(views: DataFrame) -> list[Column]:
             lower("out_strong", "raw_strong").alias("l_strong")]
 
 
+def attach_views(scores: DataFrame, manifest: DataFrame, keys=("scene", "view_id")) -> DataFrame:
+    """Manifest columns beside each scored view, with the three reductions of the view."""
+    rows = scores.join(manifest, list(keys))
+    return rows.withColumns({f"{n}_reduction_percent": relative_reduction(f"raw_{c}", f"out_{c}")
+                             for n, c in (("mean_score", "mean"), ("any_area", "any"), ("strong_area", "strong"))})
+
+
 _SUM_NAMES = (["view_count", "pixel_count"] + [f"w_{c}" for c in _WEIGHTED] + [f"s_{c}" for c in _COUNTS]
               + ["l_mean", "l_any", "l_strong"])
 

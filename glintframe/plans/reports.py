@@ -86,7 +86,7 @@ def table_heldout(raw: DataFrame, processed: DataFrame, keys=()) -> DataFrame:
 def table_diagnostics(counts: DataFrame, support: DataFrame, alignment: DataFrame, development: str = "S6") -> DataFrame:
     """Role, registered frames, supported poses and normalised RMSE per scene."""
     d = counts.join(support, "scene").join(alignment, "scene")
-    return d.select("scene", F.when(F.col("scene") == development, "Development").otherwise("Additional").alias("role"),
+    return d.select("scene", F.when(F.col("scene").cast("string") == development, "Development").otherwise("Additional").alias("role"),
                     F.concat_ws("/", "raw_registered_frames", "other_registered_frames").alias("registered"),
                     F.concat_ws("/", "within_support_count", "views").alias("supported"),
                     format_display(normalized_rmse_percent(), 2).alias("normalized_rmse"))

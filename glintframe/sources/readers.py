@@ -106,6 +106,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("table", "row", F.posexplode("cells").alias("col", "value"))
 
 
+# Field names of the trajectory file format.
 VIEW = ("struct<view_id: string, height_index: int, direction_index: int, azimuth_degrees: double, raw_camera_to_world: array<array<double>>, "
         "deglared_camera_to_world: array<array<double>>, nearest_training_frame: bigint, distance_in_median_spacings: double, "
         "nearest_orientation_difference_degrees: double, within_support: boolean>")

@@ -96,3 +96,11 @@ def test_strategy_registry(spark):
         B.get_strategy("nothing")
     with pytest.raises(ValueError):
         B.check_requirements(B.get_strategy("evidence_matte"), "single_view")
+
+
+def test_artifacts_are_listed(spark, tmp_path):
+    one = lambda i, **m: {"id": i, "levels": ["R1", "R2"], "limitation": "none", **m}
+    (tmp_path / "m.json").write_text(json.dumps({"figures": [one(1), one(2)], "tables": [one(1)]}))
+    entry = "array<struct<id: bigint, levels: array<string>, limitation: string>>"
+    rows = RP.list_artifacts(S.read_json_document(spark, str(tmp_path / "m.json"), f"figures {entry}, tables {entry}")).collect()
+    assert sorted((r.kind, r.id, r.levels) for r in rows) == [("figure", "1", "R1, R2"), ("figure", "2", "R1, R2"), ("table", "1", "R1, R2")]
