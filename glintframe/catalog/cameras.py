@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from glintframe.catalog.base import duck, poses, query, r6, rounded
 from glintframe.functions import geometry as G
 from glintframe.operators import poses as C
+from glintframe.session import materialize
 
 # a known similarity, used where SQL cannot solve for one
 _KNOWN = {"scale": 1.7, "tx": 0.5, "ty": -0.25, "tz": 1.0, "gw": 0.7071067811865476, "gx": 0.0, "gy": 0.0, "gz": 0.7071067811865476}
@@ -52,12 +53,36 @@ def support_summary(spark, sf):
     return rounded(C.support_summary(C.support_measurement(_shifted(p), p, C.median_spacing(p))))
 
 
-@query("similarity_fit", "A25")
+# the same fit in closed form: the leading eigenvector of a symmetric 4 x 4 matrix, by power iteration
+_N = {"n00": "sxx+syy+szz", "n01": "syz-szy", "n02": "szx-sxz", "n03": "sxy-syx", "n11": "sxx-syy-szz", "n12": "sxy+syx", "n13": "szx+sxz",
+      "n22": "syy-sxx-szz", "n23": "syz+szy", "n33": "szz-sxx-syy"}
+_at = lambda i, j: f"n{min(i, j)}{max(i, j)}"
+_ROT = (("1-2*(gy*gy+gz*gz)", "2*(gx*gy-gw*gz)", "2*(gx*gz+gw*gy)"), ("2*(gx*gy+gw*gz)", "1-2*(gx*gx+gz*gz)", "2*(gy*gz-gw*gx)"),
+        ("2*(gx*gz-gw*gy)", "2*(gy*gz+gw*gx)", "1-2*(gx*gx+gy*gy)"))
+_turned = lambda i, v: "(" + "+".join(f"({_ROT[i][j]})*{v[j]}" for j in range(3)) + ")"
+_HORN = [
+    ("cv", "select scene, count(*) cameras, " + ", ".join(f"covar_pop(o{b}, c{a}) s{a}{b}" for a in "xyz" for b in "xyz") + ", " + ", ".join(f"avg({p}{a}) m{p}{a}" for p in "co" for a in "xyz") + ", var_pop(cx)+var_pop(cy)+var_pop(cz) vr from poses group by scene having count(*)>=3"),
+    ("nm", "select *, " + ", ".join(f"{e} {n}" for n, e in _N.items()) + " from cv"),
+    ("ns", "select *, sqrt(" + "+".join(f"{n}*{n}*{1 if n[1] == n[2] else 2}" for n in _N) + ") sh from nm"),
+    ("pw_", "select 0 i, scene, 1::double q0, 0.5::double q1, 0.25::double q2, 0.125::double q3 from ns union all select i+1, scene, a0/z, a1/z, a2/z, a3/z from (select *, sqrt(a0*a0+a1*a1+a2*a2+a3*a3) z from (select i, scene, "
+            + ", ".join("+".join(f"{_at(k, j)}*q{j}" for j in range(4)) + f"+sh*q{k} a{k}" for k in range(4)) + " from pw_ join ns using (scene) where i<150))"),
+    ("ev_", "select ns.*, case when q0<0 then -q0 else q0 end gw, case when q0<0 then -q1 else q1 end gx, case when q0<0 then -q2 else q2 end gy, case when q0<0 then -q3 else q3 end gz, ("
+            + "+".join(f"{_at(i, j)}*q{i}*q{j}" for i in range(4) for j in range(4)) + ")/vr sc from pw_ join ns using (scene) where i=150"),
+    ("ht", "select scene, cameras, sc, gw, gx, gy, gz, " + ", ".join(f"mo{c}-sc*{_turned(i, ('mcx', 'mcy', 'mcz'))} t{c}" for i, c in enumerate("xyz")) + " from ev_"),
+]
+
+
+@query("similarity_fit", "A25", duck("poses", f"select scene, cameras::bigint cameras, {r6('sc')} scale, {', '.join(f'{r6(c)} {c}' for c in ('tx', 'ty', 'tz', 'gw', 'gx', 'gy', 'gz'))} from ht", *_HORN, recursive=True))
 def similarity_fit(spark, sf):
     return rounded(C.similarity_fit(poses(spark, sf)))
 
 
-@query("alignment_summary", "A25 A26")
+_PROD = ("gw*qw-gx*qx-gy*qy-gz*qz", "gw*qx+gx*qw+gy*qz-gz*qy", "gw*qy-gx*qz+gy*qw+gz*qx", "gw*qz+gx*qy-gy*qx+gz*qw")
+
+
+@query("alignment_summary", "A25 A26", duck("poses", f"""select scene, {r6('sqrt(avg(e2))')} rmse, {r6('max(rot)')} rotation_error_max, {r6('median(rot)')} rotation_error_median,
+    {r6('any_value(s)')} spacing, {r6('sqrt(avg(e2))/any_value(s)')} rmse_in_spacings from (select scene, {'+'.join(f"power(sc*{_turned(i, ('cx', 'cy', 'cz'))}+t{c}-o{c},2)" for i, c in enumerate('xyz'))} e2,
+    2*degrees(acos(greatest(0,least(1,abs({'+'.join(f'({e})*p{n}' for e, n in zip(_PROD, 'wxyz'))}))))) rot from poses join ht using (scene)) join spacing using (scene) group by scene""", _NEAR, _SPACING, *_HORN, recursive=True))
 def alignment_summary(spark, sf):
     p = poses(spark, sf)
     fit = C.similarity_fit(p)
@@ -118,9 +143,10 @@ def planned_trajectory(spark, sf):
     """Fitted midpoint path of every scene, jointly supported views only, thirty evenly spaced ones."""
     from glintframe.operators.pairing import scene_position, uniform_pick
     p = poses(spark, sf)
-    v = C.midpoint_poses(p, C.similarity_fit(p))
+    v = materialize(C.midpoint_poses(p, C.similarity_fit(p)))
     raw = C.support_measurement(v, p, C.median_spacing(p), query="candidate_index")
     kept = v.join(raw.where("distance_in_spacings <= 2.25").select("scene", "candidate_index"), ["scene", "candidate_index"])
+    kept = materialize(kept)
     enough = scene_position(kept, ["candidate_index"]).where("position_count >= 30").drop("position", "position_count")
     return rounded(uniform_pick(enough, "candidate_index", 30).select("scene", "candidate_index", "sequence_index", "cx", "cy", "cz"))
 
