@@ -138,7 +138,17 @@ def midpoint_views(spark, sf):
                             *[F.abs(f"q{n}").alias(f"q{n}") for n in "wxyz"]))
 
 
-@query("planned_trajectory", "W19 W20 A25 J11")
+_undone = lambda j: "(" + "+".join(f"({_ROT[i][j]})*(o{c}-t{c})/sc" for i, c in enumerate("xyz")) + ")"
+_PLAN = [
+    ("pa", f"select scene, frame, {', '.join(f'0.5::double*(c{c}+{_undone(j)}) a{c}' for j, c in enumerate('xyz'))} from poses join ht using (scene)"),
+    ("pb", "select scene, row_number() over w candidate_index, " + ", ".join(f"0.5::double*(a{c}+lead(a{c}) over w) c{c}" for c in "xyz") + " from pa window w as (partition by scene order by frame)"),
+    ("pc", "select b.scene, candidate_index, any_value(b.cx) cx, any_value(b.cy) cy, any_value(b.cz) cz, sqrt(min(power(b.cx-p.cx,2)+power(b.cy-p.cy,2)+power(b.cz-p.cz,2))) dist from pb b join poses p using (scene) where b.cx is not null group by 1,2"),
+    ("pd", "select scene, candidate_index, cx, cy, cz, row_number() over (partition by scene order by candidate_index)-1 i, count(*) over (partition by scene) n from pc join spacing using (scene) where dist/s<=2.25::double"),
+]
+
+
+@query("planned_trajectory", "W19 W20 A25 J11", duck("poses", f"select scene, candidate_index::bigint candidate_index, k+1 sequence_index, {r6('cx')} cx, {r6('cy')} cy, {r6('cz')} cz from pd join (select range::bigint k from range(30)) on round_even(k*(n-1)/29::double,0)=i where n>=30",
+    _NEAR, _SPACING, *_HORN, *_PLAN, recursive=True))
 def planned_trajectory(spark, sf):
     """Fitted midpoint path of every scene, jointly supported views only, thirty evenly spaced ones."""
     from glintframe.operators.pairing import scene_position, uniform_pick

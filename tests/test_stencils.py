@@ -82,4 +82,4 @@ def test_flat_frame_has_no_structure(frame):
 def test_stencil_plan_places_frames_once(frame):
     d = structure_penalty(frame(np.random.default_rng(5).random((6, 6)), "lum"))
     plan = d._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 or plan.count("REPARTITION") >= 1 and plan.count("ENSURE_REQUIREMENTS") == 0
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
