@@ -12,6 +12,7 @@ from glintframe.functions.color import delta_e76, rgb_to_lab
 from glintframe.functions.scalar import STRONG, WEAK, col, finite, lum601, lum709, percentage, psnr, psnr_from_rmse, rgb_max
 from glintframe.operators.quantiles import exact_quantiles, with_frame_quantile
 from glintframe.operators.stencil import FRAME, colocate, gaussian_blur, highpass, local_std, sobel
+from glintframe.session import materialize
 
 
 def protected_masks(df: DataFrame, score="score", structure="structure", gradient="gmag", low: float = WEAK,
@@ -93,6 +94,8 @@ def summary_stats(rows: DataFrame, metrics, keys=("scene",), pooled: str | None
 
     The pooled values are those of all frames together, not a mean of the scenes' values.
     """
+    # metric rows are one per frame; written once, since means, sizes and quantiles all read them
+    rows = materialize(rows.select(*keys, *metrics))
     pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), finite(F.col(m).cast("double")).alias("value")) for m in metrics]))
     long = rows.select(*[F.col(k).cast("string").alias(k) for k in keys], pairs)
     if pooled:
