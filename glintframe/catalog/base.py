@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from glintframe.session import ship_code
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 COVERS: dict[str, str] = {}
@@ -31,7 +33,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return ship_code(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 SIDE = 8  # an embedding of 64 values is read as an 8 x 8 frame

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,21 @@ def build_session(app: str = "glintframe", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_code(builder.getOrCreate())
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once for each Spark application; they need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_glintframe_sent", False):
+        package = pathlib.Path(__file__).resolve().parent
+        archive = pathlib.Path(tempfile.mkdtemp(prefix="spark-")) / "glintframe-code.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._glintframe_sent = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
