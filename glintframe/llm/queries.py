@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from glintframe.llm import simhash
+from glintframe.llm import decontam, linededup, mixing, repair, simhash
 from glintframe.llm.common import table
+from glintframe.session import shared_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -20,6 +23,77 @@ def query(name, sql=None):
     return add
 
 
+def word_tokenizer() -> str:
+    """Path of the public tokenizer that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op1_line_dedup", rf"""
+with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) a from documents),
+lines as (select doc_id, unnest(a) line, unnest(range(len(a))) i from split),
+keyed as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_AZ}) k from lines),
+shared as (select k, min(doc_id) f from keyed where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+marked as (select keyed.*, f is not null and f < doc_id as gone from keyed left join shared using (k))
+select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
+from marked group by doc_id""")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = linededup.dedup_lines(linededup.insert(docs), docs)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_repair_tokens")
+def op4(spark, sf):
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    repair.write_tokens(table(spark, sf, "documents"), path, word_tokenizer())
+    return repair.read_tokens(spark, path, digest=True)
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op6_benchmark_decontamination", f"""
+with d as (select doc_id, {_WORDS} w from documents),
+b as (select item_id, {_WORDS} w from benchmark),
+phrases as (select item_id, array_to_string(w[i:i+12], ' ') p, least(len(w), 13) n
+            from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i from b where len(w) > 0)),
+widths as (select distinct n from phrases),
+spots as (select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') p from (select *, unnest(range(1, len(w) - n + 2)) i from d, widths where len(w) >= n)),
+found as (select distinct doc_id, item_id, i, s.n from spots s join phrases q on s.p = q.p and s.n = q.n),
+hit as (select doc_id, count(distinct spot) n_hit from (select doc_id, unnest(range(i, i + n)) spot from (select distinct doc_id, i, n from found)) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct doc_id, item_id::varchar item from found) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(names, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join hit using (doc_id) left join items using (doc_id)""")
+def op6(spark, sf):
+    found = decontam.contamination(decontam.occurrences(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_mix_sources", r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint size from documents),
+s as (select source, sum(size)::bigint source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] weight from d group by source),
+l as (select *, 3 * source_size / weight full_at, (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last
+        rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by 3 * source_size / weight, source nulls last rows between current row and unbounded following) as lvl from s),
+t as (select source, source_size, least(weight * (select arg_min(lvl, full_at) from l where lvl <= full_at), (3 * source_size)::double) target,
+             ('0x' || substr(md5('mix' || case when source is null then '|0' else '|1' end || coalesce(source, '')), 1, 6))::int / 16777216.0::double u from s),
+r as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0 end rate, u,
+             row_number() over (partition by d.source order by size, doc_id nulls first) - 1 k from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, (least(floor((k + 1) * rate + u) - floor(k * rate + u), ceil(rate)) * size)::bigint taken from r""")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, F.col("source"), F.col("size"), F.col("doc_id"))
+    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+                        (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
