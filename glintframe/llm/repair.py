@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -16,33 +17,69 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 LEAST_USES = 24
 LIMIT = 1 << 16  # symbols of a shard, ids and nonterminals, so that one takes two octets
-CACHE = 300_000  # words whose ids a worker remembers
+CACHE = 800_000  # words whose ids a worker remembers
 _SLOTS = 1 << 18
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SIGN = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~])")
 
 
 class Encoder:
-    """Ids of texts, by way of a memory of words: white space always parts tokens, so a text is the sum of its words."""
+    """Ids of texts, by way of a memory of words: white space always parts tokens, so a text is the sum of its words.
+
+    So does the place between a letter or digit and a sign, and a space there changes nothing. Unknown words of
+    letters alone are encoded as one long text and told apart by the word ends in the vocabulary.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
         self.size = self.tokenizer.get_vocab_size()
         if self.size >= LIMIT:
             raise ValueError(f"{self.size} ids do not fit two octets")
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        # words whose lower case, too, is letters alone: one run of letters, and one word end
+        letters, rest = [], []
+        for w, x in zip(words, texts):
+            (letters if x.lower().isalpha() else rest).append((w, x))
+        for i in range(0, len(letters), 2000):
+            part = letters[i:i + 2000]
+            ids, = self._encoded([" ".join([x for _, x in part])])
+            stop = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            if len(stop) == len(part):
+                octet = ids.tobytes()
+                self.known.update((w, octet[a:b]) for (w, _), a, b in zip(part, [0, *stop], stop))
+            else:
+                rest += part
+        for i in range(0, len(rest), 2000):
+            part = rest[i:i + 2000]
+            self.known.update((w, ids.tobytes()) for (w, _), ids in zip(part, self._encoded([x for _, x in part])))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         # lower case joins the forms of a word; a text that may hold a special token, which is told by case, is left as it is
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        split = [(t if b"<|" in t else _SIGN.sub(b" ", t.lower())).split() for t in texts]
+        used = {w for words in split for w in words}
+        new = used - self.known.keys()
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        get = self.known.__getitem__
+            self.known, new = {b"": b""}, used
+        tails = []
+        for w in [w for w in new if w[-1] < 0x80 and not w[-1:].isalnum()]:
+            core = w.rstrip(_SIGNS)
+            if core and b"<|" not in w and core.decode()[-1].lower().isalpha():
+                tails.append((w, core, w[len(core):]))
+                new.discard(w)
+        known = self.known
+        self._learn(list(new))
+        self._learn(list({x for _, *both in tails for x in both if x not in known}))
+        known.update((w, known[core] + known[tail]) for w, core, tail in tails)
+        get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), np.uint16) for words in split]
 
 
@@ -68,25 +105,26 @@ def compress(ids: np.ndarray, first: int, end: int = END, rounds: int = ROUNDS,
     for _ in range(rounds):
         if len(seq) < 2 or first + len(rules) >= LIMIT:
             break
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        held = np.zeros(_SLOTS, np.uint64)
+        pair = seq[:-1] << np.uint32(16) | seq[1:]
+        slot = (pair * np.uint32(0x9E3779B1)) >> np.uint32(14)
+        held = np.zeros(_SLOTS, np.uint32)
         held[slot] = pair
-        count = np.bincount(slot[(held[slot] == pair) & (seq[:-1] != end)], minlength=_SLOTS)
+        open_ = (held[slot] == pair) & (seq[:-1] != end)
+        count = np.bincount(slot[open_], minlength=_SLOTS)
         top = np.flatnonzero(count >= max(least, count.max() // 8))
         if not len(top):
             break
         top = top[np.argsort(-count[top], kind="stable")][:LIMIT - first - len(rules)]
         weight = np.zeros(_SLOTS, np.int32)
         weight[top] = len(top) - np.arange(len(top))
-        here = np.where((held[slot] == pair) & (seq[:-1] != end), weight[slot], 0)
-        left, right = np.r_[0, here[:-1]], np.r_[here[1:], 0]
-        at = np.flatnonzero((here > left) & (here >= right) & (here > 0))
-        name = np.zeros(_SLOTS, np.uint32)
-        name[top] = first + len(rules) + np.arange(len(top))
-        rules = np.concatenate([rules, np.stack([held[top] >> np.uint64(32), held[top] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        here = weight[slot] * open_
+        sole = here > 0
+        sole[1:] &= here[1:] > here[:-1]
+        sole[:-1] &= here[:-1] >= here[1:]
+        at = np.flatnonzero(sole)
+        rules = np.concatenate([rules, np.stack([held[top] >> np.uint32(16), held[top] & np.uint32(0xFFFF)], axis=1)])
         seq = seq.copy()
-        seq[at] = name[slot[at]]
+        seq[at] = first + len(rules) - weight[slot[at]].astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
