@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from glintframe.llm import decontam, linededup, mixing, repair, simhash
+from glintframe.llm import decontam, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
 from glintframe.llm.common import table
 from glintframe.session import shared_dir
 
@@ -48,6 +48,13 @@ def op1(spark, sf):
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op3_toxicity")
+def op3(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    found = toxicity.score(docs, toxicity.learn(nbsvm.training_rows(docs, labels, "toxic")))
+    return found.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_repair_tokens")
 def op4(spark, sf):
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -55,6 +62,11 @@ def op4(spark, sf):
     return repair.read_tokens(spark, path, digest=True)
 
 
+@query("op5_html_main_text")
+def op5(spark, sf):
+    return styletree.main_text(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -77,8 +89,15 @@ def op6(spark, sf):
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op8_quality_classifier")
+def op8(spark, sf):
+    found = nbsvm.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op9_mix_sources", r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::bigint size from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::bigint size from documents),
 s as (select source, sum(size)::bigint source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] weight from d group by source),
 l as (select *, 3 * source_size / weight full_at, (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last
         rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by 3 * source_size / weight, source nulls last rows between current row and unbounded following) as lvl from s),
