@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -225,7 +226,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "quality")))
 
     @F.pandas_udf("double")
-    def judge(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def judge(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: shared.value.score(features((x or "").encode())))
 
     return docs.where(judge(F.col("text").cast("string")) >= threshold)
