@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from glintframe.llm import decontam, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
+from glintframe.llm import decontam, hpylm, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
 from glintframe.llm.common import table
 from glintframe.session import shared_dir
 
@@ -89,6 +89,11 @@ def op6(spark, sf):
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op7_pitman_yor_scores")
+def op7(spark, sf):
+    return hpylm.scores(table(spark, sf, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_quality_classifier")
 def op8(spark, sf):
     found = nbsvm.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
