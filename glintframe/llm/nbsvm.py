@@ -20,6 +20,7 @@ EPOCHS = 12
 MIX = 0.9  # share of the fitted weights against their mean size
 HELD = 5  # every so many-th sampled document is kept from the fit to calibrate the scores
 THRESHOLD = 0.3
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 12
 _MEMORY = 200_000
 
@@ -160,17 +161,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(grams) + self.intercept, -30, 30))))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, cost: float = COST, mix: float = MIX) -> Model:
-    """Fit on rows ``(doc_id, text, label)`` with labels 0 and 1; rows with another label or none are left out.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float = COST, mix: float = MIX) -> Model:
+    """Fit on the documents with a row in ``labels (doc_id, label)`` with label 0 or 1.
 
-    The ratios count every row. The hinge-loss model sees at most ``sample`` rows, those with the smallest hash of
-    their id, each of at most 2^18 indices; both classes weigh the same there. Without rows of both classes every
-    document gets the share of label 1 (1 without any row).
+    The ratios count every such document. The hinge-loss model sees at most ``sample`` of them, those with the
+    smallest hash of their id, each of at most 2^18 indices; both classes weigh the same there. Without documents of
+    both classes every document gets the share of label 1 (1 without any).
     """
-    labelled = labelled.where(F.col("label").isin(0, 1))
-    r = ratios(labelled)
-    picked = labelled.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").limit(sample)
-    rows = _indicators(picked.withColumn("key", F.xxhash64("doc_id")), ["label", "key"]).collect()
+    labels = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    r = ratios(with_labels(docs, labels))
+    picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    rows = _indicators(with_labels(docs, picked).withColumn("key", F.xxhash64("doc_id")), ["label", "key"]).collect()
     rows.sort(key=lambda x: (x.key, x.grams))
     y = np.array([1 if x.label else -1 for x in rows])
     if not (y > 0).any() or not (y < 0).any():
@@ -206,10 +207,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int = 5) -> DataFrame:
-    """``(doc_id, text, label)`` of the labelled documents outside the held-out fold."""
-    named = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("doc_id"), modulus) != 0))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, "doc_id")
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, text, label)`` of the documents with a label.
+
+    Labels of up to ``BROADCAST_ROWS`` rows, counted first, go to the texts; more of them are joined by a shuffle.
+    """
+    side = labels.select("doc_id", "label")
+    if side.count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(side, "doc_id")
+
+
+def training_labels(labels: DataFrame, label: str, modulus: int = 5) -> DataFrame:
+    """``(doc_id, label)`` outside the held-out fold; rows without the label are left out."""
+    named = labels.select("doc_id", F.col(label).cast("int").alias("label"))
+    return named.where(F.col("label").isNotNull() & (remainder(F.col("doc_id"), modulus) != 0))
 
 
 def held_out(doc_id: Column, modulus: int = 5) -> Column:
@@ -218,12 +230,12 @@ def held_out(doc_id: Column, modulus: int = 5) -> Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, score)`` of every document, learnt from ``labels.quality`` outside the held-out fold."""
-    return score(docs, fit(training_rows(docs, labels, "quality")))
+    return score(docs, fit(docs, training_labels(labels, "quality")))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that reach the threshold, unchanged. Columns and repeated rows stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, "quality")))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, training_labels(labels, "quality")))
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:

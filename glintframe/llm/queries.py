@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from glintframe.llm import decontam, hpylm, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
+from glintframe.llm import bm25, decontam, hpylm, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
 from glintframe.llm.common import table
 from glintframe.session import shared_dir
 
@@ -33,6 +33,9 @@ def word_tokenizer() -> str:
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 @query("op1_line_dedup", rf"""
 with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) a from documents),
 lines as (select doc_id, unnest(a) line, unnest(range(len(a))) i from split),
@@ -48,10 +51,27 @@ def op1(spark, sf):
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op2_top_k_search", f"""
+with t as (select doc_id, unnest({_WORDS}) t from documents),
+n as (select count(*) docs, (select count(*) from t) / count(*) mean from documents),
+tf as (select doc_id, t, count(*) tf from t group by doc_id, t),
+len as (select doc_id, count(*) dl from t group by doc_id),
+df as (select t, count(*) df from tf group by t),
+q as (select doc_id query_id, t from tf where doc_id % 100 = 0),
+s as (select query_id, tf.doc_id, round(sum(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
+             / (tf + 1.2::double * (0.25::double + 0.75::double * dl / mean))), 6) score
+      from q join tf using (t) join df using (t) join len on len.doc_id = tf.doc_id, n group by query_id, tf.doc_id),
+r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
+select query_id, rank, doc_id, score from r where rank <= 10""")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    return bm25.top_k(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 @query("op3_toxicity")
 def op3(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    found = toxicity.score(docs, toxicity.learn(nbsvm.training_rows(docs, labels, "toxic")))
+    found = toxicity.score(docs, toxicity.learn(docs, nbsvm.training_labels(labels, "toxic")))
     return found.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -67,9 +87,6 @@ def op5(spark, sf):
     return styletree.main_text(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-
 @query("op6_benchmark_decontamination", f"""
 with d as (select doc_id, {_WORDS} w from documents),
 b as (select item_id, {_WORDS} w from benchmark),

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glintframe.llm.common import octets
+from glintframe.llm.nbsvm import with_labels
 from glintframe.session import materialize
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -160,19 +161,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return theta
 
 
-def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, keep: int = LEXICON, sample: int = SAMPLE) -> Lexicon:
-    """Lexicon, exception phrases and curve from rows ``(doc_id, text, label)`` with labels 0 and 1; other rows are left out.
+def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, keep: int = LEXICON, sample: int = SAMPLE) -> Lexicon:
+    """Lexicon, exception phrases and curve from the documents with a row in ``labels (doc_id, label)`` with label 0 or 1.
 
     The counts of entries and phrases cover every row; ``keep`` bounds what the driver holds. The
     curve's three numbers are fitted on at most ``sample`` rows, those with the smallest hash of their id. Without
     toxic rows the lexicon is empty and every score near 0.
     """
-    labelled = labelled.where(F.col("label").isin(0, 1))
+    labels = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    labelled = with_labels(docs, labels)
     counted = materialize(_tallied(labelled, terms).where(F.col("docs") >= LEAST_DOCS))
     whole = counted.where("term = ''").first()
-    toxic, clean, docs = (whole.toxic, whole.clean, whole.docs) if whole else (0, 0, 0)
+    toxic, clean, holders = (whole.toxic, whole.clean, whole.docs) if whole else (0, 0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    likely = counted.where((F.col("term") != "") & (F.col("docs") >= LEAST_SHARE * docs) & (odds >= LEAST_WEIGHT))
+    likely = counted.where((F.col("term") != "") & (F.col("docs") >= LEAST_SHARE * holders) & (odds >= LEAST_WEIGHT))
     rows = likely.orderBy(F.desc(odds * F.sqrt("toxic")), "term").limit(20 * keep).collect()
     weights = select_entries([(r.term, r.toxic, r.clean) for r in rows], toxic, clean, keep)
     spared = tuple(f" {' '.join(fold(x))} " for x in exceptions)
@@ -190,7 +192,7 @@ def learn(labelled: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, keep: i
     harmless = _tallied(labelled, phrases).where((F.col("clean") >= LEAST_PHRASE) & (F.col("toxic") == 0))
     spared += tuple(r.term for r in harmless.orderBy(F.desc("clean"), "term").limit(keep).collect())
     lexicon = Lexicon(weights, spared)
-    picked = labelled.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").limit(sample)
+    picked = with_labels(docs, labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
     x = _measured(picked.select("text", "label"), lexicon).collect()
     x.sort(key=lambda r: (r.label, r.total, r.density))
     if any(r.label for r in x) and not all(r.label for r in x):
