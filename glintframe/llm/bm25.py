@@ -120,7 +120,7 @@ class Shard:
         common = self.row[at] >= 0
         rare, size = at[~common], self.df[at[~common]].astype(np.int64)
         place = np.repeat(self.start[rare] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        score = np.bincount(self.doc[place], self.weight[place] * np.repeat(idf[~common], size), len(self.ids))
+        score = np.bincount(self.doc[place], self.weight[place] * np.repeat(idf[~common], size), len(self.ids)).astype(np.float64)  # whole numbers if there are none
         rows, weight = self.row[at[common]], idf[common]
         slack = 10.0 ** -DIGITS
         if len(rows):
