@@ -22,7 +22,7 @@ HELD = 5  # every so many-th sampled document is kept from the fit to calibrate
 THRESHOLD = 0.3
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 12
-_MEMORY = 200_000
+_MEMORY = 100_000  # words whose codes a worker remembers
 
 _CLASS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 0x80 else 48 if 48 <= c <= 57 else c for c in range(256))
 _words: dict[bytes, int] = {}
@@ -81,8 +81,8 @@ def _count(batches):
     """Documents of either class that hold each feature, summed over the task; a row for each stretch of features."""
     held = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        for grams, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[label, np.frombuffer(grams, np.int32)] += 1
+        for text, label in zip(octets(batch.column(0)), batch.column(1).to_pylist()):
+            held[label, features(text)] += 1
     if held.any():
         for i in range(0, 1 << BITS, _CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([held[:, i:i + _CHUNK].tobytes()], pa.binary())], names=["at", "counts"])
@@ -100,7 +100,7 @@ def _add(batches):
 
 def ratios(labelled: DataFrame, smooth: float = SMOOTH) -> np.ndarray:
     """Log-count ratio of every feature over all labelled rows ``(text, label)``; of fixed length, so safe to gather."""
-    parts = _indicators(labelled, ["label"]).mapInArrow(_count, "at long, counts binary")
+    parts = labelled.select(F.col("text").cast("string"), F.col("label").cast("int")).mapInArrow(_count, "at long, counts binary")
     total = np.zeros((2, 1 << BITS))
     for row in parts.repartition(partitions(labelled), "at").mapInArrow(_add, "at long, counts binary").collect():
         total[:, row.at:row.at + _CHUNK] = np.frombuffer(row.counts, np.int64).reshape(2, -1)

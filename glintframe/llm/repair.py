@@ -17,7 +17,7 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 LEAST_USES = 24
 LIMIT = 1 << 16  # symbols of a shard, ids and nonterminals, so that one takes two octets
-CACHE = 800_000  # words whose ids a worker remembers
+CACHE = 600_000  # words whose ids a worker remembers
 _SLOTS = 1 << 18
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIGN = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~])")
