@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glintframe.catalog import duckstencil as D
-from glintframe.catalog.base import duck, grid, query, r6, rounded, paired_rgb
+from glintframe.catalog.base import duck, grid, query, r6, rounded, paired_rgb, table
 from glintframe.catalog.trajectories import _TRK, _tracks, affine_sql
 from glintframe.functions.scalar import lum601
 from glintframe.operators import stencil as W, structure as ST, tracks as T
@@ -67,6 +67,46 @@ def resampling(spark, sf):
     return rounded(W.upsample(g, s, 2, ["lin"], ["near"]).select(*KEY, "lin", "near"))
 
 
+_ODD = ("select *, sqrt((frame*37+y*101+x*53+bal)%97)/10 v from (select s_nationkey::bigint scene, s_suppkey frame, floor(abs(s_acctbal))::bigint bal, "
+        "9+s_suppkey%7 h, 10+s_suppkey%11 w, unnest(range(9+s_suppkey%7)) y from supplier) s, range(21) r(x) where x < w")
+
+
+def odd_frames(spark, sf):
+    """Frames of many sizes, from 9 x 10 to 15 x 20 pixels, with values from the supplier rows."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    d = (s.select(F.col("s_nationkey").cast("long").alias("scene"), k.alias("frame"), F.floor(F.abs("s_acctbal")).alias("_bal"), (9 + k % 7).cast("int").alias("h"), (10 + k % 11).cast("int").alias("w"))
+         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))))
+    return d.withColumn("v", F.sqrt((F.col("frame") * 37 + F.col("y") * 101 + F.col("x") * 53 + F.col("_bal")) % 97) / 10).drop("_bal")
+
+
+def _mixed_sizes(factor):
+    """Overlap of every pixel with every cell, and bilinear and nearest values by their positions."""
+    cells = lambda n: f"greatest({n}//{factor},1)"
+    over = lambda p, n: f"greatest(0::double, least((f.{p}+1)*{cells(n)}, (c.{p}+1)*{n})-greatest(f.{p}*{cells(n)}, c.{p}*{n}))"
+    at = lambda p, n: f"(({p}+0.5::double)*{cells(n)}/{n}-0.5::double)"
+    low = lambda p, n: f"greatest(0, floor({at(p, n)}))::int"
+    high = lambda p, n: f"least({cells(n)}-1, floor({at(p, n)})+1)::int"
+    part = lambda p, n: f"greatest(0, {at(p, n)}-{low(p, n)})"
+    grid = f"select distinct scene, frame, h, w, yy::bigint y, xx::bigint x from f, range(8) a(yy), range(8) b(xx) where yy < {cells('h')} and xx < {cells('w')}"
+    small = f"select c.scene, c.frame, c.y, c.x, sum(f.v*{over('y', 'c.h')}*{over('x', 'c.w')})/sum({over('y', 'c.h')}*{over('x', 'c.w')}) v from c join f using (scene, frame) group by all"
+    join = lambda name, y, x: f"join small {name} on {name}.scene=f.scene and {name}.frame=f.frame and {name}.y={y} and {name}.x={x}"
+    qualify = lambda e: e.replace("h//", "f.h//").replace("w//", "f.w//").replace("/h-", "/f.h-").replace("/w-", "/f.w-").replace("(y+", "(f.y+").replace("(x+", "(f.x+")
+    ly, hy, lx, hx, py, px = (qualify(e) for e in (low("y", "h"), high("y", "h"), low("x", "w"), high("x", "w"), part("y", "h"), part("x", "w")))
+    final = (f"select f.scene, f.frame, f.y::bigint y, f.x::bigint x, {r6(f'(a.v*(1-{px})+b.v*{px})*(1-{py})+(c.v*(1-{px})+d.v*{px})*{py}')} lin, {r6('e.v')} near "
+             f"from f {join('a', ly, lx)} {join('b', ly, hx)} {join('c', hy, lx)} {join('d', hy, hx)} "
+             f"{join('e', f'(f.y*greatest(f.h//{factor},1))//f.h', f'(f.x*greatest(f.w//{factor},1))//f.w')}")
+    return f"with f as materialized ({_ODD}), c as materialized ({grid}), small as materialized ({small}) {final}"
+
+
+@query("mixed_resampling", "P23", _mixed_sizes(4))
+def mixed_resampling(spark, sf):
+    """Area means and both ways back on frames whose sides the factor does not divide: every pixel returns."""
+    f = odd_frames(spark, sf)
+    small = W.downsample_area(f, 4, ["v"])
+    back = W.upsample(f, small.select("scene", "frame", "y", "x", F.col("v").alias("lin"), F.col("v").alias("near")), 4, ["lin"], ["near"])
+    return rounded(back.select(*KEY, "lin", "near"))
+
+
 _RL = [("p", "select *, 0.299::double*r+0.587::double*g+0.114::double*b lum, 0.299::double*sr+0.587::double*sg+0.114::double*sb after_, frame fk from paired_rgb"),
        ("xy", "select frame, after_ x, lum y from p"), *affine_sql("xy", "frame", 20),
        ("al", "select p.*, greatest(lum-greatest(0,least(1,gain*after_+off)),0) rm from p join fit using (frame)")]

@@ -101,25 +101,31 @@ def hard(df: DataFrame, *, threshold: float = 0.3, **_) -> DataFrame:
     return df.withColumns(mix((F.col("score") >= threshold).cast("double")))
 
 
+def _sized(df: DataFrame, short_side: int | None, weights) -> DataFrame:
+    """Recomposed frames from ``weights(rows, short_side)``, size by size."""
+    from glintframe.operators.matte import per_frame_size
+    return per_frame_size(df, lambda d, side: lab_recompose(weights(d, side), side), short_side)
+
+
 @register_strategy("evidence_matte", needs_context=True, needs_cues=True, diagnostics=True, version="evidence_matte_diffusion_v2")
-def evidence_matte(df: DataFrame, *, short_side: int, factor: int = 4, **params) -> DataFrame:
+def evidence_matte(df: DataFrame, *, short_side: int | None = None, factor: int = 4, **params) -> DataFrame:
     from glintframe.operators.matte import matte_weights
-    return lab_recompose(matte_weights(df, factor=factor, short_side=short_side, **params), short_side)
+    return _sized(df, short_side, lambda d, side: matte_weights(d, factor=factor, short_side=side, **params))
 
 
 @register_strategy("adaptive_feather", needs_context=True, diagnostics=True, version="size_view_perceptual_v1")
-def adaptive_feather(df: DataFrame, *, short_side: int, factor: int = 4, **params) -> DataFrame:
+def adaptive_feather(df: DataFrame, *, short_side: int | None = None, factor: int = 4, **params) -> DataFrame:
     from glintframe.operators.feather import feather_weights
-    return lab_recompose(feather_weights(df, factor=factor, short_side=short_side, **params), short_side)
+    return _sized(df, short_side, lambda d, side: feather_weights(d, factor=factor, short_side=side, **params))
 
 
 @register_strategy("weak_hysteresis_feather", needs_context=True, needs_cues=True, diagnostics=True, version="weak_hysteresis_continuous_v1")
-def weak_hysteresis_feather(df: DataFrame, *, short_side: int, factor: int = 4, **params) -> DataFrame:
+def weak_hysteresis_feather(df: DataFrame, *, short_side: int | None = None, factor: int = 4, **params) -> DataFrame:
     from glintframe.operators.feather import hysteresis_weights
-    return lab_recompose(hysteresis_weights(df, factor=factor, short_side=short_side, **params), short_side)
+    return _sized(df, short_side, lambda d, side: hysteresis_weights(d, factor=factor, short_side=side, **params))
 
 
 @register_strategy("weak_hysteresis_outer_feather", needs_context=True, needs_cues=True, diagnostics=True, version="evidence_outer_feather_v2")
-def weak_hysteresis_outer_feather(df: DataFrame, *, short_side: int, factor: int = 4, **params) -> DataFrame:
+def weak_hysteresis_outer_feather(df: DataFrame, *, short_side: int | None = None, factor: int = 4, **params) -> DataFrame:
     from glintframe.operators.feather import hysteresis_weights
-    return lab_recompose(hysteresis_weights(df, factor=factor, short_side=short_side, outer=True, **params), short_side)
+    return _sized(df, short_side, lambda d, side: hysteresis_weights(d, factor=factor, short_side=side, outer=True, **params))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import clip, lum601, smoothstep, view_evidence, weak_boost, zero_floor_sigmoid
-from glintframe.operators.matte import coarse_evidence, guided_weights
+from glintframe.operators.matte import coarse_evidence, guided_weights, per_frame_size
 from glintframe.operators.regions import evidence_override, filled_members, keep_seeded, label_regions, region_gain, region_geometry
 from glintframe.operators.stencil import FRAME, along, colocate, dilate, downsample_area, gaussian_blur, morph_close, sobel
 from glintframe.operators.stencil import _images
@@ -73,9 +73,13 @@ def size_regularize(coarse: DataFrame, p: dict) -> DataFrame:
         "view_override": F.greatest(own, F.coalesce("_o", F.lit(0.0)))}).drop("_r", "_o", "_core")
 
 
-def feather_weights(df: DataFrame, *, factor: int = 4, short_side: int, diagnostics: bool = False, **changed) -> DataFrame:
-    """Base, detail and chroma weights of the size-aware variant for frames of one size."""
+def feather_weights(df: DataFrame, *, factor: int = 4, short_side: int | None = None, diagnostics: bool = False, **changed) -> DataFrame:
+    """Base, detail and chroma weights of the size-aware variant, one row for each pixel."""
     p = _resolve(SIZE_DEFAULTS, changed)
+    return per_frame_size(df, lambda d, side: _feather_weights(d, factor, side, diagnostics, p), short_side)
+
+
+def _feather_weights(df: DataFrame, factor: int, short_side: int, diagnostics: bool, p: dict) -> DataFrame:
     full = df.withColumns({"score": clip("score"), "cross": clip("cross"), "confidence": clip("confidence"), "lum": lum601("r", "g", "b")})
     coarse = downsample_area(full, factor, ["score", "cross", "confidence"]).withColumn("view", view_evidence("cross", "confidence"))
     sized = materialize(size_regularize(coarse, p))
@@ -211,14 +215,18 @@ def outer_shell(d: DataFrame, g: DataFrame, p: dict) -> DataFrame:
     return (shell if shell is not None else open_.withColumn("_left", F.lit(0)).limit(0)).drop("_left")
 
 
-def hysteresis_weights(df: DataFrame, *, factor: int = 4, short_side: int, outer: bool = False, diagnostics: bool = False, **changed) -> DataFrame:
-    """Base, detail and chroma weights of the weak-region variant for frames of one size.
+def hysteresis_weights(df: DataFrame, *, factor: int = 4, short_side: int | None = None, outer: bool = False, diagnostics: bool = False, **changed) -> DataFrame:
+    """Base, detail and chroma weights of the weak-region variant, one row for each pixel.
 
     With ``outer``, the transition moves into a supported shell around each region. Shells read
     the finished inward profile of all regions at once, so where the shells of two regions meet
     the result does not depend on a processing order.
     """
     p = _resolve({**WEAK_DEFAULTS, **OUTER_DEFAULTS} if outer else WEAK_DEFAULTS, changed)
+    return per_frame_size(df, lambda d, side: _hysteresis_weights(d, factor, side, outer, diagnostics, p), short_side)
+
+
+def _hysteresis_weights(df: DataFrame, factor: int, short_side: int, outer: bool, diagnostics: bool, p: dict) -> DataFrame:
     change = (F.abs(F.col("r") - F.col("sr")) + F.abs(F.col("g") - F.col("sg")) + F.abs(F.col("b") - F.col("sb"))) / 3.0
     full, coarse = coarse_evidence(df.withColumns({"change": change, "lum_after": lum601("sr", "sg", "sb")}), factor, ("change",))
     d, g = weak_regions(coarse, p)

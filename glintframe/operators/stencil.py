@@ -185,42 +185,67 @@ def morph_close(df: DataFrame, value: str, out: str | None = None, frame=None) -
     return erode(dilate(df, value, out, frame), out or value, out or value, frame)
 
 
-# --- resampling by a whole factor ----------------------------------------
+# --- resampling by a factor ----------------------------------------------
+
+def coarse_side(side: Column, factor: int) -> Column:
+    """Cells along a side of the grid that is ``factor`` times coarser, at least one."""
+    return F.greatest(F.floor(side / factor), F.lit(1)).cast("int")
+
+
+def nearest_cell(pos: Column, side: Column, factor: int) -> Column:
+    """Cell that holds the pixel's first corner."""
+    return F.floor(pos * coarse_side(side, factor) / side).cast("int")
+
+
+def _cover(pos: Column, side: Column, factor: int) -> Column:
+    """Cells that a pixel lies in, with the shares of it in units of one over the number of cells."""
+    cells = coarse_side(side, factor)
+    first, last = F.floor(pos * cells / side), F.floor(((pos + 1) * cells - 1) / side)
+    share = lambda c: F.least((pos + 1) * cells, (c + 1) * side) - F.greatest(pos * cells, c * side)
+    return F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda c: F.struct(c.alias("at"), share(c).alias("share")))
+
 
 def downsample_area(df: DataFrame, factor: int, values) -> DataFrame:
-    """Block means; exact when the factor divides the frame size."""
-    fy, fx = F.floor(F.col("y") / factor).cast("int"), F.floor(F.col("x") / factor).cast("int")
-    return (df.groupBy(*FRAME, fy.alias("y"), fx.alias("x"))
-            .agg(F.max(F.floor(F.col("h") / factor).cast("int")).alias("h"), F.max(F.floor(F.col("w") / factor).cast("int")).alias("w"),
-                 *[F.avg(v).alias(v) for v in values]))
+    """Area means over ``max(side // factor, 1)`` cells a side; a pixel on a cell border counts in both by its share."""
+    h, w = F.col("h"), F.col("w")
+    d = (df.select(*FRAME, "h", "w", *values, F.explode(_cover(F.col("y"), h, factor)).alias("_y"), "x")
+         .select(*FRAME, "h", "w", *values, "_y", F.explode(_cover(F.col("x"), w, factor)).alias("_x"))
+         .withColumn("_share", (F.col("_y.share") * F.col("_x.share")).cast("double")))
+    mean = lambda v: F.sum(F.col("_share") * F.col(v)) / F.sum(F.when(F.col(v).isNotNull(), F.col("_share")))
+    return (d.groupBy(*FRAME, F.col("_y.at").alias("y"), F.col("_x.at").alias("x"))
+            .agg(F.max(coarse_side(h, factor)).alias("h"), F.max(coarse_side(w, factor)).alias("w"), *[mean(v).alias(v) for v in values]))
 
 
 def upsample(full: DataFrame, small: DataFrame, factor: int, linear=(), near=()) -> DataFrame:
-    """Bring block values back to the pixels: bilinear (half-pixel centres) or nearest.
+    """Bring cell values back to every pixel: bilinear (half-pixel centres, border cells repeated) or nearest.
 
-    Each block first collects its neighbours' values in two line windows, on the small table;
+    Each cell first collects its neighbours' values in two line windows, on the small table;
     one join per pixel then replaces four.
     """
-    one = small.select(*FRAME, F.col("y").alias("_ty"), F.col("x").alias("_tx"), *linear, *near)
-    if linear:
-        across = Window.partitionBy(*FRAME, "_ty").orderBy("_tx")
-        down = Window.partitionBy(*FRAME, "_tx").orderBy("_ty")
-        for v in linear:
-            one = one.withColumn(f"_{v}", F.array(F.coalesce(F.lag(v).over(across), v), F.col(v), F.coalesce(F.lead(v).over(across), v)))
-        for v in linear:
-            mid = F.col(f"_{v}")
-            one = one.withColumn(f"_g{v}", F.array(F.coalesce(F.lag(mid).over(down), mid), mid, F.coalesce(F.lead(mid).over(down), mid)))
-        one = one.drop(*linear, *[f"_{v}" for v in linear])
-    keyed = full.withColumns({"_ty": F.floor(F.col("y") / factor).cast("int"), "_tx": F.floor(F.col("x") / factor).cast("int")})
+    sides = {"y": F.col("h"), "x": F.col("w")}
+    own = {p: nearest_cell(F.col(p), n, factor) for p, n in sides.items()}
+    if not linear:
+        one = small.select(*FRAME, F.col("y").alias("_ty"), F.col("x").alias("_tx"), *near)
+        return full.withColumns({f"_t{p}": c for p, c in own.items()}).join(one, [*FRAME, "_ty", "_tx"]).drop("_ty", "_tx")
+    taken = [*linear, *near]
+    one = small.select(*FRAME, F.col("y").alias("_ty"), F.col("x").alias("_tx"), *taken)
+    across = Window.partitionBy(*FRAME, "_ty").orderBy("_tx")
+    down = Window.partitionBy(*FRAME, "_tx").orderBy("_ty")
+    around = lambda v, w: F.array(F.coalesce(F.lag(v).over(w), v), v, F.coalesce(F.lead(v).over(w), v))
+    one = one.withColumns({f"_{v}": around(F.col(v), across) for v in taken})
+    one = one.withColumns({f"_g{v}": around(F.col(f"_{v}"), down) for v in taken}).drop(*taken, *[f"_{v}" for v in taken])
+    # the cell under the pixel's centre, and the centre's distance from that cell's, in cells
+    centre = {p: (2 * F.col(p) + 1) * coarse_side(n, factor) / (2 * n) for p, n in sides.items()}
+    keyed = full.withColumns({f"_t{p}": F.floor(c).cast("int") for p, c in centre.items()})
     out = keyed.join(one, [*FRAME, "_ty", "_tx"])
+    off = {p: c - 0.5 - F.col(f"_t{p}") for p, c in centre.items()}
+    other = {p: F.when(c < 0, 0).otherwise(2) for p, c in off.items()}
+    cell = {p: 1 + c - F.col(f"_t{p}") for p, c in own.items()}
 
     def blend(v):
-        def side(pos):  # offset of the pixel centre from its block centre, in blocks
-            off = ((F.col(pos) % factor) + 0.5) / factor - 0.5
-            return F.when(off < 0, 0).otherwise(2), F.abs(off)
-        (iy, wy), (ix, wx) = side("y"), side("x")
-        g = F.col(f"_g{v}")
-        row = lambda r: r[1] * (1 - wx) + r[ix] * wx
-        return row(g[1]) * (1 - wy) + row(g[iy]) * wy
-
-    return (out.withColumns({v: blend(v) for v in linear}) if linear else out).drop("_ty", "_tx", *[f"_g{v}" for v in linear])
+        g, (wy, wx) = F.col(f"_g{v}"), (F.abs(off["y"]), F.abs(off["x"]))
+        row = lambda r: r[1] * (1 - wx) + r[other["x"]] * wx
+        return row(g[1]) * (1 - wy) + row(g[other["y"]]) * wy
+
+    values = {v: blend(v) for v in linear} | {v: F.col(f"_g{v}")[cell["y"]][cell["x"]] for v in near}
+    return out.withColumns(values).drop("_ty", "_tx", *[f"_g{v}" for v in taken])

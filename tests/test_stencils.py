@@ -83,3 +83,66 @@ def test_stencil_plan_places_frames_once(frame):
     d = structure_penalty(frame(np.random.default_rng(5).random((6, 6)), "lum"))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
+
+
+def odd_frame(spark, sizes):
+    """Frames of the given sizes with the columns that the weights need."""
+    rows = []
+    for number, (h, w) in enumerate(sizes):
+        rng = np.random.default_rng(number)
+        v = rng.random((h, w, 9))
+        rows += [(1, number, y, x, h, w, *v[y, x].tolist(), *(0.6 * v[y, x, :3]).tolist()) for y in range(h) for x in range(w)]
+    names = ["r", "g", "b", "score", "cross", "confidence", "cross_support", "removed_support", "structure", "sr", "sg", "sb"]
+    return spark.createDataFrame(rows, ["scene", "frame", "y", "x", "h", "w", *names])
+
+
+def test_no_pixel_is_lost_for_any_size(spark):
+    from glintframe.operators.feather import feather_weights, hysteresis_weights
+    from glintframe.operators.matte import matte_weights
+
+    sizes = [(10, 10), (9, 13), (3, 18)]
+    df = odd_frame(spark, sizes)
+    want = {i: h * w for i, (h, w) in enumerate(sizes)}
+    for weights in (matte_weights, feather_weights, hysteresis_weights):
+        out = weights(df, factor=4)
+        got = {r.frame: r.n for r in out.groupBy("frame").agg(F.countDistinct("y", "x").alias("n")).collect()}
+        assert got == want, weights.__name__
+        assert out.where("base_weight is null or base_weight < 0 or base_weight > 1").count() == 0
+
+
+def test_area_means_count_shares(spark, frame):
+    a = np.arange(35.0).reshape(5, 7)
+    small = W.downsample_area(frame(a), 2, ["v"])  # 2 x 3 cells of 2.5 x 7/3 pixels
+    fine = np.repeat(np.repeat(a, 2, axis=0), 3, axis=1).reshape(2, 5, 3, 7).mean(axis=(1, 3))
+    got = {(r.y, r.x): r.v for r in small.collect()}
+    assert len(got) == 6
+    for (y, x), v in got.items():
+        assert abs(v - fine[y, x]) < 1e-9
+
+
+def test_relaxation_solves_the_four_neighbour_equation(spark):
+    import pandas as pd
+    from glintframe.operators.matte import _relax
+
+    rng = np.random.default_rng(5)
+    h, w = 6, 7
+    right, down = rng.random((h, w)), rng.random((h, w))
+    right[:, -1], down[-1] = 0, 0
+    want, trust, pinned = rng.random((h, w)), rng.random((h, w)) + 0.3, rng.random((h, w)) < 0.2
+    m = want.copy()
+    for _ in range(9):
+        new = m.copy()
+        for y in range(h):
+            for x in range(w):
+                near = [(y, x + 1, right[y, x]), (y + 1, x, down[y, x])]
+                near += [(y, x - 1, right[y, x - 1])] * (x > 0) + [(y - 1, x, down[y - 1, x])] * (y > 0)
+                near = [(a, b, 1.5 * k) for a, b, k in near if k]
+                if not pinned[y, x]:
+                    new[y, x] = (trust[y, x] * want[y, x] + sum(k * m[a, b] for a, b, k in near)) / (trust[y, x] + sum(k for *_, k in near))
+        m = new
+    yy, xx = np.mgrid[:h, :w]
+    pdf = pd.DataFrame({"scene": 1, "frame": 1, "y": yy.ravel(), "x": xx.ravel(), "likelihood": want.ravel(), "trust": trust.ravel(),
+                        "right": right.ravel(), "down": down.ravel(), "pinned": pinned.ravel().astype(int), "own": True}).sample(frac=1, random_state=1)
+    out = _relax(9, 1.5)(pdf)
+    for r in out.itertuples():
+        assert abs(r.matte - m[r.y, r.x]) < 1e-12
