@@ -250,6 +250,6 @@ def contamination(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, unchanged; rows that share an id go if one of them is contaminated."""
-    bad = contamination(occurrences(docs, benchmark, width)).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are not contaminated, unchanged; rows that share an id, or have none, go if one of them is."""
+    bad = contamination(occurrences(docs, benchmark, width)).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti").select(*docs.columns)

@@ -68,7 +68,7 @@ def _is_out(tag: str, at: dict[str, str], article: bool) -> bool:
         return tag == "header" and not article
     words = {w.lower() for w in _TOKEN.findall(f"{at.get('class', '')} {at.get('id', '')}")}
     if tag == "article":
-        return bool(words & _COMMENTS)
+        return any(c.lower() in _COMMENTS or c.lower().startswith("comment") for c in f"{at.get('class', '')} {at.get('id', '')}".split())
     if "hidden" in at or re.search(r"display\s*:\s*none", at.get("style", ""), re.I):
         return True
     return bool(words & _HINTS) or not article and (tag == "header" or bool(words & _HEADER))

@@ -137,8 +137,18 @@ class Lexicon:
 
 
 def select_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int, keep: int = LEXICON) -> dict[str, float]:
-    """Entries from counts ``(term, toxic, clean)``: short ones first, longer ones only if they weigh clearly more."""
-    weights = {}
+    """Entries from counts ``(term, toxic, clean)``: short ones first, longer ones only if they weigh clearly more.
+
+    A short entry is then drawn out to the longest one that stands for nine tenths of its words.
+    """
+    weights, longest = {}, {}
+    counts = {term: a for term, a, _ in rows}
+    for term, a in counts.items():
+        word = term.rstrip()
+        if word == term or len(word) > PREFIX[-1] + 1:
+            for short in (term[:n + 1] for n in PREFIX if n + 1 <= len(word)):
+                if a >= 0.9 * counts.get(short, a + 1) and len(term) > len(longest.get(short, short)):
+                    longest[short] = term
     for term, a, b in rows:
         weight = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         if weight >= LEAST_WEIGHT:
@@ -149,7 +159,7 @@ def select_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int, kee
         if weights[term][0] > 1.3 * max(wider, default=0):
             out[term] = round(weights[term][0], 6)
     best = sorted(out, key=lambda t: (-out[t] * math.sqrt(weights[t][1]), t))[:keep]
-    return {t: out[t] for t in sorted(best)}
+    return {longest.get(t, t): out[t] for t in sorted(best)}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
