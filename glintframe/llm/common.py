@@ -38,3 +38,18 @@ def per_batch(fn: Callable[[dict[str, pa.Array]], dict[str, object]], schema: pa
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in schema for x in [out[f.name]]], schema=schema)
 
     return run
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called by a task that begins: what other operators remembered in this worker goes.
+
+    Workers outlive their tasks, and so do memories of words. ``forget`` clears that of the operator ``name``.
+    """
+    for other in [n for n in _memories if n != name]:
+        _memories.pop(other)()
+    if forget is not None:
+        _memories[name] = forget
+    pa.default_memory_pool().release_unused()

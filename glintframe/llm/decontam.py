@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glintframe.llm.common import octets
+from glintframe.llm.common import octets, sole_memory
 
 WINDOW = 13
 SHARD_SYMBOLS = 1 << 20  # symbols of one index
@@ -190,6 +190,7 @@ def _scan(phrases: Phrases):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _HITS)], schema=_HITS)
 
     def run(batches):
+        sole_memory("decontam")
         docs, parts, symbols, known = [], [], 0, phrases.vocabulary.get
         for batch in batches:
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), octets(batch.column(2))):

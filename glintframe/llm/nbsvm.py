@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glintframe.llm.common import octets, partitions, remainder
+from glintframe.llm.common import octets, partitions, remainder, sole_memory
 
 BITS = 18  # features are hashed to so many bits
 SAMPLE = 8000  # labelled documents that the hinge-loss model is fitted on; all of them count for the ratios
@@ -79,6 +79,7 @@ def _indicators(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 def _count(batches):
     """Documents of either class that hold each feature, summed over the task; a row for each stretch of features."""
+    sole_memory("nbsvm", _words.clear)
     held = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         for text, label in zip(octets(batch.column(0)), batch.column(1).to_pylist()):
@@ -200,6 +201,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2^18 numbers
 
     def run(batches):
+        sole_memory("nbsvm", _words.clear)
         m = shared.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(features(x)) for x in octets(b.column(1))], pa.float64())], schema=_SCORE)
@@ -239,6 +241,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
+        sole_memory("nbsvm", _words.clear)
         return texts.map(lambda x: shared.value.score(features((x or "").encode())))
 
     return docs.where(judge(F.col("text").cast("string")) >= threshold)

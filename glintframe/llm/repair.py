@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from glintframe.llm.common import octets, partitions
+from glintframe.llm.common import octets, partitions, sole_memory
 
 END = 2
 SHARD_TOKENS = 1 << 20
@@ -172,6 +172,7 @@ _SHARD_DDL = ("part int, shard int, before long, n_tokens long, first int, doc_i
 
 def _write_shards(path: str, end: int, per_shard: int):
     def run(batches):
+        sole_memory("repair", _ENCODERS.clear)
         encode, part = encoder(path), TaskContext.get().partitionId()
         number = before = 0
         ids: list = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from glintframe.llm.common import octets, partitions, per_batch
+from glintframe.llm.common import octets, partitions, per_batch, sole_memory
 from glintframe.llm.components import components
 from glintframe.session import materialize
 
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)`` of every document; null and empty texts have fingerprint 0."""
 
     def run(c):
+        sole_memory("simhash")
         return {"doc_id": c["doc_id"], "fp": np.array([fingerprint(x) for x in octets(c["text"])], np.uint64).view(np.int64)}
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(run, _FP), "doc_id long, fp long")
@@ -96,6 +97,7 @@ def _links_of_tiles(distance: int):
         return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], schema=_LINK)
 
     def run(batches):
+        sole_memory("simhash")
         tile, fp = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
         for x in batches:
             tile = np.concatenate([tile, np.stack([x.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)])
