@@ -10,7 +10,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from glintframe.llm.common import octets, partitions
+from glintframe.llm.common import octets, partitions, sole_memory
 from glintframe.llm.decontam import words
 from glintframe.llm.hpylm import pack, unpack
 from glintframe.session import materialize
@@ -21,6 +21,9 @@ SHARD_DOCS = 1 << 14
 SHARD_WORDS = 1 << 23
 BLOCK = 32  # documents under one block maximum
 COMMON = 32  # a term in more than a 32nd of the shard's documents is bounded by block maxima first
+DENSE = 1 << 23  # places of the table of common terms
+PIVOTS = 3
+ROUGH = 1e-5  # share that a score summed in single precision may be off, generously
 DIGITS = 6  # of a score
 
 _INDEX = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_words", pa.int64()), ("docs", pa.binary()), ("terms", pa.binary()), ("postings", pa.binary())])
@@ -90,26 +93,34 @@ class Shard:
         self.terms, self.df = unpack(terms)
         self.doc, self.tf = unpack(postings)
         self.start = np.r_[0, np.cumsum(self.df.astype(np.int64))]
+        self.place = np.repeat(np.arange(len(self.df)) * len(self.ids), self.df) + self.doc
         self.norm = K1 * (1 - B + B * length / (mean_length or 1.0))
-        self.weight = self.tf * (K1 + 1) / (self.tf + self.norm[self.doc])
         n = len(self.ids)
+        tf = self.tf.astype(np.float64)
+        self.weight = tf * (K1 + 1) / (tf + self.norm[self.doc])
         often = np.flatnonzero(self.df.astype(np.int64) * COMMON > n)
+        often = often[np.argsort(-self.df[often].astype(np.int64), kind="stable")][:DENSE // max(1, n)]
         self.row = np.full(len(self.terms), -1, np.int64)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n), np.uint32)
-        blocks = -(-n // BLOCK)
-        self.highest = np.zeros((len(often), blocks))
+        self.blocks = -(-n // BLOCK)
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
         for i, t in enumerate(often.tolist()):
-            at = slice(self.start[t], self.start[t + 1])
-            self.dense[i, self.doc[at]] = self.tf[at]
-            np.maximum.at(self.highest[i], self.doc[at] // BLOCK, self.weight[at])
+            self.dense[i, self.doc[self.start[t]:self.start[t + 1]]] = self.weight[self.start[t]:self.start[t + 1]]
+        self.highest = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2).astype(np.float64)
+
+    def _exact(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What some terms add to some documents, from the postings, which are in order of term and document."""
+        want = terms[:, None] * len(self.ids) + docs
+        at = np.minimum(np.searchsorted(self.place, want.ravel()), len(self.place) - 1).reshape(want.shape)
+        return np.where(self.place[at] == want, idf[:, None] * self.weight[at], 0.0).sum(axis=0)
 
     def search(self, query: np.ndarray, idf: np.ndarray, top: int) -> list[tuple[int | None, float]]:
         """The best ``top`` documents: by score, rounded, then by id, those without an id last.
 
         Rare terms are scored first; the k-th of these partial scores is a threshold that no dropped document can
         pass. The common terms then come in order of their largest contribution. At each pivot a document stays only
-        if its score so far and the block maxima of the terms still to come can reach the threshold.
+        if its score so far and the block maxima of the terms still to come can reach the threshold. These scores
+        are good to six digits; what comes within that of the k-th best gets its common terms from the postings again.
         """
         at = np.searchsorted(self.terms, query)
         hit = at < len(self.terms)
@@ -120,29 +131,38 @@ class Shard:
         common = self.row[at] >= 0
         rare, size = at[~common], self.df[at[~common]].astype(np.int64)
         place = np.repeat(self.start[rare] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        score = np.bincount(self.doc[place], self.weight[place] * np.repeat(idf[~common], size), len(self.ids)).astype(np.float64)  # whole numbers if there are none
+        score = np.zeros(self.blocks * BLOCK)
+        if len(place):
+            score += np.bincount(self.doc[place], self.weight[place] * np.repeat(idf[~common], size), len(score))
         rows, weight = self.row[at[common]], idf[common]
-        slack = 10.0 ** -DIGITS
+        exact = score
         if len(rows):
+            score = score.copy()
             bound = self.highest[rows] * weight[:, None]
             order = np.argsort(-bound.max(axis=1), kind="stable")
             rows, weight, bound = rows[order], weight[order], bound[order]
-            rest = np.r_[np.cumsum(bound[::-1], axis=0)[::-1], np.zeros((1, bound.shape[1]))]  # maxima of the terms from each on
-            stay = np.arange(len(score))
-            step = max(1, len(rows) // 6)
+            step = max(1, -(-len(rows) // PIVOTS))
+            rest, stay = bound.sum(axis=0), None
             for i in range(0, len(rows), step):
-                if len(stay) > top:
-                    threshold = np.partition(score[stay], -top)[-top] - slack
-                    stay = stay[score[stay] + rest[i][stay // BLOCK] >= threshold]
-                tf = self.dense[np.ix_(rows[i:i + step], stay)]
-                score[stay] += weight[i:i + step] @ (tf * (K1 + 1) / (tf + self.norm[stay]))
-            best = stay
+                now = score if stay is None else score[stay]
+                if len(now) > top:
+                    threshold = np.partition(now, -top)[-top] * (1 - ROUGH)
+                    could = now + (np.repeat(rest, BLOCK) if stay is None else rest[stay // BLOCK])
+                    left = np.flatnonzero(could >= threshold)
+                    if 4 * len(left) < len(score):  # else whole rows are faster than single places
+                        stay = left if stay is None else stay[left]
+                w = weight[i:i + step].astype(np.float32)
+                if stay is None:
+                    score += w @ self.dense[rows[i:i + step]]
+                else:
+                    score[stay] += w @ self.dense[rows[i:i + step][:, None], stay]
+                rest = rest - bound[i:i + step].sum(axis=0)
+            best = np.flatnonzero(score > 0) if stay is None else stay[score[stay] > 0]
         else:
             best = np.flatnonzero(score > 0)
-        best = best[score[best] > 0]
         if len(best) > top:
-            best = best[score[best] >= np.partition(score[best], -top)[-top] - slack]
-        value = np.round(score[best], DIGITS)
+            best = best[score[best] >= np.partition(score[best], -top)[-top] * (1 - ROUGH) - 10.0 ** -DIGITS]
+        value = np.round(exact[best] + self._exact(best, at[common], idf[common]), DIGITS)
         order = np.lexsort((self.ids[best], self.missing[best], -value))[:top]
         return [(None if self.missing[d] else int(self.ids[d]), float(v)) for d, v in zip(best[order], value[order])]
 
@@ -152,10 +172,11 @@ _FOUND = pa.schema([("query", pa.int64()), ("ask", pa.int64()), ("doc_id", pa.in
 
 def _search(n_docs: int, mean_length: float, top: int):
     def run(batches):
+        sole_memory("bm25")
         number, shard = None, None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if r["kind"] == 0:
                     number, shard = r["shard"], Shard(r["docs"], r["terms"], r["postings"], mean_length)
                 elif r["shard"] == number:
