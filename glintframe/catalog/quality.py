@@ -60,7 +60,7 @@ _FROWS = ("fr", "select scene, frame, count(*) pixels, count(*) filter (where pr
     {', '.join(f'{r6(n)} {n}' for n in _M)}, {r6('fusion_cie76_delta_e_mean/greatest(direct_cie76_delta_e_mean,1e-8::double)')} fusion_to_direct_delta_e_ratio,
     {r6('fusion_highpass_rmse/greatest(direct_highpass_rmse,1e-8::double)')} fusion_to_direct_highpass_rmse_ratio from fr""", *_FEAT, _FROWS))
 def fidelity_rows(spark, sf):
-    return rounded(Q.fusion_to_direct(Q.fidelity_rows(_features(spark, sf), minimum=4)))
+    return rounded(Q.fusion_to_direct(Q.fidelity_rows(_features(spark, sf), minimum=4, strict=False)))
 
 
 _SHOWN = ["protected_percent", "direct_cie76_delta_e_mean", "fusion_cie76_delta_e_mean", "direct_highpass_correlation", "fusion_highpass_correlation", "direct_edge_energy_ratio", "fusion_edge_energy_ratio"]
@@ -69,7 +69,7 @@ _SHOWN = ["protected_percent", "direct_cie76_delta_e_mean", "fusion_cie76_delta_
 @query("fidelity_summary", "A8 U2", duck("paired_rgb", f"select scene, metric, count(v)::bigint frames, {r6('avg(v)')} mean, {r6('quantile_cont(v,0.5)')} median, {r6('quantile_cont(v,0.25)')} q25, {r6('quantile_cont(v,0.75)')} q75 from (" + " union all ".join(
     f"select {s} scene, '{m}' metric, {m}::double v from fr" for m in _SHOWN for s in ("scene::varchar", "'All'")) + ") where v is not null group by 1,2", *_FEAT, _FROWS))
 def fidelity_summary(spark, sf):
-    return rounded(Q.summary_stats(Q.fidelity_rows(_features(spark, sf), minimum=4), _SHOWN))
+    return rounded(Q.summary_stats(Q.fidelity_rows(_features(spark, sf), minimum=4, strict=False), _SHOWN))
 
 
 @query("masked_statistics", "A9", duck("grid", f"select scene, frame, count(*) filter (where raw<0.075::double)::bigint masked_pixels, {r6('avg(raw) filter (where raw<0.075::double)')} mean, {r6('quantile_cont(raw,0.5) filter (where raw<0.075::double)')} median, {r6(_corr('raw', 'outp', 'raw<0.075::double'))} correlation from grid group by 1,2"))

@@ -107,15 +107,15 @@ def fuse_score(single, structure, app, cross=0.0, stable=0.0, removed=0.0, *,
                cross_weight: float = 1.0, structure_weight: float = 0.72,
                stable_weight: float = 0.35, rescue_weight: float = 0.95,
                removed_weight: float = 0.85) -> Column:
-    """Final score of one pixel from its single-view score and the supporting evidence.
+    """Final score of one pixel from its single-view score and the supporting evidence, all taken within [0, 1].
 
     Structure lowers the score unless independent evidence rescues it; stable
     structure lowers it further; strong support lifts it.
     """
     unit = lambda w: min(max(float(w), 0.0), 1.0)
-    s = col(single)
-    cs, rs = evidence_support(cross, app), evidence_support(removed, app)
-    vetoed = col(structure) * (1.0 - unit(rescue_weight) * F.greatest(cs, rs))
+    s, stable = clip(single), clip(stable)
+    cs, rs = evidence_support(clip(cross), app), evidence_support(clip(removed), app)
+    vetoed = clip(structure) * (1.0 - unit(rescue_weight) * F.greatest(cs, rs))
     lowered = s * (1.0 - unit(structure_weight) * vetoed) * (1.0 - unit(stable_weight) * col(stable) * vetoed)
     support = F.greatest(max(cross_weight, 0.0) * cs, max(removed_weight, 0.0) * rs)
     top = max(cross_weight, removed_weight, 0.0)
@@ -208,7 +208,11 @@ def format_spread(median, q25, q75, digits: int = 2) -> Column:
                     F.lit(", "), format_display(q75, digits), F.lit("]"))
 
 
+# The modes that read the threshold.
+THRESHOLDED = ("soft", "hard", "adaptive_feather", "weak_hysteresis_feather", "weak_hysteresis_outer_feather", "evidence_matte")
+
+
 def experiment_tag(mode, threshold) -> Column:
-    """``mode_t0.3`` for thresholded modes, the bare mode otherwise."""
+    """``mode_t0.3`` for the modes that read the threshold, the bare mode otherwise."""
     text = F.regexp_replace(F.regexp_replace(_number(threshold, "0.000000"), "0+$", ""), r"\.$", "")
-    return F.when(col(mode) == "removed_only", col(mode)).otherwise(F.concat(col(mode), F.lit("_t"), text))
+    return F.when(col(mode).isin(*THRESHOLDED), F.concat(col(mode), F.lit("_t"), text)).otherwise(col(mode))

@@ -32,17 +32,18 @@ def check_totals(check_rows: DataFrame, keys=()) -> DataFrame:
 def set_digest(files: DataFrame, group: str, name: str = "name", digest: str = "actual") -> DataFrame:
     """Count and SHA-256 of the lines ``name NUL HASH newline`` of every set, in name order.
 
-    The digest of a set is sequential by definition. Sets are placed and sorted by Spark (spilling
+    The digest of a set is sequential by definition; rows without a set name form a set of their own. Sets are placed and sorted by Spark (spilling
     to disk), and each task feeds the short lines through one running hash, holding no set in memory.
     """
     kind = files.schema[group].dataType.simpleString()
-    lines = place(files.select(F.col(group).alias("g"), F.col(name).alias("n"), F.upper(digest).alias("d")), "g").sortWithinPartitions("g", "n")
+    lines = place(files.select(F.col(group).alias("g"), F.coalesce(F.col(name), F.lit("")).alias("n"), F.coalesce(F.upper(digest), F.lit("")).alias("d")), "g").sortWithinPartitions("g", "n")
 
     def run(batches):
         open_set, state, count = None, None, 0
         for b in batches:
             done = []
-            for key, rows in b.groupby("g", sort=False):
+            for key, rows in b.groupby("g", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
                 if state is None or key != open_set:
                     if state is not None:
                         done.append((open_set, count, state.hexdigest().upper()))
@@ -99,9 +100,9 @@ def compare_documents(pairs: DataFrame, key: str, actual: str = "actual", refere
         keys = lambda m: F.array_sort(F.map_keys(m))
         fits = F.when(mapping, keys("ma") == keys("mr")).when(sequence, F.size("la") == F.size("lr"))
         near = F.abs(F.col("na") - F.col("nr")) <= F.greatest(relative * F.greatest(F.abs("na"), F.abs("nr")), F.lit(absolute))
-        text = (F.when(mapping & F.col("ma").isNull(), "expected a mapping").when(mapping & ~fits, "key mismatch")
-                .when(sequence & (F.col("la").isNull() | ~fits), "sequence shape mismatch")
-                .when(numeric & F.col("na").isNull(), "non-numeric value")
+        text = (F.when(mapping & F.col("ma").isNull(), "not an object").when(mapping & ~fits, "other keys")
+                .when(sequence & (F.col("la").isNull() | ~fits), "not a list of this length")
+                .when(numeric & F.col("na").isNull(), "not a number")
                 .when(numeric & (F.isnan("na") | F.isnan("nr") | ~near), "values differ")
                 .when(~mapping & ~sequence & ~numeric & ((F.col("ka") != F.col("kr")) | (F.to_json("a") != F.to_json("r"))), "values differ"))
         here = d.select(key, "location", text.alias("difference")).where("difference is not null")

@@ -103,7 +103,7 @@ def hard(df: DataFrame, *, threshold: float = 0.3, **_) -> DataFrame:
 
 def _sized(df: DataFrame, short_side: int | None, weights) -> DataFrame:
     """Recomposed frames from ``weights(rows, short_side)``, size by size."""
-    from glintframe.operators.matte import per_frame_size
+    from glintframe.operators.stencil import per_frame_size
     return per_frame_size(df, lambda d, side: lab_recompose(weights(d, side), side), short_side)
 
 

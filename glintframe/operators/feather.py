@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import clip, lum601, smoothstep, view_evidence, weak_boost, zero_floor_sigmoid
-from glintframe.operators.matte import coarse_evidence, guided_weights, per_frame_size
+from glintframe.operators.matte import coarse_evidence, guided_weights
 from glintframe.operators.regions import evidence_override, filled_members, keep_seeded, label_regions, region_gain, region_geometry
-from glintframe.operators.stencil import FRAME, along, colocate, dilate, downsample_area, gaussian_blur, morph_close, sobel
+from glintframe.operators.stencil import FRAME, along, colocate, dilate, downsample_area, gaussian_blur, morph_close, per_frame_size, sobel
 from glintframe.operators.stencil import _images
 from glintframe.session import materialize
 

@@ -52,7 +52,7 @@ def fidelity_features(df: DataFrame, variants=("s", "f")) -> DataFrame:
     return d
 
 
-def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"}, minimum: int = 100, strict: bool = False) -> DataFrame:
+def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"}, minimum: int = 100, strict: bool = True) -> DataFrame:
     """One row per frame with ten metrics per variant and two fused-to-direct ratios."""
     prot, edge = F.col("protected"), F.col("edge")
     n = F.count(F.lit(1))

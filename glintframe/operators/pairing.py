@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import col, stem
+from glintframe.session import materialize
 
 
 def last_by_key(files: DataFrame, keys=("scene", "frame"), order: str = "path") -> DataFrame:
@@ -96,32 +97,22 @@ def key_difference(first: DataFrame, second: DataFrame, keys) -> DataFrame:
 
 # --- picking rows by position -------------------------------------------
 
-def scene_position(df: DataFrame, order: list, scene=("scene",), name: str = "position",
-                   bucket=None) -> DataFrame:
-    """Zero-based position of each row in its scene, without ordering a scene in one task.
+def scene_position(df: DataFrame, order: list, scene=("scene",), name: str = "position") -> DataFrame:
+    """Zero-based position of each row in its scene, and the rows of the scene as ``<name>_count``.
 
-    Rows fall into ranges of the first order column (or of ``bucket``, a monotone expression of it);
-    a row's position is the count of the earlier ranges plus its rank in its own range. By default a
-    scene has one range per 4096 rows, at most 100 000, spread evenly between its extremes.
+    Rows are dealt into ranges of equal size by (scene, order), of any type and with any outliers, and sorted inside
+    each; a row's position is its place in its range plus the scene's rows in earlier ranges. One count for each
+    range and scene is all that is summed up. The sorted rows are written once: both readers see one order.
     """
-    if bucket is None:
-        v = col(order[0]).cast("double")
-        spread = df.groupBy(*scene).agg(F.min(v).alias("_least"), (F.max(v) - F.min(v)).alias("_span"),
-                                        F.least(F.ceil(F.count(F.lit(1)) / 4096), F.lit(100_000)).alias("_ranges"))
-        share = F.coalesce(F.try_divide(v - F.col("_least"), F.col("_span")), F.lit(0.0))
-        tagged = (df.join(spread, list(scene)).withColumn("_bucket", F.least(F.floor(share * F.col("_ranges")), F.col("_ranges") - 1))
-                  .drop("_least", "_span", "_ranges"))
-    else:
-        tagged = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy(*scene).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*scene, *order]
+    placed = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
     whole = Window.partitionBy(*scene)
-    offsets = (tagged.groupBy(*scene, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .withColumn("_total", F.sum("_n").over(whole)).drop("_n"))
-    ranked = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy(*scene, "_bucket").orderBy(*order)))
-    return (ranked.join(offsets, [*scene, "_bucket"])
-            .withColumn(name, F.col("_before") + F.col("_rank") - 1)
-            .withColumnRenamed("_total", f"{name}_count").drop("_bucket", "_rank", "_before"))
+    before = F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    heads = (placed.groupBy(*scene, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+             .select(*scene, "_range", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(f"{name}_count")))
+    return (placed.join(heads, [*scene, "_range"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
+            .select(*df.columns, name, f"{name}_count"))
 
 
 def holdout_every(frames: DataFrame, every: int = 8, scene=("scene",), frame="frame") -> DataFrame:

@@ -57,9 +57,11 @@ def _solve(batches):
         yield out
 
 
-def similarity_fit(poses: DataFrame) -> DataFrame:
+def similarity_fit(poses: DataFrame, strict: bool = True) -> DataFrame:
     """Least-squares similarity raw -> other per scene.
 
+    A scene with fewer than three cameras raises; with ``strict=False`` it has no row.
+
     Means and the cross-covariance are ordinary aggregates; only one small row per scene
     reaches Python, for the 3x3 decomposition. The fits are written once, since plans read
     them several times.
@@ -68,7 +70,10 @@ def similarity_fit(poses: DataFrame) -> DataFrame:
     aggs += [F.avg(c).alias(f"m{c}") for c in RAW + OTHER]
     aggs += [F.covar_pop(o, c).alias(f"k{i}{j}") for i, o in enumerate(OTHER) for j, c in enumerate(RAW)]
     aggs += [(F.var_pop("cx") + F.var_pop("cy") + F.var_pop("cz")).alias("variance")]
-    sums = poses.groupBy("scene").agg(*aggs).where(F.col("cameras") >= 3)
+    enough = F.col("cameras") >= 3
+    if strict:
+        enough = F.when(enough, True).otherwise(F.raise_error(F.lit("fewer than three cameras in a scene")).cast("boolean"))
+    sums = poses.groupBy("scene").agg(*aggs).where(enough)
     kind = poses.schema["scene"].dataType.simpleString()
     schema = f"scene {kind}, cameras bigint, scale double, tx double, ty double, tz double, gw double, gx double, gy double, gz double"
     return materialize(sums.mapInPandas(_solve, schema))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glintframe.functions.scalar import clip
 from glintframe.operators.pairing import stride_sample
 from glintframe.operators.quantiles import robust_normalize
-from glintframe.operators.stencil import FRAME, box_mean, coherence, colocate, gradient, guided_base, odd
+from glintframe.operators.stencil import FRAME, box_mean, coherence, colocate, gradient, guided_base, odd, per_frame_size
 from glintframe.operators.tracks import robust_affine
 
 CUES = ("base", "positive", "negative", "paired", "paired_nb", "coherence", "edge", "edge_nb")
@@ -41,17 +41,18 @@ def removed_kernel(h: int, w: int, ratio: float = 0.02, least: int = 31) -> int:
     return odd(max(least, int(round(min(h, w) * ratio))))
 
 
-def removed_light(df: DataFrame, before: str = "lum", after: str = "lum_after", *, kernel: int = 31,
-                  max_samples: int = 200_000, min_samples: int = 100) -> DataFrame:
+def removed_light(df: DataFrame, before: str = "lum", after: str = "lum_after", *, kernel: int | None = None,
+                  max_samples: int | None = None, min_samples: int = 100) -> DataFrame:
     """Broad brightness removed by a suppressed variant, in [0, 1].
 
-    The variant is exposure-aligned per frame on a strided sample, then the positive rest is
-    box-averaged and normalised.
+    The variant is exposure-aligned per frame, on all its pixels or on a strided sample of ``max_samples``; then the
+    positive rest is box-averaged and normalised. Without ``kernel`` its width follows the size of each frame.
     """
-    sample = stride_sample(df, max_samples).select(*FRAME, F.col(after).alias("_x"), F.col(before).alias("_y"))
+    sample = (df if max_samples is None else stride_sample(df, max_samples)).select(*FRAME, F.col(after).alias("_x"), F.col(before).alias("_y"))
     fits = robust_affine(sample, FRAME, "_x", "_y", min_samples=min_samples)
     aligned = df.join(fits, FRAME).withColumn("_al", clip(F.col("gain") * F.col(after) + F.col("offset"))).drop("gain", "offset")
-    d = colocate(aligned).withColumn("_rm", F.greatest(F.col(before) - F.col("_al"), F.lit(0.0)))
-    d = box_mean(d, {"_bm": F.col("_rm")}, kernel)
+    d = aligned.withColumn("_rm", F.greatest(F.col(before) - F.col("_al"), F.lit(0.0)))
+    mean = lambda rows, side: box_mean(colocate(rows), {"_bm": F.col("_rm")}, kernel or removed_kernel(side, side))
+    d = mean(d, 0) if kernel else per_frame_size(d, mean, None)
     d = robust_normalize(d, {"removed": (F.greatest(F.col("_bm") - 0.01, F.lit(0.0)), 0.99)})
     return d.drop("_al", "_rm", "_bm")

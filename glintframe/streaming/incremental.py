@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glintframe.operators.suppression import transition_matrix
+from glintframe.session import materialize
 
 
 def _guard(spark: SparkSession, path: str, parameters: dict) -> None:
@@ -23,32 +24,54 @@ def _guard(spark: SparkSession, path: str, parameters: dict) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/_parameters")
 
 
-def evaluate_new_frames(stream: DataFrame, evaluate, output: str, parameters: dict, keys=("scene", "frame")) -> None:
+def _folders(spark: SparkSession, output: str, name: str) -> list[tuple[int, str]]:
+    """Batch number and path of the folders ``name=number`` under ``output``, in order."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{output}/{name}=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().toString() for s in fs.globStatus(pattern) or []]
+    return sorted((int(p.rsplit("=", 1)[1]), p) for p in found)
+
+
+def _last(spark: SparkSession, output: str, name: str, before: int) -> DataFrame | None:
+    """The newest written state of an earlier batch."""
+    older = [p for i, p in _folders(spark, output, name) if i < before]
+    return spark.read.parquet(older[-1]) if older else None
+
+
+def evaluate_new_frames(stream: DataFrame, evaluate, output: str, parameters: dict, keys=("scene", "frame"), pixel=("y", "x"), expected: str | None = None) -> None:
     """Run ``evaluate`` on frames without output and append their rows.
 
-    ``stream`` is a file stream of pixel rows, one frame per file. Each micro-batch overwrites its
-    own folder, so a batch that is run again after a failure leaves no duplicates, and frames
-    delivered twice are dropped against the rows of earlier batches.
+    ``stream`` is a file stream of pixel rows. A pixel that comes twice, in one micro-batch or in several, counts
+    once; frames that have output already are dropped. With ``expected``, a column that tells the pixels of the
+    frame, a frame in several files waits until it is whole; without it a frame is whole in the batch that brings it.
+    Each micro-batch overwrites its own folders, so a batch that is run again after a failure leaves no duplicates.
     """
-    spark = stream.sparkSession
+    spark, keys = stream.sparkSession, list(keys)
     _guard(spark, output, parameters)
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        waiting = _last(spark, output, "_waiting", batch_id)
+        rows = batch if waiting is None else batch.unionByName(waiting)
         known = results(spark, output, before=batch_id)
-        fresh = batch if known is None else batch.join(known.select(*keys).distinct(), list(keys), "left_anti")
-        evaluate(fresh).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        if known is not None:
+            rows = rows.join(known.select(*keys).distinct(), keys, "left_anti")
+        rows = rows.dropDuplicates([*keys, *pixel])
+        if expected is not None:
+            # one writing for both readers: what is whole and what waits
+            whole = F.count(F.lit(1)).alias("_n"), F.max(expected).alias("_of")
+            rows = materialize(rows)
+            sizes = rows.groupBy(*keys).agg(*whole).where("_n < _of").select(*keys)
+            rows.join(sizes, keys, "left_semi").write.mode("overwrite").parquet(f"{output}/_waiting={batch_id}")
+            rows = rows.join(sizes, keys, "left_anti")
+        evaluate(rows).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{output}/_checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
 
 
 def results(spark: SparkSession, output: str, before: int | None = None) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{output}/batch=*")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath().toString() for s in fs.globStatus(pattern) or []]
-    if before is not None:
-        found = [p for p in found if int(p.rsplit("=", 1)[1]) < before]
+    found = [p for i, p in _folders(spark, output, "batch") if before is None or i < before]
     return spark.read.option("basePath", output).parquet(*found) if found else None
 
 
@@ -57,10 +80,46 @@ def frame_transitions(pixels: DataFrame) -> DataFrame:
     return transition_matrix(pixels, ("scene", "frame"))
 
 
-def running_totals(stream: DataFrame, keys=("scene",)) -> DataFrame:
-    """Streaming totals of per-frame transition rows; a frame delivered again does not count again.
+def running_totals(stream: DataFrame, output: str, keys=("scene",), version: str = "version", horizon: int | None = None) -> None:
+    """Totals of per-frame transition rows, where a frame delivered again replaces what it brought before.
 
-    State holds one key per frame and state pair, never pixels. Write with ``complete`` or ``update``.
+    Of several deliveries of a frame that with the highest ``version`` counts. The state holds the rows of the
+    frames, never pixels; with ``horizon``, frames whose version is that far behind the newest are added to a closed
+    sum for each state pair, and deliveries that far behind are dropped, so the state stays bounded. Each batch writes its own
+    folders and starts from those of the batch before; ``totals`` reads the newest.
     """
-    once = stream.dropDuplicates([*keys, "frame", "before", "after"])
-    return once.groupBy(*keys, "before", "after").agg(F.sum("pixels").alias("pixels"))
+    spark, keys = stream.sparkSession, list(keys)
+    frame, cell = [*keys, "frame"], [*keys, "before", "after"]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        old = _last(spark, output, "_frames", batch_id)
+        closed = _last(spark, output, "_closed", batch_id)
+        rows = batch.select(*frame, "before", "after", "pixels", version)
+        if horizon is not None and old is not None:  # too late: its frame is closed
+            seen = F.broadcast(old.agg(F.max(version).alias("_seen")))
+            rows = rows.crossJoin(seen).where(F.col(version) >= F.coalesce(F.col("_seen") - horizon, F.col(version))).drop("_seen")
+        rows = rows if old is None else rows.unionByName(old)
+        newest = rows.groupBy(*frame).agg(F.max(version).alias(version))
+        rows = rows.join(newest, [*frame, version]).dropDuplicates([*frame, "before", "after"])
+        if horizon is not None:
+            rows = rows.crossJoin(F.broadcast(newest.agg(F.max(version).alias("_newest")))).withColumn("_done", F.col(version) < F.col("_newest") - horizon).drop("_newest")
+            rows = materialize(rows)
+            done = rows.where("_done").select(*cell, "pixels")
+            closed = done if closed is None else done.unionByName(closed)
+            rows = rows.where("not _done").drop("_done")
+        rows.write.mode("overwrite").parquet(f"{output}/_frames={batch_id}")
+        if closed is not None:
+            closed.groupBy(*cell).agg(F.sum("pixels").alias("pixels")).write.mode("overwrite").parquet(f"{output}/_closed={batch_id}")
+
+    (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{output}/_checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def totals(spark: SparkSession, output: str, keys=("scene",)) -> DataFrame | None:
+    """The newest totals of ``running_totals``, or None before the first batch."""
+    cell, now = [*keys, "before", "after"], 1 << 62
+    parts = [d.select(*cell, "pixels") for d in (_last(spark, output, n, now) for n in ("_frames", "_closed")) if d is not None]
+    if not parts:
+        return None
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.groupBy(*cell).agg(F.sum("pixels").alias("pixels"))
