@@ -161,6 +161,50 @@ def planned_trajectory(spark, sf):
     return rounded(uniform_pick(enough, "candidate_index", 30).select("scene", "candidate_index", "sequence_index", "cx", "cy", "cz"))
 
 
+_dot = lambda a, b: f"degrees(acos(greatest(-1,least(1,{'+'.join(f'({x})*({y})' for x, y in zip(_AXIS(a), _AXIS(b)))}))))"
+
+
+def _near_view(name, at):
+    return (f"n{name}", f"""select scene, candidate_index, min_by(nf, (d2, nf)) nf, sqrt(min(d2)) dist from (select a.scene, candidate_index, b.frame nf,
+        {'+'.join(f'power(a.{at}{c}-b.{at}{c},2)' for c in 'xyz')} d2 from cand a join poses b using (scene)) group by 1,2""")
+
+
+_COMMON = [
+    ("cand0", f"select scene, i::bigint candidate_index, {', '.join(f'0.5::double*(a{c}+l_a{c}) c{c}' for c in 'xyz')}, {', '.join(f'v{n}/{_unit(chr(118) + m for m in chr(119) + chr(120) + chr(121) + chr(122))} q{n}' for n in 'wxyz')} from v"),
+    ("cand", "select *, 1.7::double*(-cy)+0.5::double ox, 1.7::double*cx-0.25::double oy, 1.7::double*cz+1 oz, 0.7071067811865476::double*(qw-qz) pw, 0.7071067811865476::double*(qx-qy) px, "
+             "0.7071067811865476::double*(qy+qx) py, 0.7071067811865476::double*(qz+qw) pz from cand0"),
+    ("sother", """select scene, median(d) s from (select a.scene, a.frame, sqrt(min(power(a.ox-b.ox,2)+power(a.oy-b.oy,2)+power(a.oz-b.oz,2))) d
+        from poses a join poses b on a.scene=b.scene and a.frame<>b.frame group by 1,2) group by scene"""),
+    _near_view("raw", "c"), _near_view("other", "o"),
+    ("meas", f"""select c.scene, c.candidate_index, r.dist/s1.s rd, {_dot('c.q', 'tr.q')} ra, o.dist/s2.s od, {_dot('c.p', 'tx.p')} oa from cand c
+        join nraw r using (scene, candidate_index) join nother o using (scene, candidate_index) join poses tr on tr.scene=c.scene and tr.frame=r.nf
+        join poses tx on tx.scene=c.scene and tx.frame=o.nf join spacing s1 on s1.scene=c.scene join sother s2 on s2.scene=c.scene"""),
+    ("elig", "select *, row_number() over (partition by scene order by candidate_index)-1 i, count(*) over (partition by scene) n from meas where rd<=2.25::double and od<=2.25::double and ra<=27.5::double and oa<=27.5::double"),
+    ("pick", "select *, k+1 sequence_index, k::double path_fraction from elig join (select range::bigint k from range(2)) on k*(n-1)=i where n>=2"),
+]
+
+
+def _common(p):
+    return C.plan_common_support(p, 2, _known_fit(p))
+
+
+@query("common_support_views", "W19 W20 J11 P17 P18", duck("poses", f"""select scene, candidate_index, sequence_index::bigint sequence_index, path_fraction, {r6('rd')} raw_distance_in_spacings, {r6('ra')} raw_angle,
+    {r6('od')} other_distance_in_spacings, {r6('oa')} other_angle from pick""", _NEAR, _SPACING, *_ANCHOR, *_COMMON))
+def common_support_views(spark, sf):
+    """Two evenly spaced views of every scene that are supported in both branches by distance and by angle."""
+    views, _ = _common(poses(spark, sf))
+    return rounded(views.select("scene", "candidate_index", "sequence_index", "path_fraction", *[f"{b}_{c}" for b in ("raw", "other") for c in ("distance_in_spacings", "angle")]))
+
+
+@query("common_support_report", "W19 A39 U4", duck("poses", f"""select m.scene, m.candidates, m.eligible, coalesce(p.n,0)::bigint picked, coalesce(p.n,0)::bigint supported, {r6('p.rd')} maximum_raw_distance_in_spacings,
+    {r6('p.ra')} maximum_raw_angle, {r6('p.od')} maximum_other_distance_in_spacings, {r6('p.oa')} maximum_other_angle, case when m.eligible<2 then 'too few views' else 'planned' end status from
+    (select scene, count(*)::bigint candidates, count(*) filter (where rd<=2.25::double and od<=2.25::double and ra<=27.5::double and oa<=27.5::double)::bigint eligible from meas group by 1) m
+    left join (select scene, count(*) n, max(rd) rd, max(ra) ra, max(od) od, max(oa) oa from pick group by 1) p using (scene)""", _NEAR, _SPACING, *_ANCHOR, *_COMMON))
+def common_support_report(spark, sf):
+    """What became of every scene: planned, or why not."""
+    return rounded(_common(poses(spark, sf))[1])
+
+
 @query("azimuth_coverage", "A27", duck("poses", f"""select scene, {r6('max(gap)')} largest_gap, {r6('360-max(gap)')} coverage from
     (select scene, coalesce(lead(a) over (partition by scene order by a), min(a) over (partition by scene)+360)-a gap from
      (select scene, d-360*floor(d/360) a from (select scene, degrees(atan2(cy-avg(cy) over (partition by scene), cx-avg(cx) over (partition by scene))) d from poses))) group by scene"""))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from glintframe.functions.geometry import (inverse_pose, quat, quat_angle_deg, quat_axis_z, quat_midpoint, quat_product,
                                            transform_pose)
 from glintframe.functions.scalar import AUDIT_SUPPORT, PLANNING_SUPPORT, angle_deg, col, percentage, within_support
-from glintframe.operators.pairing import scene_position
+from glintframe.operators.pairing import scene_position, uniform_pick
 from glintframe.operators.quantiles import exact_quantiles
 from glintframe.session import materialize
 
@@ -213,6 +213,36 @@ def midpoint_poses(poses: DataFrame, fit: DataFrame) -> DataFrame:
     return view.withColumns({**dict(zip(OTHER, moved)), **{f"p{n}": c for n, c in zip("wxyz", turn)}}).drop(*FIT)
 
 
+def plan_common_support(poses: DataFrame, wanted: int, fit: DataFrame | None = None, planning=PLANNING_SUPPORT,
+                        audit=AUDIT_SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Evenly spaced midpoint views that lie near training cameras in both branches, and a row for every scene.
+
+    A view is eligible if its nearest camera is close and looks the same way, in the raw branch and in the other;
+    ``wanted`` of them are picked evenly along the path and checked against the audit limits again. Only scenes with
+    enough eligible views whose picks all pass have views; the second table tells what became of each scene
+    (``planned``, ``too few views``, ``audit failed``), with the counts and the largest distances and angles.
+    """
+    fit = similarity_fit(poses) if fit is None else fit
+    views = materialize(midpoint_poses(poses, fit))
+    key = "candidate_index"
+    raw = support_measurement(views, poses, median_spacing(poses), query=key)
+    other = support_measurement(views, poses, median_spacing(poses, OTHER), at=OTHER, turn="p", train_at=OTHER, train_turn="p", query=key)
+    part = lambda d, name: d.select("scene", key, *[F.col(c).alias(f"{name}_{c}") for c in ("distance_in_spacings", "angle")])
+    both = lambda limits: (within_support("raw_distance_in_spacings", "raw_angle", limits) & within_support("other_distance_in_spacings", "other_angle", limits))
+    measured = materialize(views.join(part(raw, "raw"), ["scene", key]).join(part(other, "other"), ["scene", key])
+                           .withColumns({"eligible": both(planning), "within_support": both(audit)}))
+    sizes = measured.groupBy("scene").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("eligible").alias("eligible"))
+    enough = measured.where("eligible").join(sizes.where(F.col("eligible") >= wanted).select("scene"), "scene", "left_semi")
+    picked = uniform_pick(enough, key, wanted)
+    share = F.lit(0.0) if wanted == 1 else (F.col("sequence_index") - 1) / float(wanted - 1)
+    picked = materialize(picked.withColumn("path_fraction", share).drop("eligible"))
+    worst = [F.max(f"{b}_{c}").alias(f"maximum_{b}_{c}") for b in ("raw", "other") for c in ("distance_in_spacings", "angle")]
+    checked = picked.groupBy("scene").agg(F.count(F.lit(1)).alias("picked"), F.count_if("within_support").alias("supported"), *worst)
+    report = sizes.join(checked, "scene", "left").fillna(0, ["picked", "supported"])
+    report = report.withColumn("status", F.when(F.col("eligible") < wanted, "too few views").when(F.col("supported") < wanted, "audit failed").otherwise("planned"))
+    return picked.join(report.where("status = 'planned'").select("scene"), "scene", "left_semi"), report
+
+
 def azimuth_coverage(poses: DataFrame, at=RAW, slots: int = 3600) -> DataFrame:
     """360 degrees minus the largest empty arc around the mean centre.
 
