@@ -25,7 +25,7 @@ def _verified(spark, sf):
     return A.verify_join(e, files(spark, sf).where("frame % 13 <> 5").select("frame", "actual"), ["frame"])
 
 
-@query("hash_verification", "J14 S13 R8", duck("files expected", "select frame, expected, actual, status from ver", _VER))
+@query("hash_verification", "J14", duck("files expected", "select frame, expected, actual, status from ver", _VER))
 def hash_verification(spark, sf):
     return _verified(spark, sf).select("frame", "expected", "actual", "status")
 
@@ -66,7 +66,7 @@ def _documents(spark, sf):
     return e.select("event_id", actual.alias("actual"), reference.alias("reference"))
 
 
-@query("document_differences", "R9 S6", duck("", """select event_id, '$.v[1]' as location, 'values differ' difference from events where event_id%5=0
+@query("document_differences", "R9", duck("", """select event_id, '$.v[1]' as location, 'values differ' difference from events where event_id%5=0
     union all select event_id, '$.m.s', 'values differ' from events where event_id%11=0 and event_id%19<>0
     union all select event_id, '$.m.ok', 'values differ' from events where event_id%13=0 and event_id%19<>0
     union all select event_id, '$.t', 'not a list of this length' from events where event_id%17=0
@@ -161,6 +161,39 @@ def attached_views(spark, sf):
         "scene", "view_id", "height", "direction", *[f"{n}_reduction_percent" for n in ("mean_score", "any_area", "strong_area")]))
 
 
+_RUNS = ("select o_orderkey run, 'v'||(o_custkey%2+2) detector_version, ['soft','hard','evidence_matte','removed_only','blur'][(o_orderkey%5)::int+1] blend_mode, "
+         "(o_custkey%3+1)/10::double threshold, (o_orderkey%2+1)*2 data_factor from orders")
+_PROFILES = ("select 'v'||(p_size%2+2) detector_version, ['soft','hard','evidence_matte','removed_only','blur'][(p_partkey%5)::int+1] blend_mode, (p_size%2+1)/10::double threshold, "
+             "(p_partkey%2+1)*2 data_factor, p_brand release from part")
+
+
+@query("run_profiles", "P19", f"""with r as ({_RUNS}), k as (select detector_version, blend_mode, threshold, data_factor, max(release) release from ({_PROFILES}) group by all)
+    select run, coalesce(release, 'custom') profile, case when blend_mode in ('soft','hard','evidence_matte') then blend_mode||'_t'||threshold else blend_mode end tag
+    from r left join k using (detector_version, blend_mode, threshold, data_factor)""")
+def run_profiles(spark, sf):
+    """Profile and tag of every run, read from the orders, against the profiles of the parts."""
+    mode = lambda c: F.element_at(F.array(*map(F.lit, ("soft", "hard", "evidence_matte", "removed_only", "blur"))), (F.col(c) % 5 + 1).cast("int"))
+    version = lambda c: F.concat(F.lit("v"), (F.col(c) % 2 + 2).cast("string")).alias("detector_version")
+    factor = lambda c: ((F.col(c) % 2 + 1) * 2).alias("data_factor")
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), version("o_custkey"), mode("o_orderkey").alias("blend_mode"),
+                                             ((F.col("o_custkey") % 3 + 1) / 10.0).alias("threshold"), factor("o_orderkey"))
+    profiles = table(spark, sf, "part").select(version("p_size"), mode("p_partkey").alias("blend_mode"), ((F.col("p_size") % 2 + 1) / 10.0).alias("threshold"),
+                                               factor("p_partkey"), F.col("p_brand").alias("release"))
+    return rounded(RP.profile_of(runs, profiles).select("run", "profile", "tag"))
+
+
+@query("cell_verification", "R7", """with c as (select o_orderpriority "table", o_orderstatus row, (o_custkey%50)::varchar col, count(*)::varchar as value from orders group by all)
+    select "table", row, col, value actual, case when col='7' then value||'?' else value end expected, col<>'7' passed from c where row<>'P' and col<>'9'
+    union all select "table", row, col, value, null, false from c where row='P' and col<>'9'
+    union all select "table", row, col, null, case when col='7' then value||'?' else value end, false from c where row<>'P' and col='9'""")
+def cell_verification(spark, sf):
+    """Cells of generated tables against expected ones, with a wrong, a surplus and a missing group."""
+    keys = [F.col("o_orderpriority").alias("table"), F.col("o_orderstatus").alias("row"), (F.col("o_custkey") % 50).cast("string").alias("col")]
+    cells = table(spark, sf, "orders").groupBy(*keys).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    expected = cells.where("row <> 'P'").withColumn("value", F.when(F.col("col") == "7", F.concat("value", F.lit("?"))).otherwise(F.col("value")))
+    return rounded(A.verify_cells(cells.where("col <> '9'"), expected))
+
+
 # --- incremental ---------------------------------------------------------
 
 def _pair_stream(spark, sf):
