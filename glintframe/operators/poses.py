@@ -107,8 +107,8 @@ def nearest(queries: DataFrame, train: DataFrame, *, scene="scene", query="frame
             train_at=RAW, other_only: bool = False) -> DataFrame:
     """Exact nearest training camera of every query, without comparing all pairs.
 
-    Training positions are collapsed to distinct points and boxed in an octree whose nodes keep
-    their tight bounds and two of their points. All queries descend one level at a time: a node
+    Training positions are collapsed to distinct points and boxed in a tree that halves each axis by
+    the number of points; its nodes keep their tight bounds and two of their points. All queries descend one level at a time: a node
     survives only if its bounds are not farther than the best point seen so far, so a query
     keeps a few nodes per level however many cameras share its scene. Ties go to the lowest frame.
     With ``other_only`` a camera does not match itself.
@@ -116,14 +116,13 @@ def nearest(queries: DataFrame, train: DataFrame, *, scene="scene", query="frame
     xyz = ("_x", "_y", "_z")
     pts = (train.select(scene, F.col(frame).alias("_f"), *[col(c).cast("double").alias(n) for c, n in zip(train_at, xyz)])
            .groupBy(scene, *xyz).agg(F.min("_f").alias("_f1"), F.max("_f").alias("_f2")))
-    box = pts.groupBy(scene).agg(*[F.min(c).alias(f"_lo{c}") for c in xyz],
-                                 F.greatest(*[F.max(c) - F.min(c) for c in xyz]).alias("_size"), F.count(F.lit(1)).alias("_n"))
-    largest = box.agg(F.max("_n")).first()[0] or 1
-    depth = min(max(math.ceil(math.log2(max(largest, 2)) / 2), 1), 18)
-    top = (1 << depth) - 1
-    index = lambda c: F.least(F.floor((F.col(c) - F.col(f"_lo{c}")) / F.when(F.col("_size") > 0, F.col("_size")).otherwise(1.0)
-                                      * (top + 1)), F.lit(top)).cast("long")
-    pts = materialize(pts.join(box, scene).select(scene, *xyz, "_f1", "_f2", *[index(c).alias(f"_i{c}") for c in xyz]))
+    pts = materialize(pts.where(F.col(scene).isNotNull()))
+    largest = pts.groupBy(scene).count().agg(F.max("count")).first()[0] or 1
+    depth = max(math.ceil(math.log2(max(largest, 2)) / 2), 1)
+    for c in xyz:  # halves of equal number along each axis, so no outlier crowds the others into one cell
+        pts = scene_position(pts, [c], (scene,), "_p")
+        pts = pts.withColumn(f"_i{c}", F.floor(F.col("_p") * (1 << depth) / F.col("_p_count")).cast("long")).drop("_p", "_p_count")
+    pts = materialize(pts)
     q = queries.select(scene, F.col(query).alias("_q"), *[col(c).cast("double").alias(f"_q{n}") for c, n in zip(at, xyz)])
     dist2 = lambda a: sum(((F.col(f"_q{c}") - a(c)) ** 2 for c in xyz), F.lit(0.0))
     cell = [f"_c{c}" for c in xyz]

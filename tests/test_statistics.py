@@ -166,3 +166,32 @@ def test_display_rounds_like_printf(spark):
     values = [2.675, 0.125, -1.005, 0.0, 12345.678]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(S.format_display("v", 2)).collect()] == [f"{v:.2f}" for v in values]
+
+
+def test_nearest_camera_with_an_outlier(spark):
+    rng = np.random.default_rng(11)
+    at = rng.normal(size=(400, 3))
+    at[7] = 1e7, -1e7, 1e7
+    rows = [(1, i, *map(float, x)) for i, x in enumerate(at)]
+    df = spark.createDataFrame(rows, "scene int, frame int, cx double, cy double, cz double")
+    d = np.linalg.norm(at[:, None] - at[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    got = {r.frame: r.nearest_distance for r in C.nearest(df, df, other_only=True).collect()}
+    assert len(got) == 400 and all(abs(got[i] - d[i].min()) <= 1e-9 * max(1, d[i].min()) for i in range(400))
+
+
+def test_positions_with_outliers_text_and_ties(spark):
+    from glintframe.operators.pairing import scene_position
+
+    values = [1e300, *map(float, range(200)), 5.0, 5.0]
+    df = spark.createDataFrame([("s", v) for v in values] + [("t", 1.0)], "scene string, v double").repartition(5)
+    got = [(r.v, r.position) for r in scene_position(df, ["v"]).where("scene = 's'").collect()]
+    assert [v for v, _ in sorted(got, key=lambda x: x[1])] == sorted(values) and {p for _, p in got} == set(range(len(values)))
+    assert {r.position_count for r in scene_position(df, ["v"]).where("scene = 't'").collect()} == {1}
+
+
+def test_path_thirds_follow_text_ids(spark):
+    names = [f"p{i:03d}" for i in range(1, 9)]
+    df = spark.createDataFrame([("s", n) for n in reversed(names)], "scene string, view_id string")
+    got = {r.view_id: r.path_third for r in V.with_path_third(df).collect()}
+    assert [got[n] for n in names] == [1, 1, 1, 2, 2, 2, 3, 3]
