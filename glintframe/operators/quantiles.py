@@ -1,12 +1,10 @@
 """Exact linear-interpolation quantiles, safe for groups of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer, which is
-right for small groups and wrong for a group that holds a third of a table. Group sizes
-are therefore checked first. Groups up to ``GROUP_LIMIT`` rows use the built-in. A larger
-group is collapsed to (value, count) pairs and to a histogram whose cells are an
-order-preserving code of the value (power of two, then equal steps): the cell of each
-wanted rank is found in that small histogram, and only the values of those cells are
-ordered, each cell on its own.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer, which fails for a group
+that holds a third of a table. Here every group is collapsed to (value, count) pairs and to a histogram whose
+cells are an order-preserving code of the value (power of two, then equal steps): the cell of each wanted rank is
+found in that small histogram, and only the values of those cells are ordered, each cell on its own. One plan for
+all sizes, and no job before the caller's.
 """
 
 from __future__ import annotations
@@ -30,48 +28,29 @@ def order_code(value) -> Column:
     return F.coalesce(code, F.lit(0).cast("long"))
 
 
-GROUP_LIMIT = 500_000
-
-
-def hot_groups(df: DataFrame, keys, limit: int | None = None) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys, limit: int) -> DataFrame | None:
     """Keys of the groups above ``limit`` rows, or None. Runs one count over ``df``."""
-    limit = GROUP_LIMIT if limit is None else limit
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= limit:
         return None
     return materialize(sizes.where(F.col("_n") > limit).drop("_n"))
 
 
-def exact_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *,
-                    count_as: str | None = None, hot="check") -> DataFrame:
-    """One row per key with a column per named probability (NULL/NaN values and keys ignored).
+def exact_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *, count_as: str | None = None) -> DataFrame:
+    """One row per key with a column per named probability (NULL and NaN values and NULL keys ignored).
 
-    ``hot`` takes the result of ``hot_groups`` when several calls share one check.
+    A key without any value keeps its row, with NULL quantiles and a count of 0.
     """
     keys = list(keys)
     # one reference to the value: a filter on it would be pushed down and repeat its expression
     rows = df.select(*keys, F.nanvl(col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    if isinstance(hot, str):
-        hot = hot_groups(rows, keys) if keys else rows
-    if hot is None:
-        return _by_buffer(rows, keys, probs, count_as)
-    if not keys:
-        return _by_histogram(rows, keys, probs, count_as)
-    small = _by_buffer(rows.join(hot, keys, "left_anti"), keys, probs, count_as)
-    return small.unionByName(_by_histogram(rows.join(hot, keys, "left_semi"), keys, probs, count_as))
-
-
-def _by_buffer(rows, keys, probs, count_as):
-    out = rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"),
-                                  F.count("_v").alias("_n"))
-    named = [F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
-    return out.select(*keys, *named, *([F.col("_n").alias(count_as)] if count_as else []))
+    return _by_histogram(rows, keys, probs, count_as)
 
 
 def _by_histogram(rows, keys, probs, count_as):
-    pairs = rows.where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", order_code("_v"))
+    pairs = rows.groupBy(*keys, "_v").agg(F.count("_v").alias("_c")).withColumn("_b", F.when(F.col("_v").isNotNull(), order_code("_v")).otherwise(F.lit(-(1 << 62))))
     cells = pairs.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -79,7 +58,8 @@ def _by_histogram(rows, keys, probs, count_as):
         F.floor((n - 1) * p), F.least(F.floor((n - 1) * p) + 1, n - 1))])
     cells = (cells.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(whole))
              .withColumn("_base", F.col("_hi") - F.col("_c")))
-    wanted = cells.where(F.exists(ranks(F.col("_n")), lambda r: (r >= F.col("_base")) & (r < F.col("_hi"))))
+    # the cell of missing values has no width; it stands for a group that has nothing else
+    wanted = cells.where((F.col("_n") == 0) | F.exists(ranks(F.col("_n")), lambda r: (r >= F.col("_base")) & (r < F.col("_hi"))))
     on = [*keys, "_b"]
     inside = pairs.join(wanted.select(*on, "_base", "_n"), on)
     within = Window.partitionBy(*on).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import geometry as G, scalar as S
 from glintframe.operators import pairing as P, poses as C, suppression as A, tracks as T, views as V
-from glintframe.operators.quantiles import exact_quantiles, hot_groups, with_frame_quantile
+from glintframe.operators.quantiles import exact_quantiles, with_frame_quantile
 
 PROBS = {"a": 0.025, "b": 0.25, "c": 0.5, "d": 0.7, "e": 0.975, "f": 1.0, "g": 0.0}
 
 
-def test_quantiles_of_hot_groups_match_numpy(spark):
+def test_quantiles_of_all_group_sizes_match_numpy(spark):
     rng = np.random.default_rng(3)
     values = {1: rng.normal(size=4001), 2: np.round(rng.random(999), 1), 3: np.array([5.0]), 4: np.r_[-1e-300, 0.0, 1e300, -7.5]}
     df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [(1, None), (2, float("nan"))], "k int, v double")
-    hot = hot_groups(df, ["k"], limit=2)
-    assert hot is not None and {r.k for r in hot.collect()} == {1, 2, 4}
-    for h in (hot, None):
-        got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBS, count_as="n", hot=h).collect()}
-        for k, vs in values.items():
-            assert got[k].n == len(vs)
-            np.testing.assert_allclose([got[k][n] for n in PROBS], [np.quantile(vs, p) for p in PROBS.values()], rtol=1e-12)
+    df = df.union(spark.createDataFrame([(9, None)], "k int, v double"))
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBS, count_as="n").collect()}
+    assert set(got) == {*values, 9} and got[9].n == 0 and got[9].c is None
+    for k, vs in values.items():
+        assert got[k].n == len(vs)
+        np.testing.assert_allclose([got[k][n] for n in PROBS], [np.quantile(vs, p) for p in PROBS.values()], rtol=1e-12)
     whole = exact_quantiles(df, [], "v", PROBS).first()
     every = np.concatenate(list(values.values()))
     np.testing.assert_allclose([whole[n] for n in PROBS], [np.quantile(every, p) for p in PROBS.values()], rtol=1e-12)
@@ -195,3 +194,13 @@ def test_path_thirds_follow_text_ids(spark):
     df = spark.createDataFrame([("s", n) for n in reversed(names)], "scene string, view_id string")
     got = {r.view_id: r.path_third for r in V.with_path_third(df).collect()}
     assert [got[n] for n in names] == [1, 1, 1, 2, 2, 2, 3, 3]
+
+
+def test_statistics_start_no_job_before_the_action(spark):
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.createDataFrame([(1, i, float(i % 7)) for i in range(50)], "point_id int, frame int, lum double")
+    spark.sparkContext.setJobGroup("plan only", "")
+    out = T.point_stats(df)
+    assert tracker.getJobIdsForGroup("plan only") == ()
+    assert out.count() == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
