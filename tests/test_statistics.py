@@ -201,6 +201,6 @@ def test_statistics_start_no_job_before_the_action(spark):
     df = spark.createDataFrame([(1, i, float(i % 7)) for i in range(50)], "point_id int, frame int, lum double")
     spark.sparkContext.setJobGroup("plan only", "")
     out = T.point_stats(df)
-    assert tracker.getJobIdsForGroup("plan only") == ()
+    assert list(tracker.getJobIdsForGroup("plan only")) == []
     assert out.count() == 1
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
