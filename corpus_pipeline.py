@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from glintframe.llm import decontam, mixing, nbsvm, repair, simhash
-from glintframe.llm.common import table
+from glintframe.llm.common import table, text_session
 from glintframe.llm.queries import word_tokenizer
 from glintframe.session import materialize, shared_dir
 
@@ -23,6 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
+    text_session(spark)
     return simhash.keep_one(docs)
 
 
@@ -33,12 +34,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
+    text_session(spark)
     return mixing.mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows, and per row ``doc_id, start, n_tokens, ids_crc32`` as read back from them."""
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_dir(text_session(spark))}/tokens-{uuid.uuid4().hex}"
     repair.write_tokens(docs, path, word_tokenizer())
     return repair.read_tokens(spark, path, digest=True)
 

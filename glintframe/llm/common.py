@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from glintframe.session import ship_code
 
 
+def text_session(spark: SparkSession) -> SparkSession:
+    """The session, set up for long texts: batches of rows for Python workers are bounded by octets, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return ship_code(spark)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return ship_code(spark).read.parquet(f"{sf}/{name}.parquet")
+    return text_session(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def partitions(df: DataFrame) -> int:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from glintframe.llm.common import octets, sole_memory
 
 WINDOW = 13
-SHARD_SYMBOLS = 1 << 20  # symbols of one index
-BLOCK_WORDS = 1 << 20  # benchmark words searched in one pass
+SHARD_SYMBOLS = 1 << 19  # symbols of one index
+BLOCK_WORDS = 1 << 18  # benchmark words searched in one pass
 SAMPLE = 16  # every so many suffix positions are kept
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -139,7 +139,7 @@ class Phrases:
         self.length = np.array([len(p) for p in owners], np.int64)
         self.widest = int(self.length.max(initial=1))
         self.shortest = int(self.length.min(initial=1))
-        self.matrix = np.zeros((len(owners), self.widest), np.int64)
+        self.matrix = np.zeros((len(owners), self.widest), np.int32)
         for i, p in enumerate(owners):
             self.matrix[i, self.widest - len(p):] = [self.vocabulary[x] for x in p]
         self.owners = [sorted(x) for x in owners.values()]
@@ -199,10 +199,10 @@ def _scan(phrases: Phrases):
                 stop = np.r_[-1, np.flatnonzero(ids == 0), len(ids)]
                 long = np.flatnonzero(np.diff(stop) - 1 >= phrases.shortest)
                 for i in long.tolist():
-                    parts.append((len(docs), int(stop[i]) + 1, ids[stop[i] + 1:stop[i + 1]]))
+                    parts.append((len(docs), int(stop[i]) + 1, ids[stop[i] + 1:stop[i + 1]].copy()))
                     symbols += len(parts[-1][2]) + 1
                 docs.append((row, doc_id, len(found)))
-                if symbols >= SHARD_SYMBOLS or len(docs) >= 1 << 17:
+                if symbols >= SHARD_SYMBOLS or len(docs) >= 1 << 16:
                     yield close(docs, parts)
                     docs, parts, symbols = [], [], 0
         if docs:

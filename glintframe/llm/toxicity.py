@@ -31,6 +31,7 @@ PREFIX = range(4, 11)  # lengths of word beginnings that may become entries
 LEAST_DOCS, LEAST_SHARE = 4, 0.003  # labelled toxic documents that must hold an entry, in number and of all
 LEAST_WEIGHT = 2.0  # natural logarithm of the ratio of rates, less one standard error
 LEAST_PHRASE = 5  # times in clean documents, and never in a toxic one, that make a phrase an exception
+FLUSH = 300_000  # candidates that a task counts before it sends the counts on
 SAMPLE = 20_000  # labelled documents that the calibration is fitted on
 
 
@@ -75,15 +76,24 @@ def _tallied(labelled: DataFrame, of) -> DataFrame:
     """Counts ``of(words)`` in toxic and in clean documents, and the toxic documents, over all labelled rows ``(text, label)``."""
 
     def run(batches):
+        n, docs = (Counter(), Counter()), Counter()
+
+        def flush():
+            both = list(n[0] | n[1])
+            out = pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *[pa.array([x[t] for t in both], pa.int64()) for x in (n[1], n[0], docs)]], schema=_TERM)
+            for x in (*n, docs):
+                x.clear()
+            return out
+
         for b in batches:
-            n, docs = (Counter(), Counter()), Counter()
             for text, label in zip(octets(b.column(0)), b.column(1).to_pylist()):
                 found = of(fold(text.decode()))
                 n[label].update(found)
                 if label:
                     docs.update(found.keys())
-            both = list(n[0] | n[1])
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *[pa.array([x[t] for t in both], pa.int64()) for x in (n[1], n[0], docs)]], schema=_TERM)
+            if len(n[0]) + len(n[1]) >= FLUSH:
+                yield flush()
+        yield flush()
 
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).mapInArrow(run, _TERM_DDL)
     return rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")])
