@@ -65,10 +65,9 @@ class Encoder:
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         # lower case joins the forms of a word; a text that may hold a special token, which is told by case, is left as it is
         split = [(t if b"<|" in t else _SIGN.sub(b" ", t.lower())).split() for t in texts]
-        used = {w for words in split for w in words}
-        new = used - self.known.keys()
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known, new = {b"": b""}, used
+            self.known, new = {b"": b""}, set().union(*split)
         tails = []
         for w in [w for w in new if w[-1] < 0x80 and not w[-1:].isalnum()]:
             core = w.rstrip(_SIGNS)
