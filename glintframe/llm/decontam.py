@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glintframe.llm.common import octets, sole_memory
+from glintframe.session import materialize
 
 WINDOW = 13
 SHARD_SYMBOLS = 1 << 19  # symbols of one index
@@ -228,7 +229,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> D
     Null and empty texts have no words; a null item id counts as the id ``""``; items without words have no window;
     items that repeat count once for each different id; no benchmark leaves all documents without spans.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _occurrences(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", benchmark, width).drop("row")
+
+
+def _occurrences(docs: DataFrame, row: str, benchmark: DataFrame, width: int) -> DataFrame:
+    """``occurrences`` and the ``row`` they belong to, by the column ``row`` of ``docs``."""
+    texts = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // (4 * BLOCK_WORDS)
@@ -241,7 +247,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> D
     if blocks > 1:
         joined = found.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         found = joined.mapInArrow(_combine, _HITS_DDL)
-    return found.drop("row")
+    return found
 
 
 def contamination(found: DataFrame) -> DataFrame:
@@ -251,6 +257,7 @@ def contamination(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, unchanged; rows that share an id, or have none, go if one of them is."""
-    bad = contamination(occurrences(docs, benchmark, width)).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti").select(*docs.columns)
+    """The rows that are not contaminated, unchanged; each is judged by itself, whatever its id."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    bad = contamination(_occurrences(rows, "__row", benchmark, width)).where("contaminated").select(F.col("row").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from glintframe.llm.common import octets, partitions, per_batch, sole_memory
 from glintframe.llm.components import components
@@ -36,17 +36,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every document; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """``(doc_id, fp)`` of every document, and the long columns ``carried``; null and empty texts have fingerprint 0."""
+    names = ["doc_id", *carried]
+    schema = pa.schema([(c, pa.int64()) for c in [*names, "fp"]])
 
     def run(c):
         sole_memory("simhash")
-        return {"doc_id": c["doc_id"], "fp": np.array([fingerprint(x) for x in octets(c["text"])], np.uint64).view(np.int64)}
+        return {n: c[n] for n in names} | {"fp": np.array([fingerprint(x) for x in octets(c["text"])], np.uint64).view(np.int64)}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch(run, _FP), "doc_id long, fp long")
+    rows = docs.select(*[F.col(n).cast("long").alias(n) for n in names], F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(per_batch(run, schema), ", ".join(f"{f.name} long" for f in schema))
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -135,6 +135,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return placed.mapInArrow(_links_of_tiles(distance), "a long, b long")
 
 
+def _rooted(least: DataFrame, distance: int) -> DataFrame:
+    """``least`` (a row for each fingerprint ``fp``) with the ``root`` that links of close fingerprints reach."""
+    tree = components(links(least.select("fp"), distance))
+    return least.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Every document with its fingerprint and the smallest ``doc_id`` that links of close fingerprints reach.
 
@@ -144,20 +150,20 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     marked = materialize(fingerprints(docs))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tree = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
+    rooted = materialize(_rooted(distinct, distance))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(rooted.select("fp", "root").join(smallest, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents of which each near-duplicate group keeps one: the row with the smallest id.
+    """The documents of which each near-duplicate group keeps one row: that with the smallest id, or any if none has one.
 
-    Rows without an id stay. Rows that share an id are judged by the id, and of those with one text one stays.
+    Rows are judged one by one: rows without an id are compared like all others and come last in their group, and of
+    rows that share the smallest id one stays.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), distance)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__copy")
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    marked = fingerprints(rows.withColumn("__hash", F.xxhash64("text")), "__row", "__hash")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__hash", "__row")
+    least = materialize(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    kept = _rooted(least, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)

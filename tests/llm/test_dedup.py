@@ -129,6 +129,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert S.near_duplicates(no_documents(spark)).count() == 0 == S.keep_one(no_documents(spark)).count()
 
 
+def test_one_row_of_each_group_stays_with_and_without_ids(spark):
+    r = random.Random(8)
+    text = [" ".join(f"w{r.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, text[0], "a"), (None, text[0], "a"), (None, text[1], "a"), (4, text[1], "a"), (2, text[2], "a"), (9, text[2], "a"), (9, text[3], "a"),
+            (9, text[3], "b"), (2, text[4], "a"), (1, text[4], "a"), (None, text[5], "a"), (None, None, "a"), (None, "", "a")]
+    for parts in (1, 4):
+        kept = [(x.doc_id, x.text or "") for x in S.keep_one(documents(spark, rows, parts)).collect()]
+        want = [(None, text[0]), (4, text[1]), (2, text[2]), (9, text[3]), (1, text[4]), (None, text[5]), (None, "")]
+        assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_crowded_buckets_are_tiled_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(S, "TILE", 16)
     rng = np.random.default_rng(4)

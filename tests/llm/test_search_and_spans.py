@@ -120,6 +120,16 @@ def test_occurrences_equal_brute_force(spark, monkeypatch):
     assert all(x.spans == [] for x in D.occurrences(docs, bench.limit(0)).collect())
 
 
+def test_rows_go_by_themselves_and_not_by_id(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, passage), (2, passage.upper() + " more")], "item_id long, text string")
+    rows = [(None, passage, "a"), (None, "clean one", "a"), (None, "clean two", "a"), (None, None, "a"), (5, "x " + passage, "a"), (5, "clean three", "a"), (6, "clean four", "a"), (6, "clean four", "a")]
+    want = sorted(t or "" for _, t, _ in rows if passage not in (t or ""))
+    for words in (1 << 18, 10):
+        monkeypatch.setattr(D, "BLOCK_WORDS", words)
+        assert sorted(x.text or "" for x in D.clean_documents(documents(spark, rows), bench).collect()) == want
+
+
 def test_spans_merge():
     assert D.merge_spans([(5, 8), (0, 2), (2, 3), (7, 9), (5, 6)]) == [(0, 3), (5, 9)]
 
