@@ -26,11 +26,10 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i"}
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "scum line", "clown fish", "circus clown", "sore loser board")
 
-LEXICON = 2000  # entries kept
 PREFIX = range(4, 11)  # lengths of word beginnings that may become entries
-LEAST_DOCS, LEAST_SHARE = 4, 0.003  # labelled toxic documents that must hold an entry, in number and of all
+LEAST_DOCS = 4  # labelled toxic documents that must hold an entry
 LEAST_WEIGHT = 2.0  # natural logarithm of the ratio of rates, less one standard error
-LEAST_PHRASE = 5  # times in clean documents, and never in a toxic one, that make a phrase an exception
+LEAST_PHRASE = 5  # clean documents that hold a phrase which no toxic one holds, to make it an exception
 FLUSH = 300_000  # candidates that a task counts before it sends the counts on
 SAMPLE = 20_000  # labelled documents that the calibration is fitted on
 
@@ -146,7 +145,7 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
 
-def select_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int, keep: int = LEXICON) -> dict[str, float]:
+def select_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Entries from counts ``(term, toxic, clean)``: short ones first, longer ones only if they weigh clearly more.
 
     A short entry is then drawn out to the longest one that stands for nine tenths of its words.
@@ -168,8 +167,7 @@ def select_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int, kee
         wider = [out[term[:n + 1]] for n in PREFIX if n + 1 < len(term) and term[:n + 1] in out]
         if weights[term][0] > 1.3 * max(wider, default=0):
             out[term] = round(weights[term][0], 6)
-    best = sorted(out, key=lambda t: (-out[t] * math.sqrt(weights[t][1]), t))[:keep]
-    return {longest.get(t, t): out[t] for t in sorted(best)}
+    return {longest.get(t, t): out[t] for t in sorted(out)}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -181,22 +179,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return theta
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, keep: int = LEXICON, sample: int = SAMPLE) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, sample: int = SAMPLE) -> Lexicon:
     """Lexicon, exception phrases and curve from the documents with a row in ``labels (doc_id, label)`` with label 0 or 1.
 
-    The counts of entries and phrases cover every row; ``keep`` bounds what the driver holds. The
-    curve's three numbers are fitted on at most ``sample`` rows, those with the smallest hash of their id. Without
-    toxic rows the lexicon is empty and every score near 0.
+    The counts of entries and phrases cover every row, and every entry and phrase with the evidence is kept: the
+    driver holds them all, whose number grows with the vocabulary. The curve's three numbers are fitted on at most
+    ``sample`` rows, those with the smallest hash of their id. Without toxic rows the lexicon is empty and every
+    score near 0.
     """
     labels = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     labelled = with_labels(docs, labels)
     counted = materialize(_tallied(labelled, terms).where(F.col("docs") >= LEAST_DOCS))
     whole = counted.where("term = ''").first()
-    toxic, clean, holders = (whole.toxic, whole.clean, whole.docs) if whole else (0, 0, 0)
+    toxic, clean = (whole.toxic, whole.clean) if whole else (0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    likely = counted.where((F.col("term") != "") & (F.col("docs") >= LEAST_SHARE * holders) & (odds >= LEAST_WEIGHT))
-    rows = likely.orderBy(F.desc(odds * F.sqrt("toxic")), "term").limit(20 * keep).collect()
-    weights = select_entries([(r.term, r.toxic, r.clean) for r in rows], toxic, clean, keep)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    likely = counted.where((F.col("term") != "") & (odds - error >= LEAST_WEIGHT - 0.25))  # drawn-out entries may weigh a little less
+    weights = select_entries([(r.term, r.toxic, r.clean) for r in likely.collect()], toxic, clean)
     spared = tuple(f" {' '.join(fold(x))} " for x in exceptions)
     bare = Lexicon(weights, spared)
 
@@ -207,10 +206,10 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
         for start, *_ in bare.matches(words):
             i = line.count(" ", 0, start + 1) - 1
             out.update(f" {' '.join(words[j:j + 2])} " for j in (i - 1, i) if 0 <= j < len(words) - 1)
-        return out
+        return Counter(dict.fromkeys(out, 1))
 
     harmless = _tallied(labelled, phrases).where((F.col("clean") >= LEAST_PHRASE) & (F.col("toxic") == 0))
-    spared += tuple(r.term for r in harmless.orderBy(F.desc("clean"), "term").limit(keep).collect())
+    spared += tuple(r.term for r in harmless.orderBy("term").collect())
     lexicon = Lexicon(weights, spared)
     picked = with_labels(docs, labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
     x = _measured(picked.select("text", "label"), lexicon).collect()

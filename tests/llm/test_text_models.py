@@ -57,6 +57,14 @@ def test_lexicon_is_learnt_from_all_labelled_rows(spark):
     assert bare.weights == {} and all(s < 0.01 for _, s in T.score(docs, bare).collect())
 
 
+def test_rare_entries_count_on_large_tables_and_repeats_do_not(spark):
+    rows = [(i, f"some plain words of {'toxic' if i < 2000 else 'text'}{' zonker' if i < 5 else ''}", "a") for i in range(14_000)]
+    rows[-1] = (13_999, "toxic cake " * 9, "a")  # an exception phrase in one document only
+    marked = spark.createDataFrame([(i, int(i < 2000)) for i in range(14_000)], "doc_id long, label int")
+    x = T.learn(documents(spark, rows), marked)
+    assert x.score("a zonker") > x.score("a word") and x.matches(["zonker"]) and " toxic cake " not in x.exceptions
+
+
 @pytest.mark.parametrize("name,label,floor", [("op3_toxicity", "toxic", 0.96), ("op8_quality_classifier", "quality", 0.96)])
 def test_held_out_accuracy(spark, name, label, floor):
     from glintframe.llm.queries import QUERIES
