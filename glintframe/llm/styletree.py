@@ -34,12 +34,13 @@ _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"},
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/>]|\Z))""", re.I)
+_STATE = re.compile(r"(?:^|[-_])(?:has|no|with|without|is|not)[-_]|[-_](?:enabled|disabled|active|open|closed|on|off)$", re.I)  # says how, not what, an element is
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
 class Node:
-    """An open element: its place in the tree of the site, and whether it is out or inside the article."""
+    """An open element: its place in the tree of the site, and whether it is out, only by a hint, or inside the article."""
 
     tag: str
     path: str
@@ -47,6 +48,7 @@ class Node:
     article: bool
     children: list
     texts: list
+    hinted: bool = False
 
 
 @dataclass
@@ -60,18 +62,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
 
 
+def _hinted(tag: str, at: dict[str, str], article: bool) -> bool:
+    """Whether a word of class or id hints that an element is no main text; names of states are no such words."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    names = [n for n in f"{at.get('class', '')} {at.get('id', '')}".split() if not _STATE.search(n)]
+    words = {w.lower() for n in names for w in _TOKEN.findall(n)}
+    return bool(words & _HINTS) or not article and bool(words & _HEADER)
+
+
 def _is_out(tag: str, at: dict[str, str], article: bool) -> bool:
-    """Parts that are no main text wherever they stand: by element, role, visibility, or a word of class or id."""
+    """Parts that are no main text wherever they stand: by element, role or visibility, and articles that are comments."""
     if tag in _GONE or at.get("role", "").lower() in _ROLES:
         return True
     if tag in ("html", "body", "main") or not at:
         return tag == "header" and not article
-    words = {w.lower() for w in _TOKEN.findall(f"{at.get('class', '')} {at.get('id', '')}")}
     if tag == "article":
         return any(c.lower() in _COMMENTS or c.lower().startswith("comment") for c in f"{at.get('class', '')} {at.get('id', '')}".split())
     if "hidden" in at or re.search(r"display\s*:\s*none", at.get("style", ""), re.I):
         return True
-    return bool(words & _HINTS) or not article and (tag == "header" or bool(words & _HEADER))
+    return tag == "header" and not article
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
@@ -105,7 +115,13 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
         inside = parent.article or tag in ("article", "main")
         if not parent.children or parent.children[-1] != name:
             parent.children.append(name)
-        stack.append(Node(tag, f"{parent.path}/{name}", parent.out or _is_out(tag, at, parent.article), inside, [], []))
+        firm = _is_out(tag, at, parent.article) or parent.out and not parent.hinted
+        hinted = not firm and (_hinted(tag, at, parent.article) or parent.hinted and not main(tag, at))
+        stack.append(Node(tag, f"{parent.path}/{name}", firm or hinted, inside, [], [], hinted))
+
+    def main(tag, at):
+        """An article or main element, which takes its text out of a branch that is out by a hint alone."""
+        return tag in ("article", "main") and not _is_out(tag, at, False)
 
     at, lower = 0, None
     for m in iter(lambda: _TAG.search(page, at), None):
@@ -149,7 +165,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
                         close()
                 if not raw.rstrip().endswith("/") or tag in _BLOCK:
                     open_(tag, raw)
-        elif raw and _is_out(tag, _attributes(raw), stack[-1].article):
+        elif raw and (_is_out(tag, _attributes(raw), stack[-1].article) or _hinted(tag, _attributes(raw), stack[-1].article)):
             flush()
             open_(tag, raw)
     if at < len(page):

@@ -150,6 +150,17 @@ def test_blocks_of_a_page():
     assert S.main_blocks("<p>" + "long " * 50_000)[0].count("long") == 50_000
 
 
+def test_hints_take_no_article_with_them():
+    article = "<main><article><p>Kept</p><div class=ad>buy</div></article></main>"
+    for names in ("class='layout has-sidebar'", "id=page-with-banner", "class=content-widget", "class=no-sidebar", "class='entry social-enabled'"):
+        assert S.main_blocks(f"<body><div {names}>{article}</div></body>") == ["Kept"], names
+    for names in ("class=no-sidebar", "class='entry social-enabled'", "id=page-with-banner"):
+        assert S.main_blocks(f"<body><div {names}><p>Loose</p></div></body>") == ["Loose"], names
+    assert S.main_blocks("<div class=sidebar><p>side</p></div><nav><div class=menu><main>menu</main></div></nav><p>Text</p>") == ["Text"]
+    comments = "<div class=comments><article class=comment><p>a reader</p></article></div><p>Text</p>"
+    assert S.main_blocks(comments) == ["Text"]
+
+
 def test_branches_that_a_site_repeats_go(spark):
     page = lambda i: f"<html><body><div class=teaser2x>Same words everywhere</div><div class=text><p>Text {i} of the page.</p><p>Shared line.</p></div></body></html>"
     rows = [(i, f"https://one.example/{i}", page(i), "x") for i in range(20)]
