@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from glintframe.llm import bm25, decontam, hpylm, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
+from glintframe.llm import bm25, decontam, exactdedup, hpylm, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
 from glintframe.llm.common import table
 from glintframe.session import shared_dir
 
@@ -139,3 +139,11 @@ def op9(spark, sf):
 def op10(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op12_exact_dedup", r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents)
+select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+       doc_id = min(doc_id) over (partition by t) kept, sha256(t) text_sha256 from n""")
+def op12(spark, sf):
+    return exactdedup.duplicates(table(spark, sf, "documents"))
