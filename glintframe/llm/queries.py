@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from glintframe.llm import bm25, decontam, exactdedup, hpylm, linededup, mixing, nbsvm, repair, simhash, styletree, toxicity
-from glintframe.llm.common import table
+from glintframe.llm import bm25, decontam, exactdedup, hpylm, linededup, merkle, mixing, nbsvm, repair, simhash, styletree, toxicity
+from glintframe.llm.common import remainder, table
 from glintframe.session import shared_dir
 
 QUERIES, ORACLE = {}, {}
@@ -30,6 +30,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _crc32(value: str) -> str:
+    """``crc32`` of a number's digits, bit by bit; DuckDB has no function for it."""
+    digits = f"list_transform(string_split({value}::varchar, ''), lambda c: ascii(c)::bigint)"
+    bits = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}), lambda a, b: {bits}), 4294967295::bigint)"
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -147,3 +154,50 @@ select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partiti
        doc_id = min(doc_id) over (partition by t) kept, sha256(t) text_sha256 from n""")
 def op12(spark, sf):
     return exactdedup.duplicates(table(spark, sf, "documents"))
+
+
+def _field(c):
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in merkle.FIELDS) + ")"
+
+
+@query("op11_merkle_manifest", f"""
+with recursive d as (
+  select doc_id, lang, {_LEAF} leaf, {_LEAF.replace("n_chars", "(n_chars + 1)")} bad from documents),
+p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 i from d),
+up as (
+  select lang, 0 lvl, list(leaf order by i) a from p group by lang
+  union all
+  select lang, lvl + 1, [sha256(a[2 * k + 1] || coalesce(a[2 * k + 2], '')) for k in range((len(a) + 1) // 2)] from up where len(a) > 1),
+sub as (select lang, a[1] subroot, row_number() over (order by lang nulls first) - 1 j from up where len(a) = 1),
+top as (
+  select 0 lvl, list(subroot order by j) a from sub
+  union all
+  select lvl + 1, [sha256(a[2 * k + 1] || coalesce(a[2 * k + 2], '')) for k in range((len(a) + 1) // 2)] from top where len(a) > 1),
+r as (select p.*, subroot, j, row_number() over () id from p join sub on p.lang is not distinct from sub.lang),
+path as (
+  select id, up.lvl, i >> up.lvl spot, a[(xor(i >> up.lvl, 1) + 1)::int] sib from r join up on r.lang is not distinct from up.lang where len(a) > 1
+  union all
+  select id, 1000 + top.lvl, j >> top.lvl, a[(xor(j >> top.lvl, 1) + 1)::int] from r, top where len(a) > 1),
+step as (select *, row_number() over (partition by id order by lvl) k from path),
+proof as (select id, sha256(coalesce(string_agg(sib, '' order by lvl), '')) proof_sha256, count(*) steps from path group by id),
+walk as (
+  select id, 1 k, case when crc % 7 = 0 then coalesce(bad, leaf) else leaf end cur from (select *, {_crc32("doc_id")} crc from r)
+  union all
+  select w.id, w.k + 1, sha256(case when spot % 2 = 1 then sib || cur else cur || coalesce(sib, '') end) from walk w join step s on w.id = s.id and w.k = s.k),
+last as (select id, arg_max(cur, k) folded_root from walk group by id)
+select doc_id, leaf, subroot, (select a[1] from top where len(a) = 1) root, coalesce(proof_sha256, sha256('')) proof_sha256, folded_root,
+       folded_root = (select a[1] from top where len(a) = 1) verified
+from r left join proof using (id) join last using (id)""")
+def op11(spark, sf):
+    docs = table(spark, sf, "documents")
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(remainder(F.col("doc_id"), 7) == 0, F.unhex(merkle.leaf(changed)))
+    proved = merkle.witnesses(merkle.append(None, docs, tampered=tampered))
+    text = lambda c: F.lower(F.hex(c))
+    found = merkle.refold(proved.withColumn("shown", F.coalesce("tampered", "leaf")), "shown")
+    return found.select("doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
+                        F.sha2(text(F.concat("path", "tree_path")).cast("binary"), 256).alias("proof_sha256"),
+                        text("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
