@@ -29,6 +29,21 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+HEAVY_PARTS = 1024  # a group with more than this fraction of all rows is heavy, so there are fewer heavy groups than this
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with their ``groups``, whose column ``size`` counts the rows of each or more.
+
+    Groups above a 1024th of all counted rows, fewer than 1024, are joined by broadcast, all others by a shuffle:
+    no group of any size meets in one task.
+    """
+    limit = (groups.agg(F.sum(size)).first()[0] or 0) // HEAVY_PARTS
+    heavy, light = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    others = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(others)
+
+
 def octets(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glintframe.llm.common import text_session
+from glintframe.llm.common import join_groups, text_session
 from glintframe.session import materialize
 
 CELL_BITS = 44  # of the first filter, which is spread and sparse; a tenth of a percent of 10^10 rows meet by chance
@@ -17,7 +17,6 @@ BLOCK_BITS = 1 << 15  # of the second filter: one Spark bitmap, 4 KiB
 MOST_BLOCKS = 1 << 14  # it is sent to all tasks, so 64 MiB at most; a fuller filter lets more rows through to the exact part
 HASHES = 4
 BITS_A_CELL = 16
-HEAVY_PARTS = 1024  # a group with more than this fraction of all rows is heavy, so there are fewer heavy groups than this
 
 
 def normal_text(text: Column) -> Column:
@@ -70,17 +69,6 @@ def with_suspicion(rows: DataFrame, key: str) -> DataFrame:
     return tested.select(*rows.columns, (F.col("bloom_bits").isNotNull() & F.coalesce(found, F.lit(False))).alias("suspect"))
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with their ``groups``, which count them as ``group_size``.
-
-    Groups above a 1024th of these rows, fewer than 1024, are joined by broadcast, all others by a shuffle.
-    """
-    limit = (groups.agg(F.sum("group_size")).first()[0] or 0) // HEAVY_PARTS
-    heavy, light = groups.where(F.col("group_size") > limit), groups.where(F.col("group_size") <= limit)
-    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
-    return rows.join(F.broadcast(heavy), key).unionByName(others)
-
-
 def duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -97,7 +85,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     suspects = marked.where("suspect").drop("suspect")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("first")
     groups = materialize(suspects.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first))
-    judged = _with_groups(suspects, groups, "text_sha256").select(
+    judged = join_groups(suspects, groups, ["text_sha256"], "group_size").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
     alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.unionByName(judged)
@@ -115,5 +103,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     marked = with_suspicion(rows, "digest")
     alone, suspects = marked.where("not suspect"), marked.where("suspect")
     groups = materialize(suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min("place").alias("least")))
-    chosen = _with_groups(suspects, groups, "digest").where(F.col("place") == F.col("least")).dropDuplicates(["digest"])
+    chosen = join_groups(suspects, groups, ["digest"], "group_size").where(F.col("place") == F.col("least")).dropDuplicates(["digest"])
     return alone.select("row.*").unionByName(chosen.select("row.*"))

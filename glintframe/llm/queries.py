@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from glintframe.llm import bm25, decontam, exactdedup, hpylm, linededup, merkle, mixing, nbsvm, repair, simhash, styletree, toxicity
+from glintframe.llm import bm25, decontam, exactdedup, hpylm, linededup, merkle, mixing, nbsvm, prefixtrie, repair, simhash, styletree, toxicity
 from glintframe.llm.common import remainder, table
-from glintframe.session import shared_dir
+from glintframe.session import materialize, shared_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -201,3 +201,39 @@ def op11(spark, sf):
     return found.select("doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), text("root").alias("root"),
                         F.sha2(text(F.concat("path", "tree_path")).cast("binary"), 256).alias("proof_sha256"),
                         text("folded_root").alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def rebuilt(turns):
+    """Every conversation ``c`` anew: the first ``h`` turns of ``c - c % 20``, then its own after its first ``h``; ``h = crc32(c) % 4``.
+
+    Rows ``conv_id, part, p, key, words`` and for each conversation one without a key. Turns that share a number stand in order of their keys.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "key")) - 1
+    own = materialize(turns.select("conv_id", "key", "words", place.alias("p"), remainder(F.col("conv_id"), 4).alias("h")))
+    names = own.where("p = 0").select("conv_id", "h", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"))
+    heads = own.where("p < 3").select(F.col("conv_id").alias("base"), "p", "key", "words")
+    return (own.where("p >= h").select("conv_id", F.lit(2).alias("part"), "p", "key", "words")
+            .unionByName(names.where("h > 0").join(heads, "base").where("p < h").select("conv_id", F.lit(1).alias("part"), "p", "key", "words"))
+            .unionByName(names.select("conv_id", F.lit(0).alias("part"), F.lit(0).alias("p"), F.lit(None).cast("binary").alias("key"), F.lit(0).cast("long").alias("words"))))
+
+
+@query("op13_conversation_trie", rf"""
+with c as (select conv_id, list(md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) order by turn nulls first) k,
+                  list(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) order by turn nulls first) w, {_crc32("conv_id")} % 4 h
+           from conversations where conv_id is not null group by conv_id),
+r as (select c.conv_id, list_concat(coalesce(b.k, [])[1:c.h], c.k[c.h + 1:]) k, list_concat(coalesce(b.w, [])[1:c.h], c.w[c.h + 1:]) w
+      from c left join c b on b.conv_id = c.conv_id - c.conv_id % 20),
+m as (select conv_id, unnest(range(len(k) + 1)) d, k, w from r),
+p as (select conv_id, d, len(k) n, array_to_string(k[1:d], ' ') name, array_to_string(k[1:d - 1], ' ') up, case when d > 0 then w[d] else 0 end words from m),
+nodes as (select name, any_value(up) up, any_value(d) depth, any_value(words) words, min(conv_id) conv_id, count(*) n_convs,
+                 sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (d = n), '')) ends_sha256 from p group by name),
+kids as (select up name, count(*) n_children from nodes where depth > 0 group by up),
+full_nodes as (select nodes.*, coalesce(n_children, 0) n_children from nodes left join kids using (name)),
+below as (select a.name, count(*) filter (b.n_children = 0) n_leaves, sum((b.n_convs - 1) * b.words)::bigint saved_tokens
+          from full_nodes a join full_nodes b on starts_with(b.name, a.name) group by a.name)
+select f.conv_id, f.depth, u.conv_id parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from full_nodes f join below using (name) left join full_nodes u on f.depth > 0 and u.name = f.up""")
+def op13(spark, sf):
+    turns = prefixtrie.turn_rows(table(spark, sf, "conversations"))
+    return prefixtrie.prefix_trie(rebuilt(turns), ["part", "p"]).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
