@@ -149,7 +149,8 @@ def _grow(levels: list[Level], fresh: DataFrame, sizes: DataFrame, most: int, bl
     their ``count`` after. Returns the levels and the roots ``tree, digest``.
     """
     done = []
-    for k in range(1 << 10):
+    while True:
+        k = len(done)
         old = levels[k] if k < len(levels) else Level([], tops and tops.select("tree", F.lit(0).cast("long").alias("place"), "digest"))
         if old.open is not None:
             still = old.open.join(sizes.select("tree", "valid"), "tree").where("place < valid")
@@ -167,10 +168,9 @@ def _grow(levels: list[Level], fresh: DataFrame, sizes: DataFrame, most: int, bl
         up = lambda c: F.shiftright(c, block).alias(c)
         sizes = sizes.select("tree", up("valid"), up("full"), F.shiftright(F.col("count") + (1 << block) - 1, block).alias("count"))
         most = most + (1 << block) - 1 >> block
-        if most == 1 and k + 1 >= len(levels):
+        if most <= 1 and k + 1 >= len(levels):
             # a tree whose last block was closed before keeps the root that it had
             return done, fresh if tops is None else fresh.unionByName(tops.select("tree", F.lit(0).cast("long").alias("place"), "digest").join(fresh, "tree", "left_anti")).drop("place")
-    raise AssertionError("unreachable")
 
 
 def append(manifest: Manifest | None, docs: DataFrame, block: int = LEVELS, **carried: Column) -> Manifest:
