@@ -207,8 +207,9 @@ def _pair_stream(spark, sf):
     rows = lines.select("*", F.row_number().over(frame.orderBy("raw", "outp")).alias("piece"), F.count(F.lit(1)).over(frame).alias("expected"))
     half = F.col("piece") % 2
     for name, part in (("a", rows.where(half == 0)), ("b", rows.where((half == 1) | (F.col("piece") % 6 == 0))), ("c", rows.where(half == 1))):
-        part.coalesce(1).write.parquet(f"{root}/{name}")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(root)
+        part.write.parquet(f"{root}/{name}")
+    per_batch = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).parquet(root)
 
 
 @query("incremental_frames", "ST1 ST2", duck("pair_rows", f"select scene, frame, b::bigint as before, a::bigint as after, count(*)::bigint pixels from (select scene, frame, {STATE('raw')} b, {STATE('outp')} a from pair_rows) group by all"))
@@ -225,13 +226,15 @@ def incremental_frames(spark, sf):
 
 @query("running_totals", "ST2", duck("pair_rows", "select scene, b::bigint as before, a::bigint as after, n::bigint pixels from t", ("t", _TRANS.format(src="pair_rows"))))
 def running_totals(spark, sf):
-    """Totals over per-frame rows that arrive wrong first and are then corrected."""
+    """Totals over per-frame rows: a third comes wrong first, all frames are closed, then all come right and a quarter once more."""
     import uuid
     root = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
     rows = I.frame_transitions(pair_rows(spark, sf)).withColumn("version", F.lit(1).cast("long"))
-    wrong = rows.withColumns({"pixels": F.col("pixels") + 1, "version": F.lit(0).cast("long")}).where("frame % 3 = 0")
-    wrong.write.parquet(f"{root}/in/a")
-    rows.write.parquet(f"{root}/in/b")
-    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    I.running_totals(stream, f"{root}/out")
+    wrong = rows.withColumns({"pixels": F.col("pixels") + 1, "before": F.when(F.col("frame") % 2 == 0, F.col("after")).otherwise(F.col("before"))})
+    later = lambda part, version: part.withColumn("version", F.lit(version).cast("long"))
+    closing = rows.limit(1).select("scene", (-F.col("frame") - 1).cast(rows.schema["frame"].dataType).alias("frame"), "before", "after", F.lit(0).cast("long").alias("pixels"), F.lit(100).cast("long").alias("version"))
+    for part in (wrong.where("frame % 3 = 0"), closing, later(rows, 101), later(rows.where("frame % 4 = 0"), 101), later(wrong.where("frame % 5 = 0"), 7)):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        I.running_totals(stream, f"{root}/out", horizon=50)
     return rounded(I.totals(spark, f"{root}/out"))

@@ -134,7 +134,39 @@ def test_running_totals_take_corrections_and_close_old_frames(spark, tmp_path):
     put(("s", 3, 1, 1, 1, 9))  # closes the first two
     I.running_totals(stream(), out, horizon=3)
     assert now() == [(0, 0, 9), (1, 1, 1)]
-    assert spark.read.parquet(sorted((str(p) for p in (tmp_path / "out").glob("_frames=*")), key=lambda p: int(p.rsplit("=", 1)[1]))[-1]).count() == 1
+
+
+def test_corrections_of_closed_frames_count_once(spark, tmp_path):
+    schema = "scene string, frame int, before int, after int, pixels long, version long"
+    out, path = str(tmp_path / "out"), str(tmp_path / "in")
+
+    def total(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        I.running_totals(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), out, horizon=5)
+        return sorted((r.before, r.after, r.pixels) for r in I.totals(spark, out).collect())
+
+    assert total(("s", 1, 0, 0, 10, 1)) == [(0, 0, 10)]
+    assert total(("s", 2, 0, 0, 7, 20)) == [(0, 0, 17)]
+    assert total(("s", 3, 1, 1, 1, 30)) == [(0, 0, 17), (1, 1, 1)]
+    assert total(("s", 1, 0, 0, 10, 31)) == [(0, 0, 17), (1, 1, 1)]
+    assert total(("s", 1, 0, 1, 4, 32)) == [(0, 0, 7), (0, 1, 4), (1, 1, 1)]
+    assert total(("s", 1, 0, 1, 9, 2)) == [(0, 0, 7), (0, 1, 4), (1, 1, 1)]
+    assert total(("s", 4, 2, 2, 5, 3)) == [(0, 0, 7), (0, 1, 4), (1, 1, 1), (2, 2, 5)]  # late, but new
+
+
+def test_frame_that_never_becomes_whole_is_given_up(spark, tmp_path):
+    put, stream = _pixel_stream(spark, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    run = lambda: I.evaluate_new_frames(stream(), I.frame_transitions, out, {}, expected="expected", patience_ms=1)
+    put(1, 0), put(2, 0, 1)
+    run()
+    put(3, 0, 1)
+    run()
+    assert {(r.frame, r.status, r.held, r.expected) for r in I.given_up(spark, out).collect()} == {(1, "incomplete", 1, 2)}
+    assert {r.frame for r in I.results(spark, out).collect()} == {2, 3}
+    put(1, 0, 1)
+    run()
+    assert {r.frame for r in I.results(spark, out).collect()} == {1, 2, 3}
 
 
 def test_strategy_registry(spark):
