@@ -5,13 +5,13 @@ import re
 from pyspark.sql import Window, functions as F
 
 from glintframe.catalog.areas import flood
-from glintframe.catalog.base import duck, expected, files, grid, pair_rows, paired_rgb, poses, query, r6, rounded, table, views
+from glintframe.catalog.base import duck, expected, files, grid, observations, pair_rows, paired_rgb, poses, query, r6, rounded, table, views
 from glintframe.catalog.cameras import _NEAR, _QV, _SPACING, _SUP, _known_fit, _shifted
-from glintframe.catalog.quality import _FEAT, _FROWS, _HELD, _HM, _features
+from glintframe.catalog.quality import _FEAT, _FROWS, _HELD, _HM, _features, held_out_pixels
 from glintframe.catalog.scores import STATE, _TIER, _TRANS
 from glintframe.catalog.trajectories import _SUMS
 from glintframe.functions import scalar as S
-from glintframe.operators import audit as A, fidelity as Q, poses as C, regions as R, suppression as SU, views as V
+from glintframe.operators import audit as A, fidelity as Q, poses as C, regions as R, suppression as SU, tracks as T, views as V
 from glintframe.plans import reports as RP
 from glintframe.session import materialize, shared_dir
 from glintframe.streaming import incremental as I
@@ -125,19 +125,28 @@ def cross_scene_summary(spark, sf):
     return rounded(RP.cross_scene_summary(stats, pixels))
 
 
-def _held_rows(name):
-    return " union all ".join(f"select scene, '{label}' metric, printf('%.{d}f', avg({m})) \"{name}\" from {{}} group by scene" for m, (label, d) in RP._HELDOUT.items() if m in _HM)
+def _held_rows(name, held, spread):
+    """Six rows a scene: five from the held-out views, one from the spread of its points over the views."""
+    rows = [f"select scene, '{label}' metric, coalesce(printf('%.{d}f', avg({m})), '-') \"{name}\" from {held} group by scene" for m, (label, d) in RP._HELDOUT.items() if m in _HM]
+    label, d = RP._HELDOUT["mean_std_render"]
+    rows.append(f"select scene, '{label}', coalesce(printf('%.{d}f', v), '-') from (select distinct scene from {held}) left join "
+                f"(select scene, avg(v) v from (select point_id%10 scene, point_id, stddev_pop({spread}) v from observations group by all having count(*)>=2) group by 1) using (scene)")
+    return " union all ".join(rows)
 
 
 _HV = ("hv", "select scene, frame, " + ", ".join(f"{e} {n}" for n, e in _HM.items()) + " from h5 group by 1,2")
-_HELD2 = [(f"p{n}" if n[0] == "h" else n, re.sub(r"\bh([1-5])(\w*)\b", r"ph\1\2", t).replace("fr/2 rscore, fr tr, fg tg, fb tb", "sr/2 rscore, sr tr, sg tg, sb tb")) for n, t in _HELD]
+_HELD2 = [(f"p{n}" if n[0] == "h" and n != "held" else n, re.sub(r"\bh([1-5])(\w*)\b", r"ph\1\2", t).replace("fr/2 rscore, fr tr, fg tg, fb tb", "sr/2 rscore, sr tr, sg tg, sb tb")) for n, t in _HELD if n != "held"]
 
 
-@query("heldout_table", "R4", duck("paired_rgb", f"select scene, metric, raw, processed from ({_held_rows('raw').format(*['hv'] * 5)}) join ({_held_rows('processed').format(*['phv'] * 5)}) using (scene, metric)", *_HELD, _HV, *_HELD2, ("phv", _HV[1].replace("h5", "ph5"))))
+@query("heldout_table", "R4", duck("paired_rgb observations", f"select scene, metric, raw, processed from ({_held_rows('raw', 'hv', 'lum*0.9::double')}) join ({_held_rows('processed', 'phv', 'lum*(0.6::double+0.01::double*(frame%40))')}) using (scene, metric)", *_HELD, _HV, *_HELD2, ("phv", _HV[1].replace("h5", "ph5"))))
 def heldout_table(spark, sf):
-    d = paired_rgb(spark, sf).where("frame % 8 = 0").withColumn("score", F.col("r") / 2)
+    d = held_out_pixels(paired_rgb(spark, sf)).withColumn("score", F.col("r") / 2)
     run = lambda v: Q.heldout_means(Q.heldout_metrics(d.withColumns({"render_score": F.col(f"{v}r") / 2, **{f"t{c}": F.col(f"{v}{c}") for c in "rgb"}}), 0.16))
-    return RP.table_heldout(run("f"), run("s"), ["scene"])
+    seen = observations(spark, sf).withColumn("scene", F.col("point_id") % 10)
+    both = seen.select("scene", "point_id", (F.col("lum") * 0.9).alias("ref"), (F.col("lum") * (0.6 + 0.01 * (F.col("frame") % 40))).alias("out"))
+    spread = materialize(T.view_dependence_ratio(both, scene=("scene",)))
+    std = lambda c: spread.select("scene", F.col(c).alias("mean_std_render"))
+    return RP.table_heldout(run("f").join(std("mean_std_ref"), "scene", "left"), run("s").join(std("mean_std_out"), "scene", "left"), ["scene"])
 
 
 @query("diagnostics_table", "R5 A26 A39", duck("poses", """select scene, case when scene=6 then 'Development' else 'Additional' end as role, raw_n||'/'||oth_n registered, ok||'/'||n supported, printf('%.2f', 100*rmse/s) normalized_rmse from
@@ -233,7 +242,8 @@ def running_totals(spark, sf):
     wrong = rows.withColumns({"pixels": F.col("pixels") + 1, "before": F.when(F.col("frame") % 2 == 0, F.col("after")).otherwise(F.col("before"))})
     later = lambda part, version: part.withColumn("version", F.lit(version).cast("long"))
     closing = rows.limit(1).select("scene", (-F.col("frame") - 1).cast(rows.schema["frame"].dataType).alias("frame"), "before", "after", F.lit(0).cast("long").alias("pixels"), F.lit(100).cast("long").alias("version"))
-    for part in (wrong.where("frame % 3 = 0"), closing, later(rows, 101), later(rows.where("frame % 4 = 0"), 101), later(wrong.where("frame % 5 = 0"), 7)):
+    last = later(rows, 101).unionByName(later(rows.where("frame % 4 = 0"), 101)).unionByName(later(wrong.where("frame % 5 = 0"), 7))
+    for part in (wrong.where("frame % 3 = 0"), closing, last):
         part.write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
         I.running_totals(stream, f"{root}/out", horizon=50)

@@ -147,18 +147,21 @@ _PLAN = [
 ]
 
 
-@query("planned_trajectory", "W19 W20 A25 J11", duck("poses", f"select scene, candidate_index::bigint candidate_index, k+1 sequence_index, {r6('cx')} cx, {r6('cy')} cy, {r6('cz')} cz from pd join (select range::bigint k from range(30)) on round_even(k*(n-1)/29::double,0)=i where n>=30",
+@query("planned_trajectory", "W19 W20 A25 J11", duck("poses", f"select scene, candidate_index::bigint candidate_index, k+1 sequence_index, {r6('cx')} cx, {r6('cy')} cy, {r6('cz')} cz, 'planned' status from pd join (select range::bigint k from range(30)) on round_even(k*(n-1)/29::double,0)=i where n>=30 "
+    "union all select distinct scene, null::bigint, null::bigint, null::double, null::double, null::double, 'too few views' from poses anti join (select scene from pd where n>=30) using (scene)",
     _NEAR, _SPACING, *_HORN, *_PLAN, recursive=True))
 def planned_trajectory(spark, sf):
-    """Fitted midpoint path of every scene, jointly supported views only, thirty evenly spaced ones."""
-    from glintframe.operators.pairing import scene_position, uniform_pick
+    """Fitted midpoint path of every scene, jointly supported views only, thirty evenly spaced ones; a status row for a scene with fewer."""
+    from glintframe.operators.pairing import uniform_pick
     p = poses(spark, sf)
     v = materialize(C.midpoint_poses(p, C.similarity_fit(p)))
     raw = C.support_measurement(v, p, C.median_spacing(p), query="candidate_index")
     kept = v.join(raw.where("distance_in_spacings <= 2.25").select("scene", "candidate_index"), ["scene", "candidate_index"])
     kept = materialize(kept)
-    enough = scene_position(kept, ["candidate_index"]).where("position_count >= 30").drop("position", "position_count")
-    return rounded(uniform_pick(enough, "candidate_index", 30).select("scene", "candidate_index", "sequence_index", "cx", "cy", "cz"))
+    short = p.select("scene").distinct().join(kept.groupBy("scene").agg(F.count(F.lit(1)).alias("n")).where("n >= 30"), "scene", "left_anti")
+    picked = uniform_pick(kept.join(short, "scene", "left_anti"), "candidate_index", 30)
+    picked = picked.select("scene", "candidate_index", "sequence_index", "cx", "cy", "cz", F.lit("planned").alias("status"))
+    return rounded(picked.unionByName(short.withColumn("status", F.lit("too few views")), allowMissingColumns=True))
 
 
 _dot = lambda a, b: f"degrees(acos(greatest(-1,least(1,{'+'.join(f'({x})*({y})' for x, y in zip(_AXIS(a), _AXIS(b)))}))))"

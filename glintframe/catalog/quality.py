@@ -6,6 +6,7 @@ from glintframe.catalog import duckstencil as D
 from glintframe.catalog.base import duck, grid, paired_rgb, query, r6, rounded
 from glintframe.catalog.scores import lab_of, lab_steps
 from glintframe.operators import fidelity as Q, structure as ST
+from glintframe.operators.pairing import holdout_every
 
 _L = lambda r, g, b: f"0.2126::double*{r}+0.7152::double*{g}+0.0722::double*{b}"
 
@@ -51,14 +52,15 @@ def _metrics(v, n):
 
 
 _M = {**_metrics("s", "direct"), **_metrics("f", "fusion")}
+_OK = "count(*) filter (where prot)>=4 and count(*) filter (where edge)>=4"
 _FROWS = ("fr", "select scene, frame, count(*) pixels, count(*) filter (where prot) protected_pixels, 100*count(*) filter (where prot)/count(*) protected_percent, count(*) filter (where edge) protected_edge_pixels, "
-          "100*count(*) filter (where edge)/count(*) protected_edge_percent, max(cut) edge_percentile_cutoff, " + ", ".join(f"{e} {n}" for n, e in _M.items()) + " from ft group by 1,2 having count(*) filter (where prot)>=4 and count(*) filter (where edge)>=4")
+          "100*count(*) filter (where edge)/count(*) protected_edge_percent, max(cut) edge_percentile_cutoff, " + ", ".join(f"case when {_OK} then {e} end {n}" for n, e in _M.items()) + f", case when {_OK} then 'measured' else 'too few protected pixels' end status from ft group by 1,2")
 
 
-@query("fidelity_rows", "A9 A10 A11 A12", duck("paired_rgb", f"""select scene, frame, pixels::bigint pixels, protected_pixels::bigint protected_pixels, protected_edge_pixels::bigint protected_edge_pixels,
+@query("fidelity_rows", "A9 A10 A11 A12", duck("paired_rgb", f"""select scene, frame, status, pixels::bigint pixels, protected_pixels::bigint protected_pixels, protected_edge_pixels::bigint protected_edge_pixels,
     {r6('protected_percent')} protected_percent, {r6('protected_edge_percent')} protected_edge_percent, {r6('edge_percentile_cutoff')} edge_percentile_cutoff,
-    {', '.join(f'{r6(n)} {n}' for n in _M)}, {r6('fusion_cie76_delta_e_mean/greatest(direct_cie76_delta_e_mean,1e-8::double)')} fusion_to_direct_delta_e_ratio,
-    {r6('fusion_highpass_rmse/greatest(direct_highpass_rmse,1e-8::double)')} fusion_to_direct_highpass_rmse_ratio from fr""", *_FEAT, _FROWS))
+    {', '.join(f'{r6(n)} {n}' for n in _M)}, {r6('case when direct_cie76_delta_e_mean is not null then fusion_cie76_delta_e_mean/greatest(direct_cie76_delta_e_mean,1e-8::double) end')} fusion_to_direct_delta_e_ratio,
+    {r6('case when direct_highpass_rmse is not null then fusion_highpass_rmse/greatest(direct_highpass_rmse,1e-8::double) end')} fusion_to_direct_highpass_rmse_ratio from fr""", *_FEAT, _FROWS))
 def fidelity_rows(spark, sf):
     return rounded(Q.fusion_to_direct(Q.fidelity_rows(_features(spark, sf), minimum=4, strict=False)))
 
@@ -78,7 +80,8 @@ def masked_statistics(spark, sf):
 
 
 _HELD = [
-    ("h1", "select *, r/2 score, fr/2 rscore, fr tr, fg tg, fb tb, 0.299::double*r+0.587::double*g+0.114::double*b l6 from paired_rgb where frame%8=0"),
+    ("held", "select scene, frame from (select scene, frame, row_number() over (partition by scene order by frame)-1 p from (select distinct scene, frame from paired_rgb)) where p%8=0"),
+    ("h1", "select *, r/2 score, fr/2 rscore, fr tr, fg tg, fb tb, 0.299::double*r+0.587::double*g+0.114::double*b l6 from paired_rgb semi join held using (scene, frame)"),
     *D.box("h2", "h1", {"e1": "l6", "e2": "l6*l6"}, 9, "edge"),
     ("h3", "select *, score>=0.16::double spec, sqrt(greatest(e2-e1*e1,0)) sd from h2"),
     ("h4", "select *, not spec and sd>=cut tex from (select *, quantile_cont(case when not spec then sd end,0.7) over (partition by scene,frame) cut from h3)"),
@@ -99,8 +102,14 @@ _HM = {"render_score_mean": "avg(rscore)", "gt_score_mean": "avg(score)", "rende
        "psnr_textured_orig": _ps(_sq("t", ""), "tex"), "psnr_hf_textured": _ps(_hsq, "tex"), "damage_diffuse": _ma(_ab("s", ""), "not spec"), "damage_hf_textured": _ma(_hab, "tex")}
 
 
+def held_out_pixels(pixels):
+    """Pixels of every eighth frame of a scene, by position."""
+    held = holdout_every(pixels.select("scene", "frame").distinct())
+    return pixels.join(held, ["scene", "frame"], "left_semi")
+
+
 def _held(spark, sf):
-    d = paired_rgb(spark, sf).where("frame % 8 = 0").withColumns({"score": F.col("r") / 2, "render_score": F.col("fr") / 2, **{f"t{c}": F.col(f"f{c}") for c in "rgb"}})
+    d = held_out_pixels(paired_rgb(spark, sf)).withColumns({"score": F.col("r") / 2, "render_score": F.col("fr") / 2, **{f"t{c}": F.col(f"f{c}") for c in "rgb"}})
     return Q.heldout_metrics(d, threshold=0.16)
 
 

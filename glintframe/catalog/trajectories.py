@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from glintframe.catalog.base import duck, grid, observations, paired_rgb, points, query, r6, rounded, tracks, views
 from glintframe.operators import tracks as T, views as V
+from glintframe.operators.pairing import holdout_every
 from glintframe.operators.quantiles import exact_quantiles
 
 _SUMS = ", ".join(
@@ -137,11 +138,12 @@ def specular_samples(spark, sf):
 
 @query("view_dependence_ratio", "A19", duck("observations", f"""select count(*)::bigint points, {r6('avg(a)')} mean_std_ref, {r6('avg(b)')} mean_std_out, {r6('avg(b)/greatest(avg(a),1e-8::double)')} r_vd from
     (select point_id, stddev_pop(lum) a, stddev_pop(lum*(0.6::double+0.01::double*(frame%40))) b from observations semi join (select point_id from sp, cut where std>=c) using (point_id)
-     where frame%8=0 group by 1 having count(*)>=2)""", _SPREAD, _CUT))
+     where frame in (select frame from (select frame, row_number() over (order by frame)-1 p from (select distinct frame from observations)) where p%8=0) group by 1 having count(*)>=2)""", _SPREAD, _CUT))
 def view_dependence_ratio(spark, sf):
     o = observations(spark, sf)
     spread = T.view_spread(o)
-    held = T.specular_samples(o.where("frame % 8 = 0"), T.specular_points(spread, T.view_variance(spread)))
+    frames = holdout_every(o.select("frame").distinct(), scene=())
+    held = T.specular_samples(o.join(frames, "frame", "left_semi"), T.specular_points(spread, T.view_variance(spread)))
     return rounded(T.view_dependence_ratio(held.select("point_id", F.col("lum").alias("ref"), (F.col("lum") * (0.6 + 0.01 * (F.col("frame") % 40))).alias("out"))))
 
 

@@ -1,7 +1,7 @@
 """Collateral change of colour and detail on protected structure, and held-out view metrics.
 
 Pixels carry the original ``r g b``, a direct variant ``sr sg sb`` and a fused one
-``fr fg fb``; frames with too few protected pixels give no row, or raise with ``strict``.
+``fr fg fb``; frames with too few protected pixels raise, or give a row that says so.
 """
 
 from __future__ import annotations
@@ -53,7 +53,11 @@ def fidelity_features(df: DataFrame, variants=("s", "f")) -> DataFrame:
 
 
 def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"}, minimum: int = 100, strict: bool = True) -> DataFrame:
-    """One row per frame with ten metrics per variant and two fused-to-direct ratios."""
+    """One row per frame with ten metrics per variant.
+
+    A frame with fewer than ``minimum`` protected or edge pixels raises with ``strict``; else its row has the counts,
+    NULL metrics and the ``status`` that says so.
+    """
     prot, edge = F.col("protected"), F.col("edge")
     n = F.count(F.lit(1))
     on = lambda m, v: F.when(m, v)
@@ -77,10 +81,10 @@ def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"},
     rows = features.groupBy(*FRAME).agg(*aggs)
     enough = (F.col("protected_pixels") >= minimum) & (F.col("protected_edge_pixels") >= minimum)
     if strict:
-        rows = rows.where(F.when(enough, True).otherwise(F.raise_error(F.lit("too few protected pixels in a frame")).cast("boolean")))
-    else:
-        rows = rows.where(enough)
-    return rows
+        return rows.where(F.when(enough, True).otherwise(F.raise_error(F.lit("too few protected pixels in a frame")).cast("boolean")))
+    metrics = [c for c in rows.columns if c.startswith(tuple(f"{name}_" for name in variants.values()))]
+    rows = rows.withColumns({c: F.when(enough, F.col(c)) for c in metrics})
+    return rows.withColumn("status", F.when(enough, "measured").otherwise("too few protected pixels"))
 
 
 def fusion_to_direct(rows: DataFrame) -> DataFrame:

@@ -77,9 +77,10 @@ _HELDOUT = {"psnr_orig": ("Raw-target PSNR (dB)", 2), "psnr_suppressed": ("Suppr
 
 
 def table_heldout(raw: DataFrame, processed: DataFrame, keys=()) -> DataFrame:
-    """One row per metric with the raw and the processed input side by side."""
+    """One row per metric with the raw and the processed input side by side; a dash for what was not measured."""
+    text = lambda d, m, digits: F.coalesce(format_display(m, digits), F.lit("-")) if m in d.columns else F.lit("-")
     shown = lambda d, name: d.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(label).alias("metric"), format_display(m, digits).alias(name)) for m, (label, digits) in _HELDOUT.items() if m in d.columns])))
+        F.struct(F.lit(label).alias("metric"), text(d, m, digits).alias(name)) for m, (label, digits) in _HELDOUT.items()])))
     return shown(raw, "raw").join(shown(processed, "processed"), [*keys, "metric"])
 
 
