@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import count
 
 import pyarrow as pa
 import xxhash
@@ -21,8 +23,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes noscript".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption hr".split())
-_GONE = frozenset("head nav footer aside form button select option datalist template svg math canvas object audio video dialog menu search".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form tablist toolbar".split())
+_GONE = frozenset("head nav footer aside button select option datalist template svg math canvas object audio video dialog menu search".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar tablist toolbar".split())
 _COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 _HINTS = _COMMENTS | frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
@@ -40,45 +42,56 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Node:
-    """An open element: its place in the tree of the site, and whether it is out, only by a hint, or inside the article."""
+    """An open element: its place in the tree of the site, whether it is out for certain, and what else it lies in.
+
+    ``doubts`` are the elements around it, itself included, that a hint or a form speaks against.
+    """
 
     tag: str
     path: str
     out: bool
+    main: bool
     article: bool
+    doubts: tuple[int, ...]
     children: list
     texts: list
-    hinted: bool = False
 
 
 @dataclass
 class Block:
     text: str
     paths: tuple[str, ...]
+    main: bool
     article: bool
+    doubts: tuple[int, ...]
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip() else {}
 
 
-def _hinted(tag: str, at: dict[str, str], article: bool) -> bool:
-    """Whether a word of class or id hints that an element is no main text; names of states are no such words."""
+def _doubtful(tag: str, at: dict[str, str], article: bool) -> bool:
+    """Whether a form or a word of class or id speaks against an element; names of states are no such words."""
     if tag in ("html", "body", "main", "article"):
         return False
+    if tag == "form" or at.get("role", "").lower() == "form":
+        return True
     names = [n for n in f"{at.get('class', '')} {at.get('id', '')}".split() if not _STATE.search(n)]
     words = {w.lower() for n in names for w in _TOKEN.findall(n)}
     return bool(words & _HINTS) or not article and bool(words & _HEADER)
 
 
 def _is_out(tag: str, at: dict[str, str], article: bool) -> bool:
-    """Parts that are no main text wherever they stand: by element, role or visibility, and articles that are comments."""
+    """Parts that are no main text wherever they stand: by element, role or visibility, and reader comments."""
     if tag in _GONE or at.get("role", "").lower() in _ROLES:
         return True
     if tag in ("html", "body", "main") or not at:
         return tag == "header" and not article
+    names = [c.lower() for c in f"{at.get('class', '')} {at.get('id', '')}".split()]
+    if any(c in _COMMENTS or tag == "article" and c.startswith("comment") for c in names):
+        return True
     if tag == "article":
-        return any(c.lower() in _COMMENTS or c.lower().startswith("comment") for c in f"{at.get('class', '')} {at.get('id', '')}".split())
+        return False
     if "hidden" in at or re.search(r"display\s*:\s*none", at.get("style", ""), re.I):
         return True
     return tag == "header" and not article
@@ -90,8 +103,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
     A path is the chain of elements with their classes; the style is a hash of the kinds of the children, the content
     one of all the text below. Unclosed, misnested and cut-off markup is read as browsers do in the main.
     """
-    root = Node("", "", False, False, [], [])
-    stack, blocks, nodes, text = [root], [], [], []
+    root = Node("", "", False, False, False, (), [], [])
+    stack, blocks, nodes, text, number = [root], [], [], [], count()
 
     def flush():
         if text:
@@ -99,7 +112,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
             text.clear()
             top = stack[-1]
             if got and not top.out:
-                blocks.append(Block(got, tuple(n.path for n in stack[1:]), top.article))
+                blocks.append(Block(got, tuple(n.path for n in stack[1:]), top.main, top.article, top.doubts))
                 top.texts.append(got)
 
     def close():
@@ -112,16 +125,12 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
         parent, at = stack[-1], _attributes(raw)
         names = ".".join(sorted(set(re.sub(r"\d+", "", f"{at.get('class', '')} {at.get('id', '')}").split())))
         name = f"{tag}.{names}" if names else tag
-        inside = parent.article or tag in ("article", "main")
         if not parent.children or parent.children[-1] != name:
             parent.children.append(name)
-        firm = _is_out(tag, at, parent.article) or parent.out and not parent.hinted
-        hinted = not firm and (_hinted(tag, at, parent.article) or parent.hinted and not main(tag, at))
-        stack.append(Node(tag, f"{parent.path}/{name}", firm or hinted, inside, [], [], hinted))
-
-    def main(tag, at):
-        """An article or main element, which takes its text out of a branch that is out by a hint alone."""
-        return tag in ("article", "main") and not _is_out(tag, at, False)
+        inside = parent.main or parent.article
+        out = parent.out or _is_out(tag, at, inside)
+        doubts = (*parent.doubts, next(number)) if not out and _doubtful(tag, at, inside) else parent.doubts
+        stack.append(Node(tag, f"{parent.path}/{name}", out, parent.main or tag == "main", parent.article or tag == "article", doubts, [], []))
 
     at, lower = 0, None
     for m in iter(lambda: _TAG.search(page, at), None):
@@ -165,7 +174,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
                         close()
                 if not raw.rstrip().endswith("/") or tag in _BLOCK:
                     open_(tag, raw)
-        elif raw and (_is_out(tag, _attributes(raw), stack[-1].article) or _hinted(tag, _attributes(raw), stack[-1].article)):
+        elif raw and any(f(tag, _attributes(raw), stack[-1].main or stack[-1].article) for f in (_is_out, _doubtful)):
             flush()
             open_(tag, raw)
     if at < len(page):
@@ -176,11 +185,34 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
     return blocks, nodes
 
 
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def _without_doubtful(blocks: list[Block]) -> list[Block]:
+    """Blocks outside doubtful elements. An element that holds most of the page's text is not doubted, unless an article or main element outside it holds a quarter as much."""
+    total, held, named = _size(blocks), Counter(), Counter()
+    marked = _size([b for b in blocks if b.main or b.article])
+    for b in blocks:
+        for d in b.doubts:
+            held[d] += len(b.text)
+            named[d] += len(b.text) if b.main or b.article else 0
+    cleared = {d for d, n in held.items() if 2 * n > total and 4 * (marked - named[d]) < n}
+    return [b for b in blocks if cleared.issuperset(b.doubts)]
+
+
+def _larger(blocks: list[Block], inside: list[bool]) -> list[Block]:
+    """The blocks inside, unless those outside have more than twice their text."""
+    a, b = [x for x, y in zip(blocks, inside) if y], [x for x, y in zip(blocks, inside) if not y]
+    return b if _size(b) > 2 * _size(a) else a
+
+
 def main_blocks(page: str, low: frozenset[str] = frozenset()) -> list[str]:
-    """Blocks outside the branches ``low``; those of the article alone if the page has one with text."""
+    """Blocks outside the branches ``low`` and outside doubtful elements: those of main or else of the article, if these hold enough of the text."""
     blocks = [b for b in parse(page)[0] if not any(p in low for p in b.paths)]
-    inside = [b for b in blocks if b.article]
-    return [b.text for b in inside or blocks]
+    blocks = _without_doubtful(blocks)
+    blocks = _larger(blocks, [b.main for b in blocks])
+    return [b.text for b in _larger(blocks, [b.article for b in blocks])]
 
 
 def host(url: Column) -> Column:
@@ -235,8 +267,9 @@ def _extract(batches):
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` of every page: its blocks without the branches of low importance on its host.
 
-    What is no main text by its element, role or class goes in any case; where a page has an article with text, only
-    that counts. The low branches of a host are those that at least ``LEAST_PAGES`` places share, one row a host.
+    What is no main text by its element or role goes in any case, and so do reader comments. What a form, a class or an
+    id speaks against goes unless it holds most of the page's text. Main elements and articles count alone unless the
+    rest has more than twice their text. The low branches of a host are those that at least ``LEAST_PAGES`` places share, one row a host.
 
     Null and empty pages have an empty text; pages without a host are judged by themselves; repeated pages give
     repeated rows; further columns are ignored; no rows give no rows.

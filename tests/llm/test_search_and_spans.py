@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from glintframe.llm import bm25 as B, decontam as D, styletree as S
 from tests.llm.helpers import documents, no_documents
@@ -179,3 +180,19 @@ def test_branches_that_a_site_repeats_go(spark):
     low = [v for k, v in importance.items() if k.endswith("div.teaserx")]
     assert low and max(low) < 0.05 and [v for k, v in importance.items() if k.endswith("div.text")][0] > 0.5
     assert S.main_text(df.limit(0)).count() == 0
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story, which is long enough.</p>" for i in range(4))
+TEXTS = [f"Paragraph {i} of the story, which is long enough." for i in range(4)]
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form action=x><div>{STORY}</div></form></body>", f"<body><form><article>{STORY}</article><button>Go</button></form></body>",
+    f"<div>{STORY}</div><article><h3>Teaser</h3></article>", f"<main><div>{STORY}</div><article>Teaser</article></main>",
+    *(f"<body><div class='{c}'>{STORY}</div><div class=sidebar>Side</div></body>" for c in
+      ("content-area sidebar-right", "post social-post", "elementor-widget-wrap", "hentry tags")),
+    f"<div class='page sidebar-left'><div class=sidebar>Side</div>{STORY}<form><p>Sign up</p></form></div>",
+    f"<article>{STORY}</article><div class=sidebar>{STORY}{STORY}</div>",
+    f"<div>{STORY}</div><div class=comments>{STORY}{STORY}{STORY}</div>"])
+def test_no_hint_form_or_teaser_takes_the_story(page):
+    assert S.main_blocks(page) == TEXTS
