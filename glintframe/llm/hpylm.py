@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from glintframe.llm.common import octets, partitions, remainder
+from glintframe.llm.seating import draw_tables
 from glintframe.session import materialize
 
 CONTEXT_BITS = 20
@@ -61,29 +62,6 @@ def bucket_of(word: np.ndarray, context: np.ndarray | None, buckets: int) -> np.
     return ((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def seat(customers: np.ndarray, base: np.ndarray, others: np.ndarray, strength: float, discount: float, rng) -> np.ndarray:
-    """Tables of each dish after its customers have sat down one by one, given the restaurant's other tables.
-
-    A customer opens a table with weight ``(strength + discount * tables) * base`` and joins one of the dish's with
-    ``seated - discount * its tables``. After the first 256, customers of one dish come in groups of a sixteenth of
-    those seated, whose weights stay as they are while the group sits down.
-    """
-    order = np.argsort(-customers, kind="stable")
-    c, p, rest = customers[order], base[order], others[order]
-    t = np.minimum(c, 1).astype(np.float64)
-    n, live = 1, int((c > 1).sum())
-    while live:
-        step = 1 if n < 256 else n // 16
-        new = (strength + discount * (rest[:live] + t[:live])) * p[:live]
-        new = new / (new + n - discount * t[:live])
-        t[:live] += rng.random(live) < new if step == 1 else rng.binomial(np.minimum(step, c[:live] - n), new)
-        n += step
-        live = int(np.searchsorted(-c[:live], -n, side="left"))
-    out = np.empty(len(t))
-    out[order] = t
-    return out
-
-
 @dataclass
 class Known:
     """What every task knows: per round the tables of the contexts, sums over all words, and the words that are spread."""
@@ -277,14 +255,14 @@ class Bucket:
         return (self.count - d * self.tables + (s + d * x.tables[r][self.context]) * self.word_probability()[self.at]) / (s + x.customers[self.context])
 
     def sweep(self):
-        """Seat all customers anew, dish after dish, given the tables of the round before."""
+        """Draw the tables of every dish from their exact conditional, given the other tables of the round before."""
         x, i = self.known, self.many
         others = np.maximum(x.tables[self.round][self.context[i]] - self.tables[i], 0)
         base = self.word_probability()
-        self.tables[i] = seat(self.count[i], base[self.at[i]], others, STRENGTH[1], x.discounts[1], self.rng)
+        self.tables[i] = draw_tables(self.count[i], base[self.at[i]], others, STRENGTH[1], x.discounts[1], self.rng)
         self._sum()
         rest = np.maximum(x.parents[self.round] - self.parents, 0)
-        self.parents = seat(self.own.astype(np.int64), np.full(len(self.words), 1 / (x.n_words + 1)), rest, STRENGTH[0], x.discounts[0], self.rng)
+        self.parents = draw_tables(self.own.astype(np.int64), np.full(len(self.words), 1 / (x.n_words + 1)), rest, STRENGTH[0], x.discounts[0], self.rng)
         self.round += 1
 
 
@@ -448,7 +426,7 @@ def scores(docs: DataFrame, train_fold=None, rounds: int = ROUNDS) -> DataFrame:
         contexts, words, hot = _collect_sums(buckets.select("bucket", "kind", "key", "a", "b").mapInArrow(_sweeps(shared, r), _ROW_DDL), known)
         known.tables.append(contexts[1].astype(np.int32))
         known.hot_tables.append(hot[1])
-        known.hot_parents.append(seat(hot[1], np.full(len(known.hot), 1 / (known.n_words + 1)), np.full(len(known.hot), known.parents[-1], np.float64), STRENGTH[0], known.discounts[0], rng))
+        known.hot_parents.append(draw_tables(hot[1], np.full(len(known.hot), 1 / (known.n_words + 1)), np.full(len(known.hot), known.parents[-1], np.float64), STRENGTH[0], known.discounts[0], rng))
         known.parents.append(int(words[1] + known.hot_parents[-1].sum()))
     shared = spark.sparkContext.broadcast(known)
     parts = buckets.mapInArrow(_score(shared, rounds), _PART_DDL)

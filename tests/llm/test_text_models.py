@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glintframe.llm import hpylm as H, nbsvm as N, toxicity as T
+from glintframe.llm import hpylm as H, nbsvm as N, seating as SE, toxicity as T
 from tests.llm.helpers import documents, no_documents
 
 SF = "/root/testdata/sf0.01"
@@ -180,17 +180,47 @@ def test_predictions_sum_to_one_and_tables_stay_in_bounds():
         b.sweep()
 
 
-def test_seating_follows_the_restaurant_process():
-    rng = np.random.default_rng(5)
-    n, strength, discount, base = 20_000, 2.0, 0.4, 0.7
-    t = H.seat(np.full(n, 3), np.full(n, base), np.zeros(n), strength, discount, rng)
-    # by hand: the second and the third customer open a table or join
-    open2 = (strength + discount) * base / ((strength + discount) * base + 1 - discount)
-    open3 = lambda k: (strength + discount * k) * base / ((strength + discount * k) * base + 2 - discount * k)
-    mean = 1 + open2 + (1 - open2) * open3(1) + open2 * open3(2)
-    assert abs(t.mean() - mean) < 0.02 and set(np.unique(t)) <= {1.0, 2.0, 3.0}
-    large = H.seat(np.array([0, 1, 2, 5000]), np.full(4, 0.1), np.zeros(4), 1.0, 0.5, rng)
-    assert large[0] == 0 and large[1] == 1 and 1 <= large[2] <= 2 and 1 <= large[3] <= 5000
+def _partitions(n):
+    """Sizes of the tables of every way to seat ``n`` customers."""
+    def go(i, sizes):
+        if i == n:
+            yield tuple(sizes)
+            return
+        for k in range(len(sizes)):
+            yield from go(i + 1, sizes[:k] + [sizes[k] + 1] + sizes[k + 1:])
+        yield from go(i + 1, [*sizes, 1])
+
+    return go(0, [])
+
+
+@pytest.mark.parametrize("n, strength, discount, base, others", [(2, 1.0, 0.7, 0.3, 0), (5, 1.0, 0.7, 0.3, 0), (6, 2.0, 0.4, 0.7, 12), (7, 0.5, 0.9, 0.01, 300)])
+def test_tables_follow_the_enumerated_conditional(n, strength, discount, base, others):
+    want = np.zeros(n + 1)
+    for sizes in _partitions(n):
+        joined = math.prod(i - discount for s in sizes for i in range(1, s))
+        want[len(sizes)] += joined * math.prod(base * (strength + discount * (others + j)) for j in range(len(sizes)))
+    draws = 60_000
+    got = SE.draw_tables(np.full(draws, n), np.full(draws, base), np.full(draws, others), strength, discount, np.random.default_rng(5))
+    assert np.abs(np.bincount(got.astype(int), minlength=n + 1) / draws - want / want.sum()).max() < 0.01
+
+
+@pytest.mark.parametrize("discount", [0.1, 0.5, 0.8])
+@pytest.mark.parametrize("base, others", [(0.3, 5), (0.001, 1e5), (0.9, 1000)])
+def test_tables_of_large_dishes(discount, base, others):
+    t = np.arange(1, 2001)
+    weight = SE.stirling(discount, 2000)[2000, 1:] + np.cumsum(np.log(base * (1 + discount * (others + t - 1))))
+    p = np.exp(weight - weight.max())
+    mean = (p * t).sum() / p.sum()
+    spread = math.sqrt((p * t * t).sum() / p.sum() - mean ** 2)
+    got = SE.draw_tables(np.full(4000, 2000), np.full(4000, base), np.full(4000, float(others)), 1.0, discount, np.random.default_rng(3))
+    assert abs(got.mean() - mean) < 0.03 * mean + 0.1 and abs(got.std() - spread) < 0.06 * spread + 0.1
+
+
+def test_tables_of_none_one_and_very_many_customers():
+    c = np.array([0, 1, 2, 257, 10**7])
+    got = SE.draw_tables(c, np.full(5, 1e-9), np.full(5, 1e9), 1.0, 0.5, np.random.default_rng(1))
+    assert got[0] == 0 and got[1] == 1 and (got[2:] >= 1).all() and (got <= c).all()
+    assert (SE.draw_tables(c, np.full(5, 0.999), np.full(5, 1e9), 1.0, 0.5, np.random.default_rng(1))[2:] >= [2, 250, 10**6]).all()
 
 
 def test_blocks_of_numbers_survive_packing():
