@@ -44,6 +44,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     return rows.join(F.broadcast(heavy), keys).unionByName(others)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row``, a number, and ``doc``, the whole row, so that no column name clashes; written before it is used twice."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def octets(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glintframe.llm.common import octets, sole_memory
+from glintframe.llm.common import numbered, octets, sole_memory
 from glintframe.session import materialize
 
 WINDOW = 13
@@ -227,9 +227,11 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> D
     a task holds of it is bounded; texts stay where they were read and nothing but the result leaves a task.
 
     Null and empty texts have no words; a null item id counts as the id ``""``; items without words have no window;
-    items that repeat count once for each different id; no benchmark leaves all documents without spans.
+    items that repeat count once for each different id; no benchmark leaves all documents without spans; further columns
+    are ignored.
     """
-    return _occurrences(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", benchmark, width).drop("row")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return _occurrences(rows, "row", benchmark, width).drop("row")
 
 
 def _occurrences(docs: DataFrame, row: str, benchmark: DataFrame, width: int) -> DataFrame:
@@ -258,6 +260,6 @@ def contamination(found: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows that are not contaminated, unchanged; each is judged by itself, whatever its id."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    bad = contamination(_occurrences(rows, "__row", benchmark, width)).where("contaminated").select(F.col("row").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    rows = materialize(numbered(docs))
+    bad = contamination(_occurrences(rows.select("row", "doc.doc_id", "doc.text"), "row", benchmark, width)).where("contaminated").select("row")
+    return rows.join(bad, "row", "left_anti").select("doc.*")

@@ -401,7 +401,8 @@ def scores(docs: DataFrame, train_fold=None, rounds: int = ROUNDS) -> DataFrame:
     of fixed size are gathered. Predictions are averaged over the rounds.
 
     Null and empty texts are the end alone; a null id counts as an empty text in the fold; repeated rows are documents
-    of their own; without training documents every token has the uniform probability; no rows give no rows.
+    of their own; without training documents every token has the uniform probability; further columns are ignored; no
+    rows give no rows.
     """
     fold = remainder(F.col("doc_id"), 7) != 2 if train_fold is None else train_fold
     spark = docs.sparkSession

@@ -79,7 +79,7 @@ def mix(rows: DataFrame, source: Column, size: Column, key: Column, weights: tup
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, by words; the columns stay."""
-    mixed = mix(docs, F.col("source"), word_count(F.col("text")), F.col("doc_id"))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    return mixed.where("mix_copies > 0").select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copies")).select(*keep)
+    """The documents of the mix, each as often as it is taken, by words; the columns stay, whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    mixed = mix(whole, F.col("doc.source"), word_count(F.col("doc.text")), F.col("doc.doc_id"))
+    return mixed.where("mix_copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("doc.*")

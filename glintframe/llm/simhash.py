@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from glintframe.llm.common import octets, partitions, per_batch, sole_memory
+from glintframe.llm.common import numbered, octets, partitions, per_batch, sole_memory
 from glintframe.llm.components import components
 from glintframe.session import materialize
 
@@ -161,9 +161,9 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Rows are judged one by one: rows without an id are compared like all others and come last in their group, and of
     rows that share the smallest id one stays.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    marked = fingerprints(rows.withColumn("__hash", F.xxhash64("text")), "__row", "__hash")
-    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__hash", "__row")
+    rows = materialize(numbered(docs))
+    marked = fingerprints(rows.select("row", "doc.doc_id", "doc.text", F.xxhash64("doc.text").alias("hash")), "row", "hash")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "hash", "row")
     least = materialize(marked.groupBy("fp").agg(F.min(place).alias("first")))
-    kept = _rooted(least, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = _rooted(least, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

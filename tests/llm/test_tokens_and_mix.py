@@ -149,3 +149,17 @@ def test_pipeline_keeps_clean_documents_and_applies_every_stage(spark, tmp_path)
 @pytest.mark.parametrize("text,n", [(None, 0), ("", 0), (" \t\n", 0), ("a b c", 2), ("x\x0by\x1cz", 2)])
 def test_word_count_parts_at_ascii_white_space_only(spark, text, n):
     assert spark.createDataFrame([(text,)], "t string").select(M.word_count(F.col("t"))).first()[0] == n
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    from glintframe.llm import decontam, mixing, simhash
+
+    names = ("__row", "row", "hash", "doc", "__hash", "mix_copies", "mix_size", "mix_source_size", "mix_target", "size", "at", "part", "fp", "key")
+    rows = [(i, f"text number {i % 3} of many words " * 20, "s") for i in range(6)] + [(None, None, None), (None, None, None)]
+    docs = documents(spark, rows).withColumns({n: F.lit(n) for n in names})
+    benchmark = spark.createDataFrame([("i", "no such passage in any of the documents here")], "item_id string, text string")
+    for stage in (simhash.keep_one, lambda d: decontam.clean_documents(d, benchmark), mixing.mix_documents):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and all(r[n] == n for r in found for n in names)
