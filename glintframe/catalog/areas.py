@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from glintframe.catalog.base import duck, grid, query, r6, rounded
-from glintframe.operators import regions as R
+from glintframe.catalog.scores import _per_image_sql
+from glintframe.operators import regions as R, suppression as SU
 
 PIX = "scene, frame, y::bigint y, x::bigint x"
 KEY = ["scene", "frame", "y", "x"]
@@ -43,6 +44,20 @@ def region_consensus(spark, sf):
     return rounded(R.region_consensus(grid(spark, sf)))
 
 
+_CONS = lambda cond: r6(f"100*coalesce(sum(n) filter (where {cond}),0)/nullif(sum(n),0)")
+_IMAGE, _IMAGE_STATES = _per_image_sql("grid", "scene, frame")
+
+
+@query("per_image_consensus_rows", "A4 A7", duck("grid", f"""select i.*, simple_majority_region_consensus_percent, robust_majority_region_consensus_percent from ({_IMAGE}) i left join
+    (select scene, frame, {_CONS('md>0 and df>0.5::double')} simple_majority_region_consensus_percent, {_CONS('md>0 and df>0.55::double')} robust_majority_region_consensus_percent from v group by all) c using (scene, frame)""",
+    *flood("lab", "grid", "raw>=0.075::double"), _IMAGE_STATES,
+    ("v", "select scene, frame, region, count(*) n, avg(raw-outp) md, count(*) filter (where raw-outp>0)/count(*) df from lab join grid using (scene, frame, y, x) where region>0 group by all"), recursive=True))
+def per_image_consensus_rows(spark, sf):
+    """The whole per-image row, with both levels of region consensus."""
+    g = grid(spark, sf)
+    return rounded(R.with_consensus(SU.per_image_rows(g), g))
+
+
 def geometry_steps(lab, out="geo"):
     """Brute force: flood the outside of every region on a padded board, then count 2 x 2 blocks."""
     row = "max(o) over (partition by scene,frame,region,y order by x rows between 1 preceding and 1 following)"

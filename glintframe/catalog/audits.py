@@ -118,11 +118,22 @@ def frame_quality(spark, sf):
     return rounded(RP.frame_quality_report(frames, frames.where("frame % 4 = 0"), scored))
 
 
-@query("cross_scene_summary", "R12", duck("paired_rgb", "select scene, count(*)::bigint frames, " + ", ".join(f"{r6(f'quantile_cont({m},0.5)')} {m}_median" for m in RP.FIDELITY_DIGITS) + ", any_value(n)::bigint pixels from (select scene::varchar scene, * exclude (scene) from fr) join (select scene::varchar scene, count(*) n from paired_rgb group by 1) using (scene) group by scene", *_FEAT, _FROWS))
+_RATIO = "case when direct_cie76_delta_e_mean is not null then fusion_cie76_delta_e_mean/greatest(direct_cie76_delta_e_mean,1e-8::double) end"
+
+
+@query("cross_scene_summary", "R12", duck("paired_rgb views poses", "select m.*, raw_registered_frames, other_registered_frames, view_count, within_support_views, " + ", ".join(f"{r6(c)} supported_{c}" for c in RP._TRAJECTORY) +
+    " from (select scene, count(*)::bigint frames, " + ", ".join(f"{r6(f'quantile_cont({m},0.5)')} {m}_median" for m in RP.FIDELITY_DIGITS) + f", {r6(f'quantile_cont({_RATIO},0.5)')} fusion_to_direct_delta_e_ratio_median"
+    " from (select scene::varchar scene, * exclude (scene) from fr) group by scene) m"
+    " left join (select scene::varchar scene, count(*)::bigint raw_registered_frames, count(*) filter (where frame%9<>0)::bigint other_registered_frames from poses group by 1) using (scene)"
+    " left join (select scene, count(*)::bigint view_count, count(*) filter (where within_support)::bigint within_support_views from v7 group by 1) c using (scene)"
+    f" left join (select scene, {', '.join(RP._TRAJECTORY)} from (select scene, {_SUMS} from v7 where within_support group by scene)) using (scene)",
+    *_FEAT, _FROWS, ("v7", "select (view_id%7)::varchar scene, * exclude (scene) from views")))
 def cross_scene_summary(spark, sf):
-    stats = Q.summary_stats(Q.fidelity_rows(_features(spark, sf), minimum=4, strict=False), list(RP.FIDELITY_DIGITS), pooled=None)
-    pixels = grid(spark, sf).groupBy("scene").agg(F.count(F.lit(1)).alias("pixels"))
-    return rounded(RP.cross_scene_summary(stats, pixels))
+    """Ten scenes with 2-D values, seven of them with views of a 3-D path."""
+    rows = Q.fusion_to_direct(Q.fidelity_rows(_features(spark, sf), minimum=4, strict=False))
+    stats = Q.summary_stats(rows, [*RP.FIDELITY_DIGITS, "fusion_to_direct_delta_e_ratio"], pooled=None)
+    registered = poses(spark, sf).groupBy("scene").agg(F.count(F.lit(1)).alias("raw_registered_frames"), F.count_if(F.col("frame") % 9 != 0).alias("other_registered_frames"))
+    return rounded(RP.cross_scene_summary(stats, views(spark, sf).withColumn("scene", (F.col("view_id") % 7).cast("string")), registered))
 
 
 def _held_rows(name, held, spread):

@@ -152,6 +152,16 @@ def region_consensus(pixels: DataFrame, keys=("scene",), weak=WEAK, strong=STRON
     return votes.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*parts)))
 
 
+def with_consensus(rows: DataFrame, pixels: DataFrame, weak=WEAK, strong=STRONG) -> DataFrame:
+    """Per-image ``rows`` with the share of each image's source pixels in accepted regions, a column per level.
+
+    NULL for an image without source pixels, as for the other shares of the source.
+    """
+    levels = region_consensus(pixels, FRAME, weak, strong)
+    wide = levels.groupBy(*FRAME).agg(*[F.max(F.when(F.col("level") == level, F.col("all_percent"))).alias(f"{level}_region_consensus_percent") for level in CONSENSUS])
+    return rows.join(wide, list(FRAME), "left")
+
+
 # --- geometry ------------------------------------------------------------
 
 def filled_members(labelled: DataFrame, region: str = "region_id") -> DataFrame:

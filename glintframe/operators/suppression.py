@@ -118,7 +118,7 @@ def tier_coverage(df: DataFrame, keys=("scene",), weak=WEAK, strong=STRONG, abso
 
 
 def per_image_rows(df: DataFrame, keys=("scene", "frame"), weak=WEAK, strong=STRONG) -> DataFrame:
-    """One row of per-image metrics (schema version 2, without region consensus)."""
+    """One row of per-image metrics; ``regions.with_consensus`` adds those of connected regions."""
     s = with_states(df, weak, strong)
     b, a = F.col("before"), F.col("after")
     n = F.count(F.lit(1))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glintframe.functions.scalar import col, experiment_tag, format_display
 from glintframe.operators.poses import normalized_rmse_percent
+from glintframe.operators.views import aggregate_supported
 
 
 def display(rows: DataFrame, labels, values: dict[str, int]) -> DataFrame:
@@ -106,11 +107,20 @@ def compare_experiments(runs: DataFrame, name: str, values: dict[str, int]) -> D
     return runs.select(name, *[F.coalesce(format_display(c, d), F.lit("-")).alias(c) for c, d in values.items()]).orderBy(name)
 
 
-def cross_scene_summary(fidelity_stats: DataFrame, supported: DataFrame) -> DataFrame:
-    """2-D medians beside the supported 3-D values of each scene."""
-    medians = fidelity_stats.groupBy("scene").agg(F.max("frames").alias("frames"), *[
-        F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median") for m in FIDELITY_DIGITS])
-    return medians.join(supported.withColumn("scene", F.col("scene").cast("string")), "scene", "left")
+def cross_scene_summary(fidelity_stats: DataFrame, views: DataFrame, registered: DataFrame) -> DataFrame:
+    """2-D medians of every scene beside the 3-D values of its supported views, NULL where it has none.
+
+    ``views`` are single views with ``within_support``; ``registered`` has the frames of each scene in both branches.
+    """
+    text = lambda d: d.withColumn("scene", F.col("scene").cast("string"))
+    metrics = [*FIDELITY_DIGITS, "fusion_to_direct_delta_e_ratio"]
+    medians = text(fidelity_stats).groupBy("scene").agg(F.max("frames").alias("frames"), *[
+        F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median") for m in metrics])
+    counts = views.groupBy("scene").agg(F.count(F.lit(1)).alias("view_count"), F.count_if("within_support").alias("within_support_views"))
+    pooled = aggregate_supported(views).select("scene", *[F.col(c).alias(f"supported_{c}") for c in _TRAJECTORY])
+    for part in (registered, counts, pooled):
+        medians = medians.join(text(part), "scene", "left")
+    return medians
 
 
 def frame_quality_report(frames: DataFrame, done: DataFrame, scored: DataFrame, keys=("scene",)) -> DataFrame:
