@@ -15,6 +15,8 @@ from glintframe.functions.scalar import col, finite
 from glintframe.session import materialize
 
 _STEPS = 1 << 14
+_SKETCH = 200  # values that a sketch keeps as they are
+_SMALL = 64  # values of a group that is read from its sketch
 
 
 def order_code(value) -> Column:
@@ -80,6 +82,33 @@ def _by_histogram(rows, keys, probs, count_as):
     return found.select(*keys, *out)
 
 
+def group_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *, count_as: str | None = None) -> DataFrame:
+    """``exact_quantiles`` for tables of many groups, most of them small.
+
+    A sketch of each group is built where its rows are read; it keeps ``_SKETCH`` values as they are, so for groups of up
+    to ``_SMALL`` every order statistic is exact after one shuffle of sketches. Only the rows of larger groups go on to
+    the histogram. The sketches are written once: their size tells how to join the larger groups.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.nanvl(col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    sketched = materialize(rows.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", _SKETCH).alias("_k"), F.count("_v").alias("_n")))
+    n = F.col("_n")
+    # a sketch takes constant ranks only: of twice as many as there are values, each value has one near its middle
+    asked = F.array(*[F.lit((i + 0.5) / (2 * _SMALL)) for i in range(2 * _SMALL)])
+    at = lambda rank: F.get("_q", F.floor((rank + 0.5) / n * (2 * _SMALL)).cast("int"))
+    out = []
+    for name, p in probs.items():
+        low = F.floor((n - 1) * p)
+        out.append((at(low) + ((n - 1) * p - low) * (at(F.least(low + 1, n - 1)) - at(low))).alias(name))
+    if count_as:
+        out.append(n.alias(count_as))
+    large = rows.join(sketched.where(n > _SMALL).select(*keys), keys, "left_semi")
+    small = sketched.where(n <= _SMALL).withColumn("_q", F.when(n > 0, F.kll_sketch_get_quantile_double("_k", asked)))
+    return small.select(*keys, *out).unionByName(_by_histogram(large, keys, probs, count_as))
+
+
 def with_frame_quantile(df: DataFrame, wanted: dict[str, tuple[Column, float]],
                         frame=("scene", "frame")) -> DataFrame:
     """Put a per-frame quantile back on every pixel of the frame, without a join.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glintframe.functions.scalar import clip, col
-from glintframe.operators.quantiles import exact_quantiles, with_frame_quantile
+from glintframe.operators.quantiles import exact_quantiles, group_quantiles, with_frame_quantile
 from glintframe.session import materialize
 
 MAD_TO_SIGMA = 1.4826
@@ -38,8 +38,8 @@ def sample_at(tracks: DataFrame, pixels: DataFrame, values, camera_w=None, camer
 
 def point_stats(observations: DataFrame, keys=("point_id",), min_views: int = 4) -> DataFrame:
     """Views, median, MAD and 90th percentile of every point, and whether it is usable."""
-    base = exact_quantiles(observations, keys, "lum", {"median": 0.5, "p90": 0.9}, count_as="n_views")
-    spread = exact_quantiles(observations.join(base.select(*keys, "median"), list(keys)), keys,
+    base = group_quantiles(observations, keys, "lum", {"median": 0.5, "p90": 0.9}, count_as="n_views")
+    spread = group_quantiles(observations.join(base.select(*keys, "median"), list(keys)), keys,
                              F.abs(F.col("lum") - F.col("median")), {"mad": 0.5})
     return base.join(spread, list(keys)).withColumn("usable", F.col("n_views") >= min_views)
 

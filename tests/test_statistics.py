@@ -204,3 +204,21 @@ def test_statistics_start_no_job_before_the_action(spark):
     assert list(tracker.getJobIdsForGroup("plan only")) == []
     assert out.count() == 1
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_group_quantiles_of_small_and_large_groups(spark):
+    import numpy as np
+
+    from glintframe.operators.quantiles import group_quantiles
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 3, 63, 64, 65, 900]
+    groups = {k: np.where(rng.random(n) < 0.3, 5.0, rng.normal(size=n) * 10.0 ** rng.integers(-3, 9, n)) for k, n in enumerate(sizes)}
+    rows = [(k, float(v)) for k, g in groups.items() for v in g] + [(k, None) for k in groups] + [(3, float("nan")), (None, 1.0)]
+    got = group_quantiles(spark.createDataFrame(rows, "k int, v double").repartition(6), ["k"], "v", {"lo": 0.0, "q": 0.9, "mid": 0.5, "hi": 1.0}, count_as="n")
+    found = {r.k: r for r in got.collect()}
+    assert set(found) == set(groups)
+    for k, g in groups.items():
+        assert found[k].n == len(g)
+        for name, p in (("lo", 0.0), ("q", 0.9), ("mid", 0.5), ("hi", 1.0)):
+            assert found[k][name] is None if not len(g) else found[k][name] == pytest.approx(np.quantile(g, p), rel=1e-12)
