@@ -87,13 +87,13 @@ def group_quantiles(df: DataFrame, keys, value, probs: dict[str, float], *, coun
 
     A sketch of each group is built where its rows are read; it keeps ``_SKETCH`` values as they are, so for groups of up
     to ``_SMALL`` every order statistic is exact after one shuffle of sketches. Only the rows of larger groups go on to
-    the histogram. The sketches are written once: their size tells how to join the larger groups.
+    the histogram.
     """
     keys = list(keys)
     rows = df.select(*keys, F.nanvl(col(value).cast("double"), F.lit(None).cast("double")).alias("_v"))
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    sketched = materialize(rows.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", _SKETCH).alias("_k"), F.count("_v").alias("_n")))
+    sketched = rows.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", _SKETCH).alias("_k"), F.count("_v").alias("_n"))
     n = F.col("_n")
     # a sketch takes constant ranks only: of twice as many as there are values, each value has one near its middle
     asked = F.array(*[F.lit((i + 0.5) / (2 * _SMALL)) for i in range(2 * _SMALL)])
