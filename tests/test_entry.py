@@ -14,7 +14,7 @@ def test_entry_works_without_the_optional_package(monkeypatch):
 
 def test_every_text_query_is_registered_if_the_package_is_there():
     if entry._optional("glintframe.llm.queries"):
-        assert {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+        assert {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
         assert "pipeline" in entry.queries()
 
 
