@@ -200,16 +200,23 @@ def size_feather_blend(spark, sf):
     return rounded(B.blend(blend_inputs(spark, sf), "adaptive_feather", short_side=SIDE, factor=FACTOR).select(*KEY, *_OUT))
 
 
-_WEAK = [
-    ("e0", "select f0.*, (abs(r-sr)+abs(g-sg)+abs(b-sb))/3 change, 0.299::double*sr+0.587::double*sg+0.114::double*sb lum2 from f0"),
-    *D.down("e1", "e0", 2, ["score", "view_", "evidence", "structure", "lum", "change"]),
-    ("e2", f"select *, {zfs('score', 0.3)} alpha, {BOOST('score', 0.1)} boosted, (score>=0.075::double and evidence>=0.18::double) or score>=0.3::double seed, ((score>=0.075::double and evidence>=0.18::double) or score>=0.1::double)::int cand from e1"),
-    *D.plus("e3", "e2", "cand", "c1", "max"), *D.plus("e4", "e3", "c1", "joined", "min"), *flood("el", "e4", "joined=1", 4, 20),
-    ("e5", "select e4.*, case when region>0 and bool_or(seed) over (partition by scene, frame, region) then region else 0 end region from e4 join el using (scene, frame, y, x)"),
-    ("el2", "select scene, frame, y, x, region from e5"), *geometry_steps("el2", "eg"),
-    ("e6", "select scene, frame, region, quantile_cont(evidence,0.85) e85, quantile_cont(view_,0.85) v85, quantile_cont(boosted,0.7) a70, quantile_cont(change,0.85) c85 from e5 where region>0 group by 1,2,3"),
-    ("e7", f"select *, {smooth(6, 12, 'wi')} sc, {smooth(0.08, 0.35, 'e85')} eo, {smooth(0.08, 0.35, 'v85')} per, {smooth(0.03, 0.15, 'c85')} risk from (select e6.*, case when pe>1e-6::double then 4*ca/pe else 1 end wi from e6 join eg using (scene, frame, region))"),
-    ("e8", "select *, 0.35::double+0.8::double*sc+(1.15::double-(0.35::double+0.8::double*sc))*eo gain, (0.5::double+2*sc)*(1+risk) sigma from e7"),
+def weak_sql(factor):
+    """Weak regions and their settings on the grid ``factor`` times coarser."""
+    n = 8 // factor
+    return [
+        ("e0", "select f0.*, (abs(r-sr)+abs(g-sg)+abs(b-sb))/3 change, 0.299::double*sr+0.587::double*sg+0.114::double*sb lum2 from f0"),
+        *D.down("e1", "e0", factor, ["score", "view_", "evidence", "structure", "lum", "change"]),
+        ("e2", f"select *, {zfs('score', 0.3)} alpha, {BOOST('score', 0.1)} boosted, (score>=0.075::double and evidence>=0.18::double) or score>=0.3::double seed, ((score>=0.075::double and evidence>=0.18::double) or score>=0.1::double)::int cand from e1"),
+        *D.plus("e3", "e2", "cand", "c1", "max"), *D.plus("e4", "e3", "c1", "joined", "min"), *flood("el", "e4", "joined=1", n, 44 if n > 4 else 20),
+        ("e5", "select e4.*, case when region>0 and bool_or(seed) over (partition by scene, frame, region) then region else 0 end region from e4 join el using (scene, frame, y, x)"),
+        ("el2", "select scene, frame, y, x, region from e5"), *geometry_steps("el2", "eg"),
+        ("e6", "select scene, frame, region, quantile_cont(evidence,0.85) e85, quantile_cont(view_,0.85) v85, quantile_cont(boosted,0.7) a70, quantile_cont(change,0.85) c85 from e5 where region>0 group by 1,2,3"),
+        ("e7", f"select *, {smooth(6, 12, 'wi')} sc, {smooth(0.08, 0.35, 'e85')} eo, {smooth(0.08, 0.35, 'v85')} per, {smooth(0.03, 0.15, 'c85')} risk from (select e6.*, case when pe>1e-6::double then 4*ca/pe else 1 end wi from e6 join eg using (scene, frame, region))"),
+        ("e8", "select *, 0.35::double+0.8::double*sc+(1.15::double-(0.35::double+0.8::double*sc))*eo gain, (0.5::double+2*sc)*(1+risk) sigma from e7"),
+    ]
+
+
+_PROFILE = [
     ("eb", "select e8.*, v, exp(-v*v/(2*sigma*sigma)) k from (select *, (((round_even(sigma*8+1,0)::int)|1)//2)::int rad from e8) e8 join (select range::int v from range(-22,23)) on abs(v)<=rad"),
     ("ew", "select scene, frame, region, d, greatest(0,least(3,d+v)) s, sum(k)/any_value(nk) wt from (select *, sum(k) over (partition by scene, frame, region) nk from eb) join (select range::int d from range(4)) on true group by all"),
     ("ep", f"select e5.scene, e5.frame, e5.region, wy.d y, wx.d x, sum(wy.wt*wx.wt) mem, sum(wy.wt*wx.wt*{clip('gain*((1-sc)*a70+sc*boosted)')}) num from e5 join e8 using (scene, frame, region) "
@@ -217,12 +224,25 @@ _WEAK = [
     ("eq", f"select ep.*, per, power({clip('mem')},1+risk*sc) fm, num*power({clip('mem')},risk*sc) inw from ep join e8 using (scene, frame, region)"),
     ("er", f"select e5.*, coalesce(t.own,0) own, coalesce(t.al,0) al, greatest({smooth(0.08, 0.35, 'view_')},coalesce(t.pv,0)) source_override from e5 left join (select a.scene, a.frame, a.y, a.x, sum(inw) filter (where q.region>=a.region) own, sum(inw) al, max(fm*per) pv "
            "from e5 a join eq q on q.scene=a.scene and q.frame=a.frame and q.y=a.y and q.x=a.x group by all) t using (scene, frame, y, x)"),
+]
+
+
+def weak_tail(support=None):
+    """From coarse weights to the pixels; ``support`` relieves the transition guard."""
+    relief = f"(1-{support})*" if support else ""
+    return [
+        *D.up("et", "e0", "es", 2, ["rg_", "so_", "ep_", *([support] if support else [])]), *D.blur("eu", "(select *, lum2-lum delta from et)", {"gu": "lum", "so2": "so_", "ep2": "ep_", "dl": "delta"}, 0.75),
+        *D.guided("ev", "eu", "gu", "rg_", 3, 0.006, "gw"), *D.sobel("ex", "ev", "dl", "dgx", "dgy", "dgm"), *D.blur("ey", "ex", {"tg": smooth(0.005, 0.03, 'dgm/8')}, 1.5),
+        ("ez", f"select *, {clip('0.2::double+0.8::double*ep2')} mx, {clip('so2')} ov from ey"),
+        ("wk", f"select *, {clip(f'mx*{clip(chr(103) + chr(119))}+(1-mx)*rg_')}*(1-{relief}0.35::double*{clip('tg')}) base_weight from ez"),
+        ("wf", f"select *, base_weight*{clip('0.12::double+0.88::double*ov')} detail_weight, base_weight*{clip('0.55::double+0.45::double*ov')} chroma_weight from wk"),
+    ]
+
+
+_WEAK = [
+    *weak_sql(FACTOR), *_PROFILE,
     ("es", f"select *, {clip('case when region>0 then own else alpha+al end')} rg_, source_override so_, {clip('structure*(1-evidence)')} ep_ from er"),
-    *D.up("et", "e0", "es", 2, ["rg_", "so_", "ep_"]), *D.blur("eu", "(select *, lum2-lum delta from et)", {"gu": "lum", "so2": "so_", "ep2": "ep_", "dl": "delta"}, 0.75),
-    *D.guided("ev", "eu", "gu", "rg_", 3, 0.006, "gw"), *D.sobel("ex", "ev", "dl", "dgx", "dgy", "dgm"), *D.blur("ey", "ex", {"tg": smooth(0.005, 0.03, 'dgm/8')}, 1.5),
-    ("ez", f"select *, {clip('0.2::double+0.8::double*ep2')} mx, {clip('so2')} ov from ey"),
-    ("wk", f"select *, {clip(f'mx*{clip(chr(103) + chr(119))}+(1-mx)*rg_')}*(1-0.35::double*{clip('tg')}) base_weight from ez"),
-    ("wf", f"select *, base_weight*{clip('0.12::double+0.88::double*ov')} detail_weight, base_weight*{clip('0.55::double+0.45::double*ov')} chroma_weight from wk"),
+    *weak_tail(),
 ]
 
 
@@ -238,26 +258,68 @@ def weak_feather_blend(spark, sf):
 
 
 _cham = lambda dy, dx: f"(case when 2*least(abs({dy}),abs({dx}))<=greatest(abs({dy}),abs({dx})) then 2.1969::double*least(abs({dy}),abs({dx}))+greatest(abs({dy}),abs({dx}))-2*least(abs({dy}),abs({dx})) else 2.1969::double*(greatest(abs({dy}),abs({dx}))-least(abs({dy}),abs({dx})))+1.4::double*(2*least(abs({dy}),abs({dx}))-greatest(abs({dy}),abs({dx}))) end)"
-_SHELL = [*_WEAK[:_WEAK.index(next(s for s in _WEAK if s[0] == "eb"))],
-    ("s1", "select scene, frame, region, (1.5::double+1.5::double*sc)*(1+risk) rad from e8"),
-    ("s2", f"select s1.*, t.y, t.x, t.region=s1.region own, min({_cham('o.y-t.y', 'o.x-t.x')}) dist, any_value((t.score>=0.05::double or t.evidence>=0.1::double) and (t.structure<=0.65::double or t.evidence>=0.18::double)) ok "
-           "from s1 join e5 t using (scene, frame) join e5 o on o.scene=s1.scene and o.frame=s1.frame and o.region=s1.region group by all"),
-    ("s3", "select 0 i, scene, frame, region, y, x, rad, own, dist, ok, own grown from s2 union all select i+1, scene, frame, region, y, x, rad, own, dist, ok, grown or (i<greatest(ceil(rad),1) and ok and dist<=rad+1e-6::double and near) from "
-           "(select *, coalesce(lag(grown) over (partition by scene,frame,region,y order by x),false) or coalesce(lead(grown) over (partition by scene,frame,region,y order by x),false) or coalesce(lag(grown) over (partition by scene,frame,region,x order by y),false) or coalesce(lead(grown) over (partition by scene,frame,region,x order by y),false) near from s3 where i<8)"),
-]
 
 
-@query("outer_shells", "W17", duck("blend_inputs", f"select {PIX}, region::bigint region_id, {r6('dist')} distance from s3 where i=8 and grown and not own", _FULL, *_SHELL, recursive=True))
-def outer_shells(spark, sf):
+def shell_sql(factor):
+    return [
+        *weak_sql(factor),
+        ("s1", "select scene, frame, region, (1.5::double+1.5::double*sc)*(1+risk) rad from e8"),
+        ("s2", f"select s1.*, t.y, t.x, t.region=s1.region own, min({_cham('o.y-t.y', 'o.x-t.x')}) dist, any_value((t.score>=0.05::double or t.evidence>=0.1::double) and (t.structure<=0.65::double or t.evidence>=0.18::double)) ok "
+               "from s1 join e5 t using (scene, frame) join e5 o on o.scene=s1.scene and o.frame=s1.frame and o.region=s1.region group by all"),
+        ("s3", "select 0 i, scene, frame, region, y, x, rad, own, dist, ok, own grown from s2 union all select i+1, scene, frame, region, y, x, rad, own, dist, ok, grown or (i<greatest(ceil(rad),1) and ok and dist<=rad+1e-6::double and near) from "
+               "(select *, coalesce(lag(grown) over (partition by scene,frame,region,y order by x),false) or coalesce(lead(grown) over (partition by scene,frame,region,y order by x),false) or coalesce(lag(grown) over (partition by scene,frame,region,x order by y),false) or coalesce(lead(grown) over (partition by scene,frame,region,x order by y),false) near from s3 where i<8)"),
+    ]
+
+
+def _shells(spark, sf, factor):
     from glintframe.operators import feather as W
     p = W._resolve({**W.WEAK_DEFAULTS, **W.OUTER_DEFAULTS}, {"small_outer_radius": 1.5})
     d = blend_inputs(spark, sf)
     change = sum((F.abs(F.col(c) - F.col(f"s{c}")) for c in "gb"), F.abs(F.col("r") - F.col("sr"))) / 3.0
-    _, coarse = M.coarse_evidence(d.withColumn("change", change), FACTOR, ("change",))
+    _, coarse = M.coarse_evidence(d.withColumn("change", change), factor, ("change",))
     return rounded(W.outer_shell(*W.weak_regions(coarse, p), p).select(*KEY, "region_id", "distance"))
 
 
-@query("outer_feather_weights", "W17 W16")
+_SHELL_ROWS = f"select {PIX}, region::bigint region_id, {r6('dist')} distance from s3 where i=8 and grown and not own"
+
+
+@query("outer_shells", "W17", duck("blend_inputs", _SHELL_ROWS, _FULL, *shell_sql(FACTOR), recursive=True))
+def outer_shells(spark, sf):
+    return _shells(spark, sf, FACTOR)
+
+
+@query("fine_shells", "W17", duck("blend_inputs", _SHELL_ROWS, _FULL, *shell_sql(1), recursive=True))
+def fine_shells(spark, sf):
+    """The shells on the pixels themselves."""
+    return _shells(spark, sf, 1)
+
+
+def smooth_by(low, high, value):
+    t = clip(f"(({value})-({low}))/(({high})-({low}))")
+    return f"({t}*{t}*(3-2*{t}))"
+
+
+_TAPS = ", ".join(f"({v},{t!r}::double)" for v, t in zip(range(-3, 4), D.taps(0.75)))
+_OUTER = [
+    *shell_sql(FACTOR), *_PROFILE,
+    ("o1", "select scene, frame, region, y, x, rad, own, dist from s3 where i=8 and grown"),
+    ("ow", f"select d, greatest(0,least(3,d+v)) s, sum(k) wt from (values {_TAPS}) t(v,k) join (select range::int d from range(4)) on true group by all"),
+    ("o2", f"select o.scene, o.frame, o.region, wy.d y, wx.d x, {clip('sum(wy.wt*wx.wt)')} soft from o1 o join ow wy on wy.s=o.y join ow wx on wx.s=o.x group by all"),
+    ("o3", f"select o1.*, soft, {smooth_by('-rad', '0.5::double', '-dist')}*soft outside, per, round_even(4*sc,0)::int st from o1 join o2 using (scene, frame, region, y, x) join e8 using (scene, frame, region) where not own"),
+    ("o4", f"select *, {clip('case when region>0 then own else alpha+al end')} rg0 from er"),
+    *D.plus("o5", "o4", "rg0", "l1", "max"), *D.plus("o6", "o5", "l1", "l2", "max"), *D.plus("o7", "o6", "l2", "l3", "max"), *D.plus("o8", "o7", "l3", "l4", "max"),
+    *D.blur("o9", "o8", {f"k{k}": f"l{k}" for k in range(1, 5)}, 0.75, n=4),
+    ("oi", f"select t.scene, t.frame, t.y, t.x, min({_cham('o.y-t.y', 'o.x-t.x')}) depth, any_value(round_even(4*sc,0)::int) st, any_value((1.5::double+1.5::double*sc)*(1+risk)) rad from e5 t "
+           "join e8 on e8.scene=t.scene and e8.frame=t.frame and e8.region=t.region join e5 o on o.scene=t.scene and o.frame=t.frame and o.region<>t.region group by all"),
+    ("oa", f"select b.scene, b.frame, b.y, b.x, case when st>0 then [k1,k2,k3,k4][st]*{smooth_by('-rad', 'greatest(st,0.5::double)', '-dist')}*soft else 0 end shift, outside, outside*per held from o3 b join o9 using (scene, frame, y, x) "
+           f"union all select i.scene, i.frame, i.y, i.x, [k1,k2,k3,k4][st]*{smooth_by('-rad', 'greatest(st,0.5::double)', 'depth')}, null, null from oi i join o9 using (scene, frame, y, x) where st>0 and depth<=st+1"),
+    ("ob", "select scene, frame, y, x, max(shift) sh, max(held) pv, max(outside) ou from oa group by all"),
+    ("es", f"select o4.*, {clip('greatest(rg0,coalesce(sh,0))')} rg_, greatest(source_override,coalesce(pv,0)) so_, {clip('structure*(1-evidence)')} ep_, (ou is not null)::int::double os_ from o4 left join ob using (scene, frame, y, x)"),
+    *weak_tail("os_"),
+]
+
+
+@query("outer_feather_weights", "W17 W16", duck("blend_inputs", f"select {PIX}, {r6('base_weight')} base_weight, {r6('detail_weight')} detail_weight, {r6('chroma_weight')} chroma_weight, {r6('os_')} outer_support from wf", _FULL, *_OUTER, recursive=True))
 def outer_feather_weights(spark, sf):
     from glintframe.operators.feather import hysteresis_weights
     return rounded(hysteresis_weights(blend_inputs(spark, sf), factor=FACTOR, short_side=SIDE, outer=True, small_outer_radius=1.5).select(*KEY, "base_weight", "detail_weight", "chroma_weight", "outer_support"))

@@ -176,6 +176,21 @@ def _chamfer(dy: Column, dx: Column) -> Column:
     return F.when(2 * short <= long, 2.1969 * short + (long - 2 * short)).otherwise(2.1969 * (long - short) + 1.4 * (2 * short - long))
 
 
+def chamfer_map(rim: DataFrame, keys: list[str], within: str) -> DataFrame:
+    """Distance to the nearest ``rim`` pixel of the same ``keys``, for all pixels at most ``within`` away from it.
+
+    ``within`` has one value for each group. The smallest step along x inside each image row comes first, then
+    the minimum over the rows nearby: the distance grows with either step, so each pass needs one line of offsets.
+    """
+    reach = F.floor(F.col(within) + 1e-6).cast("int")
+    steps = F.explode(F.sequence(-reach, reach))
+    across = (rim.select(*keys, within, "y", "x", steps.alias("_dx"))
+              .groupBy(*keys, within, "y", (F.col("x") + F.col("_dx")).alias("x")).agg(F.min(F.abs("_dx")).alias("_dx")))
+    down = (across.select("*", steps.alias("_dy")).withColumn("distance", _chamfer(F.col("_dy"), F.col("_dx")))
+            .where(F.col("distance") <= F.col(within) + 1e-6))
+    return down.groupBy(*keys, within, (F.col("y") + F.col("_dy")).alias("y"), "x").agg(F.min("distance").alias("distance"))
+
+
 def outer_shell(d: DataFrame, g: DataFrame, p: dict) -> DataFrame:
     """Pixels each region grows into: supported, not across structure, within its outer radius.
 
@@ -185,18 +200,13 @@ def outer_shell(d: DataFrame, g: DataFrame, p: dict) -> DataFrame:
     keys = [*FRAME, "region_id"]
     allowed = d.where(((F.col("score") >= p["outer_low"]) | (F.col("evidence") >= p["outer_evidence"]))
                       & ((F.col("structure") <= 0.65) | (F.col("evidence") >= p["evidence_seed"]))).select(*FRAME, "y", "x", F.col("region_id").alias("_home"))
-    reach = int(p["large_outer_radius"] * (1.0 + max(p["color_feather_gain"], 0.0)) + 1)
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
     # region pixels with a side outside the region: only those can be nearest to an outside pixel
     line = lambda a, b: Window.partitionBy(*FRAME, a).orderBy(b)
     same = lambda e: F.coalesce(e, F.lit(-1)) == F.col("region_id")
     rim = d.select(*FRAME, "y", "x", "region_id", (same(F.lag("region_id").over(line("y", "x"))) & same(F.lead("region_id").over(line("y", "x")))
                    & same(F.lag("region_id").over(line("x", "y"))) & same(F.lead("region_id").over(line("x", "y")))).alias("_deep"))
     rim = rim.where("region_id > 0 and not _deep").join(g.select(*keys, "outer_radius"), keys)
-    near = (rim.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-            .withColumn("distance", _chamfer(F.col("_dy"), F.col("_dx"))).where(F.col("distance") <= F.col("outer_radius") + 1e-6)
-            .groupBy(*keys, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"))
-            .agg(F.min("distance").alias("distance"), F.first("outer_radius").alias("outer_radius")))
+    near = chamfer_map(rim, keys, "outer_radius")
     open_ = materialize(near.join(allowed, [*FRAME, "y", "x"]).where("_home <> region_id").drop("_home"))
     around = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))]))
     front = rim.select(*keys, "y", "x", F.greatest(F.ceil("outer_radius"), F.lit(1)).alias("_left"))
@@ -302,10 +312,7 @@ def inner_band(d: DataFrame, g: DataFrame, p: dict) -> DataFrame:
     near = [F.coalesce(f("region_id").over(Window.partitionBy(*FRAME, a).orderBy(b)), F.col("region_id")) != F.col("region_id")
             for a, b in (("y", "x"), ("x", "y")) for f in (F.lag, F.lead)]
     edge = d.select(*FRAME, "y", "x", F.col("region_id").alias("_home"), F.greatest(*near).alias("_edge")).where("_edge")
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    fed = (edge.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-           .select(*FRAME, "_home", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"), _chamfer(F.col("_dy"), F.col("_dx")).alias("depth"))
-           .where(F.col("depth") <= reach).groupBy(*FRAME, "y", "x", "_home").agg(F.min("depth").alias("depth")))
+    fed = chamfer_map(edge.withColumn("_within", F.lit(float(reach))), [*FRAME, "_home"], "_within").withColumnRenamed("distance", "depth")
     own = d.where("region_id > 0").select(*keys, "y", "x")
     met = fed.join(own, [*FRAME, "y", "x"]).where("_home <> region_id").groupBy(*keys, "y", "x").agg(F.min("depth").alias("depth"))
     steps_of = F.rint(p["max_profile_shift"] * F.col("scale")).cast("int")

@@ -146,3 +146,27 @@ def test_relaxation_solves_the_four_neighbour_equation(spark):
     out = _relax(9, 1.5)(pdf)
     for r in out.itertuples():
         assert abs(r.matte - m[r.y, r.x]) < 1e-12
+
+
+def test_chamfer_map_equals_brute_force(spark):
+    from glintframe.operators.feather import chamfer_map
+
+    def chamfer(dy, dx):
+        long, short = max(abs(dy), abs(dx)), min(abs(dy), abs(dx))
+        return 2.1969 * short + long - 2 * short if 2 * short <= long else 2.1969 * (long - short) + 1.4 * (2 * short - long)
+
+    rng = np.random.default_rng(8)
+    within = {1: 3.0, 2: 6.4, 3: 0.0}
+    rim = {(g, int(y), int(x)) for g in within for y, x in rng.integers(0, 40, (25, 2))}
+    rows = [(1, 1, g, y, x, within[g]) for g, y, x in rim]
+    got = chamfer_map(spark.createDataFrame(rows, "scene long, frame long, region_id long, y int, x int, r double"), ["scene", "frame", "region_id"], "r")
+    want = {}
+    for g, y, x in rim:
+        for dy in range(-7, 8):
+            for dx in range(-7, 8):
+                if chamfer(dy, dx) <= within[g] + 1e-6:
+                    at = (g, y + dy, x + dx)
+                    want[at] = min(want.get(at, 99.0), chamfer(dy, dx))
+    found = {(r.region_id, r.y, r.x): r.distance for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
