@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glintframe.functions.color import lab_to_rgb, rgb_to_lab
 from glintframe.functions.scalar import clip, col, sigmoid
@@ -18,12 +18,13 @@ def mix(weight, first: str = "", second: str = "s") -> dict:
     return {f"o{c}": clip(w * F.col(f"{second}{c}") + (1.0 - w) * F.col(f"{first}{c}")) for c in "rgb"}
 
 
-def lab_recompose(df: DataFrame, short_side: int, detail_sigma: float = 2.0) -> DataFrame:
+def lab_recompose(df: DataFrame, short_side: int | Column, detail_sigma: float = 2.0) -> DataFrame:
     """Mix broad lightness, fine lightness and colour with their own weights, in CIELAB.
 
     Needs ``base_weight, detail_weight, chroma_weight``; adds ``or og ob``.
     """
-    sigma = max(detail_sigma * short_side / 3072.0, 0.5)
+    sigma = detail_sigma * short_side / 3072.0
+    sigma = F.greatest(sigma, F.lit(0.5)) if isinstance(sigma, Column) else max(sigma, 0.5)
     names = {"a": rgb_to_lab("r", "g", "b"), "b": rgb_to_lab("sr", "sg", "sb")}
     d = df.withColumns({f"_{k}{i}": c for k, lab in names.items() for i, c in enumerate(lab)})
     d = gaussian_blur(colocate(d), {"_abase": "_a0", "_bbase": "_b0"}, sigma)
@@ -102,7 +103,7 @@ def hard(df: DataFrame, *, threshold: float = 0.3, **_) -> DataFrame:
 
 
 def _sized(df: DataFrame, short_side: int | None, weights) -> DataFrame:
-    """Recomposed frames from ``weights(rows, short_side)``, size by size."""
+    """Recomposed frames from ``weights(rows, short_side)``, widths by frame."""
     from glintframe.operators.stencil import per_frame_size
     return per_frame_size(df, lambda d, side: lab_recompose(weights(d, side), side), short_side)
 

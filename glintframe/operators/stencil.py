@@ -25,21 +25,12 @@ def colocate(df: DataFrame, frame=None) -> DataFrame:
     return place(df, *(frame or FRAME))
 
 
-def per_frame_size(df: DataFrame, build, short_side: int | None) -> DataFrame:
-    """``build(rows, short_side)`` for frames of one size, or for each shorter side in the table in turn.
+def per_frame_size(df: DataFrame, build, short_side: int | Column | None) -> DataFrame:
+    """``build(rows, side)`` with the given shorter side, or with a column of each frame's own.
 
-    Blur widths follow the frame size, so each size has its own plan; a set of images has as many as it has
-    camera formats.
+    Widths that follow the side are then columns too: one plan for any number of frame sizes, and no job to find them.
     """
-    if short_side is not None:
-        return build(df, short_side)
-    side = F.least("h", "w")
-    sides = sorted(r[0] for r in df.select(side).distinct().collect()) or [1]
-    parts = [build(df.where(side == n), n) for n in sides]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return build(df, F.least("h", "w") if short_side is None else short_side)
 
 
 def _images(pos: Column, n: Column, pad: int, border: str) -> Column:
@@ -81,15 +72,92 @@ def with_outputs(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
     return df.withColumns({n: col(v).cast("double") for n, v in outputs.items()})
 
 
+def _fold(t: Column, n: Column, border: str) -> Column:
+    """Place on a line of ``n`` pixels that the border rule shows at ``t``."""
+    if border in ("replicate", "edge"):
+        return F.greatest(F.lit(0), F.least(n - 1, t))
+    period = 2 * n if border == "reflect" else F.greatest(2 * n - 2, F.lit(1))
+    m = F.pmod(t, period)
+    return F.when(m < n, m).otherwise((2 * n - 1 if border == "reflect" else 2 * n - 2) - m)
+
+
+def _on_lines(df: DataFrame, axis: str, width: Column, extra, value, outputs, frame) -> DataFrame:
+    """Replace each output by ``value(arrays, i, n, width)``, from whole image lines held as arrays.
+
+    ``width`` has one value for each frame; ``extra(name)`` names the arrays that an output reads, and the columns
+    that are gathered and not kept. A line is the largest group.
+    """
+    keys, line = frame or FRAME, "y" if axis == "x" else "x"
+    arrays = {n: extra(n) for n in outputs}
+    helpers = {c for cols in arrays.values() for c in cols} - set(outputs)
+    rest = [c for c in df.columns if c not in (*keys, line, axis)]
+    rows = df.groupBy(*keys, line).agg(F.array_sort(F.collect_list(F.struct(axis, *rest))).alias("_line"), F.max(width).alias("_width"))
+    # arrays of single values are made once for each line, below the generator
+    rows = rows.withColumns({f"_at_{c}": F.col(f"_line.{c}") for cols in arrays.values() for c in cols} | {"_n": F.size("_line")})
+    if value is _weighed:
+        rows = rows.withColumn("_width", _bell(F.col("_width")))
+    kept = [axis, *[c for c in rest if c not in outputs and c not in helpers]]
+    one = lambda e, i: F.struct(*[e[c].alias(c) for c in kept], *[
+        value([F.col(f"_at_{c}") for c in cols], i, F.col("_n"), F.col("_width")).alias(n) for n, cols in arrays.items()])
+    return rows.select(*keys, line, F.inline(F.transform("_line", one))).select(*[c for c in df.columns if c not in helpers])
+
+
+def _bell(sigma: Column) -> Column:
+    """Normalised Gaussian taps as an array, its length that of ``taps``."""
+    r = F.floor(F.rint(sigma * 8 + 1).cast("int").bitwiseOR(F.lit(1)) / 2).cast("int")
+    raw = F.transform(F.sequence(-r, r), lambda k: F.exp(-(k * k) / (2.0 * sigma * sigma)))
+    total = F.aggregate(raw, F.lit(0.0), lambda a, t: a + t)
+    return F.transform(raw, lambda t: t / total)
+
+
+def _weighed(arrays, i, n, bell, border="replicate"):
+    reach = F.floor(F.size(bell) / 2).cast("int")
+    shown = lambda k: F.get(arrays[0], _fold(i + k - reach, n, border).cast("int"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(bell) - 1), F.lit(0.0), lambda a, k: a + shown(k) * F.get(bell, k))
+
+
+def _up_to(sums: Column, t: Column, n: Column, border: str) -> Column:
+    """Sum of a bordered line from its first pixel up to ``t`` (negative before it), from its running sums."""
+    at = lambda k: F.when(k < 0, F.lit(0.0)).otherwise(F.get(sums, k.cast("int")))
+    whole = F.get(sums, n - 1)
+    if border in ("replicate", "edge"):
+        return F.when(t < 0, (t + 1) * F.get(sums, F.lit(0))).when(t >= n, whole + (t - n + 1) * (whole - at(n - 2))).otherwise(at(t))
+    turns, m = F.floor((t + 1) / (2 * n)), F.pmod(t + 1, 2 * n)
+    return 2 * turns * whole + F.when(m <= n, at(m - 1)).otherwise(2 * whole - at(2 * n - m - 1))
+
+
+def _box_by_column(df: DataFrame, outputs, k: Column, border: str, frame) -> DataFrame:
+    if border not in ("replicate", "edge", "reflect"):
+        raise ValueError(f"no running sums for border {border!r}")
+    reach = F.floor(k / 2).cast("int")
+
+    def mean(arrays, i, n, p):
+        total = lambda a: _up_to(a, i + p, n, border) - _up_to(a, i - p - 1, n, border)
+        count = total(arrays[1])
+        return F.when(count > 0.5, total(arrays[0]) / count)
+
+    for axis in ("x", "y"):
+        w = Window.partitionBy(*(frame or FRAME), "y" if axis == "x" else "x").orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"_s_{n}": F.sum(F.coalesce(F.col(n), F.lit(0.0))).over(w) for n in outputs}
+                            | {f"_c_{n}": F.sum(F.col(n).isNotNull().cast("double")).over(w) for n in outputs})
+        df = _on_lines(df, axis, reach, lambda n: [f"_s_{n}", f"_c_{n}"], mean, outputs, frame)
+    return df
+
+
 def odd(k: int) -> int:
     k = max(int(k), 1)
     return k if k % 2 else k + 1
 
 
-def box_mean(df: DataFrame, outputs: dict[str, Column | str], k: int, border: str = "reflect", frame=None) -> DataFrame:
-    """Separable k x k mean of every named expression; all of them share the two passes."""
-    p = odd(k) // 2
+def box_mean(df: DataFrame, outputs: dict[str, Column | str], k: int | Column, border: str = "reflect", frame=None) -> DataFrame:
+    """Separable k x k mean of every named expression; all of them share the two passes.
+
+    ``k`` may be a column with one value for each frame: running sums along image lines then give every width.
+    """
     df = with_outputs(df, outputs)
+    if isinstance(k, Column):
+        return _box_by_column(df, outputs, k, border, frame)
+    p = odd(k) // 2
     for axis in ("x", "y"):
         df = along(df, axis, p, border, lambda w: {n: F.avg(n).over(w.rowsBetween(-p, p)) for n in outputs}, frame)
     return df
@@ -102,10 +170,17 @@ def taps(sigma: float, radius: int | None = None) -> list[float]:
     return [t / sum(raw) for t in raw]
 
 
-def gaussian_blur(df: DataFrame, outputs: dict[str, Column | str], sigma: float, border: str = "replicate", frame=None) -> DataFrame:
+def gaussian_blur(df: DataFrame, outputs: dict[str, Column | str], sigma: float | Column, border: str = "replicate", frame=None) -> DataFrame:
+    """Separable Gaussian of every named expression; ``sigma`` may be a column with one value for each frame."""
+    df = with_outputs(df, outputs)
+    if isinstance(sigma, Column):
+        if border != "replicate":
+            raise ValueError("a column of sigmas needs the replicate border")
+        for axis in ("x", "y"):
+            df = _on_lines(df, axis, sigma, lambda n: [n], _weighed, outputs, frame)
+        return df
     bell = taps(sigma)
     r = len(bell) // 2
-    df = with_outputs(df, outputs)
 
     def weigh(name, w):
         at = lambda d: F.lead(name, d).over(w) if d >= 0 else F.lag(name, -d).over(w)
@@ -153,10 +228,10 @@ def guided_base(df: DataFrame, value: str, k: int = 15, eps: float = 0.01, name:
     return guided_filter(df, value, value, odd(k) // 2, eps, name, "reflect")
 
 
-def guided_filter(df: DataFrame, guide: str, value: str, radius: int, eps: float, name: str = "filtered",
+def guided_filter(df: DataFrame, guide: str, value: str, radius: int | Column, eps: float, name: str = "filtered",
                   border: str = "replicate") -> DataFrame:
     """Smooth ``value`` while keeping the edges of ``guide``."""
-    k = 2 * max(int(radius), 1) + 1
+    k = 2 * (F.greatest(radius, F.lit(1)) if isinstance(radius, Column) else max(int(radius), 1)) + 1
     g, v = F.col(guide), F.col(value)
     df = box_mean(df, {"_mg": g, "_mv": v, "_cg": g * g, "_cx": g * v}, k, border)
     var = F.greatest(F.col("_cg") - F.col("_mg") * F.col("_mg"), F.lit(0.0))

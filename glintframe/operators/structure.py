@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glintframe.functions.scalar import clip
 from glintframe.operators.pairing import stride_sample
 from glintframe.operators.quantiles import robust_normalize
-from glintframe.operators.stencil import FRAME, box_mean, coherence, colocate, gradient, guided_base, odd, per_frame_size
+from glintframe.operators.stencil import FRAME, box_mean, coherence, colocate, gradient, guided_base, odd
 from glintframe.operators.tracks import robust_affine
 
 CUES = ("base", "positive", "negative", "paired", "paired_nb", "coherence", "edge", "edge_nb")
@@ -37,7 +37,10 @@ def structure_penalty(df: DataFrame, lum: str = "lum", *, base_kernel: int = 15,
     return d.drop(*drop, *(() if keep_cues else CUES))
 
 
-def removed_kernel(h: int, w: int, ratio: float = 0.02, least: int = 31) -> int:
+def removed_kernel(h, w, ratio: float = 0.02, least: int = 31):
+    """Odd box width for a frame's sides, given as numbers or as columns."""
+    if isinstance(h, Column):
+        return F.greatest(F.lit(least), F.rint(F.least(h, w) * ratio)).cast("int").bitwiseOR(F.lit(1))
     return odd(max(least, int(round(min(h, w) * ratio))))
 
 
@@ -52,7 +55,6 @@ def removed_light(df: DataFrame, before: str = "lum", after: str = "lum_after",
     fits = robust_affine(sample, FRAME, "_x", "_y", min_samples=min_samples)
     aligned = df.join(fits, FRAME).withColumn("_al", clip(F.col("gain") * F.col(after) + F.col("offset"))).drop("gain", "offset")
     d = aligned.withColumn("_rm", F.greatest(F.col(before) - F.col("_al"), F.lit(0.0)))
-    mean = lambda rows, side: box_mean(colocate(rows), {"_bm": F.col("_rm")}, kernel or removed_kernel(side, side))
-    d = mean(d, 0) if kernel else per_frame_size(d, mean, None)
+    d = box_mean(colocate(d), {"_bm": F.col("_rm")}, kernel or removed_kernel(F.col("h"), F.col("w")))
     d = robust_normalize(d, {"removed": (F.greatest(F.col("_bm") - 0.01, F.lit(0.0)), 0.99)})
     return d.drop("_al", "_rm", "_bm")

@@ -170,3 +170,31 @@ def test_chamfer_map_equals_brute_force(spark):
     found = {(r.region_id, r.y, r.x): r.distance for r in got.collect()}
     assert found.keys() == want.keys()
     assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_widths_by_frame_equal_those_of_one_frame(spark):
+    sizes = [(5, 9), (12, 7), (1, 6), (8, 1)]
+    df = odd_frame(spark, sizes).withColumn("confidence", F.when(F.col("x") % 4 != 1, F.col("confidence")))
+    k, sigma = 3 + 4 * F.col("frame"), 0.5 + 0.4 * F.col("frame")
+    for border in ("reflect", "replicate"):
+        mixed = {tuple(r)[:3]: r for r in W.box_mean(df, {"a": "score", "b": "confidence"}, k, border).select("frame", "y", "x", "a", "b").collect()}
+        assert len(mixed) == sum(h * w for h, w in sizes)
+        for n in range(len(sizes)):
+            for r in W.box_mean(df.where(F.col("frame") == n), {"a": "score"}, 3 + 4 * n, border).select("frame", "y", "x", "a").collect():
+                assert mixed[tuple(r)[:3]].a == pytest.approx(r.a, abs=1e-12)
+    mixed = {tuple(r)[:3]: r.a for r in W.gaussian_blur(df, {"a": "score"}, sigma).select("frame", "y", "x", "a").collect()}
+    for n in range(len(sizes)):
+        for r in W.gaussian_blur(df.where(F.col("frame") == n), {"a": "score"}, 0.5 + 0.4 * n).select("frame", "y", "x", "a").collect():
+            assert mixed[tuple(r)[:3]] == pytest.approx(r.a, abs=1e-12)
+
+
+def test_mixed_sizes_are_one_plan_without_a_job(spark):
+    df = odd_frame(spark, [(4, 6), (7, 5)])
+    d = W.guided_filter(W.gaussian_blur(df, {"soft": "score"}, F.least("h", "w") / 8.0), "soft", "score", F.least("h", "w"), 0.01)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    for n, side in ((0, 4), (1, 5)):
+        one = W.guided_filter(W.gaussian_blur(df.where(F.col("frame") == n), {"soft": "score"}, side / 8.0), "soft", "score", side, 0.01)
+        want = {(r.y, r.x): r.filtered for r in one.collect()}
+        got = {(r.y, r.x): r.filtered for r in d.where(F.col("frame") == n).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
