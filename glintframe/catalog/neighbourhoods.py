@@ -7,6 +7,7 @@ from glintframe.catalog.base import duck, grid, query, r6, rounded, paired_rgb,
 from glintframe.catalog.trajectories import _TRK, _tracks, affine_sql
 from glintframe.functions.scalar import lum601
 from glintframe.operators import stencil as W, structure as ST, tracks as T
+from glintframe.session import place
 
 PIX = "scene, frame, y::bigint y, x::bigint x"
 KEY = ["scene", "frame", "y", "x"]
@@ -73,7 +74,8 @@ _ODD = ("select *, sqrt((frame*37+y*101+x*53+bal)%97)/10 v from (select s_nation
 
 def odd_frames(spark, sf):
     """Frames of many sizes, from 9 x 10 to 15 x 20 pixels, with values from the supplier rows."""
-    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    # a few bytes a frame become hundreds of pixels: the rows are spread before that
+    s, k = place(table(spark, sf, "supplier"), "s_suppkey"), F.col("s_suppkey")
     d = (s.select(F.col("s_nationkey").cast("long").alias("scene"), k.alias("frame"), F.floor(F.abs("s_acctbal")).alias("_bal"), (9 + k % 7).cast("int").alias("h"), (10 + k % 11).cast("int").alias("w"))
          .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))))
     return d.withColumn("v", F.sqrt((F.col("frame") * 37 + F.col("y") * 101 + F.col("x") * 53 + F.col("_bal")) % 97) / 10).drop("_bal")

@@ -312,13 +312,14 @@ def upsample(full: DataFrame, small: DataFrame, factor: int, linear=(), near=())
     """Bring cell values back to every pixel: bilinear (half-pixel centres, border cells repeated) or nearest.
 
     Each cell first collects its neighbours' values in two line windows, on the small table;
-    one join per pixel then replaces four.
+    one join per pixel then replaces four. Sizes of exploded pixels are not known before they
+    are made, so the join is a merge: neither side may be taken for small and broadcast.
     """
     sides = {"y": F.col("h"), "x": F.col("w")}
     own = {p: nearest_cell(F.col(p), n, factor) for p, n in sides.items()}
     if not linear:
         one = small.select(*FRAME, F.col("y").alias("_ty"), F.col("x").alias("_tx"), *near)
-        return full.withColumns({f"_t{p}": c for p, c in own.items()}).join(one, [*FRAME, "_ty", "_tx"]).drop("_ty", "_tx")
+        return full.withColumns({f"_t{p}": c for p, c in own.items()}).join(one.hint("merge"), [*FRAME, "_ty", "_tx"]).drop("_ty", "_tx")
     taken = [*linear, *near]
     one = small.select(*FRAME, F.col("y").alias("_ty"), F.col("x").alias("_tx"), *taken)
     across = Window.partitionBy(*FRAME, "_ty").orderBy("_tx")
@@ -329,7 +330,7 @@ def upsample(full: DataFrame, small: DataFrame, factor: int, linear=(), near=())
     # the cell under the pixel's centre, and the centre's distance from that cell's, in cells
     centre = {p: (2 * F.col(p) + 1) * coarse_side(n, factor) / (2 * n) for p, n in sides.items()}
     keyed = full.withColumns({f"_t{p}": F.floor(c).cast("int") for p, c in centre.items()})
-    out = keyed.join(one, [*FRAME, "_ty", "_tx"])
+    out = keyed.join(one.hint("merge"), [*FRAME, "_ty", "_tx"])
     off = {p: c - 0.5 - F.col(f"_t{p}") for p, c in centre.items()}
     other = {p: F.when(c < 0, 0).otherwise(2) for p, c in off.items()}
     cell = {p: 1 + c - F.col(f"_t{p}") for p, c in own.items()}

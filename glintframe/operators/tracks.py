@@ -33,7 +33,8 @@ def sample_at(tracks: DataFrame, pixels: DataFrame, values, camera_w=None, camer
     """Nearest-pixel samples at track positions. ``tracks`` needs the image size ``h, w``."""
     placed = pixel_of(tracks, camera_w if camera_w is not None else F.col("w"), camera_h if camera_h is not None else F.col("h"))
     grid = pixels.select(*keys, F.col("y").alias("py"), F.col("x").alias("px"), *values)
-    return placed.join(grid, [*keys, "py", "px"]).drop("py", "px")
+    # pixels are made by a generator, whose plan looks small: never broadcast
+    return placed.join(grid.hint("merge"), [*keys, "py", "px"]).drop("py", "px")
 
 
 def point_stats(observations: DataFrame, keys=("point_id",), min_views: int = 4) -> DataFrame:

@@ -198,3 +198,12 @@ def test_mixed_sizes_are_one_plan_without_a_job(spark):
         want = {(r.y, r.x): r.filtered for r in one.collect()}
         got = {(r.y, r.x): r.filtered for r in d.where(F.col("frame") == n).collect()}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_pixels_of_exploded_frames_are_not_broadcast(spark, tmp_path):
+    from glintframe.catalog.neighbourhoods import mixed_resampling
+    rows = [(k, k % 5, float(k)) for k in range(40)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    d = mixed_resampling(spark, str(tmp_path))
+    assert d.count() == sum((9 + k % 7) * (10 + k % 11) for k in range(40))
+    assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
