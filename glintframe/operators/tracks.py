@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glintframe.functions.scalar import clip, col
-from glintframe.operators.quantiles import exact_quantiles, group_quantiles, with_frame_quantile
-from glintframe.session import materialize
+from glintframe.operators.quantiles import exact_quantiles, group_quantiles, hot_groups, with_frame_quantile
+from glintframe.session import materialize, place
 
 MAD_TO_SIGMA = 1.4826
 
@@ -104,17 +107,70 @@ def view_dependence_ratio(samples: DataFrame, keys=("point_id",), scene=(), refe
 
 # --- robust affine fits --------------------------------------------------
 
-def robust_affine(df: DataFrame, keys, x: str, y: str, rounds: int = 5, min_samples: int = 100) -> DataFrame:
+def _trimmed_line(x: np.ndarray, y: np.ndarray, rounds: int, min_samples: int) -> tuple[float, float]:
+    """Gain and offset of one group, before clipping; the rules are those of ``_affine_by_rounds``."""
+
+    def median(v):
+        v = np.sort(v[~np.isnan(v)])
+        low, high = v[(len(v) - 1) // 2], v[len(v) // 2]
+        return low + 0.5 * (high - low)
+
+    gain, offset, keep = 1.0, 0.0, np.ones(len(x), bool)
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            u, v = x[keep], y[keep]
+            if not len(u) or len(u) < min_samples:
+                break
+            mx, my = u.mean(), v.mean()
+            if u.min() == u.max():
+                gain, offset = mx * my / (mx * mx + 1), my / (mx * mx + 1)
+            else:
+                gain = ((u - mx) * (v - my)).sum() / ((u - mx) ** 2).sum()
+                offset = my - gain * mx
+            left = v - (gain * u + offset)
+            if np.isnan(left).all():
+                break
+            centre = median(left)
+            mad = median(np.abs(left - centre))
+            if not mad > 1e-6:
+                break
+            keep = np.abs(y - (gain * x + offset) - centre) <= 3.0 * MAD_TO_SIGMA * mad
+    return float(gain), float(offset)
+
+
+def robust_affine(df: DataFrame, keys, x: str, y: str, rounds: int = 5, min_samples: int = 100, group_rows: int = 2_000_000) -> DataFrame:
     """Per group: ``y ~ gain * x + offset`` with outliers rejected round by round.
 
-    A round is one regression aggregate and two exact medians over all groups at once; only
-    the fits, one row per group, are written between rounds. A group stops when fewer than
+    Groups up to ``group_rows`` rows are placed once and go through all rounds where they lie; the rounds of
+    larger groups are aggregates and exact medians over the cluster. A group stops when fewer than
     ``min_samples`` remain or its deviation vanishes. Gain is clipped to [0.5, 2], offset to +-0.25.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         "_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
     rows = materialize(rows)
+    hot = hot_groups(rows, keys, group_rows)
+    small = rows if hot is None else rows.join(hot, keys, "left_anti")
+
+    def fit(key, group):
+        # a group without a key has no fit
+        known = all(k.as_py() is not None for k in key)
+        xs, ys = (group.column(c).to_numpy() for c in ("_x", "_y"))
+        found = _trimmed_line(xs, ys, rounds, min_samples) if known else (1.0, 0.0)
+        return pa.table([pa.array([v.as_py()], v.type) for v in key] + [pa.array([v], pa.float64()) for v in found], names=[*keys, "gain", "offset"])
+
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("gain", DoubleType()), StructField("offset", DoubleType())])
+    fits = materialize(place(small, *keys).groupBy(*keys).applyInArrow(fit, schema))
+    if hot is not None:
+        fits = fits.unionByName(_affine_by_rounds(rows.join(hot, keys, "left_semi"), keys, rounds, min_samples))
+    return fits.select(*keys, clip("gain", 0.5, 2.0).alias("gain"), clip("offset", -0.25, 0.25).alias("offset"))
+
+
+def _affine_by_rounds(rows: DataFrame, keys, rounds: int, min_samples: int) -> DataFrame:
+    """Fits of groups of any size: a round is one regression aggregate and two exact medians over all groups at once.
+
+    Only the fits, one row per group, are written between rounds.
+    """
     fits = rows.select(*keys).distinct().select(
         *keys, F.lit(1.0).alias("gain"), F.lit(0.0).alias("offset"), F.lit(None).cast("double").alias("centre"),
         F.lit(None).cast("double").alias("mad"), F.lit(True).alias("active"))
@@ -139,7 +195,7 @@ def robust_affine(df: DataFrame, keys, x: str, y: str, rounds: int = 5, min_samp
             (F.coalesce("_m", F.lit(0.0)) > 1e-6).alias("active")))
         if not fits.where("active").take(1):
             break
-    return fits.select(*keys, clip("gain", 0.5, 2.0).alias("gain"), clip("offset", -0.25, 0.25).alias("offset"))
+    return fits.select(*keys, "gain", "offset")
 
 
 def exposure_align(observations: DataFrame, scene=(), min_samples: int = 20) -> tuple[DataFrame, DataFrame]:

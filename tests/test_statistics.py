@@ -222,3 +222,23 @@ def test_group_quantiles_of_small_and_large_groups(spark):
         assert found[k].n == len(g)
         for name, p in (("lo", 0.0), ("q", 0.9), ("mid", 0.5), ("hi", 1.0)):
             assert found[k][name] is None if not len(g) else found[k][name] == pytest.approx(np.quantile(g, p), rel=1e-12)
+
+
+def test_robust_lines_of_small_and_large_groups_agree(spark):
+    from pyspark.sql import functions as F
+    from glintframe.operators.tracks import robust_affine
+    rows = (spark.range(3000).select((F.col("id") % 5).alias("frame"), (F.hash("id") % 1000 / 1000.0).alias("a"), "id")
+            .withColumn("b", F.when(F.col("id") % 10 == 3, 4.0).otherwise(1.2 * F.col("a") - 0.05 + F.hash(F.col("id") + 7) % 100 / 5000.0)))
+    odd = spark.createDataFrame([(7, 0.5, 0.1 * i) for i in range(120)] + [(8, 0.1 * i, 0.2) for i in range(20)] + [(None, 0.1 * i, 0.3 * i) for i in range(150)]
+                                + [(9, float("nan"), 1.0)], "frame long, a double, b double")
+    rows = rows.select("frame", "a", "b").union(odd)
+    context = spark.sparkContext
+    context.setJobGroup("lines", "lines")
+    placed = {r.frame: (r.gain, r.offset) for r in robust_affine(rows, ["frame"], "a", "b").collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("lines"))
+    context.setJobGroup("", "")
+    spread = {r.frame: (r.gain, r.offset) for r in robust_affine(rows, ["frame"], "a", "b", group_rows=150).collect()}
+    assert placed.keys() == spread.keys() == {None, *range(5), 7, 8}
+    assert all(placed[k] == pytest.approx(spread[k], abs=1e-9) for k in placed)
+    assert placed[None] == placed[8] == (1.0, 0.0) and placed[0][0] == pytest.approx(1.2, abs=0.02)
+    assert jobs < 20  # no jobs for each round
