@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glintframe.functions.scalar import STRONG, WEAK, classify, col, percentage, smoothstep
@@ -36,20 +37,48 @@ def _touching(runs: DataFrame, reach: int) -> DataFrame:
     return spread.join(below, [*FRAME, "y", "_blk"]).where(near).select(*FRAME, F.col("rid").alias("a"), "b").distinct()
 
 
-def _smallest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smallest reachable id inside one frame, by repeated minima and pointer jumps."""
-    ids, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    root = np.arange(len(ids))
+def _frame_starts(rows: pa.Table) -> np.ndarray:
+    """Whether each row but the first belongs to another frame than the row before it."""
+    other = [pc.fill_null(pc.not_equal(rows[k].slice(1), rows[k].slice(0, rows.num_rows - 1)), True).to_numpy() for k in FRAME]
+    return np.logical_or(*other)
+
+
+def _smallest(rows: pa.Table) -> pa.Table:
+    """Smallest reachable id inside each frame, by repeated minima and pointer jumps over all frames of the table."""
+    new = np.concatenate([[True], _frame_starts(rows)])
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    ids, codes = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
+    # nodes in order of frame and id
+    nodes, ends = np.unique(np.tile(number, 2) * len(ids) + codes.ravel(), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
     while True:
-        low = root[ends].min(axis=1)
+        low = root[ends].min(axis=0)
         nxt = root.copy()
-        np.minimum.at(nxt, root[ends].ravel(), np.repeat(low, 2))
+        np.minimum.at(nxt, root[ends].ravel(), np.tile(low, 2))
         nxt = nxt[nxt]
         if np.array_equal(nxt, root):
             break
         root = nxt
-    return pd.DataFrame({"scene": pdf["scene"].iloc[0], "frame": pdf["frame"].iloc[0], "a": ids, "p": ids[root]})
+    at = first[nodes // len(ids)]
+    return pa.table({**{k: rows[k].take(pa.array(at)) for k in FRAME}, "a": ids[nodes % len(ids)], "p": ids[nodes[root] % len(ids)]})
+
+
+def _solve_frames(batches):
+    """Roots of whole frames that follow one another; a frame that goes on in the next batch waits for it."""
+    held = []
+    for batch in batches:
+        rows = pa.table(batch)
+        if not rows.num_rows:
+            continue
+        joint = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]) if held else rows
+        starts = np.flatnonzero(_frame_starts(joint)) + (0 if held else 1)
+        if len(starts):
+            yield from _smallest(pa.concat_tables([*held, rows.slice(0, starts[-1])]).combine_chunks()).to_batches()
+            held, rows = [], rows.slice(starts[-1])
+        held.append(rows)
+    if held:
+        yield from _smallest(pa.concat_tables(held).combine_chunks()).to_batches()
 
 
 def _roots(runs: DataFrame, edges: DataFrame, limit: int) -> DataFrame | None:
@@ -59,7 +88,7 @@ def _roots(runs: DataFrame, edges: DataFrame, limit: int) -> DataFrame | None:
     contacts of a larger frame stay spread over the cluster and are contracted together.
     """
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    solve = lambda e: place(e, *FRAME).groupBy(*FRAME).applyInPandas(_smallest, f"scene {kinds['scene']}, frame {kinds['frame']}, a bigint, p bigint")
+    solve = lambda e: place(e, *FRAME).sortWithinPartitions(*FRAME).mapInArrow(_solve_frames, f"scene {kinds['scene']}, frame {kinds['frame']}, a bigint, p bigint")
     hot = hot_groups(runs, FRAME, limit)
     if hot is None:
         return solve(edges)

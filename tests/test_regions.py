@@ -114,3 +114,24 @@ def test_parameter_order_is_checked():
         parameters(matte_score_low=0.2)
     with pytest.raises(ValueError):
         parameters(nonsense=1)
+
+
+def test_frames_are_solved_together_across_batches():
+    import pyarrow as pa
+    from glintframe.operators.regions import _solve_frames
+    rng = np.random.default_rng(5)
+    rows, expected = [], {}
+    for scene, frame in ((None, 1), ("a", 1), ("a", 2), ("b", 2), ("b", 3)):
+        edges = [(int(a) << 32, int(b) << 32) for a, b in rng.integers(0, 30, (17, 2))]
+        parent = {v: v for e in edges for v in e}
+        for _ in parent:
+            for a, b in edges:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        rows += [(scene, frame, a, b) for a, b in edges]
+        expected |= {(scene, frame, v): p for v, p in parent.items()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    known = {k: v for k, v in expected.items() if k[0] is not None}  # joins drop frames without a key
+    for size in (1, 7, 17, 100):
+        table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(("scene", "frame", "a", "b"))})
+        found = [r for b in _solve_frames(table.to_batches(max_chunksize=size)) for r in b.to_pylist() if r["scene"] is not None]
+        assert len(found) == len(known) and {(r["scene"], r["frame"], r["a"]): r["p"] for r in found} == known
