@@ -63,15 +63,24 @@ def _run(rows: DataFrame, step, output: str) -> None:
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def _once(rows: pd.DataFrame, pixel: list[str]) -> pd.DataFrame:
+    """The first row of each pixel."""
+    again = (rows[pixel[0]] if len(pixel) == 1 else rows).duplicated(**({} if len(pixel) == 1 else {"subset": pixel})).to_numpy()
+    return rows[~again] if again.any() else rows
+
+
 class _Assembly(StatefulProcessor):
-    """State of one frame: a list of the pieces that came, and once it was whole a mark alone."""
+    """State of one frame: a list of the pieces that came, and a mark, once it was whole the mark alone.
+
+    Each look at state is a call to the engine, so the mark tells whether there is a list to look at.
+    """
 
     def __init__(self, pixel: list[str], expected: str | None, patience: int | None, columns: list[str]):
         self.pixel, self.expected, self.patience, self.columns = pixel, expected, patience, columns
 
     def init(self, handle):
         self.handle = handle
-        self.whole = handle.getValueState("whole", "yes boolean")
+        self.mark = handle.getValueState("mark", "whole boolean")
         self.pieces = handle.getListState("pieces", "rows binary")
 
     def _held(self) -> list[pd.DataFrame]:
@@ -84,18 +93,22 @@ class _Assembly(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows)).drop_duplicates(self.pixel)
-        if self.whole.exists():
+        mark = self.mark.get()
+        if mark is not None and mark[0]:
             return
-        held = self._held()
-        frame = pd.concat([*held, new]).drop_duplicates(self.pixel)
+        new = list(rows)
+        held = self._held() if mark is not None else []
+        frame = _once(pd.concat([*held, *new]) if held or len(new) > 1 else new[0], self.pixel)
         if self.expected is None or len(frame) >= frame[self.expected].max():
-            self.whole.update((True,))
-            self.pieces.clear()
-            if self.patience is not None:
-                self._timer(None)
+            self.mark.update((True,))
+            if mark is not None:
+                self.pieces.clear()
+                if self.patience is not None:
+                    self._timer(None)
             yield frame.assign(status=None, held=None)[self.columns]
             return
+        if mark is None:
+            self.mark.update((False,))
         batch = pa.RecordBatch.from_pandas(frame.iloc[sum(map(len, held)):], preserve_index=False)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -109,6 +122,7 @@ class _Assembly(StatefulProcessor):
         if held:
             frame = pd.concat(held)
             self.pieces.clear()
+            self.mark.clear()
             yield frame.iloc[:1].assign(status="incomplete", held=len(frame))[self.columns]
 
     def close(self):
@@ -172,11 +186,12 @@ class _Deliveries(StatefulProcessor):
         self.state = handle.getValueState("state", "version long, cells string")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows))
-        top = int(new[self.version].max())
-        new = new[new[self.version] == top].drop_duplicates(["before", "after"])
-        cells = {(int(b), int(a)): int(n) for b, a, n in zip(new["before"], new["after"], new["pixels"])}
-        known, old = self.state.get() if self.state.exists() else (None, "[]")
+        new = [row for part in rows for row in zip(*(part[c].tolist() for c in (self.version, "before", "after", "pixels")))]
+        top, cells = int(max(row[0] for row in new)), {}
+        for version, b, a, n in new:
+            if version == top:
+                cells.setdefault((int(b), int(a)), int(n))
+        known, old = self.state.get() or (None, "[]")
         if known is not None and (top < known or top == known and old is None):
             return
         closed = old is None
@@ -185,9 +200,9 @@ class _Deliveries(StatefulProcessor):
             cells = {**cells, **before}
         change = {c: cells.get(c, 0) - before.get(c, 0) for c in {**before, **cells}}
         self.state.update((top, None if closed else json.dumps([[b, a, n] for (b, a), n in cells.items()])))
-        if self.horizon is not None and not closed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if self.horizon is not None and not closed and top != known:
+            if known is not None:  # an open frame has the one timer of its version
+                self.handle.deleteTimer(known * 1000 + 1)
             self.handle.registerTimer(top * 1000 + 1)
         out = pd.DataFrame([[*key, b, a, n, closed] for (b, a), n in change.items() if n or closed], columns=[*self.keys, "before", "after", "pixels", "reopened"])
         if len(out):

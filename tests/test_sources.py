@@ -183,3 +183,32 @@ def test_artifacts_are_listed(spark, tmp_path):
     entry = "array<struct<id: bigint, levels: array<string>, limitation: string>>"
     rows = RP.list_artifacts(S.read_json_document(spark, str(tmp_path / "m.json"), f"figures {entry}, tables {entry}")).collect()
     assert sorted((r.kind, r.id, r.levels) for r in rows) == [("figure", "1", "R1, R2"), ("figure", "2", "R1, R2"), ("table", "1", "R1, R2")]
+
+
+def test_a_frame_that_comes_whole_costs_two_looks_at_its_state():
+    import pandas as pd
+    from glintframe.streaming.incremental import _Assembly
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            def do(*given):
+                calls.append((self.name, call))
+                if call == "update":
+                    self.value = given[0]
+                return self.value if call == "get" else self.value is not None
+            return do
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: State(name)
+
+    columns = ["scene", "frame", "piece", "n", "status", "held"]
+    processor = _Assembly(["piece"], "n", None, columns)
+    processor.init(Handle())
+    rows = pd.DataFrame({"scene": "a", "frame": 1, "piece": [1, 2, 2], "n": 2})
+    out = list(processor.handleInputRows(("a", 1), iter([rows]), None))
+    assert [list(o["piece"]) for o in out] == [[1, 2]] and len(calls) == 2
+    assert not list(processor.handleInputRows(("a", 1), iter([rows]), None)) and len(calls) == 3
