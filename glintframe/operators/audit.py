@@ -74,7 +74,42 @@ def verify_cells(generated: DataFrame, expected: DataFrame) -> DataFrame:
 
 # --- nested documents ----------------------------------------------------
 
-_NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+def _judged(rows: DataFrame, key: str, relative: float, absolute: float) -> DataFrame:
+    """Nodes that differ (``difference``) or must be opened (``more``); equal ones are dropped, with all below them.
+
+    The first sign of a node's text tells its kind. Columns read more than once come out of a generator, so that the
+    planner does not put their texts in each place.
+    """
+    once = lambda **values: F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()])))
+    d = rows.select("*", once(ja=F.to_json("a"), jr=F.to_json("r"), na=F.expr("try_variant_get(a, '$', 'double')"), nr=F.expr("try_variant_get(r, '$', 'double')")))
+    sign, same = F.coalesce(F.substring("jr", 1, 1), F.lit("")), F.col("ja").eqNullSafe(F.col("jr"))
+    nested, numeric = sign.isin("{", "["), sign.rlike("[-0-9]")
+    near = F.abs(F.col("na") - F.col("nr")) <= F.greatest(relative * F.greatest(F.abs("na"), F.abs("nr")), F.lit(absolute))
+    text = (F.when(same | nested, None).when(~numeric, "values differ").when(F.col("na").isNull(), "not a number")
+            .when(F.isnan("na") | F.isnan("nr") | ~near, "values differ"))
+    open_ = F.col("difference").isNull() & nested & ~same
+    found = d.select(key, "location", "a", "r", once(found=F.coalesce("difference", text), more=open_)).where("found is not null or more")
+    return found.select(key, "location", *[F.when(F.col("more"), F.col(c)).alias(c) for c in "ar"], F.col("found").alias("difference"), "more")
+
+
+def _opened(rows: DataFrame, key: str) -> DataFrame:
+    """The members of every open node, or the difference that keeps it closed; finished rows stay."""
+    as_map, as_list = (lambda v: F.expr(f"try_variant_get({v}, '$', 'map<string, variant>')")), (lambda v: F.expr(f"try_variant_get({v}, '$', 'array<variant>')"))
+    node = lambda location, a, r, difference: F.struct(location.alias("location"), a.alias("a"), r.alias("r"), difference.cast("string").alias("difference"))
+    nothing = F.lit(None).cast("variant")
+    closed = lambda difference: F.array(node(F.col("location"), nothing, nothing, difference))
+    pair = lambda a, r: F.struct(a.alias("a"), r.alias("r"))
+    # a member that one side lacks is NULL there; a JSON null is not
+    alone = lambda values: F.exists(values, lambda e: e["a"].isNull() | e["r"].isNull())
+    fields = lambda m: (F.when(m.isNull(), closed(F.lit("not an object"))).when(alone(F.map_values(m)), closed(F.lit("other keys")))
+                        .otherwise(F.transform(F.map_entries(m), lambda e: node(F.concat("location", F.lit("."), e["key"]), e["value"]["a"], e["value"]["r"], F.lit(None)))))
+    items = lambda v: (F.when(v.isNull() | alone(v), closed(F.lit("not a list of this length")))
+                       .otherwise(F.transform(v, lambda e, i: node(F.concat("location", F.lit("["), i.cast("string"), F.lit("]")), e["a"], e["r"], F.lit(None)))))
+    # an array of one value gives that value a name, so that it is made once for each node
+    mapping = F.transform(F.array(F.map_zip_with(as_map("a"), as_map("r"), lambda k, a, r: pair(a, r))), fields)[0]
+    sequence = F.transform(F.array(F.zip_with(as_list("a"), as_list("r"), pair)), items)[0]
+    members = F.when(~F.col("more"), closed(F.col("difference"))).when(as_map("r").isNotNull(), mapping).otherwise(sequence)
+    return rows.select(key, F.inline(members))
 
 
 def compare_documents(pairs: DataFrame, key: str, actual: str = "actual", reference: str = "reference",
@@ -83,32 +118,16 @@ def compare_documents(pairs: DataFrame, key: str, actual: str = "actual", refere
 
     Both documents descend in step, one nesting level at a time over all keys at once. Unequal key
     sets or lengths are one difference and end the descent there; numbers compare with a tolerance,
-    everything else exactly.
+    everything else exactly. Only differences and unequal nodes are written at each level.
     """
-    level = pairs.select(key, F.lit("$").alias("location"), F.parse_json(actual).alias("a"), F.parse_json(reference).alias("r"))
-    out = None
+    # few files can hold many documents, so they are spread before they are parsed
+    placed = place(pairs.select(key, actual, reference), key)
+    top = placed.select(key, F.lit("$").alias("location"), F.parse_json(actual).alias("a"), F.parse_json(reference).alias("r"), F.lit(None).cast("string").alias("difference"))
+    level, out = _judged(top, key, relative, absolute), None
     while True:
-        kind = lambda v: F.schema_of_variant(v)
-        level = materialize(level.select(key, "location", "a", "r", kind("a").alias("ka"), kind("r").alias("kr")))
-        if not level.take(1):
-            break
-        as_map = lambda v: F.expr(f"try_variant_get({v}, '$', 'map<string, variant>')")
-        as_list = lambda v: F.expr(f"try_variant_get({v}, '$', 'array<variant>')")
-        d = level.select("*", as_map("a").alias("ma"), as_map("r").alias("mr"), as_list("a").alias("la"), as_list("r").alias("lr"),
-                         F.expr("try_variant_get(a, '$', 'double')").alias("na"), F.expr("try_variant_get(r, '$', 'double')").alias("nr"))
-        mapping, sequence, numeric = F.col("kr").startswith("OBJECT"), F.col("kr").startswith("ARRAY"), F.col("kr").rlike(_NUMBER)
-        keys = lambda m: F.array_sort(F.map_keys(m))
-        fits = F.when(mapping, keys("ma") == keys("mr")).when(sequence, F.size("la") == F.size("lr"))
-        near = F.abs(F.col("na") - F.col("nr")) <= F.greatest(relative * F.greatest(F.abs("na"), F.abs("nr")), F.lit(absolute))
-        text = (F.when(mapping & F.col("ma").isNull(), "not an object").when(mapping & ~fits, "other keys")
-                .when(sequence & (F.col("la").isNull() | ~fits), "not a list of this length")
-                .when(numeric & F.col("na").isNull(), "not a number")
-                .when(numeric & (F.isnan("na") | F.isnan("nr") | ~near), "values differ")
-                .when(~mapping & ~sequence & ~numeric & ((F.col("ka") != F.col("kr")) | (F.to_json("a") != F.to_json("r"))), "values differ"))
-        here = d.select(key, "location", text.alias("difference")).where("difference is not null")
+        level = materialize(_judged(_opened(level, key), key, relative, absolute))
+        here = level.where("difference is not null").select(key, "location", "difference")
         out = here if out is None else out.union(here)
-        step = F.coalesce(
-            F.when(mapping & fits, F.transform(F.map_entries("mr"), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("s"), F.col("ma")[e["key"]].alias("a"), e["value"].alias("r")))),
-            F.when(sequence & fits, F.transform(F.arrays_zip("la", "lr"), lambda e, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("s"), e["la"].alias("a"), e["lr"].alias("r")))))
-        level = d.select(key, "location", F.explode(step).alias("e")).select(key, F.concat("location", "e.s").alias("location"), F.col("e.a").alias("a"), F.col("e.r").alias("r"))
-    return out if out is not None else pairs.select(key, F.lit("$").alias("location"), F.lit("").alias("difference")).limit(0)
+        level = level.where("more")
+        if not level.take(1):
+            return out

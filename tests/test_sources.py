@@ -75,6 +75,17 @@ def test_document_tolerances(spark):
     assert got == [(2, "$.a", "not a list of this length"), (3, "$.a", "not a number"), (4, "$", "not an object")]
 
 
+def test_only_unequal_nodes_of_documents_are_written(spark, monkeypatch):
+    written, cut = [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df: written.append(cut(df)) or written[-1])
+    rows = [(i, '{"a":[1,{"b":null}],"c":"x"}', '{"c":"x","a":[1,{"b":null}]}') for i in range(50)]
+    rows += [(90, '{"a":null}', '{"a":1}'), (91, '{"a":[{"b":1},null,2]}', '{"a":[{"b":2},null,2]}'), (92, None, '"x"'), (93, None, None)]
+    df = spark.createDataFrame(rows, "k int, actual string, reference string")
+    got = sorted((r.k, r.location, r.difference) for r in A.compare_documents(df, "k").collect())
+    assert got == [(90, "$.a", "not a number"), (91, "$.a[0].b", "values differ"), (92, "$", "values differ")]
+    assert sum(d.count() for d in written) == 5
+
+
 def _pixel_stream(spark, path, per_trigger=1):
     schema = "scene string, frame int, y int, x int, raw double, outp double, expected int"
 
