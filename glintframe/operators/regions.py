@@ -37,15 +37,15 @@ def _touching(runs: DataFrame, reach: int) -> DataFrame:
     return spread.join(below, [*FRAME, "y", "_blk"]).where(near).select(*FRAME, F.col("rid").alias("a"), "b").distinct()
 
 
-def _frame_starts(rows: pa.Table) -> np.ndarray:
-    """Whether each row but the first belongs to another frame than the row before it."""
-    other = [pc.fill_null(pc.not_equal(rows[k].slice(1), rows[k].slice(0, rows.num_rows - 1)), True).to_numpy() for k in FRAME]
-    return np.logical_or(*other)
+def group_starts(rows: pa.Table, keys=FRAME) -> np.ndarray:
+    """Whether each row but the first belongs to another group (frame) than the row before it."""
+    other = [pc.fill_null(pc.not_equal(rows[k].slice(1), rows[k].slice(0, rows.num_rows - 1)), True).to_numpy() for k in keys]
+    return np.logical_or.reduce(other)
 
 
 def _smallest(rows: pa.Table) -> pa.Table:
     """Smallest reachable id inside each frame, by repeated minima and pointer jumps over all frames of the table."""
-    new = np.concatenate([[True], _frame_starts(rows)])
+    new = np.concatenate([[True], group_starts(rows)])
     first, number = np.flatnonzero(new), np.cumsum(new) - 1
     ids, codes = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
     # nodes in order of frame and id
@@ -72,7 +72,7 @@ def _solve_frames(batches):
         if not rows.num_rows:
             continue
         joint = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), rows]) if held else rows
-        starts = np.flatnonzero(_frame_starts(joint)) + (0 if held else 1)
+        starts = np.flatnonzero(group_starts(joint)) + (0 if held else 1)
         if len(starts):
             yield from _smallest(pa.concat_tables([*held, rows.slice(0, starts[-1])]).combine_chunks()).to_batches()
             held, rows = [], rows.slice(starts[-1])

@@ -103,6 +103,19 @@ def test_diffusion_is_exact_across_bands(frame):
     assert all(wide[y, x] == like[y, x] for y, x in zip(*np.nonzero(fg | bg)))
 
 
+def test_bands_of_many_frames_are_diffused_together(spark):
+    import pyarrow as pa
+    from glintframe.operators.matte import _relax
+    rng = np.random.default_rng(9)
+    columns = ["scene", "frame", "band", "y", "x", "likelihood", "trust", "right", "down", "pinned", "own"]
+    band = lambda f, top: [(1, f, top, y, x, *rng.random(4), int(rng.random() < 0.2), y > top) for y in range(top, top + 4) for x in range(3)]
+    bands = [band(f, top) for f in range(5) for top in (0, 7)]
+    solve = lambda rows, size: [tuple(r.values()) for b in _relax(7, 1.5)(pa.table(dict(zip(columns, map(list, zip(*rows))))).to_batches(size)) for r in b.to_pylist()]
+    alone = [r for rows in bands for r in solve(rows, 100)]
+    assert solve(sum(bands, []), 1000) == alone and solve(sum(bands, []), 7) == alone and len(alone) == 90
+    assert len(list(_relax(7, 1.5)(pa.table(dict(zip(columns, map(list, zip(*sum(bands, [])))))).to_batches(1000)))) == 2
+
+
 def test_ellipse_rows():
     assert _ellipse(1) == {-1: 0, 0: 1, 1: 0}
     assert _ellipse(2) == {-2: 0, -1: 2, 0: 2, 1: 2, 2: 0}
