@@ -34,7 +34,7 @@ def per_frame_size(df: DataFrame, build, short_side: int | Column | None) -> Dat
 
 
 def _images(pos: Column, n: Column, pad: int, border: str) -> Column:
-    """Positions in [-pad, n-1+pad] that show the pixel at ``pos`` under the border rule."""
+    """Positions in [-pad, n-1+pad] that show the pixel at ``pos`` under the border rule; NULL ones do not count."""
     inside = (pos >= pad) & (pos < n - pad)
     if border in ("replicate", "edge"):
         many = F.concat(F.array(pos),
@@ -51,6 +51,11 @@ def _images(pos: Column, n: Column, pad: int, border: str) -> Column:
         turns = F.sequence(F.lit(-1) - F.floor(F.lit(pad) / period).cast("int"), F.lit(1) + F.floor(F.lit(pad) / period).cast("int"))
         both = F.flatten(F.transform(turns, lambda k: F.array((pos + k * period).cast("int"), (mirror + k * period).cast("int"))))
         many = F.array_distinct(F.filter(both, lambda p: (p >= -pad) & (p <= n - 1 + pad)))
+        # a border within one period needs no more than one turn to each side, which is plain arithmetic
+        own = (pos == 0) | (pos == n - 1) if border != "reflect" else F.lit(False)
+        shown = [F.when(at.between(-pad, n - 1 + pad), at.cast("int")) for at in (pos, pos - period, pos + period)]
+        shown += [F.when(~own & at.between(-pad, n - 1 + pad), at.cast("int")) for at in (mirror, mirror - period, mirror + period)]
+        many = F.when(pad <= period, F.array(*shown)).otherwise(many)
     return F.when(inside, F.array(pos)).otherwise(many)
 
 
@@ -65,7 +70,8 @@ def along(df: DataFrame, axis: str, pad: int, border: str, make, frame=None, dro
     new = make(line_window(axis, frame))
     kept = [c for c in df.columns if c not in new and c not in drop]
     inside = (F.col("_t") >= 0) & (F.col("_t") < F.col(size))
-    return (df.select("*", shown).select(*kept, "_t", *[c.alias(n) for n, c in new.items()]).where(inside).drop("_t"))
+    lines = df.select("*", shown).where("_t is not null")
+    return (lines.select(*kept, "_t", *[c.alias(n) for n, c in new.items()]).where(inside).drop("_t"))
 
 
 def with_outputs(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
@@ -211,11 +217,18 @@ def gradient(df: DataFrame, value: str, gx: str = "gx", gy: str = "gy", frame=No
 def sobel(df: DataFrame, value: str, gx: str = "gx", gy: str = "gy", magnitude: str | None = "gmag",
           border: str = "reflect101", frame=None) -> DataFrame:
     """3 x 3 Sobel derivatives and their magnitude."""
-    lag, lead = (lambda c, w: F.lag(c, 1).over(w)), (lambda c, w: F.lead(c, 1).over(w))
-    df = along(df, "x", 1, border, lambda w: {"_d": lead(value, w) - lag(value, w), "_m": lag(value, w) + 2 * F.col(value) + lead(value, w)}, frame)
-    df = along(df, "y", 1, border, lambda w: {gx: lag("_d", w) + 2 * F.col("_d") + lead("_d", w), gy: lead("_m", w) - lag("_m", w)},
-               frame, drop=("_d", "_m"))
-    return df if magnitude is None else df.withColumn(magnitude, F.sqrt(F.col(gx) ** 2 + F.col(gy) ** 2))
+    return sobels(df, {value: (gx, gy, magnitude)}, border, frame)
+
+
+def sobels(df: DataFrame, names: dict[str, tuple[str, str, str | None]], border: str = "reflect101", frame=None) -> DataFrame:
+    """Sobel derivatives of every named column, as ``(gx, gy, magnitude)``; all of them share the two passes."""
+    lag, lead, values = (lambda c, w: F.lag(c, 1).over(w)), (lambda c, w: F.lead(c, 1).over(w)), list(enumerate(names.items()))
+    df = along(df, "x", 1, border, lambda w: {f"_d{i}": lead(v, w) - lag(v, w) for i, (v, _) in values}
+               | {f"_m{i}": lag(v, w) + 2 * F.col(v) + lead(v, w) for i, (v, _) in values}, frame)
+    df = along(df, "y", 1, border, lambda w: {gx: lag(f"_d{i}", w) + 2 * F.col(f"_d{i}") + lead(f"_d{i}", w) for i, (_, (gx, _, _)) in values}
+               | {gy: lead(f"_m{i}", w) - lag(f"_m{i}", w) for i, (_, (_, gy, _)) in values},
+               frame, drop=[f"_{k}{i}" for k in "dm" for i, _ in values])
+    return df.withColumns({m: F.sqrt(F.col(gx) ** 2 + F.col(gy) ** 2) for gx, gy, m in names.values() if m is not None})
 
 
 def local_std(df: DataFrame, value: str, k: int = 9, name: str = "local_std") -> DataFrame:
@@ -233,14 +246,16 @@ def guided_filter(df: DataFrame, guide: str, value: str, radius: int | Column, e
     """Smooth ``value`` while keeping the edges of ``guide``."""
     k = 2 * (F.greatest(radius, F.lit(1)) if isinstance(radius, Column) else max(int(radius), 1)) + 1
     g, v = F.col(guide), F.col(value)
-    df = box_mean(df, {"_mg": g, "_mv": v, "_cg": g * g, "_cx": g * v}, k, border)
+    # a map that guides itself has the same two means for both
+    mv, cx = ("_mg", "_cg") if guide == value else ("_mv", "_cx")
+    df = box_mean(df, {"_mg": g, mv: v, "_cg": g * g, cx: g * v}, k, border)
     var = F.greatest(F.col("_cg") - F.col("_mg") * F.col("_mg"), F.lit(0.0))
-    a = (F.col("_cx") - F.col("_mg") * F.col("_mv"))
+    a = (F.col(cx) - F.col("_mg") * F.col(mv))
     if guide == value:
         a = F.greatest(a, F.lit(0.0))
     a = a / (var + max(float(eps), 1e-6))
-    df = box_mean(df, {"_ma": a, "_mb": F.col("_mv") - a * F.col("_mg")}, k, border)
-    return df.withColumn(name, F.col("_ma") * g + F.col("_mb")).drop("_mg", "_mv", "_cg", "_cx", "_ma", "_mb")
+    df = box_mean(df, {"_ma": a, "_mb": F.col(mv) - a * F.col("_mg")}, k, border)
+    return df.withColumn(name, F.col("_ma") * g + F.col("_mb")).drop("_mg", mv, "_cg", cx, "_ma", "_mb")
 
 
 def coherence(df: DataFrame, gx: str, gy: str, k: int = 15, name: str = "coherence") -> DataFrame:

@@ -207,3 +207,35 @@ def test_pixels_of_exploded_frames_are_not_broadcast(spark, tmp_path):
     d = mixed_resampling(spark, str(tmp_path))
     assert d.count() == sum((9 + k % 7) * (10 + k % 11) for k in range(40))
     assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def _windows(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+
+def test_sobels_of_several_maps_share_their_passes(frame):
+    rng = np.random.default_rng(12)
+    df = frame(rng.random((5, 7)), "v", u=rng.random((5, 7)))
+    both = W.sobels(W.colocate(df), {"v": ("gx", "gy", "gm"), "u": ("hx", "hy", None)})
+    assert _windows(both) == 2
+    for got, name in (("gx gy gm", "v"), ("hx hy", "u")):
+        names = got.split()
+        alone = W.sobel(df, name, names[0], names[1], "m" if len(names) < 3 else names[2])
+        for c in names:
+            np.testing.assert_array_equal(board(both, c, (5, 7)), board(alone, c, (5, 7)))
+
+
+@pytest.mark.parametrize("border", ["reflect", "reflect101"])
+def test_borders_within_a_period_are_plain_arithmetic(spark, border):
+    mode = {"reflect": "symmetric", "reflect101": "reflect"}[border]
+    for n in (1, 2, 3, 8):
+        for pad in (1, 2, 8, 30):
+            shown = spark.range(n).select(F.col("id").cast("int").alias("p"), F.explode(W._images(F.col("id").cast("int"), F.lit(n), pad, border)).alias("t")).where("t is not null")
+            got = sorted((r.t, r.p) for r in shown.collect())
+            assert got == list(enumerate(np.pad(np.arange(n), pad, mode).tolist(), -pad)), (n, pad)
+
+
+def test_a_map_that_guides_itself_is_averaged_once(frame):
+    d = W.guided_base(W.colocate(frame(np.random.default_rng(3).random((4, 5)))), "v", 3)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "_mv" not in plan and "_cx" not in plan
