@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from glintframe.functions.color import delta_e76, rgb_to_lab
 from glintframe.functions.scalar import STRONG, WEAK, col, finite, lum601, lum709, percentage, psnr, psnr_from_rmse, rgb_max
 from glintframe.operators.quantiles import exact_quantiles, with_frame_quantile
-from glintframe.operators.stencil import FRAME, colocate, gaussian_blur, highpass, local_std, sobel
+from glintframe.operators.stencil import FRAME, colocate, gaussian_blur, highpass, local_std, sobels
 from glintframe.session import materialize
 
 
@@ -46,10 +46,7 @@ def fidelity_features(df: DataFrame, variants=("s", "f")) -> DataFrame:
         own = [f"{v}{c}" for c in "rgb"]
         d = d.withColumns({f"{v}_lum": lum709(*own), f"{v}_de": delta_e76(lab, rgb_to_lab(*own))})
     d = highpass(colocate(d), {"hp": "lum", **{f"{v}_hp": f"{v}_lum" for v in variants}})
-    d = sobel(d, "lum", "gx", "gy", "gmag")
-    for v in variants:
-        d = sobel(d, f"{v}_lum", f"{v}_gx", f"{v}_gy", f"{v}_gmag")
-    return d
+    return sobels(d, {"lum": ("gx", "gy", "gmag"), **{f"{v}_lum": (f"{v}_gx", f"{v}_gy", f"{v}_gmag") for v in variants}})
 
 
 def fidelity_rows(features: DataFrame, variants={"s": "direct", "f": "fusion"}, minimum: int = 100, strict: bool = True) -> DataFrame:
