@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -17,23 +16,26 @@ SHARD_TOKENS = 1 << 20
 ROUNDS = 8
 LEAST_USES = 24
 LIMIT = 1 << 16  # symbols of a shard, ids and nonterminals, so that one takes two octets
-CACHE = 800_000  # words whose ids a worker remembers
+CACHE = 800_000  # words whose ids a worker remembers, besides those of the batch at hand
 _SLOTS = 1 << 18
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_SIGN = re.compile(rb"(?<=[a-z0-9])(?=[!-/:-@\[-`{-~])")
+_SPACE, _OTHER, _SIGN, _ALNUM = range(4)
+_KIND = bytes(_SPACE if x in b" \t\n\v\f\r" else _SIGN if x in _SIGNS else _ALNUM if x in b"0123456789abcdefghijklmnopqrstuvwxyz" else _OTHER
+              for x in range(256))
 
 
 class Encoder:
     """Ids of texts, by way of a memory of words: white space always parts tokens, so a text is the sum of its words.
 
-    So does the place between a letter or digit and a sign, and a space there changes nothing. Unknown words of
-    letters alone are encoded as one long text and told apart by the word ends in the vocabulary.
+    So does the place between a letter or digit and a sign, and a space there changes nothing. The words of many
+    texts are told apart at once, and each distinct one is looked up once. Unknown words of letters alone are
+    encoded as one long text and told apart by the word ends in the vocabulary.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {b"": b""}, {}
         self.size = self.tokenizer.get_vocab_size()
         if self.size >= LIMIT:
             raise ValueError(f"{self.size} ids do not fit two octets")
@@ -44,42 +46,75 @@ class Encoder:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
         # words whose lower case, too, is letters alone: one run of letters, and one word end
         letters, rest = [], []
-        for w, x in zip(words, texts):
-            (letters if x.lower().isalpha() else rest).append((w, x))
-        for i in range(0, len(letters), 2000):
-            part = letters[i:i + 2000]
-            ids, = self._encoded([" ".join([x for _, x in part])])
+        for w in words:
+            (letters if w.isalpha() or w.decode().lower().isalpha() else rest).append(w)
+        for i in range(0, len(letters), 250):
+            part = letters[i:i + 250]
+            ids, = self._encoded([b" ".join(part).decode()])
             stop = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
             if len(stop) == len(part):
                 octet = ids.tobytes()
-                self.known.update((w, octet[a:b]) for (w, _), a, b in zip(part, [0, *stop], stop))
+                self.known.update((w, octet[a:b]) for w, a, b in zip(part, [0, *stop], stop))
             else:
                 rest += part
         for i in range(0, len(rest), 2000):
             part = rest[i:i + 2000]
-            self.known.update((w, ids.tobytes()) for (w, _), ids in zip(part, self._encoded([x for _, x in part])))
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        # lower case joins the forms of a word; a text that may hold a special token, which is told by case, is left as it is
-        split = [(t if b"<|" in t else _SIGN.sub(b" ", t.lower())).split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {b"": b""}, set().union(*split)
+            self.known.update((w, ids.tobytes()) for w, ids in zip(part, self._encoded([w.decode() for w in part])))
+
+    def _words(self, texts: list[bytes]) -> tuple[list[bytes], pa.Array, np.ndarray]:
+        """The distinct words; their places for every word of the texts, one text after the other; words before the end of each text."""
+        whole = b"".join(texts)
+        stop = np.cumsum([len(t) for t in texts])
+        lower = whole.lower()  # joins the forms of a word
+        octet, kind = np.frombuffer(lower, np.uint8), np.frombuffer(lower.translate(_KIND), np.uint8)
+        begin = np.ones(len(octet), bool)
+        begin[1:] = (kind[:-1] == _SPACE) | (kind[:-1] == _ALNUM) & (kind[1:] == _SIGN)
+        if b"<|" in whole:
+            # a text that may hold a special token, which is told by case, is left as it is
+            octet = octet.copy()
+            for t, b in zip(texts, stop.tolist()):
+                if b"<|" in t:
+                    a = b - len(t)
+                    octet[a:b] = np.frombuffer(t, np.uint8)
+                    begin[a + 1:b] = kind[a:b - 1] == _SPACE
+        begin[[b - len(t) for t, b in zip(texts, stop.tolist()) if t]] = True
+        ink = kind != _SPACE
+        first = np.flatnonzero(begin[ink])
+        buffers = [None, pa.py_buffer(np.append(first, np.count_nonzero(ink))), pa.py_buffer(octet[ink])]
+        found = pa.Array.from_buffers(pa.large_binary(), len(first), buffers).dictionary_encode()
+        if not len(first):
+            return [], found.indices, np.zeros(len(texts), np.int64)
+        _, ends, data = found.dictionary.buffers()
+        cut, data = np.frombuffer(ends, np.int64)[:len(found.dictionary) + 1].tolist(), data.to_pybytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:])], found.indices, np.searchsorted(np.flatnonzero(begin & ink), stop)
+
+    def _recall(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, as octets. When the newer half of the memory is full it becomes the older, whose words go unless met again."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE // 2:
+            self.known, self.older, new = {b"": b""}, self.known, words
+        known, older = self.known, self.older
+        known.update((w, older[w]) for w in new if w in older)
+        new = {w for w in new if w not in known}
         tails = []
         for w in [w for w in new if w[-1] < 0x80 and not w[-1:].isalnum()]:
             core = w.rstrip(_SIGNS)
             if core and b"<|" not in w and core.decode()[-1].lower().isalpha():
                 tails.append((w, core, w[len(core):]))
                 new.discard(w)
-        known = self.known
         self._learn(list(new))
         self._learn(list({x for _, *both in tails for x in both if x not in known}))
         known.update((w, known[core] + known[tail]) for w, core, tail in tails)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint16) for words in split]
+        return [known[w] for w in words]
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        words, places, before = self._words(texts)
+        _, ends, ids = pa.array(self._recall(words), pa.large_binary()).take(places).buffers()
+        cut = (np.frombuffer(ends, np.int64)[before] // 2).tolist()
+        ids = np.frombuffer(ids or b"", np.uint16)
+        return [ids[a:b] for a, b in zip([0, *cut], cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -105,7 +140,7 @@ def compress(ids: np.ndarray, first: int, end: int = END, rounds: int = ROUNDS,
         if len(seq) < 2 or first + len(rules) >= LIMIT:
             break
         pair = seq[:-1] << np.uint32(16) | seq[1:]
-        slot = (pair * np.uint32(0x9E3779B1)) >> np.uint32(14)
+        slot = ((pair * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.intp)
         held = np.zeros(_SLOTS, np.uint32)
         held[slot] = pair
         open_ = (held[slot] == pair) & (seq[:-1] != end)

@@ -38,6 +38,20 @@ def test_encoder_equals_the_tokenizer():
         assert e([x.encode()])[0].tolist() == t.encode(x, add_special_tokens=False).ids, ascii(x)
 
 
+def test_encoder_learns_a_word_in_use_once(monkeypatch):
+    monkeypatch.setattr(R, "CACHE", 400)
+    t, e = Tokenizer.from_file(word_tokenizer()), R.Encoder(word_tokenizer())
+    learnt, learn = Counter(), e._learn
+    e._learn = lambda words: (learnt.update(words), learn(words))[1]
+    common = [f"{x}{y}ing" for x in "bcdfg" for y in "aeiou"] + ["1,5", "été.", "Straße"]
+    spell = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    for k in range(40):
+        texts = [" ".join(common), "", "Xyz <|endoftext|> <|ENDOFTEXT|>.", *[f"once{spell(30 * k + i)}, {common[i % 28]}" for i in range(30)], " \n"]
+        assert [x.tolist() for x in e([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(n for w, n in learnt.items() if w.startswith(b"once")) == 1200
+    assert max(learnt.values()) == 1
+
+
 def test_token_files_round_trip(spark, tmp_path):
     r = random.Random(3)
     rows = [(i, " ".join(r.choice(["alpha", "Beta,", "gamma", "Straße", "l'été"]) for _ in range(r.randint(0, 60))), "a") for i in range(60)]
