@@ -1,7 +1,8 @@
-"""Exact top-k search by BM25: an inverted index for each shard, block-max WAND, and an exact merge."""
+"""Exact top-k search by BM25: an inverted index for each shard, like queries scored together, and an exact merge."""
 
 from __future__ import annotations
 
+import heapq
 from itertools import chain
 
 import numpy as np
@@ -19,12 +20,20 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS = 1 << 14
 SHARD_WORDS = 1 << 23
-BLOCK = 32  # documents under one block maximum
-COMMON = 32  # a term in more than a 32nd of the shard's documents is bounded by block maxima first
-DENSE = 1 << 23  # places of the table of common terms
-PIVOTS = 3
-ROUGH = 1e-5  # share that a score summed in single precision may be off, generously
+SCORES = 1 << 21  # scores held at a time
+CELLS = 1 << 16  # of them summed from lists at a time
+BLOCK = 1 << 11  # documents scored at a time
+COMMON = 1 / 300  # terms that more than this share of all pairs of a document and a query have are multiplied, others are listed
+TABLE = 1 << 10  # terms multiplied
+FEATURES = 512  # the most asked terms, by which documents and queries are grouped
+GROUPS, ROUNDS = 8, 8
+FEW = 64  # a group has a 64th of the texts at least
+PART = 1 << 13  # queries of a group scored at a time, numbered in 16 bits
+TASK_TERMS = 10 << 20  # terms of all queries that a task holds
+ROW_TERMS = 1 << 20  # terms of queries in a row
+WAITING = 1 << 22  # documents that wait for their exact scores
 DIGITS = 6  # of a score
+HALF = 10.0 ** -DIGITS  # rounding moves a score by less
 
 _INDEX = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_words", pa.int64()), ("docs", pa.binary()), ("terms", pa.binary()), ("postings", pa.binary())])
 _INDEX_DDL = "shard long, n_docs long, n_words long, docs binary, terms binary, postings binary"
@@ -84,107 +93,225 @@ def _frequencies(batches):
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df.astype(np.int64))], names=["term", "df"])
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs, one run after the other."""
+    end = np.cumsum(size)
+    at = np.repeat(start - end + size, size)
+    at += np.arange(len(at))
+    return at
+
+
+def _centres(looks: np.ndarray) -> np.ndarray:
+    """Centres of groups of like texts: spherical k-means that starts from the texts least like each other."""
+    some = looks[looks.any(axis=1)]
+    if not len(some):
+        return np.zeros((1, looks.shape[1]), np.float32)
+    near, centres = some @ _unit(some.mean(axis=0, keepdims=True))[0], some[:0]
+    while len(centres) < GROUPS:
+        centres = np.vstack([centres, some[near.argmin()]])
+        near = np.maximum(near, some @ centres[-1]) if len(centres) > 1 else some @ centres[0]
+    for _ in range(ROUNDS):
+        group = (some @ centres.T).argmax(axis=1)
+        large = np.flatnonzero(np.bincount(group) * FEW >= len(some))  # few texts far from all others are no group
+        centres = _unit(np.stack([some[group == g].sum(axis=0) for g in large]))
+    return centres
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.float32(1e-9))
+
+
+class Asked:
+    """The queries of a task in memory, in parts of like queries."""
+
+    def __init__(self, rows: list[bytes], n_docs: int, top: int):
+        query, ask, size, code, term, df = zip(*map(unpack, rows))
+        self.terms, first = np.unique(np.concatenate(term), return_index=True)
+        code = np.concatenate([np.searchsorted(self.terms, t)[c] for t, c in zip(term, code)])
+        often = np.argsort(-np.bincount(code, minlength=len(self.terms)), kind="stable")
+        self.code = np.empty(len(often), np.int32)  # of each term; the most asked have the smallest
+        self.code[often] = np.arange(len(often))
+        code, df = self.code[code], np.concatenate(df)[first[often]]
+        self.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        query, ask, size = np.concatenate(query), np.concatenate(ask), np.concatenate(size).astype(np.int64)
+        looks = self.looks(np.repeat(np.arange(len(size)), size), code, len(size))
+        self.centres = _centres(looks)
+        group, start, self.parts = (looks @ self.centres.T).argmax(axis=1), np.cumsum(size) - size, []
+        for g in range(len(self.centres)):
+            own = np.flatnonzero(group == g)
+            for q in np.array_split(own, -(-len(own) // PART)) if len(own) else ():
+                self.parts.append(Part(g, query[q], ask[q], size[q], code[_runs(start[q], size[q])], len(self.terms), top))
+
+    def looks(self, text: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+        """The most asked terms of ``n`` texts, weighed, as vectors of length 1."""
+        text, code = text[code < FEATURES], code[code < FEATURES]
+        x = np.zeros((n, FEATURES), np.float32)
+        x[text, code] = self.idf[code]
+        return _unit(x)
+
+
 class Shard:
-    """A shard in memory: postings by term, and for its common terms a table of frequencies and of block maxima."""
-
-    def __init__(self, docs: bytes, terms: bytes, postings: bytes, mean_length: float):
-        self.ids, missing, length = unpack(docs)
-        self.missing = missing.astype(bool)
-        self.terms, self.df = unpack(terms)
-        self.doc, self.tf = unpack(postings)
-        self.start = np.r_[0, np.cumsum(self.df.astype(np.int64))]
-        self.place = np.repeat(np.arange(len(self.df)) * len(self.ids), self.df) + self.doc
-        self.norm = K1 * (1 - B + B * length / (mean_length or 1.0))
-        n = len(self.ids)
-        tf = self.tf.astype(np.float64)
-        self.weight = tf * (K1 + 1) / (tf + self.norm[self.doc])
-        often = np.flatnonzero(self.df.astype(np.int64) * COMMON > n)
-        often = often[np.argsort(-self.df[often].astype(np.int64), kind="stable")][:DENSE // max(1, n)]
-        self.row = np.full(len(self.terms), -1, np.int64)
-        self.row[often] = np.arange(len(often))
-        self.blocks = -(-n // BLOCK)
-        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        for i, t in enumerate(often.tolist()):
-            self.dense[i, self.doc[self.start[t]:self.start[t + 1]]] = self.weight[self.start[t]:self.start[t + 1]]
-        self.highest = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2).astype(np.float64)
-
-    def _exact(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """What some terms add to some documents, from the postings, which are in order of term and document."""
-        want = terms[:, None] * len(self.ids) + docs
-        at = np.minimum(np.searchsorted(self.place, want.ravel()), len(self.place) - 1).reshape(want.shape)
-        return np.where(self.place[at] == want, idf[:, None] * self.weight[at], 0.0).sum(axis=0)
-
-    def search(self, query: np.ndarray, idf: np.ndarray, top: int) -> list[tuple[int | None, float]]:
-        """The best ``top`` documents: by score, rounded, then by id, those without an id last.
-
-        Rare terms are scored first; the k-th of these partial scores is a threshold that no dropped document can
-        pass. The common terms then come in order of their largest contribution. At each pivot a document stays only
-        if its score so far and the block maxima of the terms still to come can reach the threshold. These scores
-        are good to six digits; what comes within that of the k-th best gets its common terms from the postings again.
+    """A shard in memory: documents by group, and what each of their asked terms adds to a score."""
+
+    def __init__(self, asked: Asked, docs: bytes, terms: bytes, postings: bytes, mean_length: float):
+        ids, missing, length = unpack(docs)
+        term, df = unpack(terms)
+        doc, tf = unpack(postings)
+        n = len(ids)
+        at = np.minimum(np.searchsorted(asked.terms, term), len(asked.terms) - 1)
+        known = asked.terms[at] == term
+        stay = np.repeat(known, df)
+        code, doc, tf = np.repeat(asked.code[at[known]], df[known]), doc[stay], tf[stay]
+        group = (asked.looks(doc, code, n) @ asked.centres.T).argmax(axis=1)
+        order = np.argsort(group, kind="stable")
+        place = np.empty(n, np.uint16 if n <= 1 << 16 else np.uint32)
+        place[order] = np.arange(n)
+        doc = place[doc]
+        by = np.argsort(doc, kind="stable")
+        doc, tf, self.code = doc[by], tf[by].astype(np.float64), code[by]
+        norm = K1 * (1 - B + B * length[order] / (mean_length or 1.0))
+        self.weight = tf * (K1 + 1) / (tf + norm[doc]) * asked.idf[self.code]
+        self.start = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))]
+        self.ids, self.missing = ids[order], missing[order].astype(bool)
+        self.docs = np.r_[0, np.cumsum(np.bincount(group, minlength=len(asked.centres)))]
+        self.share = [np.bincount(self.code[self.start[a]:self.start[b]], minlength=len(asked.terms)).astype(np.float32) / max(1, b - a)
+                      for a, b in zip(self.docs[:-1], self.docs[1:])]
+
+    def exact(self, docs: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """Scores of documents by the terms that are marked with 1."""
+        begin, end = self.start[docs], self.start[docs + 1]
+        runs = list(map(slice, begin.tolist(), end.tolist()))
+        code, weight = (np.concatenate([x[r] for r in runs]) for x in (self.code, self.weight))
+        return np.add.reduceat(weight * marked[code], np.cumsum(end - begin) - end + begin)
+
+
+class Part:
+    """Like queries: their terms, the queries of each term, and the best documents so far."""
+
+    def __init__(self, group: int, query: np.ndarray, ask: np.ndarray, size: np.ndarray, code: np.ndarray, n_terms: int, top: int):
+        self.group, self.query, self.ask, self.code, self.top = group, query, ask, code, top
+        self.start = np.r_[0, np.cumsum(size)]
+        self.asking = np.repeat(np.arange(len(size), dtype=np.uint16), size)[np.argsort(code, kind="stable")]
+        self.n_terms = n_terms
+        self.rough = (TABLE + max(size.tolist(), default=0) + 8) * 2.0 ** -24  # share that a score summed in single precision may be off
+        self.least = np.zeros(len(size))  # the score of the last of the best, or less; 0 if there are fewer
+        self.best = tuple(np.empty(0, t) for t in (np.int64, np.float64, bool, np.int64))  # query, score, is the id missing, id
+
+    def meet(self, shard: Shard) -> None:
+        """Add what the shard has to the best documents of each query: by score, rounded, then by id, those without an id last.
+
+        The part meets a group of documents at a time. Terms that are common in both are one matrix product in single
+        precision; the others are summed from the lists of queries. What is not below the best so far, by more than
+        that product may be off, waits for its exact score.
         """
-        at = np.searchsorted(self.terms, query)
-        hit = at < len(self.terms)
-        hit[hit] = self.terms[at[hit]] == query[hit]
-        at, idf = at[hit], idf[hit]
-        if not len(at):
-            return []
-        common = self.row[at] >= 0
-        rare, size = at[~common], self.df[at[~common]].astype(np.int64)
-        place = np.repeat(self.start[rare] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        score = np.zeros(self.blocks * BLOCK)
-        if len(place):
-            score += np.bincount(self.doc[place], self.weight[place] * np.repeat(idf[~common], size), len(score))
-        rows, weight = self.row[at[common]], idf[common]
-        exact = score
-        if len(rows):
-            score = score.copy()
-            bound = self.highest[rows] * weight[:, None]
-            order = np.argsort(-bound.max(axis=1), kind="stable")
-            rows, weight, bound = rows[order], weight[order], bound[order]
-            step = max(1, -(-len(rows) // PIVOTS))
-            rest, stay = bound.sum(axis=0), None
-            for i in range(0, len(rows), step):
-                now = score if stay is None else score[stay]
-                if len(now) > top:
-                    threshold = np.partition(now, -top)[-top] * (1 - ROUGH)
-                    could = now + (np.repeat(rest, BLOCK) if stay is None else rest[stay // BLOCK])
-                    left = np.flatnonzero(could >= threshold)
-                    if 4 * len(left) < len(score):  # else whole rows are faster than single places
-                        stay = left if stay is None else stay[left]
-                w = weight[i:i + step].astype(np.float32)
-                if stay is None:
-                    score += w @ self.dense[rows[i:i + step]]
-                else:
-                    score[stay] += w @ self.dense[rows[i:i + step][:, None], stay]
-                rest = rest - bound[i:i + step].sum(axis=0)
-            best = np.flatnonzero(score > 0) if stay is None else stay[score[stay] > 0]
-        else:
-            best = np.flatnonzero(score > 0)
-        if len(best) > top:
-            best = best[score[best] >= np.partition(score[best], -top)[-top] * (1 - ROUGH) - 10.0 ** -DIGITS]
-        value = np.round(exact[best] + self._exact(best, at[common], idf[common]), DIGITS)
-        order = np.lexsort((self.ids[best], self.missing[best], -value))[:top]
-        return [(None if self.missing[d] else int(self.ids[d]), float(v)) for d, v in zip(best[order], value[order])]
+        count = np.bincount(self.code, minlength=self.n_terms)
+        first, waiting, fresh = np.cumsum(count) - count, [], 0
+        for g in sorted(range(len(shard.docs) - 1), key=lambda g: g != self.group):  # the likely ones first
+            for low, score in self._scores(shard, g, count, first):
+                new = np.flatnonzero(self.least <= 0) if low == shard.docs[g] and len(score) >= self.top else ()
+                if len(new):
+                    kth = np.partition(score[:, new].T, -self.top, axis=1)[:, -self.top]
+                    self.least[new] = np.maximum(0, kth * (1 - self.rough) - HALF)
+                bar = np.maximum((self.least - HALF) * (1 - self.rough), np.finfo(np.float32).tiny).astype(np.float32)
+                doc, query = np.divmod(np.flatnonzero(score >= bar), len(bar))
+                if not len(doc):
+                    continue
+                waiting.append((query, doc + low, score[doc, query].astype(np.float64)))
+                fresh += len(doc)
+                if fresh > 2 * self.top * len(bar):
+                    waiting, fresh = [self._raise(waiting)], 0
+                    if len(waiting[0][0]) > WAITING:
+                        self._settle(shard, *waiting.pop())
+        if waiting:
+            self._settle(shard, *self._raise(waiting))
+
+    def _scores(self, shard: Shard, g: int, count: np.ndarray, first: np.ndarray):
+        """Blocks of scores, a row for each document of the group, each with the place of its first document."""
+        begin, end, n = int(shard.docs[g]), int(shard.docs[g + 1]), len(self.query)
+        shared = shard.share[g] * count
+        common = np.flatnonzero(shared > COMMON * n)
+        common = np.sort(common[np.argsort(-shared[common], kind="stable")[:TABLE]])
+        column = np.full(len(count), -1, np.int32)
+        column[common] = np.arange(len(common))
+        table = np.zeros((n, len(common)), np.float32)
+        table[self.asking[_runs(first[common], count[common])], np.repeat(np.arange(len(common)), count[common])] = 1
+        rows = max(1, min(BLOCK, SCORES // n))
+        step = max(1, CELLS // n)
+        for low in range(begin, end, rows):
+            high = min(low + rows, end)
+            here = slice(shard.start[low], shard.start[high])
+            code, weight = shard.code[here], shard.weight[here]
+            doc, at = np.repeat(np.arange(high - low), np.diff(shard.start[low:high + 1])), column[code]
+            listed = (at < 0) & (count[code] > 0)
+            left = np.zeros((high - low, len(common)), np.float32)
+            left[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+            score = left @ table.T
+            code, weight, doc = code[listed], weight[listed].astype(np.float32), doc[listed]
+            times, cut = count[code], np.searchsorted(doc, np.arange(0, high - low + step, step)).tolist()
+            for a, b in zip(cut[:-1], cut[1:]):
+                cell = np.repeat(doc[a:b] * n, times[a:b])
+                cell += self.asking[_runs(first[code[a:b]], times[a:b])]
+                np.add.at(score.ravel(), cell, np.repeat(weight[a:b], times[a:b]))
+            yield low, score
+
+    def _raise(self, waiting):
+        """Raise ``least`` by what waits, and let go what can not be among the best any more."""
+        query, doc, score = (np.concatenate(x) for x in zip(*waiting))
+        known = np.r_[self.best[1], np.maximum(0, score * (1 - self.rough) - HALF)].astype(np.float32)
+        # in order of query, then from the highest score
+        key = np.sort(np.r_[self.best[0], query].astype(np.uint64) << np.uint64(32) | (~known.view(np.uint32)).astype(np.uint64))
+        of = (key >> np.uint64(32)).astype(np.int64)
+        begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        last = begin[np.diff(np.r_[begin, len(of)]) >= self.top] + self.top - 1
+        self.least[of[last]] = np.maximum(self.least[of[last]], (~key[last].astype(np.uint32)).view(np.float32))
+        stay = score >= (self.least[query] - HALF) * (1 - self.rough)
+        return query[stay], doc[stay], score[stay]
+
+    def _settle(self, shard: Shard, query: np.ndarray, doc: np.ndarray, _) -> None:
+        order = np.argsort(query, kind="stable")
+        query, doc = query[order], doc[order]
+        bound, value, marked = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True]), np.empty(len(query)), np.zeros(self.n_terms, np.uint8)
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            own = self.code[self.start[query[a]]:self.start[query[a] + 1]]
+            marked[own] = 1
+            for i in range(a, b, BLOCK):
+                value[i:min(i + BLOCK, b)] = shard.exact(doc[i:min(i + BLOCK, b)], marked)
+            marked[own] = 0
+        found = query, np.round(value, DIGITS), shard.missing[doc], shard.ids[doc]
+        query, value, missing, ids = (np.concatenate(x) for x in zip(self.best, found))
+        order = np.lexsort((ids, missing, -value, query))
+        begin = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1]])
+        rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)]))
+        self.best = tuple(x[order[rank < self.top]] for x in (query, value, missing, ids))
+        last = order[rank == self.top - 1]
+        self.least[query[last]] = value[last]
 
 
 _FOUND = pa.schema([("query", pa.int64()), ("ask", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def _search(n_docs: int, mean_length: float, top: int):
+    def found(asked):
+        for part in asked.parts if asked else ():
+            query, score, missing, ids = part.best
+            yield pa.RecordBatch.from_arrays([pa.array(part.query[query]), pa.array(part.ask[query]), pa.array(ids, mask=missing), pa.array(score)], schema=_FOUND)
+
     def run(batches):
         sole_memory("bm25")
-        number, shard = None, None
+        task, rows, asked = None, [], None
         for batch in batches:
-            out = []
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                if r["task"] != task:
+                    yield from found(asked)
+                    task, rows, asked = r["task"], [], None
                 if r["kind"] == 0:
-                    number, shard = r["shard"], Shard(r["docs"], r["terms"], r["postings"], mean_length)
-                elif r["shard"] == number:
-                    term, df = np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["postings"], "<i8")
-                    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-                    out += [(r["query"], r["ask"], d, s) for d, s in shard.search(term, idf, top)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
+                    rows.append(r["terms"])
+                elif rows:
+                    asked = asked or Asked(rows, n_docs, top)
+                    shard = Shard(asked, r["docs"], r["terms"], r["postings"], mean_length)
+                    for part in asked.parts:
+                        part.meet(shard)
+        yield from found(asked)
 
     return run
 
@@ -196,23 +323,45 @@ def _query_terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ask), pa.array(h.view(np.int64))], names=["query", "ask", "term"])
 
 
-def _packed(batches):
-    """Terms and document frequencies of each query, which come together, as two blocks of octets."""
-    key, term, df = None, [], []
+_ROW = pa.schema([("block", pa.int64()), ("n_terms", pa.int64()), ("terms", pa.binary())])
 
-    def close():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([np.array(term, "<i8").tobytes()], pa.binary()),
-                                           pa.array([np.array(df, "<i8").tobytes()], pa.binary())], names=["query", "ask", "terms", "postings"])
+
+def _packed(batches):
+    """Queries, whose terms and document frequencies come one after the other, many to a block of octets."""
+    number, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+    def close(whole):
+        nonlocal number, held, n
+        columns = [np.concatenate(x) for x in zip(*held)]
+        query, ask = columns[:2]
+        first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (ask[1:] != ask[:-1])])
+        end = len(query) if whole else int(first[-1])  # the last query may go on
+        held, n = [[x[end:] for x in columns]], len(query) - end
+        if end:
+            query, ask, term, df = (x[:end] for x in columns)
+            first = first[first < end]
+            term, at, code = np.unique(term.view(np.uint64), return_index=True, return_inverse=True)
+            data = pack(query[first], ask[first], np.diff(np.r_[first, end]).astype(np.uint32), code.astype(np.uint32), term, df[at])
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, end, data), _ROW)], schema=_ROW)
+            number += 1
 
     for batch in batches:
-        for q, a, t, d in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if (q, a) != key:
-                if key is not None:
-                    yield close()
-                key, term, df = (q, a), [], []
-            term.append(t), df.append(d)
-    if key is not None:
-        yield close()
+        if batch.num_rows:
+            held.append([x.to_numpy() for x in batch.columns])
+            n += batch.num_rows
+            if n >= ROW_TERMS:
+                yield from close(False)
+    if n:
+        yield from close(True)
+
+
+def _dealt(sizes: dict[int, int], hands: int) -> dict[int, int]:
+    """Deal keys to hands, the largest first and each to the hand that has least."""
+    held, out = [(0, i) for i in range(hands)], {}
+    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        least, out[key] = heapq.heappop(held)
+        heapq.heappush(held, (least + sizes[key], out[key]))
+    return out
 
 
 def top_k(docs: DataFrame, queries: DataFrame, top: int = TOP, index: DataFrame | None = None) -> DataFrame:
@@ -220,27 +369,35 @@ def top_k(docs: DataFrame, queries: DataFrame, top: int = TOP, index: DataFrame
 
     ``queries`` has ``query_id, text``; every different word of a text counts once. Length and document frequencies
     are those of the whole corpus, so scores do not depend on the shards, and the best of each shard merge to the
-    exact best of all. Each shard meets the queries one after the other; a task holds one shard.
+    exact best of all. A task holds ``TASK_TERMS`` terms of queries and meets its shards one after the other.
 
     Scores are rounded to six decimals; ties go to the smaller id, null ids come last. Documents without a common
     word with the query are not found, so null and empty texts find nothing and are not found. Rows of ``queries``
     that share id and text ask once, those with another text ask for themselves. Further columns are ignored.
     """
     index = build_index(docs) if index is None else index
-    size = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("w")).first()
-    n_docs, n_words = size.n or 0, size.w or 0
+    size = index.select("shard", "n_docs", "n_words").collect()
+    n_docs, n_words = (sum(r[c] for r in size) for c in ("n_docs", "n_words"))
     asked = queries.select(F.col("query_id").cast("long").alias("query"), F.xxhash64("text").alias("ask"), F.col("text").cast("string").alias("text"))
     wanted = asked.mapInArrow(_query_terms, "query long, ask long, term long").distinct()
     df = index.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     weighed = wanted.join(df, "term").select("query", "ask", "term", "df")
-    n = partitions(docs)
-    packed = weighed.repartition(n, "query", "ask").sortWithinPartitions("query", "ask", "term").mapInArrow(_packed, "query long, ask long, terms binary, postings binary")
-    empty = F.lit(None).cast("binary")
-    # the stated queries meet every shard; the list of shards has a number for each SHARD_DOCS documents
-    ask = packed.crossJoin(F.broadcast(index.select("shard")))
-    rows = ask.select("shard", F.lit(1).alias("kind"), "query", "ask", empty.alias("docs"), "terms", "postings").unionByName(
-        index.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("query"), F.lit(0).cast("long").alias("ask"), "docs", "terms", "postings"))
-    placed = rows.repartition(n, "shard").sortWithinPartitions("shard", "kind")
+    n, spark = partitions(docs), docs.sparkSession
+    packed = weighed.repartition(n, "query", "ask").sortWithinPartitions("query", "ask", "term").mapInArrow(_packed, "block long, n_terms long, terms binary")
+    packed = materialize(packed)
+    # a number for each row of the index and of the queries; a task holds some queries and meets some shards one after the other
+    blocks, shards = dict(map(tuple, packed.select("block", "n_terms").collect())), {r.shard: r.n_words for r in size}
+    lots = max(1, min(len(blocks), -(-sum(blocks.values()) // TASK_TERMS)))
+    lot, tiles = _dealt(blocks, lots), max(1, min(len(shards), n // lots))
+    tile = _dealt(shards, tiles)
+    own = {r.part: r.id for r in spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()}  # a key for each partition
+    task = lambda q, t: (q * tiles + t, own[(q * tiles + t) % n])
+    asks = spark.createDataFrame([(b, *task(q, t)) for b, q in lot.items() for t in range(tiles)], "block long, task long, place long")
+    meets = spark.createDataFrame([(s, *task(q, t)) for s, t in tile.items() for q in range(lots)], "shard long, task long, place long")
+    empty, key = F.lit(None).cast("binary"), ["task", "place"]
+    rows = packed.join(F.broadcast(asks), "block").select(*key, F.lit(0).alias("kind"), F.col("block").alias("shard"), empty.alias("docs"), "terms", empty.alias("postings")).unionByName(
+        index.join(F.broadcast(meets), "shard").select(*key, F.lit(1).alias("kind"), "shard", "docs", "terms", "postings"))
+    placed = rows.repartition(n, "place").sortWithinPartitions("task", "kind", "shard")
     found = placed.mapInArrow(_search(n_docs, n_words / max(1, n_docs), top), "query long, ask long, doc_id long, score double")
     best = Window.partitionBy("query", "ask").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(F.col("query").alias("query_id"), F.col("rank").cast("long").alias("rank"), "doc_id", "score")

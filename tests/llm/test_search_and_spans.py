@@ -45,6 +45,62 @@ def test_top_k_equals_brute_force(spark):
     assert B.top_k(docs, asked.limit(0)).count() == 0 == B.top_k(no_documents(spark), asked).count()
 
 
+def test_queries_meet_shards_together(monkeypatch):
+    """Documents are scored exactly for a task's best, not for the best of each shard, and like texts meet like texts."""
+    import types
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    tongues = [[f"{c}{i}" for i in range(300)] for c in "abc"]
+    text = lambda w, n: " ".join(r.choice(w[:r.choice([20, 80, 300])]) for _ in range(n))
+    rows = [(i, text(tongues[i % 3], r.choice([1, 30, 90])), "a") for i in range(3000)]
+    rows += [(5000 + i, rows[30][1], "copies") for i in range(30)] + [(None, rows[60][1], "a"), (4000, rows[60][1], "a"), (4001, "", None)]
+    queries = [(i, rows[i][1]) for i in range(0, 3000, 15)] + [(7000, "a0"), (7001, "a1 b2 c3 nowhere")]
+    monkeypatch.setattr(B, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    for name, value in (("SHARD_DOCS", 250), ("ROW_TERMS", 500), ("SCORES", 3000), ("CELLS", 700), ("TABLE", 40), ("PART", 30), ("WAITING", 600)):
+        monkeypatch.setattr(B, name, value)
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array([d for d, *_ in x], pa.int64()), pa.array([t for _, t, *_ in x])], names=["doc_id", "text"])
+    index = [x for b in B._build(batch(rows[i:i + 250]) for i in range(0, len(rows), 250)) for x in b.to_pylist()]
+    df = Counter(t for x in index for t, n in zip(*B.unpack(x["terms"])) for _ in range(n))
+    terms = [(q, 1, t, df[t]) for q, x in queries for t in sorted(set(B._hashes([x.encode()])[0])) if df[t]]
+    packed = [x for b in B._packed(pa.RecordBatch.from_arrays([pa.array(np.array(c).astype(np.int64) if i != 2 else np.array(c, np.uint64).view(np.int64))
+                                                               for i, c in enumerate(zip(*terms[j:j + 70]))], names=list("qatd")) for j in range(0, len(terms), 70)) for x in b.to_pylist()]
+    assert len(index) == 13 and len(packed) > 5 and sum(x["n_terms"] for x in packed) == len(terms)
+    scored, exact = [0], B.Shard.exact
+    monkeypatch.setattr(B.Shard, "exact", lambda self, docs, marked: (scored.__setitem__(0, scored[0] + len(docs)), exact(self, docs, marked))[1])
+    asked = B.Asked([x["terms"] for x in packed], len(rows), 10)
+    mean = sum(x["n_words"] for x in index) / len(rows)
+    for x in index:
+        shard = B.Shard(asked, x["docs"], x["terms"], x["postings"], mean)
+        for part in asked.parts:
+            part.meet(shard)
+    got = {}
+    for part in asked.parts:
+        for q, score, missing, d in zip(*part.best):
+            got.setdefault(int(part.query[q]), []).append((None if missing else int(d), float(score)))
+    want = {}
+    for q, _, d, score in plain_top_k(rows, queries, 10):
+        want.setdefault(q, []).append((d, score))
+    for q in want:
+        want[q].sort(key=lambda x: (-x[1], x[0] is None, x[0] or 0))
+        assert [d for d, _ in got[q]] == [d for d, _ in want[q]] and all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(got[q], want[q])), q
+    assert set(got) == set(want) and len(asked.parts) >= 7
+    assert scored[0] < 5 * 10 * len(queries)  # each of the 13 shards had its own best ten before
+
+
+def test_top_k_in_several_lots(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("uvwxyz") + str(r.randrange(40)) for _ in range(30)), "a") for i in range(400)]
+    docs = documents(spark, rows, 5)
+    queries = [(i, rows[i][1]) for i in range(0, 400, 8)]
+    monkeypatch.setattr(B, "TASK_TERMS", 500)
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    got = sorted([tuple(x) for x in B.top_k(docs, asked, 10).collect()], key=str)
+    want = plain_top_k(rows, queries, 10)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(2)
     for symbols in (1, 3, 50):
