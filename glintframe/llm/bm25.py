@@ -29,7 +29,8 @@ FEATURES = 512  # the most asked terms, by which documents and queries are group
 GROUPS, ROUNDS = 8, 8
 FEW = 64  # a group has a 64th of the texts at least
 PART = 1 << 13  # queries of a group scored at a time, numbered in 16 bits
-TASK_TERMS = 10 << 20  # terms of all queries that a task holds
+TASK_TERMS = 8 << 20  # terms of all queries that a task holds
+MET = 8  # words of documents that a task meets for each of them, at least
 ROW_TERMS = 1 << 20  # terms of queries in a row
 WAITING = 1 << 22  # documents that wait for their exact scores
 DIGITS = 6  # of a score
@@ -103,7 +104,8 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _centres(looks: np.ndarray) -> np.ndarray:
     """Centres of groups of like texts: spherical k-means that starts from the texts least like each other."""
-    some = looks[looks.any(axis=1)]
+    known = looks.any(axis=1)
+    some = looks if known.all() else looks[known]
     if not len(some):
         return np.zeros((1, looks.shape[1]), np.float32)
     near, centres = some @ _unit(some.mean(axis=0, keepdims=True))[0], some[:0]
@@ -113,12 +115,13 @@ def _centres(looks: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         group = (some @ centres.T).argmax(axis=1)
         large = np.flatnonzero(np.bincount(group) * FEW >= len(some))  # few texts far from all others are no group
-        centres = _unit(np.stack([some[group == g].sum(axis=0) for g in large]))
+        centres = _unit(np.stack([(group == g).astype(np.float32) @ some for g in large]))
     return centres
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), np.float32(1e-9))
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-9))[:, None]
+    return x
 
 
 class Asked:
@@ -127,14 +130,14 @@ class Asked:
     def __init__(self, rows: list[bytes], n_docs: int, top: int):
         query, ask, size, code, term, df = zip(*map(unpack, rows))
         self.terms, first = np.unique(np.concatenate(term), return_index=True)
-        code = np.concatenate([np.searchsorted(self.terms, t)[c] for t, c in zip(term, code)])
+        code = np.concatenate([np.searchsorted(self.terms, t).astype(np.int32)[c] for t, c in zip(term, code)])
         often = np.argsort(-np.bincount(code, minlength=len(self.terms)), kind="stable")
         self.code = np.empty(len(often), np.int32)  # of each term; the most asked have the smallest
         self.code[often] = np.arange(len(often))
         code, df = self.code[code], np.concatenate(df)[first[often]]
         self.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         query, ask, size = np.concatenate(query), np.concatenate(ask), np.concatenate(size).astype(np.int64)
-        looks = self.looks(np.repeat(np.arange(len(size)), size), code, len(size))
+        looks = self.looks(np.repeat(np.arange(len(size), dtype=np.int32), size), code, len(size))
         self.centres = _centres(looks)
         group, start, self.parts = (looks @ self.centres.T).argmax(axis=1), np.cumsum(size) - size, []
         for g in range(len(self.centres)):
@@ -182,7 +185,7 @@ class Shard:
         begin, end = self.start[docs], self.start[docs + 1]
         runs = list(map(slice, begin.tolist(), end.tolist()))
         code, weight = (np.concatenate([x[r] for r in runs]) for x in (self.code, self.weight))
-        return np.add.reduceat(weight * marked[code], np.cumsum(end - begin) - end + begin)
+        return np.add.reduceat(weight * marked.take(code, mode="clip"), np.cumsum(end - begin) - end + begin)
 
 
 class Part:
@@ -388,7 +391,8 @@ def top_k(docs: DataFrame, queries: DataFrame, top: int = TOP, index: DataFrame
     # a number for each row of the index and of the queries; a task holds some queries and meets some shards one after the other
     blocks, shards = dict(map(tuple, packed.select("block", "n_terms").collect())), {r.shard: r.n_words for r in size}
     lots = max(1, min(len(blocks), -(-sum(blocks.values()) // TASK_TERMS)))
-    lot, tiles = _dealt(blocks, lots), max(1, min(len(shards), n // lots))
+    lot = _dealt(blocks, lots)
+    tiles = max(1, min(len(shards), n // lots, n_words * lots // (MET * max(1, sum(blocks.values())))))
     tile = _dealt(shards, tiles)
     own = {r.part: r.id for r in spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect()}  # a key for each partition
     task = lambda q, t: (q * tiles + t, own[(q * tiles + t) % n])
